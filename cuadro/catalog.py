@@ -122,3 +122,336 @@ with r as (select cast(min(l_quantity) as double) mn, cast(max(l_quantity) as do
 select bin, mn + bin * width bin_start, mn + (bin + 1) * width bin_end, count(*) n
 from b, w group by bin, mn, width order by bin""",
 }
+
+
+# ---------------------------------------------------------------------------------------
+# Profile, cleaning, corpus, insights
+# ---------------------------------------------------------------------------------------
+from .functions.intent import (CHART_ORDER, CHART_PATTERNS, EXPLICIT_KEYWORDS,  # noqa: E402
+                               GATE_PATTERNS, requested_top_n)
+from .functions.text import NUMERIC_TEXT, snippet, store_name  # noqa: E402
+from .operators import clean, corpus, insights, profile  # noqa: E402
+from .operators.rowindex import with_row_index  # noqa: E402
+from .plans.chart import chart_records  # noqa: E402
+
+LINEITEM_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                    "l_extendedprice", "l_discount", "l_tax"]
+ORDERS_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+                  "o_orderpriority"]
+EVENTS_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+EVENT_FIELDS = corpus.RowFields(id="event_id", date="ts", product="event_type", price=None,
+                                quantity=None, total="value", purchase_type=None, payment=None,
+                                manager=None, city=None)
+Q_TOP_N = "Haz un gráfico de barras de los top 5 productos"
+
+
+def _t(name):
+    return lambda spark, sf_dir: read_table(spark, sf_dir, name)
+
+
+def q_summary_numeric(spark, sf_dir):
+    return profile.numeric_summary(read_table(spark, sf_dir, "lineitem"))
+
+
+def q_summary_period(spark, sf_dir):
+    return profile.period(read_table(spark, sf_dir, "orders"), "o_orderdate")
+
+
+def q_summary_top5(spark, sf_dir):
+    return profile.top_values(read_table(spark, sf_dir, "orders"))
+
+
+def q_dataset_summary_text(spark, sf_dir):
+    return profile.dataset_summary(read_table(spark, sf_dir, "orders"), date_col="o_orderdate",
+                                   stat_columns=["o_totalprice"])
+
+
+def q_dataset_info(spark, sf_dir):
+    return profile.dataset_info(read_table(spark, sf_dir, "lineitem"))
+
+
+def q_preview_head(spark, sf_dir):
+    return profile.preview(read_table(spark, sf_dir, "events"), ["event_id"])
+
+
+def q_profile_columns(spark, sf_dir):
+    return clean.numeric_profile(read_table(spark, sf_dir, "documents"))
+
+
+def q_clean_strip(spark, sf_dir):
+    c = read_table(spark, sf_dir, "customer")
+    padded = c.select("c_custkey", F.concat(F.lit("\t "), "c_mktsegment", F.lit("  x  ")).alias("c_mktsegment"))
+    return clean.clean_table(padded)
+
+
+def q_clean_null_label(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events")
+    holed = ev.select(F.when(F.col("event_type") != "error", F.col("event_type")).alias("event_type"))
+    return charts.bar_counts(clean.clean_table(holed, null_label="nan"), "event_type", None)
+
+
+def q_clean_date_dayfirst(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders")
+    txt = o.select("o_orderkey", F.date_format("o_orderdate", "dd-MM-yyyy").alias("order_date"))
+    return clean.clean_table(txt)
+
+
+def q_clean_date_cascade(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders")
+    s = F.when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "dd-MM-yyyy")) \
+        .otherwise(F.date_format("o_orderdate", "yyyy/MM/dd"))
+    return clean.cascade_dates(o.select("o_orderkey", s.alias("order_date")), "order_date")
+
+
+def q_clean_numeric(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    digits = F.regexp_replace("source", "src", "")
+    mixed = F.when(F.col("lang") == "en", F.col("source")).otherwise(digits)
+    return clean.clean_table(d.select("doc_id", "source", digits.alias("source_num"), mixed.alias("source_mixed")))
+
+
+def q_derive_total(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem")
+    return clean.row_total(li, "l_extendedprice", "l_quantity").select("l_orderkey", "l_linenumber", "total")
+
+
+def q_row_index(spark, sf_dir):
+    return with_row_index(read_table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"],
+                          rows_per_bucket=2000)
+
+
+def q_render_rows(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events")
+    return corpus.render_rows(ev, EVENT_FIELDS, keep=["event_id"])
+
+
+def q_chunk_rows(spark, sf_dir):
+    return corpus.chunk_table(read_table(spark, sf_dir, "events"), ["event_id"], EVENT_FIELDS)
+
+
+def q_corpus_docs(spark, sf_dir):
+    return corpus.corpus_docs(read_table(spark, sf_dir, "events"), ["event_id"], EVENT_FIELDS,
+                              date_col="ts", stat_columns=["value"])
+
+
+def _li_part(spark, sf_dir):
+    return read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "part")
+
+
+def q_top_products(spark, sf_dir):
+    return insights.top_products(*_li_part(spark, sf_dir))
+
+
+def q_top_n(spark, sf_dir):
+    return insights.top_products(*_li_part(spark, sf_dir), n=requested_top_n(Q_TOP_N, 10))
+
+
+def q_best_seller(spark, sf_dir):
+    return insights.best_seller(*_li_part(spark, sf_dir))
+
+
+def q_monthly_trend(spark, sf_dir):
+    return insights.monthly_trend(read_table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice")
+
+
+def q_avg_by_category(spark, sf_dir):
+    return insights.avg_by_category(read_table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity")
+
+
+def q_overall_avg(spark, sf_dir):
+    return insights.overall_avg(read_table(spark, sf_dir, "lineitem"), "l_extendedprice")
+
+
+def q_compare_regions(spark, sf_dir):
+    return insights.compare_regions(*[read_table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region")])
+
+
+def q_source_snippet(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", snippet("text").alias("snippet"))
+
+
+def q_store_name(spark, sf_dir):
+    p = read_table(spark, sf_dir, "pages")
+    return p.select("page_id", store_name("url").alias("store_name"))
+
+
+def _user_turns(spark, sf_dir):
+    c = read_table(spark, sf_dir, "conversations")
+    return c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
+
+
+def q_chart_intent(spark, sf_dir):
+    from .functions.intent import chart_intent
+    return _user_turns(spark, sf_dir).select("conv_id", "turn", chart_intent("question").alias("chart_type"))
+
+
+def q_chart_record(spark, sf_dir):
+    return chart_records(_user_turns(spark, sf_dir)).drop("question")
+
+
+QUERIES.update({
+    "summary_numeric": q_summary_numeric,
+    "summary_period": q_summary_period,
+    "summary_top5": q_summary_top5,
+    "dataset_summary_text": q_dataset_summary_text,
+    "dataset_info": q_dataset_info,
+    "preview_head": q_preview_head,
+    "profile_columns": q_profile_columns,
+    "clean_strip": q_clean_strip,
+    "clean_null_label": q_clean_null_label,
+    "clean_date_dayfirst": q_clean_date_dayfirst,
+    "clean_date_cascade": q_clean_date_cascade,
+    "clean_numeric": q_clean_numeric,
+    "derive_total": q_derive_total,
+    "row_index": q_row_index,
+    "render_rows": q_render_rows,
+    "chunk_rows": q_chunk_rows,
+    "corpus_docs": q_corpus_docs,
+    "top_products": q_top_products,
+    "top_n": q_top_n,
+    "best_seller": q_best_seller,
+    "monthly_trend": q_monthly_trend,
+    "avg_by_category": q_avg_by_category,
+    "overall_avg": q_overall_avg,
+    "compare_regions": q_compare_regions,
+    "source_snippet": q_source_snippet,
+    "store_name": q_store_name,
+    "chart_intent": q_chart_intent,
+    "chart_record": q_chart_record,
+})
+
+
+# ---- oracle SQL builders ---------------------------------------------------------------
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _sql_dec_sum(c: str) -> str:
+    return f"cast(coalesce(sum(cast({c} as {D2})), 0) as {D28})"
+
+
+def _sql_numeric_summary(table: str, cols: list[str]) -> str:
+    parts = [f"""select {_sql_str(c)} as "column", cast(min({c}) as double) as min, cast(max({c}) as double) as max,
+  round(sum(cast({c} as {D2})) / count({c}), 2) as mean, {_sql_dec_sum(c)} as total from {table}""" for c in cols]
+    return "\nunion all\n".join(parts)
+
+
+def _sql_top_values(table: str, cols: list[str], n: int = 5) -> str:
+    longf = " union all ".join(f"select {_sql_str(c)} as \"column\", cast({c} as varchar) as value from {table}" for c in cols)
+    return f"""select "column", value, n, rank from (
+  select "column", value, n, cast(row_number() over (partition by "column" order by n desc, value) as bigint) rank
+  from (select "column", value, count(*) n from ({longf}) where value is not null group by 1, 2)) where rank <= {n}"""
+
+
+def _sql_summary(table: str, columns: list[str], date_col: str | None, stats: list[str],
+                 texts: list[str], has_numeric: bool) -> str:
+    nl = "chr(10)"
+    aggs = ["count(*) as n"]
+    if date_col:
+        aggs += [f"strftime(min({date_col}), '%Y-%m-%d %H:%M:%S') as p0",
+                 f"strftime(max({date_col}), '%Y-%m-%d %H:%M:%S') as p1"]
+    for i, c in enumerate(stats):
+        aggs += [f"cast(cast(min({c}) as double) as decimal(38,2)) as mn{i}",
+                 f"cast(cast(max({c}) as double) as decimal(38,2)) as mx{i}",
+                 f"cast(round(sum(cast({c} as {D2})) / count({c}), 2) as decimal(38,2)) as me{i}",
+                 f"{_sql_dec_sum(c)} as sm{i}"]
+    lines = [_sql_str("RESUMEN DEL DATASET DE VENTAS:"), "'Total de registros: ' || cast(n as varchar)"]
+    if date_col:
+        lines.append("'Período: ' || p0 || ' a ' || p1")
+    lines.append(_sql_str("Columnas disponibles: " + ", ".join(columns)))
+    if has_numeric:
+        lines.append(f"{nl} || 'ESTADÍSTICAS NUMÉRICAS:'")
+        for i, c in enumerate(stats):
+            lines.append(f"'{c}: Min=' || cast(mn{i} as varchar) || ', Max=' || cast(mx{i} as varchar) || "
+                         f"', Promedio=' || cast(me{i} as varchar) || ', Total=' || cast(sm{i} as varchar)")
+    with_items = ""
+    if texts:
+        lines.append(f"{nl} || 'CATEGORÍAS PRINCIPALES:'")
+        for c in texts:
+            lines.append(f"'{c}: ' || coalesce((select items from items where \"column\" = {_sql_str(c)}), '')")
+        with_items = f""", tv as ({_sql_top_values(table, texts)}),
+items as (select "column", string_agg(value || ' (' || cast(n as varchar) || ')', ', ' order by rank) items from tv group by 1)"""
+    body = f" || {nl} || ".join(lines)
+    return f"with s as (select {', '.join(aggs)} from {table}){with_items}\nselect {body} as summary from s"
+
+
+def _sql_event_line() -> str:
+    return ("regexp_replace('Orden ' || cast(event_id as varchar) || ': ' || 'Fecha: ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ', ' "
+            "|| 'Producto: ' || event_type || ', ' || 'Total: $' || cast(cast(value as decimal(38,2)) as varchar) || ', ', '[, ]+$', '')")
+
+
+def _sql_chunks() -> str:
+    return f"""with l as (select cast(row_number() over (order by event_id) - 1 as bigint) i, {_sql_event_line()} line from events)
+select cast(floor(i / 50) as bigint) chunk_id, min(i) start_row, max(i) end_row, count(*) num_rows,
+  'CHUNK DE DATOS (filas ' || cast(min(i) as varchar) || ' a ' || cast(max(i) as varchar) || '):' || chr(10)
+  || string_agg(line, chr(10) order by i) page_content
+from l group by 1"""
+
+
+def _sql_intent(q: str) -> str:
+    def anyp(ps):
+        return " or ".join(f"regexp_matches({q}, {_sql_str(p)})" for p in ps)
+    explicit = " or ".join(f"contains({q}, {_sql_str(k)})" for k in EXPLICIT_KEYWORDS)
+    typed = " ".join(f"when {anyp(CHART_PATTERNS[k])} then '{k}'" for k in CHART_ORDER)
+    return (f"case when not (({explicit}) or {anyp(GATE_PATTERNS)}) then null "
+            f"else (case {typed} when {explicit} then 'bar' end) end")
+
+
+_EVENTS_SUMMARY = _sql_summary("events", EVENTS_COLUMNS, "ts", ["value"], ["event_type", "props"], True)
+_USER_Q = "(select conv_id, turn, lower(text) q, text from conversations where role = 'user')"
+
+ORACLE.update({
+    "summary_numeric": _sql_numeric_summary("lineitem", LINEITEM_NUMERIC),
+    "summary_period": "select min(o_orderdate) period_start, max(o_orderdate) period_end from orders",
+    "summary_top5": _sql_top_values("orders", ["o_orderstatus", "o_orderpriority"]),
+    "dataset_summary_text": _sql_summary("orders", ORDERS_COLUMNS, "o_orderdate", ["o_totalprice"],
+                                         ["o_orderstatus", "o_orderpriority"], True),
+    "dataset_info": "select count(*) n_rows, cast(11 as integer) n_cols, "
+                    "'l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, "
+                    "l_tax, l_returnflag, l_linestatus, l_shipdate' as columns from lineitem",
+    "preview_head": "select * from events order by event_id limit 10",
+    "profile_columns": "\nunion all\n".join(
+        f"select '{c}' as \"column\", count({c}) n_values, count(case when regexp_matches("
+        f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g'), {_sql_str(NUMERIC_TEXT)}) then 1 end) n_numeric from documents"
+        for c in ["text", "lang", "source"]),
+    "clean_strip": "select c_custkey, regexp_replace(chr(9) || ' ' || c_mktsegment || '  x  ', '^\\s+|\\s+$', '', 'g') c_mktsegment from customer",
+    "clean_null_label": "select coalesce(nullif(event_type, 'error'), 'nan') event_type, count(*) value from events group by 1",
+    "clean_date_dayfirst": "select o_orderkey, try_strptime(strftime(o_orderdate, '%d-%m-%Y'), '%d-%m-%Y') order_date from orders",
+    "clean_date_cascade": """select o_orderkey, coalesce(try_strptime(s, '%d-%m-%Y'), try_strptime(s, '%Y/%m/%d')) order_date
+from (select o_orderkey, case when o_orderstatus = 'F' then strftime(o_orderdate, '%d-%m-%Y') else strftime(o_orderdate, '%Y/%m/%d') end s from orders)""",
+    "clean_numeric": """select doc_id, source, cast(regexp_replace(source, 'src', '') as bigint) source_num,
+  case when lang = 'en' then null else cast(regexp_replace(source, 'src', '') as double) end source_mixed from documents""",
+    "derive_total": f"select l_orderkey, l_linenumber, cast(cast(l_extendedprice as {D2}) * cast(l_quantity as {D2}) as {D28}) total from lineitem",
+    "row_index": "select o_orderkey, cast(row_number() over (order by o_orderkey) - 1 as bigint) row_idx from orders",
+    "render_rows": f"select event_id, {_sql_event_line()} line from events",
+    "chunk_rows": _sql_chunks(),
+    "corpus_docs": f"""with ev_summary as ({_EVENTS_SUMMARY}), ch as ({_sql_chunks()})
+select cast(0 as bigint) doc_id, 'dataset_summary' doc_type, cast(null as bigint) chunk_id, cast(null as bigint) start_row,
+  cast(null as bigint) end_row, cast(null as bigint) num_rows, (select count(*) from events) total_rows,
+  {'[' + ', '.join(_sql_str(c) for c in EVENTS_COLUMNS) + ']'} as columns, summary page_content from ev_summary
+union all
+select chunk_id + 1, 'data_chunk', chunk_id, start_row, end_row, num_rows, cast(null as bigint), cast(null as varchar[]), page_content from ch""",
+    "top_products": f"""select p_name, {_sql_dec_sum('l_quantity')} as value from lineitem join part on l_partkey = p_partkey
+where p_name is not null group by 1 order by value desc, p_name limit 10""",
+    "top_n": f"""select p_name, {_sql_dec_sum('l_quantity')} as value from lineitem join part on l_partkey = p_partkey
+where p_name is not null group by 1 order by value desc, p_name limit 5""",
+    "best_seller": f"""select p_name, {_sql_dec_sum('l_quantity')} as value from lineitem join part on l_partkey = p_partkey
+where p_name is not null group by 1 order by value desc, p_name limit 1""",
+    "monthly_trend": f"""select cast(date_trunc('month', o_orderdate) as timestamp) month_start, {_sql_dec_sum('o_totalprice')} as value
+from orders where o_orderdate is not null group by 1 order by 1""",
+    "avg_by_category": f"""select l_returnflag, round(sum(cast(l_quantity as {D2})) / count(l_quantity), 4) avg_value, count(l_quantity) n
+from lineitem where l_returnflag is not null group by 1 order by 1""",
+    "overall_avg": f"select round(sum(cast(l_extendedprice as {D2})) / count(l_extendedprice), 4) avg_value, count(l_extendedprice) n from lineitem",
+    "compare_regions": f"""select r_name, {_sql_dec_sum('o_totalprice')} as value from orders
+join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
+group by 1 order by value desc, r_name""",
+    "source_snippet": "select doc_id, case when length(text) > 200 then substring(text, 1, 200) || '...' else text end snippet from documents",
+    "store_name": "select page_id, 'streamlit_' || substring(md5(url), 1, 8) store_name from pages",
+    "chart_intent": f"select conv_id, turn, {_sql_intent('q')} chart_type from {_USER_Q}",
+    "chart_record": f"""select conv_id, turn, chart_type, chart_type is not null chart_generated, substring(md5(text), 1, 12) chart_id,
+  case when chart_type is not null then (case chart_type when 'bar' then 'bar_chart' when 'line' then 'line_chart'
+    when 'pie' then 'pie_chart' else 'scatter_plot' end) || '_' || substring(md5(text), 1, 12) || '.png' end chart_filename
+from (select conv_id, turn, text, {_sql_intent('q')} chart_type from {_USER_Q})""",
+})
