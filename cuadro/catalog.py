@@ -455,3 +455,175 @@ group by 1 order by value desc, r_name""",
     when 'pie' then 'pie_chart' else 'scatter_plot' end) || '_' || substring(md5(text), 1, 12) || '.png' end chart_filename
 from (select conv_id, turn, text, {_sql_intent('q')} chart_type from {_USER_Q})""",
 })
+
+
+# ---------------------------------------------------------------------------------------
+# Vector search, retrieval context, store, batch questions
+# ---------------------------------------------------------------------------------------
+from .functions.text import SNIPPET_CHARS  # noqa: E402
+from .operators import qa, search  # noqa: E402
+from .plans.ask import ask_batch  # noqa: E402
+from .session import scratch_path  # noqa: E402
+from .sources import store as store_mod  # noqa: E402
+
+SEARCH_QUERY_VEC = 7      # search_similar: the stored vector used as the query
+
+
+def _vectors(spark, sf_dir):
+    return read_table(spark, sf_dir, "embeddings")
+
+
+def q_retrieve_batch(spark, sf_dir):
+    e = _vectors(spark, sf_dir)
+    hits = search.knn(e, e, qa.ASK_K, corpus_id="vec_id", query_id="vec_id")
+    return hits.select("query_id", "rank", F.col("doc_id").alias("vec_id"), F.round("dist", 5).alias("dist"))
+
+
+def q_search_similar(spark, sf_dir):
+    e = _vectors(spark, sf_dir)
+    q = e.where(F.col("vec_id") == SEARCH_QUERY_VEC)
+    hits = search.knn(e, q, qa.SEARCH_K, corpus_id="vec_id", query_id="vec_id")
+    return (hits.join(e.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id")
+            .select("rank", F.col("doc_id").alias("vec_id"), "label", F.round("dist", 5).alias("dist")))
+
+
+def q_stuff_context(spark, sf_dir):
+    from pyspark.sql import Window
+    c = read_table(spark, sf_dir, "conversations")
+    w = Window.partitionBy("conv_id").orderBy(F.char_length("text").desc(), F.col("turn").asc())
+    ranked = c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= qa.ASK_K)
+    return qa.stuff_context(ranked, ["conv_id"], "rank", "text").select(
+        "conv_id", F.md5("context").alias("context_md5"))
+
+
+def q_build_prompt(spark, sf_dir):
+    c = read_table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.md5(qa.build_prompt(F.col("text"), F.col("role"))).alias("prompt_md5"))
+
+
+def _doc_corpus(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    e = read_table(spark, sf_dir, "embeddings")
+    return d.join(e, d["doc_id"] == e["vec_id"], "left").select(
+        d["doc_id"], F.col("text").alias("page_content"), F.col("source").alias("store_name"),
+        F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source")).alias("metadata"),
+        "embedding")
+
+
+def q_stores_available(spark, sf_dir):
+    return store_mod.available_stores(_doc_corpus(spark, sf_dir))
+
+
+def q_store_roundtrip(spark, sf_dir):
+    base = scratch_path(spark, "store")
+    store_mod.write_store(_doc_corpus(spark, sf_dir), base)
+    back = store_mod.read_store(spark, base)
+    return back.select("store_name", "doc_id", F.md5("page_content").alias("content_md5"),
+                       F.size("embedding").cast("bigint").alias("n_dims"))
+
+
+def _vector_questions(spark, sf_dir):
+    """Every stored vector asked as a question to its own store (question text = its document)."""
+    d = read_table(spark, sf_dir, "documents")
+    e = read_table(spark, sf_dir, "embeddings")
+    return e.join(d, e["vec_id"] == d["doc_id"]).select(
+        F.col("vec_id").alias("question_id"), F.col("text").alias("question"),
+        F.col("source").alias("store_name"), "embedding")
+
+
+def q_ask_batch(spark, sf_dir):
+    res = ask_batch(_vector_questions(spark, sf_dir), _doc_corpus(spark, sf_dir))
+    return res.select(
+        "question_id", "store_name", F.col("n_sources").cast("bigint").alias("n_sources"),
+        F.md5("context").alias("context_md5"), F.md5("prompt").alias("prompt_md5"),
+        F.md5(F.array_join(F.transform("sources", lambda s: s["content"]), "\u0001")).alias("sources_md5"),
+        "chart_type", "error")
+
+
+def q_embed_text(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    model = search.fit_text_embedder(d, "text")
+    out = search.embed_text(model, d.select("doc_id", "text"), "text")
+    return out.select("doc_id", F.size(F.filter("embedding", lambda x: x != 0)).alias("n_terms"))
+
+
+def q_ask_text_batch(spark, sf_dir):
+    """Conversation user turns asked against the documents store, vectors from hashed TF-IDF."""
+    d = read_table(spark, sf_dir, "documents")
+    model = search.fit_text_embedder(d, "text")
+    corpus_docs_ = search.embed_text(model, d.select("doc_id", F.col("text").alias("page_content"),
+                                                     F.lit("documents").alias("store_name")), "page_content")
+    turns = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    qs = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"),
+                      F.col("text").alias("question"), F.lit("documents").alias("store_name"))
+    res = ask_batch(search.embed_text(model, qs, "question"), corpus_docs_)
+    return res.select("question_id", "store_name", "n_sources", F.md5("prompt").alias("prompt_md5"),
+                      "chart_type", "error")
+
+
+QUERIES.update({
+    "retrieve_batch": q_retrieve_batch,
+    "search_similar": q_search_similar,
+    "stuff_context": q_stuff_context,
+    "build_prompt": q_build_prompt,
+    "stores_available": q_stores_available,
+    "store_roundtrip": q_store_roundtrip,
+    "ask_batch": q_ask_batch,
+    "embed_text": q_embed_text,
+    "ask_text_batch": q_ask_text_batch,
+})
+
+
+def _sql_dist(a: str, b: str) -> str:
+    return (f"list_sum(list_transform(list_zip({a}, {b}), "
+            f"lambda s: (s[1]::double - s[2]::double) * (s[1]::double - s[2]::double)))")
+
+
+def _sql_prompt(context: str, question: str) -> str:
+    head, rest = qa.PROMPT_TEMPLATE.split("{context}")
+    mid, tail = rest.split("{question}")
+    return f"({_sql_str(head)} || {context} || {_sql_str(mid)} || {question} || {_sql_str(tail)})"
+
+
+def _sql_snippet(t: str) -> str:
+    return f"(case when length({t}) > {SNIPPET_CHARS} then substring({t}, 1, {SNIPPET_CHARS}) || '...' else {t} end)"
+
+
+ORACLE.update({
+    "retrieve_batch": f"""
+with d as (select q.vec_id query_id, e.vec_id, {_sql_dist('e.embedding', 'q.embedding')} dist from embeddings q, embeddings e),
+     r as (select query_id, vec_id, dist, row_number() over (partition by query_id order by dist, vec_id) rk from d)
+select query_id, cast(rk as bigint) rank, vec_id, round(dist, 5) dist from r where rk <= 3""",
+    "search_similar": f"""
+with q as (select embedding from embeddings where vec_id = {SEARCH_QUERY_VEC}),
+     d as (select e.vec_id, e.label, {_sql_dist('e.embedding', 'q.embedding')} dist from embeddings e, q),
+     r as (select vec_id, label, dist, row_number() over (order by dist, vec_id) rk from d)
+select cast(rk as bigint) rank, vec_id, label, round(dist, 5) dist from r where rk <= 5""",
+    "stuff_context": """
+with r as (select conv_id, turn, text, row_number() over (partition by conv_id order by length(text) desc, turn) rk from conversations)
+select conv_id, md5(string_agg(text, chr(10) || chr(10) order by rk)) context_md5 from r where rk <= 3 group by 1""",
+    "build_prompt": f"select conv_id, turn, md5({_sql_prompt('text', 'role')}) prompt_md5 from conversations",
+    "stores_available": """
+select d.source store_name, count(d.text) n_docs, count(e.embedding) n_vecs
+from documents d left join embeddings e on d.doc_id = e.vec_id group by 1 having count(d.text) > 0 and count(e.embedding) > 0""",
+    "store_roundtrip": """
+select d.source store_name, d.doc_id, md5(d.text) content_md5, len(e.embedding) n_dims
+from documents d left join embeddings e on d.doc_id = e.vec_id""",
+    "ask_batch": f"""
+with corpus as (select d.doc_id, d.text page_content, d.source store_name, e.embedding
+                from documents d join embeddings e on d.doc_id = e.vec_id),
+     q as (select e.vec_id question_id, d.text question, d.source store_name, e.embedding
+           from embeddings e join documents d on d.doc_id = e.vec_id
+           where length(regexp_replace(d.text, '^\\s+|\\s+$', '', 'g')) > 0),
+     dist as (select q.question_id, c.doc_id, c.page_content, {_sql_dist('c.embedding', 'q.embedding')} dist
+              from q join corpus c on q.store_name = c.store_name),
+     r as (select *, row_number() over (partition by question_id order by dist, doc_id) rk from dist),
+     agg as (select question_id, count(*) n_sources,
+                    string_agg(page_content, chr(10) || chr(10) order by rk) context,
+                    md5(string_agg({_sql_snippet('page_content')}, chr(1) order by rk)) sources_md5
+             from r where rk <= 3 group by 1)
+select q.question_id, q.store_name, cast(coalesce(agg.n_sources, 0) as bigint) n_sources, md5(agg.context) context_md5,
+       md5({_sql_prompt('agg.context', 'q.question')}) prompt_md5, agg.sources_md5,
+       {_sql_intent('lower(q.question)')} chart_type, cast(null as varchar) error
+from q left join agg on q.question_id = agg.question_id""",
+})
