@@ -627,3 +627,72 @@ select q.question_id, q.store_name, cast(coalesce(agg.n_sources, 0) as bigint) n
        {_sql_intent('lower(q.question)')} chart_type, cast(null as varchar) error
 from q left join agg on q.question_id = agg.question_id""",
 })
+
+
+# ---------------------------------------------------------------------------------------
+# CSV source, ingest, dispatch
+# ---------------------------------------------------------------------------------------
+from .plans.ingest import ingest_csv  # noqa: E402
+from .sources import csv as csv_src  # noqa: E402
+
+Q_PIE_PAYMENTS = "GRÁFICO CIRCULAR de pagos"
+
+
+def _orders_csv(spark, sf_dir, date_fmt: str, date_name: str) -> str:
+    """orders written by Spark as CSV text (padded labels, dates as text) into scratch."""
+    o = read_table(spark, sf_dir, "orders")
+    path = scratch_path(spark, "csv")
+    (o.orderBy("o_orderkey")
+     .select("o_orderkey", "o_custkey",
+             F.concat(F.lit(" "), "o_orderstatus", F.lit("\t")).alias("o_orderstatus"),
+             "o_totalprice", F.date_format("o_orderdate", date_fmt).alias(date_name), "o_orderpriority")
+     .write.option("header", True).option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+    return path
+
+
+def q_scan_csv(spark, sf_dir):
+    path = _orders_csv(spark, sf_dir, "dd-MM-yyyy", "o_orderdate")
+    return csv_src.load_csv(spark, path).drop(*csv_src.ORDER_KEY)
+
+
+def q_scan_csv_dates(spark, sf_dir):
+    path = _orders_csv(spark, sf_dir, "MM-dd-yyyy", "Date")
+    return csv_src.load_csv_for_charts(spark, path).drop(*csv_src.ORDER_KEY)
+
+
+def q_ingest_job(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events")
+    path = scratch_path(spark, "csv")
+    ev.orderBy("event_id").write.option("header", True).csv(path)
+    stored = ingest_csv(spark, path, "events_data", base=scratch_path(spark, "stores"),
+                        fields=EVENT_FIELDS, date_col="ts", stat_columns=["value"])
+    return stored.select("doc_id", F.col("metadata")["type"].alias("doc_type"),
+                         F.col("metadata")["num_rows"].cast("bigint").alias("num_rows"),
+                         F.size("embedding").cast("bigint").alias("n_dims"))
+
+
+def q_chart_dispatch(spark, sf_dir):
+    return _chart(Q_PIE_PAYMENTS, "orders")(spark, sf_dir)
+
+
+QUERIES.update({
+    "scan_csv": q_scan_csv,
+    "scan_csv_dates": q_scan_csv_dates,
+    "ingest_job": q_ingest_job,
+    "chart_dispatch": q_chart_dispatch,
+})
+
+ORACLE.update({
+    "scan_csv": "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from orders",
+    "scan_csv_dates": """select o_orderkey, o_custkey, ' ' || o_orderstatus || chr(9) o_orderstatus, o_totalprice,
+  o_orderdate "Date", o_orderpriority from orders""",
+    "chart_dispatch": """
+with f as (select o_orderstatus k, count(*) n from orders where o_orderstatus is not null group by 1),
+     r as (select k, n, row_number() over (order by n desc, k) rk from f),
+     head as (select cast(rk as bigint) ord, k label, cast(n as bigint) n, false is_other from r where rk <= 8),
+     rest as (select cast(9 as bigint) ord, 'Otros' label,
+                     cast((select sum(n) from f) - (select coalesce(sum(n), 0) from head) as bigint) n, true is_other),
+     u as (select * from head union all select * from rest where n > 0)
+select ord, label, n, round(cast(100.0 as double) * n / (select sum(n) from f), 1) pct, is_other from u""",
+})

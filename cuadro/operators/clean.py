@@ -64,12 +64,12 @@ class Profile:
 
 
 def profile_table(df: DataFrame, date_formats: list[str] = DAYFIRST_FORMATS,
-                  min_ratio: float | None = None) -> Profile:
+                  min_ratio: float | None = None, strip: bool = True) -> Profile:
     """One aggregate over the table: the counters that drive ``clean_table``."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     exprs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(texts):
-        s = strip_outer(F.col(c))
+        s = strip_outer(F.col(c)) if strip else F.col(c)
         exprs.append(F.count(s).alias(f"n{i}"))
         exprs.append(F.count(guarded_double(s)).alias(f"d{i}"))
         exprs.append(F.count(guarded_long(s)).alias(f"l{i}"))
@@ -96,16 +96,16 @@ def profile_table(df: DataFrame, date_formats: list[str] = DAYFIRST_FORMATS,
 
 
 def clean_table(df: DataFrame, null_label: str | None = None, min_ratio: float | None = None,
-                profile: Profile | None = None) -> DataFrame:
+                profile: Profile | None = None, strip: bool = True) -> DataFrame:
     """Strip, type dates and numbers (see module doc). Column order and names are kept."""
-    prof = profile or profile_table(df, min_ratio=min_ratio)
+    prof = profile or profile_table(df, min_ratio=min_ratio, strip=strip)
     out = []
     for f in df.schema.fields:
         c = F.col(f.name)
         if not isinstance(f.dataType, T.StringType):
             out.append(c)
             continue
-        s = strip_outer(c)
+        s = strip_outer(c) if strip else c
         if f.name in prof.date_format:
             out.append(parse_timestamp(s, prof.date_format[f.name]).alias(f.name))
         elif f.name in prof.numeric:

@@ -139,16 +139,18 @@ def chunk_table(df: DataFrame, order_by: list[str], fields: RowFields | None = N
 
 def corpus_docs(df: DataFrame, order_by: list[str], fields: RowFields | None = None,
                 n: int = CHUNK_ROWS, date_col: str | None = "Date",
-                stat_columns: list[str] | None = None) -> DataFrame:
+                stat_columns: list[str] | None = None, hidden: list[str] | None = None) -> DataFrame:
     """Summary document (doc_id 0) followed by the data chunks (doc_id = chunk_id + 1).
 
     Columns: doc_id, doc_type, chunk_id, start_row, end_row, num_rows, total_rows, columns,
-    page_content.
+    page_content. ``hidden`` columns (e.g. a file-position key) order the rows but are not
+    part of the summary.
     """
     chunks = chunk_table(df, order_by, fields, n)
-    cols = F.array(*[F.lit(c) for c in df.columns])
-    summary = dataset_summary(df, date_col=date_col, stat_columns=stat_columns)
-    total_rows = df.select(F.count(F.lit(1))).scalar()
+    data = df.drop(*(hidden or []))
+    cols = F.array(*[F.lit(c) for c in data.columns])
+    summary = dataset_summary(data, date_col=date_col, stat_columns=stat_columns)
+    total_rows = data.select(F.count(F.lit(1))).scalar()
     head = summary.select(
         F.lit(0).cast("bigint").alias("doc_id"), F.lit(DOC_TYPE_SUMMARY).alias("doc_type"),
         F.lit(None).cast("bigint").alias("chunk_id"), F.lit(None).cast("bigint").alias("start_row"),
