@@ -16,6 +16,7 @@ the types are known.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -41,9 +42,36 @@ INFERRED_FORMATS = ["yyyy-M-d", "yyyy-M-d H:m:s[.SSSSSS]", "yyyy-M-d'T'H:m:s[.SS
 # ---------------------------------------------------------------------------------------
 
 
+def format_shape(fmt: str) -> str:
+    """Anchored regex of the text layout a datetime pattern accepts (digits and separators).
+
+    Parsing is only attempted on text of the right shape: a failed parse costs as much as a
+    successful one, and most values fail most formats.
+    """
+    out, i = [], 0
+    while i < len(fmt):
+        if fmt.startswith("yyyy", i):
+            out.append(r"\d{4}")
+            i += 4
+        elif fmt.startswith("[.SSSSSS]", i):
+            out.append(r"(\.\d{1,6})?")
+            i += len("[.SSSSSS]")
+        elif fmt[i] in "dMHms":
+            out.append(r"\d{1,2}")
+            i += 1
+        elif fmt[i] == "'":
+            j = fmt.index("'", i + 1)
+            out.append(re.escape(fmt[i + 1:j]))
+            i = j + 1
+        else:
+            out.append(re.escape(fmt[i]))
+            i += 1
+    return "^" + "".join(out) + "$"
+
+
 def parse_timestamp(c: Column, fmt: str) -> Column:
     """Text → TIMESTAMP_NTZ with one format; NULL when it does not parse."""
-    return F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
+    return F.when(c.rlike(format_shape(fmt)), F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz"))
 
 
 def parse_timestamp_any(c: Column, formats: list[str]) -> Column:
