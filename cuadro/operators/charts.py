@@ -3,8 +3,8 @@
 Every operator is one declarative plan: a partial/final hash aggregate on the key, and a
 ``TakeOrderedAndProject`` for the top-k, so no task ever holds more than one partition's
 groups plus k rows. Grand totals that steer a result (zero guard, shares, histogram range)
-are scalar subqueries over the same aggregate, computed once by Spark and inlined as a
-literal; nothing is collected by this code.
+are scalar subqueries over the rows (one-row partial aggregates per task), computed once by
+Spark and inlined as a literal; nothing is collected by this code.
 
 Sums of money-like values go through ``DECIMAL(18,2)`` so a total does not depend on the
 order in which partitions are added (floating point sums do).
@@ -12,7 +12,7 @@ order in which partitions are added (floating point sums do).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rowindex import with_row_index
@@ -50,12 +50,15 @@ def bar_counts(df: DataFrame, key: str, n: int | None = BAR_LIMIT) -> DataFrame:
 def bar_sums(df: DataFrame, key: str, value: str, n: int | None = BAR_LIMIT,
              zero_guard: bool = True) -> DataFrame:
     """Group sums, largest first. With ``zero_guard`` the counts are used instead whenever
-    the grand total of the group sums (over all groups, before the limit) is not > 0."""
-    g = (df.where(F.col(key).isNotNull())
-         .groupBy(key)
-         .agg(exact_sum(value).alias("_s"), F.count(F.lit(1)).alias("_n")))
+    the grand total of the group sums (over all groups, before the limit) is not > 0.
+
+    The grand total equals the sum over all rows with a key, so it is taken straight from
+    the rows (a one-row partial aggregate per task) instead of re-aggregating the groups.
+    """
+    base = df.where(F.col(key).isNotNull())
+    g = base.groupBy(key).agg(exact_sum(value).alias("_s"), F.count(F.lit(1)).alias("_n"))
     if zero_guard:
-        total = g.select(F.sum("_s")).scalar()
+        total = base.select(F.sum(F.col(value).cast(SUM_IN))).scalar()
         v = F.when(total > 0, F.col("_s")).otherwise(F.col("_n").cast(SUM_OUT))
     else:
         v = F.col("_s")
@@ -67,30 +70,33 @@ def pie_shares(df: DataFrame, key: str, n: int = PIE_SLICES,
     """Top ``n`` frequencies plus one remainder row, with percent shares (1 decimal).
 
     Columns: ord, label, n, pct, is_other. A real category that happens to be called like
-    the remainder label stays a separate row (``is_other`` tells them apart). The top-n is a
-    TakeOrderedAndProject and the total a scalar subquery, so a key with millions of
-    distinct values never meets an unpartitioned window.
+    the remainder label stays a separate row (``is_other`` tells them apart).
+
+    Plan: one frequency aggregate → TakeOrderedAndProject(n) → a single-row aggregate of
+    those n rows → ``explode`` into the n slices plus the remainder. The total is a scalar
+    subquery over the rows (a one-row partial count per task), so a key with millions of
+    distinct values never meets an unpartitioned window and the aggregate runs once.
     """
-    freq = (df.where(F.col(key).isNotNull())
-            .groupBy(key).agg(F.count(F.lit(1)).alias("n")))
-    total = freq.select(F.sum("n")).scalar()
+    base = df.where(F.col(key).isNotNull())
+    freq = base.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = base.select(F.count(F.lit(1))).scalar()
     top = freq.orderBy(F.col("n").desc(), F.col(key).asc()).limit(n)
-    # window over at most n rows
-    w = Window.orderBy(F.col("n").desc(), F.col(key).asc())
-    head = top.select(
-        F.row_number().over(w).cast("bigint").alias("ord"),
-        F.col(key).cast("string").alias("label"),
-        F.col("n").cast("bigint").alias("n"),
-        F.lit(False).alias("is_other"))
-    rest = (top.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_top"))
-            .select(F.lit(n + 1).cast("bigint").alias("ord"),
-                    F.lit(other_label).alias("label"),
-                    (total - F.col("_top")).cast("bigint").alias("n"),
-                    F.lit(True).alias("is_other"))
-            .where(F.col("n") > 0))
-    both = head.unionByName(rest)
-    return both.withColumn("pct", F.round(F.lit(100.0) * F.col("n") / total, 1)) \
-               .select("ord", "label", "n", "pct", "is_other")
+    one = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("neg"),
+                                                        F.col(key).cast("string").alias("k")))).alias("items"),
+                  F.coalesce(F.sum("n"), F.lit(0)).alias("top_n"))
+    slices = F.transform("items", lambda x, i: F.struct(
+        (i + 1).cast("bigint").alias("ord"), x["k"].alias("label"), (-x["neg"]).cast("bigint").alias("n"),
+        F.lit(False).alias("is_other")))
+    rest_n = (total - F.col("top_n")).cast("bigint")
+    rest = F.when(rest_n > 0, F.array(F.struct(F.lit(n + 1).cast("bigint").alias("ord"), F.lit(other_label).alias("label"),
+                                               rest_n.alias("n"), F.lit(True).alias("is_other"))))
+    rows = one.select(F.explode(F.concat(slices, F.coalesce(rest, F.array().cast(slices_type())))).alias("r"))
+    return rows.select("r.ord", "r.label", "r.n",
+                       F.round(F.lit(100.0) * F.col("r.n") / total, 1).alias("pct"), "r.is_other")
+
+
+def slices_type() -> str:
+    return "array<struct<ord:bigint,label:string,n:bigint,is_other:boolean>>"
 
 
 def time_series(df: DataFrame, date_col: str, value_col: str) -> DataFrame:

@@ -62,28 +62,31 @@ def with_row_index(df: DataFrame, order_by: list[str], name: str = "row_idx",
     n = df.count()
     k = max(1, math.ceil(n / rows_per_bucket))
     dtype = df.schema[lead].dataType
+    order = [F.col(c).asc_nulls_first() for c in order_by]
     if k == 1:
-        with_b = df.withColumn(_BUCKET, F.lit(0.0))
+        # small input (at most rows_per_bucket rows): one sorted task is the cheapest plan
+        w1 = Window.orderBy(*order)
+        return df.withColumn(name, (F.row_number().over(w1) - 1).cast("bigint"))
+    key = _numeric_key(F.col(lead), dtype)
+    if key is not None:
+        probs = [i / k for i in range(1, k)]
+        accuracy = min(max(10_000, 20 * k), 1_000_000)
+        qs = df.select(F.percentile_approx(key, probs, accuracy).alias("q")).first()["q"] or []
+        splits = [-math.inf] + sorted({float(q) for q in qs if q is not None}) + [math.inf]
+        keyed = df.withColumn(_KEYNUM, F.coalesce(key, F.lit(-math.inf)))
+        with_b = Bucketizer(splits=splits, inputCol=_KEYNUM, outputCol=_BUCKET) \
+            .transform(keyed).drop(_KEYNUM)
     else:
-        key = _numeric_key(F.col(lead), dtype)
-        if key is not None:
-            probs = [i / k for i in range(1, k)]
-            qs = df.select(F.percentile_approx(key, probs, 10_000).alias("q")).first()["q"] or []
-            splits = [-math.inf] + sorted({float(q) for q in qs if q is not None}) + [math.inf]
-            keyed = df.withColumn(_KEYNUM, F.coalesce(key, F.lit(-math.inf)))
-            with_b = Bucketizer(splits=splits, inputCol=_KEYNUM, outputCol=_BUCKET) \
-                .transform(keyed).drop(_KEYNUM)
-        else:
-            bounds = _string_boundaries(df, lead, k, n)
-            arr = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<string>")
-            lead_c = F.col(lead)
-            pos = F.size(F.filter(arr, lambda b: b <= lead_c)).cast("double")
-            with_b = df.withColumn(_BUCKET, F.when(lead_c.isNull(), F.lit(0.0)).otherwise(pos))
+        bounds = _string_boundaries(df, lead, k, n)
+        arr = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<string>")
+        lead_c = F.col(lead)
+        pos = F.size(F.filter(arr, lambda b: b <= lead_c)).cast("double")
+        with_b = df.withColumn(_BUCKET, F.when(lead_c.isNull(), F.lit(0.0)).otherwise(pos))
     counts = with_b.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("__n"))
     # running offsets over the (at most k) bucket rows
     w_off = Window.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(_BUCKET, F.coalesce(F.sum("__n").over(w_off), F.lit(0)).alias("__off"))
     joined = with_b.join(F.broadcast(offsets), _BUCKET)
-    w = Window.partitionBy(_BUCKET).orderBy(*[F.col(c).asc_nulls_first() for c in order_by])
+    w = Window.partitionBy(_BUCKET).orderBy(*order)
     return (joined.withColumn(name, (F.col("__off") + F.row_number().over(w) - 1).cast("bigint"))
             .drop(_BUCKET, "__off"))

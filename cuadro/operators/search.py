@@ -38,7 +38,7 @@ _CAND_EXTRA = 8                    # extra candidates kept beyond k before exact
 _CHUNK_CELLS = 4_000_000           # distance cells scored at once
 
 _OUT = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("doc_id", T.LongType()),
-                     T.StructField("dist", T.DoubleType())])
+                     T.StructField("dist", T.DoubleType()), T.StructField("_g", T.StringType())])
 
 
 def _exact(C: np.ndarray, Q: np.ndarray) -> np.ndarray:
@@ -109,10 +109,11 @@ class TopK:
                                           np.broadcast_to(ids, full.shape), k)
         self.D, self.I = D, I
 
-    def rows(self) -> pd.DataFrame:
+    def rows(self, group: str = "") -> pd.DataFrame:
         q = np.repeat(self.q_ids, self.D.shape[1])
         return pd.DataFrame({"query_id": q.astype(np.int64), "doc_id": self.I.reshape(-1).astype(np.int64),
-                             "dist": self.D.reshape(-1)})
+                             "dist": self.D.reshape(-1).astype(np.float64),
+                             "_g": np.full(len(q), str(group), dtype=object)})
 
 
 def _matrix(series: pd.Series) -> np.ndarray:
@@ -121,33 +122,50 @@ def _matrix(series: pd.Series) -> np.ndarray:
     return np.stack(series.to_numpy()).astype(np.float64, copy=False)
 
 
-def _finish(cands: DataFrame, k: int) -> DataFrame:
+def _finish(cands: DataFrame, k: int, group_col: str | None) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy("dist", "doc_id")
-    return (cands.withColumn("rank", F.row_number().over(w).cast("bigint"))
-            .where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "dist"))
+    out = (cands.withColumn("rank", F.row_number().over(w).cast("bigint"))
+           .where(F.col("rank") <= k))
+    cols = ["query_id", "rank", "doc_id", "dist"]
+    if group_col:
+        return out.select(*cols, F.col("_g").alias("group"))
+    return out.select(*cols)
+
+
+def broadcastable(n_rows: int, dim: int, broadcast_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a question matrix of this size takes the broadcast plan."""
+    return n_rows * max(dim, 1) * 8 <= broadcast_bytes
 
 
 def knn(corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str = "doc_id",
         corpus_vec: str = "embedding", query_id: str = "query_id", query_vec: str = "embedding",
         group_col: str | None = None, broadcast_bytes: int = BROADCAST_BYTES,
-        corpus_block_rows: int = CORPUS_BLOCK_ROWS) -> DataFrame:
-    """k nearest corpus rows for every query row: (query_id, rank, doc_id, dist)."""
+        corpus_block_rows: int = CORPUS_BLOCK_ROWS,
+        query_stats: tuple[int, int] | None = None) -> DataFrame:
+    """k nearest corpus rows for every query row: (query_id, rank, doc_id, dist[, group]).
+
+    With ``group_col`` the output also carries the group (as text), since document ids
+    only need to be unique inside a group. ``query_stats`` = (question rows, vector size)
+    when the caller already knows them (saves one pass over the questions).
+    """
     gsel = [F.col(group_col).cast("string").alias("_g")] if group_col else [F.lit("").alias("_g")]
     qdf = (queries.where(F.col(query_vec).isNotNull())
            .select(F.col(query_id).cast("long").alias("qid"), F.col(query_vec).alias("qv"), *gsel))
     cdf = (corpus.where(F.col(corpus_vec).isNotNull())
            .select(F.col(corpus_id).cast("long").alias("cid"), F.col(corpus_vec).alias("cv"), *gsel))
-    stats = qdf.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qv")).alias("d")).first()
-    n_q, dim = stats["n"], stats["d"] or 0
+    if query_stats is None:
+        stats = qdf.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qv")).alias("d")).first()
+        query_stats = (stats["n"], stats["d"] or 0)
+    n_q, dim = query_stats
     if n_q == 0:
-        return _finish(corpus.sparkSession.createDataFrame([], _OUT), k)
+        return _finish(corpus.sparkSession.createDataFrame([], _OUT), k, group_col)
     q_bytes = n_q * max(dim, 1) * 8
-    if q_bytes <= broadcast_bytes:
-        return _finish(_broadcast_plan(cdf, qdf, k), k)
+    if broadcastable(n_q, dim, broadcast_bytes):
+        return _finish(_broadcast_plan(cdf, qdf, k), k, group_col)
     n_c = cdf.count()
     qb = math.ceil(q_bytes / broadcast_bytes)
     cb = max(1, math.ceil(n_c / corpus_block_rows))
-    return _finish(_blocked_plan(cdf, qdf, k, qb, cb), k)
+    return _finish(_blocked_plan(cdf, qdf, k, qb, cb), k, group_col)
 
 
 def _broadcast_plan(cdf: DataFrame, qdf: DataFrame, k: int) -> DataFrame:
@@ -168,8 +186,8 @@ def _broadcast_plan(cdf: DataFrame, qdf: DataFrame, k: int) -> DataFrame:
                 if g not in acc:
                     acc[g] = TopK(qs[g][0], qs[g][1], k)
                 acc[g].add(sub["cid"].to_numpy(np.int64), _matrix(sub["cv"]))
-        for t in acc.values():
-            yield t.rows()
+        for g, t in acc.items():
+            yield t.rows(g)
 
     return cdf.mapInPandas(score, _OUT)
 
@@ -189,8 +207,11 @@ def _blocked_plan(cdf: DataFrame, qdf: DataFrame, k: int, qb: int, cb: int) -> D
                 continue
             t = TopK(qs["qid"].to_numpy(np.int64), _matrix(qs["qv"]), k)
             t.add(cs["cid"].to_numpy(np.int64), _matrix(cs["cv"]))
-            out.append(t.rows())
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "doc_id": [], "dist": []})
+            out.append(t.rows(g))
+        if not out:
+            return pd.DataFrame({"query_id": np.empty(0, np.int64), "doc_id": np.empty(0, np.int64),
+                                 "dist": np.empty(0, np.float64), "_g": np.empty(0, dtype=object)})
+        return pd.concat(out, ignore_index=True)
 
     keys = ["_g", "_qb", "_cb"]
     return c_rep.groupBy(*keys).cogroup(q_rep.groupBy(*keys)).applyInPandas(score, _OUT)

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions.intent import chart_intent
 from ..functions.text import strip_outer
-from ..operators.qa import ASK_K, ERROR_ANSWER, build_prompt, sources_column, stuff_context
-from ..operators.search import knn
+from ..session import checkpoint_dir
+from ..operators.qa import ASK_K, CONTEXT_SEPARATOR, ERROR_ANSWER, build_prompt, sources_column
+from ..operators.search import BROADCAST_BYTES, knn
 from ..sources.store import available_stores
 
 
@@ -34,20 +35,33 @@ def ask_batch(questions: DataFrame, corpus: DataFrame, k: int = ASK_K,
     Output: question_id, question, store_name, answer, context, prompt, sources, n_sources,
     chart_type, error, model_used.
     """
+    checkpoint_dir(questions.sparkSession)      # make sure one is set (tests: a local folder)
     qs = questions.where(F.length(strip_outer(F.col(question))) > 0)
+    # one row per store: small, and AQE broadcasts it once its size is measured
     stores = available_stores(corpus).select(F.col("store_name").alias("_known"))
-    flagged = qs.join(stores, qs[store_col] == stores["_known"], "left")
+    # the flagged batch is read by several actions (size check, question matrix, final
+    # join): write it once to the shared checkpoint folder instead of recomputing the store
+    # check over the corpus each time; this also cuts its lineage
+    flagged = qs.join(stores, qs[store_col] == stores["_known"], "left").checkpoint(eager=True)
     known = flagged.where(F.col("_known").isNotNull())
+    stats = known.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
     docs = corpus.where(F.col(vec_col).isNotNull())
     kw = {} if broadcast_bytes is None else {"broadcast_bytes": broadcast_bytes}
     hits = knn(docs, known, k, corpus_id="doc_id", corpus_vec=vec_col, query_id=question_id,
-               query_vec=vec_col, group_col=store_col, **kw)
+               query_vec=vec_col, group_col=store_col, query_stats=(stats["n"], stats["d"] or 0), **kw)
+    # the hits are k rows per question; when the questions were small enough to broadcast,
+    # so are their hits, and the corpus is probed in place instead of being shuffled
+    if stats["n"] * k * 64 <= (broadcast_bytes or BROADCAST_BYTES):
+        hits = F.broadcast(hits)
     meta = metadata if metadata is not None else F.struct(F.col("doc_id"), F.col("store_name"))
-    hit_docs = hits.join(docs.select("doc_id", "page_content", meta.alias("_meta")), "doc_id")
-    ctx = stuff_context(hit_docs, ["query_id"], "rank", "page_content")
-    src = hit_docs.groupBy("query_id").agg(sources_column("rank", "page_content", F.col("_meta")).alias("sources"),
-                                           F.count(F.lit(1)).alias("n_sources"))
-    per_q = ctx.join(src, "query_id")
+    hit_docs = docs.select("doc_id", F.col("store_name").cast("string").alias("group"), "page_content",
+                           meta.alias("_meta")).join(hits, ["doc_id", "group"])
+    # context, sources and their count in a single aggregate over <= k rows per question
+    per_q = hit_docs.groupBy("query_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "page_content"))),
+                                 lambda x: x["page_content"]), CONTEXT_SEPARATOR).alias("context"),
+        sources_column("rank", "page_content", F.col("_meta")).alias("sources"),
+        F.count(F.lit(1)).alias("n_sources"))
     out = flagged.join(per_q, flagged[question_id] == per_q["query_id"], "left")
     is_known = F.col("_known").isNotNull()
     return out.select(
@@ -55,7 +69,7 @@ def ask_batch(questions: DataFrame, corpus: DataFrame, k: int = ASK_K,
         F.when(~is_known, F.lit(ERROR_ANSWER)).alias("answer"),
         F.col("context"),
         F.when(is_known, build_prompt(F.col("context"), F.col(question))).alias("prompt"),
-        F.coalesce(F.col("sources"), F.array().cast(src.schema["sources"].dataType)).alias("sources"),
+        F.coalesce(F.col("sources"), F.array().cast(per_q.schema["sources"].dataType)).alias("sources"),
         F.coalesce(F.col("n_sources"), F.lit(0)).alias("n_sources"),
         chart_intent(F.col(question)).alias("chart_type"),
         F.when(~is_known, F.concat(F.lit("Vector store '"), F.col(store_col), F.lit("' no encontrado")))
