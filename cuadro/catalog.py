@@ -234,6 +234,10 @@ def q_corpus_docs(spark, sf_dir):
                               date_col="ts", stat_columns=["value"])
 
 
+def q_corpus_counts(spark, sf_dir):
+    return corpus.corpus_counts(q_corpus_docs(spark, sf_dir))
+
+
 def _li_part(spark, sf_dir):
     return read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "part")
 
@@ -308,6 +312,7 @@ QUERIES.update({
     "render_rows": q_render_rows,
     "chunk_rows": q_chunk_rows,
     "corpus_docs": q_corpus_docs,
+    "corpus_counts": q_corpus_counts,
     "top_products": q_top_products,
     "top_n": q_top_n,
     "best_seller": q_best_seller,
@@ -433,6 +438,9 @@ select cast(0 as bigint) doc_id, 'dataset_summary' doc_type, cast(null as bigint
   {'[' + ', '.join(_sql_str(c) for c in EVENTS_COLUMNS) + ']'} as columns, summary page_content from ev_summary
 union all
 select chunk_id + 1, 'data_chunk', chunk_id, start_row, end_row, num_rows, cast(null as bigint), cast(null as varchar[]), page_content from ch""",
+    "corpus_counts": "select 'dataset_summary' doc_type, cast(1 as bigint) n_docs union all "
+                     "select 'data_chunk', count(distinct floor(i / 50)) from "
+                     "(select row_number() over (order by event_id) - 1 i from events)",
     "top_products": f"""select p_name, {_sql_dec_sum('l_quantity')} as value from lineitem join part on l_partkey = p_partkey
 where p_name is not null group by 1 order by value desc, p_name limit 10""",
     "top_n": f"""select p_name, {_sql_dec_sum('l_quantity')} as value from lineitem join part on l_partkey = p_partkey

@@ -169,3 +169,8 @@ def doc_metadata(docs: DataFrame) -> Column:
     """The metadata struct of a corpus document."""
     return F.struct(F.col("doc_type").alias("type"), "chunk_id", "start_row", "end_row",
                     "num_rows", "total_rows", "columns")
+
+
+def corpus_counts(docs: DataFrame) -> DataFrame:
+    """Documents per type (the ingest log line: n chunks + 1 summary)."""
+    return docs.groupBy("doc_type").agg(F.count(F.lit(1)).alias("n_docs"))

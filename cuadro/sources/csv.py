@@ -56,9 +56,11 @@ def scan_csv(spark: SparkSession, path: str | list[str], schema: T.StructType |
                            F.col("_metadata.file_block_start").alias("_block"),
                            F.monotonically_increasing_id().alias("_pos"))
     files = with_meta.select("_file").distinct()
-    # one row per input file: the window spans the file list only
+    # one row per input file: the window spans the file list only. The join is left to AQE:
+    # broadcast when the measured file list is small, else a sort-merge join whose skewed
+    # partitions (one very large file) AQE splits.
     ranks = files.select("_file", (F.row_number().over(Window.orderBy("_file")) - 1).alias("_frank"))
-    keyed = with_meta.join(F.broadcast(ranks), "_file")
+    keyed = with_meta.join(ranks, "_file")
     split = (F.col("_frank").cast("bigint") * F.lit(_BLOCK_BITS) + F.col("_block")).alias("_split")
     return keyed.select(*[F.col(f"`{c}`") for c in data_cols], split, "_pos")
 

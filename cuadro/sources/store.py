@@ -29,11 +29,12 @@ def default_store_base(spark: SparkSession) -> str:
 def write_store(docs: DataFrame, base: str) -> None:
     """Write (or replace) the stores present in ``docs`` under ``base``.
 
-    ``docs`` needs the columns of ``STORE_SCHEMA``; rows are clustered by store so each
-    store's folder gets few files.
+    ``docs`` needs the columns of ``STORE_SCHEMA``. Rows are clustered by store with a
+    REBALANCE hint, so each store's folder gets few files, while AQE still splits a store
+    holding a large share of the rows over several tasks instead of one.
     """
     cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in STORE_SCHEMA.fields]
-    (docs.select(*cols).repartition("store_name")
+    (docs.select(*cols).hint("rebalance", "store_name")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("store_name").parquet(base))
 
