@@ -5,8 +5,9 @@ Instead:
 
 1. quantile boundaries of the leading order column (one ``percentile_approx`` action; the
    result is a handful of literals, so the plan is deterministic if a task is re-run);
-2. bucket = position of the key among the boundaries (binary search in the JVM, via
-   ``Bucketizer``); equal keys share a bucket, and buckets are range-ordered;
+2. bucket = position of the key among the boundaries (binary search in the JVM: ``Bucketizer``
+   for numeric and temporal keys, a balanced CASE tree for text keys); equal keys share a
+   bucket, and buckets are range-ordered;
 3. per-bucket counts and their running offsets (a window over the k bucket rows only,
    broadcast back; k is chosen here, so its size is bounded);
 4. ``row_number()`` inside each bucket by the full key, plus the bucket's offset.
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROWS_PER_BUCKET = 2_000_000
+MAX_TEXT_BUCKETS = 4096
 _BUCKET = "__bucket"
 _KEYNUM = "__key_num"
 
@@ -42,18 +44,33 @@ def _numeric_key(c: Column, dtype: T.DataType) -> Column | None:
 
 
 def _string_boundaries(df: DataFrame, lead: str, k: int, n: int) -> list[str]:
-    """k-1 boundaries of a text key from a sorted sample (kept in Spark, k values collected)."""
-    frac = min(1.0, (200.0 * k) / max(n, 1))
+    """k-1 boundaries of a text key from a sample.
+
+    The sample is sorted by a distributed (range-partitioned) sort; ``monotonically_increasing_id``
+    after that sort increases with the key across partitions, so its quantiles (numeric,
+    ``percentile_approx``) point at evenly spaced sample values. Only those k values reach the
+    driver.
+    """
+    frac = min(1.0, (20.0 * k) / max(n, 1))
     sample = df.select(lead).where(F.col(lead).isNotNull()).sample(False, frac, seed=17)
-    ranked = sample.withColumn("__r", F.row_number().over(Window.orderBy(lead)))
-    m = sample.count()
-    if m == 0:
+    ordered = sample.orderBy(lead).withColumn("__m", F.monotonically_increasing_id())
+    probs = [i / k for i in range(1, k)]
+    qs = ordered.select(F.percentile_approx("__m", probs, min(max(10_000, 20 * k), 1_000_000))).first()[0]
+    if not qs:
         return []
-    step = max(1, m // k)
-    picks = ranked.where((F.col("__r") % step == 0) & (F.col("__r") < m)).select(lead)
+    picks = ordered.where(F.col("__m").isin(sorted(set(qs)))).select(lead)
     return sorted({r[0] for r in picks.collect()})
 
 
+def _position(key: Column, bounds: list, lo: int, hi: int) -> Column:
+    """Number of ``bounds`` <= key, as a balanced CASE tree (binary search, log2 k tests)."""
+    if lo == hi:
+        return F.lit(float(lo))
+    mid = (lo + hi) // 2
+    return F.when(key < F.lit(bounds[mid]), _position(key, bounds, lo, mid)) \
+        .otherwise(_position(key, bounds, mid + 1, hi))
+
+
 def with_row_index(df: DataFrame, order_by: list[str], name: str = "row_idx",
                    rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add ``name`` = 0-based dense position of each row in ``order_by`` order (ascending,
@@ -77,10 +94,12 @@ def with_row_index(df: DataFrame, order_by: list[str], name: str = "row_idx",
         with_b = Bucketizer(splits=splits, inputCol=_KEYNUM, outputCol=_BUCKET) \
             .transform(keyed).drop(_KEYNUM)
     else:
+        # text keys: the bucket lookup is a CASE tree, so the number of buckets is kept to a
+        # plan-friendly size (the result stays exact; only bucket sizes grow)
+        k = min(k, MAX_TEXT_BUCKETS)
         bounds = _string_boundaries(df, lead, k, n)
-        arr = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<string>")
         lead_c = F.col(lead)
-        pos = F.size(F.filter(arr, lambda b: b <= lead_c)).cast("double")
+        pos = _position(lead_c, bounds, 0, len(bounds))
         with_b = df.withColumn(_BUCKET, F.when(lead_c.isNull(), F.lit(0.0)).otherwise(pos))
     counts = with_b.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("__n"))
     # running offsets over the (at most k) bucket rows

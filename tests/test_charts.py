@@ -65,3 +65,17 @@ def test_dispatch_and_errors(spark):
     spec, data = answer_chart(df, "Muestra la evolución por mes", order_by=["product"])
     assert spec.mode == "index" and [r["row_idx"] for r in data.collect()] == [0, 1]
     assert spec.file_name.startswith("line_chart_") and spec.file_name.endswith(".png")
+
+
+def test_chart_labels(spark):
+    df = spark.createDataFrame([("a", "x", 1.0, 2.0)], "product string, tipo string, price double, quantity double")
+    spec, _ = answer_chart(df, "Haz un gráfico de barras")
+    assert (spec.title, spec.xlabel, spec.ylabel) == ("Distribución por product", "product", "Total quantity")
+    spec, _ = answer_chart(df, "GRÁFICO CIRCULAR de pagos")
+    assert spec.title == "Distribución por tipo"
+    spec, _ = answer_chart(df, "muestra precio vs. cantidad")
+    assert spec.title == "Relación entre price y quantity"
+    ts = spark.createDataFrame([("2022-11-07", 1.0)], "fecha string, ventas double")
+    spec, data = answer_chart(ts, "Muestra la tendencia de ventas por mes")
+    assert spec.title == "Evolución de ventas en el Tiempo" and spec.xlabel == "fecha"
+    assert data.first()["fecha"].year == 2022

@@ -71,3 +71,10 @@ def test_text_embedder(spark):
     model = search.fit_text_embedder(d, "text", num_features=64)
     out = search.embed_text(model, d, "text").select("embedding").first()[0]
     assert len(out) == 64 and abs(sum(x * x for x in out) - 1.0) < 1e-4
+
+
+def test_empty_question_set_gives_empty_result(spark):
+    e = read_table(spark, SF_SMALL, "embeddings")
+    none = e.where(e["vec_id"] < 0)
+    out = search.knn(e, none, 5, corpus_id="vec_id", query_id="vec_id")
+    assert out.count() == 0 and out.columns == ["query_id", "rank", "doc_id", "dist"]
