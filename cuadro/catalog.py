@@ -556,11 +556,19 @@ def q_embed_text(spark, sf_dir):
 
 
 def q_ask_text_batch(spark, sf_dir):
-    """Conversation user turns asked against the documents store, vectors from hashed TF-IDF."""
+    """Conversation user turns asked against the documents store, vectors from hashed TF-IDF.
+
+    As in the reference flow, the store is indexed once (written to the shared folder) and
+    the questions are answered from it.
+    """
     d = read_table(spark, sf_dir, "documents")
     model = search.fit_text_embedder(d, "text")
-    corpus_docs_ = search.embed_text(model, d.select("doc_id", F.col("text").alias("page_content"),
-                                                     F.lit("documents").alias("store_name")), "page_content")
+    docs = d.select("doc_id", F.col("text").alias("page_content"),
+                    F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"),
+                    F.lit("documents").alias("store_name"))
+    base = scratch_path(spark, "stores")
+    store_mod.write_store(search.embed_text(model, docs, "page_content"), base)
+    corpus_docs_ = store_mod.read_store(spark, base, "documents")
     turns = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
     qs = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"),
                       F.col("text").alias("question"), F.lit("documents").alias("store_name"))

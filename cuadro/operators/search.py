@@ -36,6 +36,7 @@ BROADCAST_BYTES = 64 << 20        # question matrix size that is broadcast
 CORPUS_BLOCK_ROWS = 200_000        # documents per block in the blocked plan
 _CAND_EXTRA = 8                    # extra candidates kept beyond k before exact re-scoring
 _CHUNK_CELLS = 4_000_000           # distance cells scored at once
+_U = np.finfo(np.float64).eps / 2  # unit roundoff
 
 _OUT = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("doc_id", T.LongType()),
                      T.StructField("dist", T.DoubleType()), T.StructField("_g", T.StringType())])
@@ -95,7 +96,11 @@ class TopK:
         ex = np.einsum("kqd,kqd->kq", diff, diff)                       # (kk, q)
         cid = ids[cand]
         kth = np.sort(ex, axis=0)[min(k, kk) - 1]
-        eps = 1e-9 * (c2.max() + self.q2) + 1e-12
+        # rigorous float64 error bound of |c|²+|q|²−2c·q against Σ(c−q)² (both computed):
+        # (d+4)·u·(|c|+|q|)², doubled for the rounding of the exact form itself
+        d = Cc.shape[1]
+        cmax = np.sqrt(c2.max())
+        eps = 2.0 * (d + 4) * _U * (cmax + np.sqrt(self.q2)) ** 2 + 1e-300
         unsafe = nxt - eps <= kth
         D = np.empty((len(self.q_ids), k))
         I = np.empty((len(self.q_ids), k), dtype=np.int64)
@@ -103,10 +108,24 @@ class TopK:
         if safe.any():
             D[safe], I[safe] = _merge(self.D[safe], self.I[safe], ex.T[safe], cid.T[safe], k)
         if unsafe.any():
-            # near-ties at the candidate border: score the whole chunk exactly for these
-            full = _exact(Cc, self.Q[unsafe]).T
-            D[unsafe], I[unsafe] = _merge(self.D[unsafe], self.I[unsafe], full,
-                                          np.broadcast_to(ids, full.shape), k)
+            # near-ties at the candidate border: re-score exactly every row of the chunk whose
+            # fast distance falls inside the ambiguous band, for these questions only
+            uq = np.nonzero(unsafe)[0]
+            band = approx[:, uq] <= (kth[uq] + eps[uq])[None, :]
+            rr, cc = np.nonzero(band)
+            diff = Cc[rr] - self.Q[uq[cc]]
+            bd = np.einsum("bd,bd->b", diff, diff)
+            prev_q = np.repeat(np.arange(len(uq)), self.D.shape[1])
+            allq = np.concatenate([prev_q, cc])
+            alld = np.concatenate([self.D[uq].reshape(-1), bd])
+            alli = np.concatenate([self.I[uq].reshape(-1), ids[rr]])
+            order = np.lexsort((alli, alld, allq))
+            allq, alld, alli = allq[order], alld[order], alli[order]
+            starts = np.searchsorted(allq, np.arange(len(uq)))
+            pos = np.arange(len(allq)) - starts[allq]
+            keep = pos < k
+            D[uq[allq[keep]], pos[keep]] = alld[keep]
+            I[uq[allq[keep]], pos[keep]] = alli[keep]
         self.D, self.I = D, I
 
     def rows(self, group: str = "") -> pd.DataFrame:

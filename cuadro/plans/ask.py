@@ -54,8 +54,10 @@ def ask_batch(questions: DataFrame, corpus: DataFrame, k: int = ASK_K,
     if stats["n"] * k * 64 <= (broadcast_bytes or BROADCAST_BYTES):
         hits = F.broadcast(hits)
     meta = metadata if metadata is not None else F.struct(F.col("doc_id"), F.col("store_name"))
-    hit_docs = docs.select("doc_id", F.col("store_name").cast("string").alias("group"), "page_content",
-                           meta.alias("_meta")).join(hits, ["doc_id", "group"])
+    # texts are fetched from the corpus without its vector column, so the vectors are not
+    # read (or recomputed) a second time; only documents with a vector can be hits anyway
+    hit_docs = corpus.select("doc_id", F.col("store_name").cast("string").alias("group"), "page_content",
+                             meta.alias("_meta")).join(hits, ["doc_id", "group"])
     # context, sources and their count in a single aggregate over <= k rows per question
     per_q = hit_docs.groupBy("query_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "page_content"))),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.corpus import CHUNK_ROWS, RowFields, corpus_docs
 from ..operators.search import embed_text, fit_text_embedder
 from ..sources.csv import ORDER_KEY, load_csv
+from ..session import scratch_path
 from ..sources.store import default_store_base, read_store, write_store
 
 META_KEYS = ["type", "chunk_id", "start_row", "end_row", "num_rows", "total_rows", "columns"]
@@ -39,9 +40,16 @@ def index_table(df: DataFrame, store_name: str, order_by: list[str], fields: Row
 def ingest_csv(spark: SparkSession, path: str | list[str], store_name: str, base: str | None = None,
                fields: RowFields | None = None, n: int = CHUNK_ROWS, date_col: str | None = "Date",
                stat_columns: list[str] | None = None) -> DataFrame:
-    """Load, chunk, embed and store a CSV; returns the stored documents (read back)."""
+    """Load, chunk, embed and store a CSV; returns the stored documents (read back).
+
+    The typed table is written once as Parquet under the shared checkpoint folder: the row
+    index, the summary aggregates and the chunking then read pruned columns instead of
+    re-parsing the CSV text on every pass, and a lost executor recomputes from that copy.
+    """
     base = base or default_store_base(spark)
-    table = load_csv(spark, path)
+    typed_path = scratch_path(spark, "typed")
+    load_csv(spark, path).write.parquet(typed_path)
+    table = spark.read.parquet(typed_path)
     docs, _ = index_table(table, store_name, ORDER_KEY, fields, n, date_col=date_col,
                           stat_columns=stat_columns, hidden=ORDER_KEY)
     write_store(docs, base)
