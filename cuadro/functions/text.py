@@ -35,15 +35,21 @@ def snippet(c: Column | str, n: int = SNIPPET_CHARS) -> Column:
     return F.when(F.char_length(t) > n, F.concat(F.substring(t, 1, n), F.lit(SNIPPET_ELLIPSIS))).otherwise(t)
 
 
+def _padded(pattern: str) -> str:
+    # the same anchored pattern, allowing outer white space: prose fails at its first letter,
+    # so long texts are rejected without being copied by a strip
+    return "(?U)^\\s*" + pattern[1:-1] + "\\s*$"
+
+
 def guarded_double(c: Column | str) -> Column:
     """Text → DOUBLE only for plain decimal numbers (after trimming); anything else NULL."""
-    t = strip_outer(c)
-    return F.when(t.rlike(NUMERIC_TEXT), t.try_cast("double"))
+    t = _c(c)
+    return F.when(t.rlike(_padded(NUMERIC_TEXT)), strip_outer(t).try_cast("double"))
 
 
 def guarded_long(c: Column | str) -> Column:
-    t = strip_outer(c)
-    return F.when(t.rlike(INTEGER_TEXT), t.try_cast("long"))
+    t = _c(c)
+    return F.when(t.rlike(_padded(INTEGER_TEXT)), strip_outer(t).try_cast("long"))
 
 
 def money_text(c: Column | str, scale: int = 2) -> Column:

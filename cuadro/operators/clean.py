@@ -97,10 +97,11 @@ def profile_table(df: DataFrame, date_formats: list[str] = DAYFIRST_FORMATS,
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     exprs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(texts):
-        s = strip_outer(F.col(c)) if strip else F.col(c)
-        exprs.append(F.count(s).alias(f"n{i}"))
-        exprs.append(F.count(guarded_double(s)).alias(f"d{i}"))
-        exprs.append(F.count(guarded_long(s)).alias(f"l{i}"))
+        raw = F.col(c)
+        s = strip_outer(raw) if strip else raw
+        exprs.append(F.count(raw).alias(f"n{i}"))                 # stripping never makes NULL
+        exprs.append(F.count(guarded_double(raw)).alias(f"d{i}"))  # the guards strip themselves
+        exprs.append(F.count(guarded_long(raw)).alias(f"l{i}"))
         if is_date_name(c):
             for j, fmt in enumerate(date_formats):
                 exprs.append(F.count(parse_timestamp(s, fmt)).alias(f"t{i}_{j}"))
