@@ -45,6 +45,23 @@ def read_store(spark: SparkSession, base: str, store: str | None = None) -> Data
     return df.where(F.col("store_name") == store) if store is not None else df
 
 
+class StoreNotFound(FileNotFoundError):
+    """The named store has no folder under the base path."""
+
+
+def load_store(spark: SparkSession, base: str, store: str) -> DataFrame:
+    """One store, or ``StoreNotFound`` when its partition folder does not exist.
+
+    The check looks at the folder only (no data is read); the returned plan prunes to it.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/store_name={store}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        raise StoreNotFound(f"no store '{store}' under {base}")
+    return read_store(spark, base, store)
+
+
 def available_stores(corpus: DataFrame) -> DataFrame:
     """Stores holding at least one text and one vector: (store_name, n_docs, n_vecs)."""
     return (corpus.groupBy("store_name")

@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from cuadro.operators import search
@@ -21,6 +22,9 @@ def test_store_overwrite_is_per_store(spark, tmp_dir):
     store.write_store(_docs(spark, "a", 1), base)             # replaces store 'a' only
     got = {r["store_name"]: r["n_docs"] for r in store.available_stores(store.read_store(spark, base)).collect()}
     assert got == {"a": 1, "b": 2}
+    with pytest.raises(store.StoreNotFound):
+        store.load_store(spark, base, "zzz")
+    assert store.load_store(spark, base, "a").count() == 1
     one = store.read_store(spark, base, "b")
     assert one.count() == 2
     assert "PartitionFilters: [isnotnull(store_name" in one._jdf.queryExecution().explainString(
