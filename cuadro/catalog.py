@@ -76,8 +76,8 @@ QUERIES: dict[str, Query] = {
     "histogram": q_histogram,
 }
 
-D2 = "decimal(18,2)"
-D28 = "decimal(28,2)"
+D2 = "decimal(38,2)"
+D28 = "decimal(38,2)"
 
 ORACLE: dict[str, str] = {
     "bar_sum": f"""
@@ -428,7 +428,7 @@ ORACLE.update({
 from (select o_orderkey, case when o_orderstatus = 'F' then strftime(o_orderdate, '%d-%m-%Y') else strftime(o_orderdate, '%Y/%m/%d') end s from orders)""",
     "clean_numeric": """select doc_id, source, cast(regexp_replace(source, 'src', '') as bigint) source_num,
   case when lang = 'en' then null else cast(regexp_replace(source, 'src', '') as double) end source_mixed from documents""",
-    "derive_total": f"select l_orderkey, l_linenumber, cast(cast(l_extendedprice as {D2}) * cast(l_quantity as {D2}) as {D28}) total from lineitem",
+    "derive_total": f"select l_orderkey, l_linenumber, cast(cast(l_extendedprice as decimal(18,2)) * cast(l_quantity as decimal(18,2)) as decimal(28,2)) total from lineitem",
     "row_index": "select o_orderkey, cast(row_number() over (order by o_orderkey) - 1 as bigint) row_idx from orders",
     "render_rows": f"select event_id, {_sql_event_line()} line from events",
     "chunk_rows": _sql_chunks(),

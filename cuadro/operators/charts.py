@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .rowindex import with_row_index
 
-SUM_IN = "decimal(18,2)"
-SUM_OUT = "decimal(28,2)"
+SUM_IN = "decimal(38,2)"     # wide enough for 64-bit ids; sums stay exact to the cent
+SUM_OUT = "decimal(38,2)"
 
 # ---------------------------------------------------------------------------------------
 # Sizes of the reference charts and the remainder label of a pie chart.

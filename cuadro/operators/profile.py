@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.roles import numeric_columns, string_columns
+from .charts import SUM_IN, SUM_OUT
 
 # ---------------------------------------------------------------------------------------
 # Summary text lines, statistics columns and sizes of the reference.
@@ -34,7 +35,7 @@ TIMESTAMP_TEXT = "yyyy-MM-dd HH:mm:ss"
 
 
 def _dec2(c: Column) -> Column:
-    return c.cast("decimal(18,2)")
+    return c.cast(SUM_IN)
 
 
 def _text(c: Column, dtype: T.DataType) -> Column:
@@ -65,7 +66,7 @@ def _numeric_aggs(columns: list[str]) -> list[Column]:
     for i, c in enumerate(columns):
         x = F.col(c)
         aggs += [F.min(x).cast("double").alias(f"mn{i}"), F.max(x).cast("double").alias(f"mx{i}"),
-                 F.sum(_dec2(x)).cast("decimal(28,2)").alias(f"s{i}"), F.count(x).alias(f"n{i}")]
+                 F.sum(_dec2(x)).cast(SUM_OUT).alias(f"s{i}"), F.count(x).alias(f"n{i}")]
     return aggs
 
 
@@ -75,7 +76,7 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFram
     wide = df.agg(*_numeric_aggs(cols))
     parts = ", ".join(
         f"'{c}', mn{i}, mx{i}, cast(round(try_divide(s{i}, n{i}), 2) as double), "
-        f"cast(coalesce(s{i}, 0) as decimal(28,2))"
+        f"cast(coalesce(s{i}, 0) as {SUM_OUT})"
         for i, c in enumerate(cols))
     return wide.selectExpr(f"stack({len(cols)}, {parts}) as (`column`, min, max, mean, total)")
 
@@ -126,7 +127,7 @@ def dataset_summary(df: DataFrame, date_col: str | None = DEFAULT_DATE_COLUMN,
                 F.lit(f"{c}: Min="), F.col(f"mn{i}").cast("decimal(38,2)").cast("string"),
                 F.lit(", Max="), F.col(f"mx{i}").cast("decimal(38,2)").cast("string"),
                 F.lit(", Promedio="), mean.cast("string"),
-                F.lit(", Total="), F.coalesce(F.col(f"s{i}"), F.lit(0).cast("decimal(28,2)")).cast("string")))
+                F.lit(", Total="), F.coalesce(F.col(f"s{i}"), F.lit(0).cast(SUM_OUT)).cast("string")))
     if texts:
         lines.append(F.lit(SUMMARY_CATEGORY_HEADER))
         tv = top_values(df, texts, n_top)

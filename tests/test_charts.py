@@ -79,3 +79,10 @@ def test_chart_labels(spark):
     spec, data = answer_chart(ts, "Muestra la tendencia de ventas por mes")
     assert spec.title == "Evolución de ventas en el Tiempo" and spec.xlabel == "fecha"
     assert data.first()["fecha"].year == 2022
+
+
+def test_sums_of_64_bit_ids_do_not_overflow(spark):
+    big = 9_000_000_000_000_000_000
+    df = spark.createDataFrame([("a", big), ("a", big), ("b", 1)], "k string, id long")
+    rows = [(r[0], int(r[1])) for r in charts.bar_sums(df, "k", "id").collect()]
+    assert rows == [("a", 2 * big), ("b", 1)]
