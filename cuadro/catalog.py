@@ -712,3 +712,45 @@ with f as (select o_orderstatus k, count(*) n from orders where o_orderstatus is
      u as (select * from head union all select * from rest where n > 0)
 select ord, label, n, round(cast(100.0 as double) * n / (select sum(n) from f), 1) pct, is_other from u""",
 })
+
+
+# ---------------------------------------------------------------------------------------
+# Chart specs for a question log
+# ---------------------------------------------------------------------------------------
+from .functions.roles import (BAR_COUNT_MODE_HINTS, BAR_TARGET_HINTS, PIE_TARGET_HINTS,  # noqa: E402
+                              numeric_columns, string_columns)
+from .plans.chart import chart_specs  # noqa: E402
+
+LINEITEM_TEXT = ["l_returnflag", "l_linestatus"]
+
+
+def q_chart_specs(spark, sf_dir):
+    """Chart type and columns for every user turn, against the lineitem schema."""
+    return chart_specs(_user_turns(spark, sf_dir), read_table(spark, sf_dir, "lineitem")).drop("question")
+
+
+def _sql_first_named(q: str, cols: list[str], hints: list[str]) -> str:
+    whens = " ".join(
+        f"when {'true' if any(h in c.lower() for h in hints) else f'contains({q}, {_sql_str(c.lower())})'} then {_sql_str(c)}"
+        for c in cols)
+    return f"(case {whens} else {_sql_str(cols[0])} end)"
+
+
+def _sql_chart_specs() -> str:
+    bar_x = _sql_first_named("q", LINEITEM_TEXT, BAR_TARGET_HINTS)
+    pie_x = _sql_first_named("q", LINEITEM_TEXT, PIE_TARGET_HINTS)
+    counts = [c for c in LINEITEM_TEXT if any(h in c.lower() for h in BAR_COUNT_MODE_HINTS)]
+    in_counts = f"{bar_x} in ({', '.join(_sql_str(c) for c in counts)})" if counts else "false"
+    mode_bar = f"(case when {in_counts} then 'count' else 'sum' end)"
+    return f"""select conv_id, turn, chart_type,
+  case chart_type when 'bar' then {bar_x} when 'line' then 'l_shipdate' when 'pie' then {pie_x}
+                  when 'scatter' then 'l_extendedprice' end x,
+  case chart_type when 'bar' then (case when {mode_bar} = 'sum' then 'l_quantity' end) when 'line' then 'l_extendedprice'
+                  when 'scatter' then 'l_quantity' end y,
+  case chart_type when 'bar' then {mode_bar} when 'line' then 'series' when 'pie' then 'shares'
+                  when 'scatter' then 'points' end "mode"
+from (select conv_id, turn, q, {_sql_intent('q')} chart_type from {_USER_Q})"""
+
+
+QUERIES["chart_specs"] = q_chart_specs
+ORACLE["chart_specs"] = _sql_chart_specs()

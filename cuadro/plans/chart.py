@@ -157,3 +157,91 @@ def chart_records(questions: DataFrame, question_col: str = "question",
         out = out.withColumn("chart_path", F.concat(prefix, F.lit("/"), F.col("chart_filename")))
         out = out.withColumn("chart_filename", basename(F.col("chart_path")))
     return out
+
+
+# ---- many questions over one table ---------------------------------------------------------
+
+def _first_named_or_hinted(q: Column, columns: list[str], hints: list[str]) -> Column | None:
+    """First column (schema order) whose lower name is in the question or carries a hint."""
+    expr = None
+    for c in columns:
+        low = c.lower()
+        cond = F.lit(True) if any(h in low for h in hints) else q.contains(low)
+        expr = F.when(cond, F.lit(c)) if expr is None else expr.when(cond, F.lit(c))
+    return expr.otherwise(F.lit(columns[0])) if expr is not None else None
+
+
+def chart_specs(questions: DataFrame, df: DataFrame, question_col: str = "question") -> DataFrame:
+    """Chart type and resolved columns of every question, as one projection.
+
+    Adds chart_type, x, y, mode. Roles depend only on the schema (and, for text date columns,
+    one parse check), so they are CASE expressions over the question text.
+    """
+    from ..functions.roles import (BAR_COUNT_MODE_HINTS, BAR_TARGET_HINTS, PIE_TARGET_HINTS,
+                                   numeric_columns, string_columns)
+    schema = df.schema
+    q = F.lower(F.col(question_col))
+    kind = chart_intent(F.col(question_col))
+    cats, nums = string_columns(schema), numeric_columns(schema)
+    null = F.lit(None).cast("string")
+    bar_x = _first_named_or_hinted(q, cats, BAR_TARGET_HINTS) if cats else null
+    pie_x = _first_named_or_hinted(q, cats, PIE_TARGET_HINTS) if cats else null
+    try:
+        bar_value = resolve_bar(schema, "").value
+    except RoleError:
+        bar_value = None
+    count_targets = [c for c in cats if any(h in c.lower() for h in BAR_COUNT_MODE_HINTS)]
+    bar_mode = F.when(bar_x.isin(count_targets) | F.lit(bar_value is None), F.lit("count")) \
+        .otherwise(F.lit("sum")) if cats else null
+    try:
+        line = resolve_line(schema, parseable_dates(df, line_date_candidates(schema)))
+        line_x, line_y = (line.date or "row_idx"), line.value
+        line_mode = "series" if line.date else "index"
+    except RoleError:
+        line_x = line_y = line_mode = None
+    try:
+        sc = resolve_scatter(schema)
+        sc_x, sc_y = sc.x, sc.y
+    except RoleError:
+        sc_x = sc_y = None
+
+    def lit(v):
+        return F.lit(v) if v is not None else null
+
+    def pick(bar, line_, pie, scatter):
+        return (F.when(kind == "bar", bar).when(kind == "line", line_)
+                .when(kind == "pie", pie).when(kind == "scatter", scatter))
+
+    return questions.withColumns({
+        "chart_type": kind,
+        "x": pick(bar_x, lit(line_x), pie_x, lit(sc_x)),
+        "y": pick(F.when(bar_mode == "sum", lit(bar_value)), lit(line_y), null, lit(sc_y)),
+        "mode": pick(bar_mode, lit(line_mode), F.lit("shares"), F.lit("points")),
+    })
+
+
+def answer_chart_batch(df: DataFrame, questions: DataFrame, question_col: str = "question",
+                       order_by: list[str] | None = None) -> dict[tuple, DataFrame]:
+    """One chart plan per distinct (chart_type, x, y, mode) among the questions.
+
+    Only the distinct specs reach the driver; their number is bounded by the schema
+    (chart types × column pairs), not by the number of questions.
+    """
+    specs = (chart_specs(questions, df, question_col).where(F.col("chart_type").isNotNull())
+             .select("chart_type", "x", "y", "mode").distinct().collect())
+    out = {}
+    for s in specs:
+        kind, x, y, mode = s["chart_type"], s["x"], s["y"], s["mode"]
+        if x is None:
+            continue
+        if kind == "bar":
+            out[tuple(s)] = charts.bar_counts(df, x) if mode == "count" else charts.bar_sums(df, x, y)
+        elif kind == "pie":
+            out[tuple(s)] = charts.pie_shares(df, x)
+        elif kind == "line" and mode == "series":
+            out[tuple(s)] = charts.time_series(parse_dates_like(df, x), x, y)
+        elif kind == "line":
+            out[tuple(s)] = charts.series_by_index(df, y, order_by or [df.columns[0]])
+        elif kind == "scatter":
+            out[tuple(s)] = charts.scatter_points(df, x, y)
+    return out

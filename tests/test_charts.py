@@ -86,3 +86,32 @@ def test_sums_of_64_bit_ids_do_not_overflow(spark):
     df = spark.createDataFrame([("a", big), ("a", big), ("b", 1)], "k string, id long")
     rows = [(r[0], int(r[1])) for r in charts.bar_sums(df, "k", "id").collect()]
     assert rows == [("a", 2 * big), ("b", 1)]
+
+
+def test_batch_specs_agree_with_single_dispatch(spark):
+    from cuadro.plans.chart import answer_chart_batch, chart_specs
+    from tests.test_intent import TRUTH
+    import datetime as dt
+    df = spark.createDataFrame(
+        [(1, dt.datetime(2022, 11, 7), "Fries", 3.49, 573.07, "Online", "Gift Card", "Ana", "Lisbon")],
+        "`Order ID` long, Date timestamp_ntz, Product string, Price double, Quantity double, "
+        "`Purchase Type` string, `Payment Method` string, Manager string, City string")
+    qs = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(TRUTH)] + [(99, "gráfico por manager")],
+                               "i int, question string")
+    rows = {r["i"]: r for r in chart_specs(qs, df).collect()}
+    for i, r in rows.items():
+        spec, _ = answer_chart(df, r["question"])
+        if spec is None:
+            assert r["chart_type"] is None
+            continue
+        assert r["chart_type"] == spec.chart_type
+        if spec.chart_type == "line":
+            assert (r["x"], r["y"], r["mode"]) == (spec.columns["x"], spec.columns["y"], spec.mode)
+        elif spec.chart_type == "pie":
+            assert r["x"] == spec.columns["x"]
+        else:
+            assert (r["x"], r["y"] if spec.mode != "count" else None) == \
+                (spec.columns["x"], spec.columns["y"] if spec.mode != "count" else None)
+    plans = answer_chart_batch(df, qs)
+    distinct = {(r["chart_type"], r["x"], r["y"], r["mode"]) for r in rows.values() if r["chart_type"]}
+    assert set(plans) == distinct and all(p.count() >= 1 for p in plans.values())
