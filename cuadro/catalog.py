@@ -474,7 +474,6 @@ from .plans.ask import ask_batch  # noqa: E402
 from .session import scratch_path  # noqa: E402
 from .sources import store as store_mod  # noqa: E402
 
-SEARCH_QUERY_VEC = 7      # search_similar: the stored vector used as the query
 
 
 def _vectors(spark, sf_dir):
@@ -488,9 +487,10 @@ def q_retrieve_batch(spark, sf_dir):
 
 
 def q_search_similar(spark, sf_dir):
+    """The 5 vectors nearest to the corpus centroid (the most typical documents)."""
     e = _vectors(spark, sf_dir)
-    q = e.where(F.col("vec_id") == SEARCH_QUERY_VEC)
-    hits = search.knn(e, q, qa.SEARCH_K, corpus_id="vec_id", query_id="vec_id")
+    q = search.centroid(e).select(F.lit(0).cast("bigint").alias("query_id"), "embedding")
+    hits = search.knn(e, q, qa.SEARCH_K, corpus_id="vec_id")
     return (hits.join(e.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id")
             .select("rank", F.col("doc_id").alias("vec_id"), "label", F.round("dist", 5).alias("dist")))
 
@@ -611,7 +611,8 @@ with d as (select q.vec_id query_id, e.vec_id, {_sql_dist('e.embedding', 'q.embe
      r as (select query_id, vec_id, dist, row_number() over (partition by query_id order by dist, vec_id) rk from d)
 select query_id, cast(rk as bigint) rank, vec_id, round(dist, 5) dist from r where rk <= 3""",
     "search_similar": f"""
-with q as (select embedding from embeddings where vec_id = {SEARCH_QUERY_VEC}),
+with dims as (select i, avg(cast(embedding[i] as double)) m from embeddings, range(1, 1 + (select max(len(embedding)) from embeddings)) t(i) group by i),
+     q as (select list(m order by i) embedding from dims),
      d as (select e.vec_id, e.label, {_sql_dist('e.embedding', 'q.embedding')} dist from embeddings e, q),
      r as (select vec_id, label, dist, row_number() over (order by dist, vec_id) rk from d)
 select cast(rk as bigint) rank, vec_id, label, round(dist, 5) dist from r where rk <= 5""",

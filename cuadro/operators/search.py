@@ -236,6 +236,18 @@ def _blocked_plan(cdf: DataFrame, qdf: DataFrame, k: int, qb: int, cb: int) -> D
     return c_rep.groupBy(*keys).cogroup(q_rep.groupBy(*keys)).applyInPandas(score, _OUT)
 
 
+def centroid(df: DataFrame, vec_col: str = "embedding", out: str = "embedding") -> DataFrame:
+    """The mean vector of a vector column, as a one-row DataFrame.
+
+    Vectors are exploded to (dimension, value) and averaged per dimension: a partial
+    aggregate per task with one row per dimension, so no vector set is gathered anywhere.
+    """
+    per_dim = (df.select(F.posexplode(vec_col).alias("i", "v"))
+               .groupBy("i").agg(F.avg(F.col("v").cast("double")).alias("m")))
+    return per_dim.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))),
+                                   lambda x: x["m"]).alias(out))
+
+
 # ---- text → vector -------------------------------------------------------------------------
 
 # ---------------------------------------------------------------------------------------
