@@ -145,10 +145,6 @@ EVENT_FIELDS = corpus.RowFields(id="event_id", date="ts", product="event_type",
 Q_TOP_N = "Haz un gráfico de barras de los top 5 productos"
 
 
-def _t(name):
-    return lambda spark, sf_dir: read_table(spark, sf_dir, name)
-
-
 def q_summary_numeric(spark, sf_dir):
     return profile.numeric_summary(read_table(spark, sf_dir, "lineitem"))
 
@@ -718,8 +714,7 @@ select ord, label, n, round(cast(100.0 as double) * n / (select sum(n) from f),
 # ---------------------------------------------------------------------------------------
 # Chart specs for a question log
 # ---------------------------------------------------------------------------------------
-from .functions.roles import (BAR_COUNT_MODE_HINTS, BAR_TARGET_HINTS, PIE_TARGET_HINTS,  # noqa: E402
-                              numeric_columns, string_columns)
+from .functions.roles import BAR_COUNT_MODE_HINTS, BAR_TARGET_HINTS, PIE_TARGET_HINTS  # noqa: E402
 from .plans.chart import chart_specs  # noqa: E402
 
 LINEITEM_TEXT = ["l_returnflag", "l_linestatus"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,6 +68,17 @@ def basename(path: Column | str) -> Column:
     return F.substring_index(_c(path), "/", -1)
 
 
+def fill(template: str, **values: Column) -> Column:
+    """A text template with ``{name}`` slots filled by columns (a NULL slot gives NULL)."""
+    parts = []
+    for i, piece in enumerate(re.split(r"\{(\w+)\}", template)):
+        if i % 2:
+            parts.append(values[piece].cast("string"))
+        elif piece:
+            parts.append(F.lit(piece))
+    return F.concat(*parts)
+
+
 def rstrip_chars(c: Column | str, chars: str = ", ") -> Column:
     """Remove any trailing run of the given characters (like ``str.rstrip(chars)``)."""
     cls = "".join("\\" + ch if ch in "]\\^-" else ch for ch in chars)

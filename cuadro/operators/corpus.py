@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import money_text, rstrip_chars
+from ..functions.text import fill, money_text, rstrip_chars
 from .profile import TIMESTAMP_TEXT, dataset_summary
 from .rowindex import with_row_index
 
@@ -82,7 +82,7 @@ def row_sentence(df: DataFrame, fields: RowFields, row_idx_col: str = "row_idx")
     if row_idx_col in df.columns:
         ident = F.coalesce(ident, F.col(row_idx_col).cast("string")) if ident is not None \
             else F.col(row_idx_col).cast("string")
-    parts = [F.concat(F.lit("Orden "), ident, F.lit(": "))]
+    parts = [fill(ROW_PREFIX, id=ident)]
     if f.date:
         parts.append(_part(ROW_LABELS["date"], _value_text(df, f.date)))
     if f.product:
@@ -123,8 +123,7 @@ def chunk_lines(lines: DataFrame, n: int = CHUNK_ROWS, row_idx_col: str = "row_i
         F.count(F.lit(1)).alias("num_rows"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(row_idx_col, line_col))),
                                  lambda x: x[line_col]), "\n").alias("_body"))
-    header = F.concat(F.lit("CHUNK DE DATOS (filas "), F.col("start_row").cast("string"), F.lit(" a "),
-                      F.col("end_row").cast("string"), F.lit("):"))
+    header = fill(CHUNK_HEADER, start=F.col("start_row"), end=F.col("end_row"))
     return g.select("chunk_id", "start_row", "end_row", "num_rows",
                     F.concat(header, F.lit("\n"), F.col("_body")).alias("page_content"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.roles import numeric_columns, string_columns
+from ..functions.text import fill
 from .charts import SUM_IN, SUM_OUT
 
 # ---------------------------------------------------------------------------------------
@@ -114,26 +115,23 @@ def dataset_summary(df: DataFrame, date_col: str | None = DEFAULT_DATE_COLUMN,
         aggs += [_text(F.min(date_col), dt).alias("__p0"), _text(F.max(date_col), dt).alias("__p1")]
     wide = df.agg(*aggs)
 
-    lines: list[Column] = [F.lit(SUMMARY_TITLE),
-                           F.concat(F.lit("Total de registros: "), F.col("__rows").cast("string"))]
+    lines: list[Column] = [F.lit(SUMMARY_TITLE), fill(SUMMARY_TOTAL, n=F.col("__rows"))]
     if has_date:
-        lines.append(F.concat(F.lit("Período: "), F.col("__p0"), F.lit(" a "), F.col("__p1")))
+        lines.append(fill(SUMMARY_PERIOD, start=F.col("__p0"), end=F.col("__p1")))
     lines.append(F.lit(SUMMARY_COLUMNS.format(cols=", ".join(df.columns))))
     if nums:
         lines.append(F.lit(SUMMARY_NUMERIC_HEADER))
         for i, c in enumerate(stats):
             mean = F.round(F.try_divide(F.col(f"s{i}"), F.col(f"n{i}")), 2).cast("decimal(38,2)")
-            lines.append(F.concat(
-                F.lit(f"{c}: Min="), F.col(f"mn{i}").cast("decimal(38,2)").cast("string"),
-                F.lit(", Max="), F.col(f"mx{i}").cast("decimal(38,2)").cast("string"),
-                F.lit(", Promedio="), mean.cast("string"),
-                F.lit(", Total="), F.coalesce(F.col(f"s{i}"), F.lit(0).cast(SUM_OUT)).cast("string")))
+            lines.append(fill(SUMMARY_NUMERIC_LINE, col=F.lit(c),
+                              min=F.col(f"mn{i}").cast("decimal(38,2)"), max=F.col(f"mx{i}").cast("decimal(38,2)"),
+                              mean=mean, total=F.coalesce(F.col(f"s{i}"), F.lit(0).cast(SUM_OUT))))
     if texts:
         lines.append(F.lit(SUMMARY_CATEGORY_HEADER))
         tv = top_values(df, texts, n_top)
         per_col = tv.groupBy("column").agg(F.array_join(F.transform(
-            F.sort_array(F.collect_list(F.struct("rank", F.concat(
-                F.col("value"), F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("t")))),
+            F.sort_array(F.collect_list(F.struct(
+                "rank", fill(SUMMARY_CATEGORY_ITEM, value=F.col("value"), n=F.col("n")).alias("t")))),
             lambda x: x["t"]), ", ").alias("items"))
         # one small map (at most n_top items per text column), inlined as a scalar subquery
         items = per_col.select(F.map_from_entries(F.collect_list(F.struct("column", "items")))).scalar()

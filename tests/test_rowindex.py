@@ -1,7 +1,5 @@
 """Row index: dense, exact and independent of partitioning; no global window."""
 
-from pyspark.sql import functions as F
-
 from cuadro.operators.rowindex import with_row_index
 from cuadro.session import read_table
 from tests.conftest import SF_SMALL

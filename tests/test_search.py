@@ -1,7 +1,6 @@
 """Exact kNN against a brute-force numpy answer, for both plans and with ties and groups."""
 
 import numpy as np
-import pandas as pd
 
 from cuadro.operators import search
 from cuadro.session import read_table

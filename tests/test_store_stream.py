@@ -4,7 +4,6 @@ import json
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from cuadro.operators import search
 from cuadro.sources import store
