@@ -558,12 +558,13 @@ def q_ask_text_batch(spark, sf_dir):
     the questions are answered from it.
     """
     d = read_table(spark, sf_dir, "documents")
-    model = search.fit_text_embedder(d, "text")
     docs = d.select("doc_id", F.col("text").alias("page_content"),
                     F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"),
                     F.lit("documents").alias("store_name"))
+    model, embedded, release = search.fit_and_embed(docs, "page_content")
     base = scratch_path(spark, "stores")
-    store_mod.write_store(search.embed_text(model, docs, "page_content"), base)
+    store_mod.write_store(embedded, base)
+    release()
     corpus_docs_ = store_mod.read_store(spark, base, "documents")
     turns = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
     qs = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"),

@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread_for_cpu
+
 BROADCAST_BYTES = 64 << 20        # question matrix size that is broadcast
 CORPUS_BLOCK_ROWS = 200_000        # documents per block in the blocked plan
 _CAND_EXTRA = 8                    # extra candidates kept beyond k before exact re-scoring
@@ -189,6 +191,7 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str = "doc_id"
 
 def _broadcast_plan(cdf: DataFrame, qdf: DataFrame, k: int) -> DataFrame:
     spark = cdf.sparkSession
+    cdf = spread_for_cpu(cdf)
     pq = qdf.toPandas()          # bounded: size checked by the caller
     groups = {}
     for g, sub in pq.groupby("_g"):
@@ -266,14 +269,39 @@ def fit_text_embedder(corpus: DataFrame, text_col: str, num_features: int = EMBE
               HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
               IDF(inputCol="_tf", outputCol="_tfidf"),
               Normalizer(inputCol="_tfidf", outputCol="_vec", p=2.0)]
-    return Pipeline(stages=stages).fit(corpus.select(text_col))
+    return Pipeline(stages=stages).fit(spread_for_cpu(corpus.select(text_col)))
 
 
 def embed_text(model, df: DataFrame, text_col: str, out: str = "embedding") -> DataFrame:
     """Apply a fitted embedder; the vector becomes ARRAY<FLOAT>."""
     from pyspark.ml.functions import vector_to_array
     src = model.stages[0].getInputCol()
+    df = spread_for_cpu(df)
     res = model.transform(df.withColumnRenamed(text_col, src) if text_col != src else df)
     if text_col != src:
         res = res.withColumnRenamed(src, text_col)
     return res.withColumn(out, vector_to_array("_vec", "float32")).drop("_tok", "_tf", "_tfidf", "_vec")
+
+
+def fit_and_embed(corpus: DataFrame, text_col: str, out: str = "embedding",
+                  num_features: int = EMBED_FEATURES):
+    """Fit the embedder on ``corpus`` and embed it with a single tokenisation pass.
+
+    The term vectors are persisted (memory and disk) for the IDF fit and the transform;
+    call the returned ``release()`` once the embedded corpus has been written.
+    Returns (model, embedded corpus, release).
+    """
+    from pyspark import StorageLevel
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
+    from pyspark.ml.functions import vector_to_array
+    tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=TOKEN_PATTERN, toLowercase=True)
+    tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features)
+    terms = tf.transform(tok.transform(spread_for_cpu(corpus))).drop("_tok") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    idf = IDF(inputCol="_tf", outputCol="_tfidf").fit(terms.select("_tf"))
+    norm = Normalizer(inputCol="_tfidf", outputCol="_vec", p=2.0)
+    embedded = (norm.transform(idf.transform(terms))
+                .withColumn(out, vector_to_array("_vec", "float32")).drop("_tf", "_tfidf", "_vec"))
+    model = PipelineModel(stages=[tok, tf, idf, norm])
+    return model, embedded, terms.unpersist

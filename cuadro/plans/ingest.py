@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.corpus import CHUNK_ROWS, RowFields, corpus_docs
-from ..operators.search import embed_text, fit_text_embedder
+from ..operators.search import embed_text, fit_and_embed
 from ..sources.csv import ORDER_KEY, load_csv
 from ..session import scratch_path
 from ..sources.store import default_store_base, read_store, write_store
@@ -22,8 +22,12 @@ META_KEYS = ["type", "chunk_id", "start_row", "end_row", "num_rows", "total_rows
 def index_table(df: DataFrame, store_name: str, order_by: list[str], fields: RowFields | None = None,
                 n: int = CHUNK_ROWS, date_col: str | None = "Date",
                 stat_columns: list[str] | None = None, hidden: list[str] | None = None,
-                embedder=None) -> tuple[DataFrame, object]:
-    """Corpus documents of a table with vectors, ready for ``write_store``."""
+                embedder=None):
+    """Corpus documents of a table with vectors, ready for ``write_store``.
+
+    Returns (documents, embedder, release): call ``release()`` after the documents are
+    written (it frees the term vectors kept for the embedder fit).
+    """
     docs = corpus_docs(df, order_by, fields, n, date_col=date_col, stat_columns=stat_columns,
                        hidden=hidden)
     # the metadata struct as text values, the store's map<string,string> column
@@ -33,8 +37,10 @@ def index_table(df: DataFrame, store_name: str, order_by: list[str], fields: Row
                 F.array_join(F.col("columns"), ", ")))
     prepared = docs.select("doc_id", "page_content", as_text.alias("metadata"),
                            F.lit(store_name).alias("store_name"))
-    model = embedder or fit_text_embedder(prepared, "page_content")
-    return embed_text(model, prepared, "page_content"), model
+    if embedder is not None:
+        return embed_text(embedder, prepared, "page_content"), embedder, (lambda: None)
+    model, embedded, release = fit_and_embed(prepared, "page_content")
+    return embedded, model, release
 
 
 def ingest_csv(spark: SparkSession, path: str | list[str], store_name: str, base: str | None = None,
@@ -50,7 +56,8 @@ def ingest_csv(spark: SparkSession, path: str | list[str], store_name: str, base
     typed_path = scratch_path(spark, "typed")
     load_csv(spark, path).write.parquet(typed_path)
     table = spark.read.parquet(typed_path)
-    docs, _ = index_table(table, store_name, ORDER_KEY, fields, n, date_col=date_col,
-                          stat_columns=stat_columns, hidden=ORDER_KEY)
+    docs, _, release = index_table(table, store_name, ORDER_KEY, fields, n, date_col=date_col,
+                                   stat_columns=stat_columns, hidden=ORDER_KEY)
     write_store(docs, base)
+    release()
     return read_store(spark, base, store_name)

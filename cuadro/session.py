@@ -79,3 +79,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver tables, ``<sf_dir>/<name>.parquet``."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread_for_cpu(df: DataFrame) -> DataFrame:
+    """Spread CPU-heavy per-row work over the task slots when the input has fewer partitions.
+
+    A small table in one file is one task; tokenising or vector scoring it would use one core.
+    Large inputs already have more splits than slots, so they are returned unchanged (no
+    shuffle is added at scale).
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
