@@ -29,6 +29,18 @@ HISTOGRAM_BINS = 10
 # ---------------------------------------------------------------------------------------
 
 
+def no_nan(c: Column | str) -> Column:
+    """NaN → NULL (missing), as the reference's statistics skip NaN; other values unchanged."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.when(F.isnan(col), F.lit(None)).otherwise(col)
+
+
+def exact_count(c: Column | str) -> Column:
+    """Values that take part in an exact sum (NULL and NaN excluded)."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.count(col.cast(SUM_IN))
+
+
 def exact_sum(c: Column | str) -> Column:
     """SUM through DECIMAL(18,2); an empty or all-NULL group sums to 0, not NULL."""
     col = F.col(c) if isinstance(c, str) else c
@@ -82,10 +94,11 @@ def pie_shares(df: DataFrame, key: str, n: int = PIE_SLICES,
     total = base.select(F.count(F.lit(1))).scalar()
     top = freq.orderBy(F.col("n").desc(), F.col(key).asc()).limit(n)
     one = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("neg"),
-                                                        F.col(key).cast("string").alias("k")))).alias("items"),
+                                                        F.col(key).alias("k")))).alias("items"),
                   F.coalesce(F.sum("n"), F.lit(0)).alias("top_n"))
     slices = F.transform("items", lambda x, i: F.struct(
-        (i + 1).cast("bigint").alias("ord"), x["k"].alias("label"), (-x["neg"]).cast("bigint").alias("n"),
+        (i + 1).cast("bigint").alias("ord"), x["k"].cast("string").alias("label"),
+        (-x["neg"]).cast("bigint").alias("n"),
         F.lit(False).alias("is_other")))
     rest_n = (total - F.col("top_n")).cast("bigint")
     rest = F.when(rest_n > 0, F.array(F.struct(F.lit(n + 1).cast("bigint").alias("ord"), F.lit(other_label).alias("label"),
@@ -138,13 +151,13 @@ def trend_values(df: DataFrame, x: str, y: str, keep: list[str],
 
 def histogram(df: DataFrame, c: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Equal-width histogram over [min, max]; the maximum falls into the last bin."""
-    v = F.col(c).cast("double")
+    v = no_nan(F.col(c).cast("double"))
     rng = df.select(F.struct(F.min(v).alias("mn"), F.max(v).alias("mx")).alias("r")).scalar()
     mn, mx = rng.getField("mn"), rng.getField("mx")
     width = (mx - mn) / F.lit(float(bins))
     raw = F.when(width > 0, F.floor((v - mn) / width)).otherwise(F.lit(0))
     b = F.least(raw, F.lit(bins - 1)).cast("int")
-    counts = (df.where(F.col(c).isNotNull())
+    counts = (df.where(v.isNotNull())
               .groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n")))
     return counts.select(
         "bin",

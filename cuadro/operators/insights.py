@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .charts import SUM_IN, SUM_OUT, exact_sum
+from .charts import SUM_IN, SUM_OUT, exact_count, exact_sum
 
 TOP_PRODUCTS = 10
 
@@ -53,15 +53,15 @@ def avg_by_category(df: DataFrame, key: str, value: str, digits: int = 4) -> Dat
     """Mean of ``value`` per non-NULL key, exact decimal mean rounded to ``digits``."""
     return (df.where(F.col(key).isNotNull())
             .groupBy(key)
-            .agg(F.round(F.try_divide(F.sum(F.col(value).cast(SUM_IN)), F.count(value)), digits)
+            .agg(F.round(F.try_divide(F.sum(F.col(value).cast(SUM_IN)), exact_count(value)), digits)
                  .cast("double").alias("avg_value"),
-                 F.count(value).alias("n"))
+                 exact_count(value).alias("n"))
             .orderBy(key))
 
 
 def overall_avg(df: DataFrame, value: str, digits: int = 4) -> DataFrame:
-    return df.agg(F.round(F.try_divide(F.sum(F.col(value).cast(SUM_IN)), F.count(value)), digits)
-                  .cast("double").alias("avg_value"), F.count(value).alias("n"))
+    return df.agg(F.round(F.try_divide(F.sum(F.col(value).cast(SUM_IN)), exact_count(value)), digits)
+                  .cast("double").alias("avg_value"), exact_count(value).alias("n"))
 
 
 def compare_regions(orders: DataFrame, customer: DataFrame, nation: DataFrame,

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.roles import numeric_columns, string_columns
 from ..functions.text import fill
-from .charts import SUM_IN, SUM_OUT
+from .charts import SUM_IN, SUM_OUT, no_nan
 
 # ---------------------------------------------------------------------------------------
 # Summary text lines, statistics columns and sizes of the reference.
@@ -65,7 +65,7 @@ def period(df: DataFrame, date_col: str) -> DataFrame:
 def _numeric_aggs(columns: list[str]) -> list[Column]:
     aggs = []
     for i, c in enumerate(columns):
-        x = F.col(c)
+        x = no_nan(F.col(c))          # NaN is missing, as in the reference's statistics
         aggs += [F.min(x).cast("double").alias(f"mn{i}"), F.max(x).cast("double").alias(f"mx{i}"),
                  F.sum(_dec2(x)).cast(SUM_OUT).alias(f"s{i}"), F.count(x).alias(f"n{i}")]
     return aggs

@@ -115,3 +115,18 @@ def test_batch_specs_agree_with_single_dispatch(spark):
     plans = answer_chart_batch(df, qs)
     distinct = {(r["chart_type"], r["x"], r["y"], r["mode"]) for r in rows.values() if r["chart_type"]}
     assert set(plans) == distinct and all(p.count() >= 1 for p in plans.values())
+
+
+def test_nan_is_missing(spark):
+    from cuadro.operators import insights, profile
+    df = spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("b", 3.0)], "k string, v double")
+    assert [(r[0], float(r[1])) for r in charts.bar_sums(df, "k", "v").collect()] == [("b", 3.0), ("a", 1.0)]
+    s = profile.numeric_summary(df, ["v"]).first()
+    assert (s["min"], s["max"], s["mean"]) == (1.0, 3.0, 2.0)
+    assert insights.overall_avg(df, "v").first()["n"] == 2
+    assert sum(r["n"] for r in charts.histogram(df, "v").collect()) == 2
+
+
+def test_pie_ties_keep_key_order_for_numbers(spark):
+    df = spark.createDataFrame([(k,) for k in [9, 10, 11]], "k int")
+    assert [r["label"] for r in charts.pie_shares(df, "k").orderBy("ord").collect()] == ["9", "10", "11"]
