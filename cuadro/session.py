@@ -89,6 +89,10 @@ def spread_for_cpu(df: DataFrame) -> DataFrame:
     shuffle is added at scale).
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan:
+        # already spread over the shuffle partitions; counting them would run the stages
+        return df
+    if df.rdd.getNumPartitions() < slots:      # a scan-only plan: no job runs here
         return df.repartition(slots)
     return df
