@@ -83,7 +83,7 @@ ORACLE: dict[str, str] = {
     "bar_sum": f"""
 with g as (select l_returnflag, cast(coalesce(sum(cast(l_quantity as {D2})), 0) as {D28}) s, count(*) n
            from lineitem where l_returnflag is not null group by 1)
-select l_returnflag, case when (select sum(s) from g) > 0 then s else cast(n as {D28}) end as value
+select l_returnflag, cast(case when (select sum(s) from g) > 0 then s else cast(n as {D28}) end as double) as value
 from g order by value desc, l_returnflag limit 10""",
     "bar_count": """
 select event_type, count(*) as value from events where event_type is not null
@@ -91,7 +91,7 @@ group by 1 order by value desc, event_type limit 10""",
     "bar_zero_guard": f"""
 with g as (select l_returnflag, cast(coalesce(sum(cast(l_tax * 0 as {D2})), 0) as {D28}) s, count(*) n
            from lineitem where l_returnflag is not null group by 1)
-select l_returnflag, case when (select sum(s) from g) > 0 then s else cast(n as {D28}) end as value
+select l_returnflag, cast(case when (select sum(s) from g) > 0 then s else cast(n as {D28}) end as double) as value
 from g order by value desc, l_returnflag limit 10""",
     "pie_top8": """
 with f as (select p_name k, count(*) n from part where p_name is not null group by 1),
@@ -102,7 +102,7 @@ with f as (select p_name k, count(*) n from part where p_name is not null group
      u as (select * from head union all select * from rest where n > 0)
 select ord, label, n, round(cast(100.0 as double) * n / (select sum(n) from f), 1) pct, is_other from u""",
     "line_series": f"""
-select o_orderdate, cast(coalesce(sum(cast(o_totalprice as {D2})), 0) as {D28}) as value
+select o_orderdate, cast(cast(coalesce(sum(cast(o_totalprice as {D2})), 0) as {D28}) as double) as value
 from orders where o_orderdate is not null group by 1 order by 1""",
     "line_by_index": """
 select cast(row_number() over (order by c_custkey) - 1 as bigint) row_idx, c_acctbal from customer""",
@@ -225,13 +225,18 @@ def q_chunk_rows(spark, sf_dir):
     return corpus.chunk_table(read_table(spark, sf_dir, "events"), ["event_id"], EVENT_FIELDS)
 
 
-def q_corpus_docs(spark, sf_dir):
+def _events_corpus(spark, sf_dir):
     return corpus.corpus_docs(read_table(spark, sf_dir, "events"), ["event_id"], EVENT_FIELDS,
                               date_col="ts", stat_columns=["value"])
 
 
+def q_corpus_docs(spark, sf_dir):
+    # flat output: the column list as text
+    return _events_corpus(spark, sf_dir).withColumn("columns", F.array_join("columns", ", "))
+
+
 def q_corpus_counts(spark, sf_dir):
-    return corpus.corpus_counts(q_corpus_docs(spark, sf_dir))
+    return corpus.corpus_counts(_events_corpus(spark, sf_dir))
 
 
 def _li_part(spark, sf_dir):
@@ -335,7 +340,7 @@ def _sql_dec_sum(c: str) -> str:
 
 def _sql_numeric_summary(table: str, cols: list[str]) -> str:
     parts = [f"""select {_sql_str(c)} as "column", cast(min({c}) as double) as min, cast(max({c}) as double) as max,
-  round(sum(cast({c} as {D2})) / count({c}), 2) as mean, {_sql_dec_sum(c)} as total from {table}""" for c in cols]
+  round(sum(cast({c} as {D2})) / count({c}), 2) as mean, cast({_sql_dec_sum(c)} as double) as total from {table}""" for c in cols]
     return "\nunion all\n".join(parts)
 
 
@@ -424,31 +429,31 @@ ORACLE.update({
 from (select o_orderkey, case when o_orderstatus = 'F' then strftime(o_orderdate, '%d-%m-%Y') else strftime(o_orderdate, '%Y/%m/%d') end s from orders)""",
     "clean_numeric": """select doc_id, source, cast(regexp_replace(source, 'src', '') as bigint) source_num,
   case when lang = 'en' then null else cast(regexp_replace(source, 'src', '') as double) end source_mixed from documents""",
-    "derive_total": f"select l_orderkey, l_linenumber, cast(cast(l_extendedprice as decimal(18,2)) * cast(l_quantity as decimal(18,2)) as decimal(28,2)) total from lineitem",
+    "derive_total": f"select l_orderkey, l_linenumber, cast(cast(cast(l_extendedprice as decimal(18,2)) * cast(l_quantity as decimal(18,2)) as decimal(28,2)) as double) total from lineitem",
     "row_index": "select o_orderkey, cast(row_number() over (order by o_orderkey) - 1 as bigint) row_idx from orders",
     "render_rows": f"select event_id, {_sql_event_line()} line from events",
     "chunk_rows": _sql_chunks(),
     "corpus_docs": f"""with ev_summary as ({_EVENTS_SUMMARY}), ch as ({_sql_chunks()})
 select cast(0 as bigint) doc_id, 'dataset_summary' doc_type, cast(null as bigint) chunk_id, cast(null as bigint) start_row,
   cast(null as bigint) end_row, cast(null as bigint) num_rows, (select count(*) from events) total_rows,
-  {'[' + ', '.join(_sql_str(c) for c in EVENTS_COLUMNS) + ']'} as columns, summary page_content from ev_summary
+  {_sql_str(', '.join(EVENTS_COLUMNS))} as columns, summary page_content from ev_summary
 union all
-select chunk_id + 1, 'data_chunk', chunk_id, start_row, end_row, num_rows, cast(null as bigint), cast(null as varchar[]), page_content from ch""",
+select chunk_id + 1, 'data_chunk', chunk_id, start_row, end_row, num_rows, cast(null as bigint), cast(null as varchar), page_content from ch""",
     "corpus_counts": "select 'dataset_summary' doc_type, cast(1 as bigint) n_docs union all "
                      "select 'data_chunk', count(distinct floor(i / 50)) from "
                      "(select row_number() over (order by event_id) - 1 i from events)",
-    "top_products": f"""select p_name, {_sql_dec_sum('l_quantity')} as value from lineitem join part on l_partkey = p_partkey
+    "top_products": f"""select p_name, cast({_sql_dec_sum('l_quantity')} as double) as value from lineitem join part on l_partkey = p_partkey
 where p_name is not null group by 1 order by value desc, p_name limit 10""",
-    "top_n": f"""select p_name, {_sql_dec_sum('l_quantity')} as value from lineitem join part on l_partkey = p_partkey
+    "top_n": f"""select p_name, cast({_sql_dec_sum('l_quantity')} as double) as value from lineitem join part on l_partkey = p_partkey
 where p_name is not null group by 1 order by value desc, p_name limit 5""",
-    "best_seller": f"""select p_name, {_sql_dec_sum('l_quantity')} as value from lineitem join part on l_partkey = p_partkey
+    "best_seller": f"""select p_name, cast({_sql_dec_sum('l_quantity')} as double) as value from lineitem join part on l_partkey = p_partkey
 where p_name is not null group by 1 order by value desc, p_name limit 1""",
-    "monthly_trend": f"""select cast(date_trunc('month', o_orderdate) as timestamp) month_start, {_sql_dec_sum('o_totalprice')} as value
+    "monthly_trend": f"""select cast(date_trunc('month', o_orderdate) as timestamp) month_start, cast({_sql_dec_sum('o_totalprice')} as double) as value
 from orders where o_orderdate is not null group by 1 order by 1""",
     "avg_by_category": f"""select l_returnflag, round(sum(cast(l_quantity as {D2})) / count(l_quantity), 4) avg_value, count(l_quantity) n
 from lineitem where l_returnflag is not null group by 1 order by 1""",
     "overall_avg": f"select round(sum(cast(l_extendedprice as {D2})) / count(l_extendedprice), 4) avg_value, count(l_extendedprice) n from lineitem",
-    "compare_regions": f"""select r_name, {_sql_dec_sum('o_totalprice')} as value from orders
+    "compare_regions": f"""select r_name, cast({_sql_dec_sum('o_totalprice')} as double) as value from orders
 join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
 group by 1 order by value desc, r_name""",
     "source_snippet": "select doc_id, case when length(text) > 200 then substring(text, 1, 200) || '...' else text end snippet from documents",

@@ -6,8 +6,8 @@ groups plus k rows. Grand totals that steer a result (zero guard, shares, histog
 are scalar subqueries over the rows (one-row partial aggregates per task), computed once by
 Spark and inlined as a literal; nothing is collected by this code.
 
-Sums of money-like values go through ``DECIMAL(18,2)`` so a total does not depend on the
-order in which partitions are added (floating point sums do).
+Sums go through ``DECIMAL(38,2)`` so a total does not depend on the order in which partitions
+are added (floating point sums do); the exact total is then reported as DOUBLE.
 """
 
 from __future__ import annotations
@@ -74,6 +74,7 @@ def bar_sums(df: DataFrame, key: str, value: str, n: int | None = BAR_LIMIT,
         v = F.when(total > 0, F.col("_s")).otherwise(F.col("_n").cast(SUM_OUT))
     else:
         v = F.col("_s")
+    v = v.cast("double")      # exact decimal total, reported as DOUBLE
     return _ranked(g.select(key, v.alias("value")), key, "value", n)
 
 
@@ -115,7 +116,7 @@ def slices_type() -> str:
 def time_series(df: DataFrame, date_col: str, value_col: str) -> DataFrame:
     """Sum of the value per exact timestamp, ascending (no calendar bucketing)."""
     return (df.where(F.col(date_col).isNotNull())
-            .groupBy(date_col).agg(exact_sum(value_col).alias("value"))
+            .groupBy(date_col).agg(exact_sum(value_col).cast("double").alias("value"))
             .orderBy(date_col))
 
 

@@ -209,8 +209,9 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
 
 def row_total(df: DataFrame, price: str = "Price", quantity: str = "Quantity",
               name: str = "total") -> DataFrame:
-    """price × quantity, exact to the cent (DECIMAL(28,2)); NULL if either is missing."""
+    """price × quantity, computed exactly to the cent and reported as DOUBLE; NULL if either
+    is missing."""
     if price not in df.columns or quantity not in df.columns:
         return df
-    t = (F.col(price).cast("decimal(18,2)") * F.col(quantity).cast("decimal(18,2)")).cast("decimal(28,2)")
+    t = (F.col(price).cast("decimal(18,2)") * F.col(quantity).cast("decimal(18,2)")).cast("decimal(28,2)").cast("double")
     return df.withColumn(name, t)

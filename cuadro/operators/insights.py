@@ -29,7 +29,7 @@ def product_totals(lineitem: DataFrame, part: DataFrame, value: str = "l_quantit
     named = per_part.join(part.select("p_partkey", "p_name"),
                           per_part["l_partkey"] == part["p_partkey"])
     return (named.where(F.col("p_name").isNotNull())
-            .groupBy("p_name").agg(F.coalesce(F.sum("_s"), F.lit(0)).cast(SUM_OUT).alias("value")))
+            .groupBy("p_name").agg(F.coalesce(F.sum("_s"), F.lit(0)).cast(SUM_OUT).cast("double").alias("value")))
 
 
 def top_products(lineitem: DataFrame, part: DataFrame, n: int = TOP_PRODUCTS) -> DataFrame:
@@ -45,7 +45,7 @@ def monthly_trend(df: DataFrame, date_col: str, value_col: str) -> DataFrame:
     """Calendar-month totals, ascending."""
     month = F.date_trunc("month", F.col(date_col)).cast("timestamp_ntz")
     return (df.where(F.col(date_col).isNotNull())
-            .groupBy(month.alias("month_start")).agg(exact_sum(value_col).alias("value"))
+            .groupBy(month.alias("month_start")).agg(exact_sum(value_col).cast("double").alias("value"))
             .orderBy("month_start"))
 
 
@@ -79,5 +79,5 @@ def compare_regions(orders: DataFrame, customer: DataFrame, nation: DataFrame,
     geo = nation.select("n_nationkey", "n_regionkey").join(
         region.select("r_regionkey", "r_name"), F.col("n_regionkey") == F.col("r_regionkey"))
     return (per_nation.join(geo, per_nation["c_nationkey"] == geo["n_nationkey"])
-            .groupBy("r_name").agg(F.coalesce(F.sum("_s"), F.lit(0)).cast(SUM_OUT).alias("value"))
+            .groupBy("r_name").agg(F.coalesce(F.sum("_s"), F.lit(0)).cast(SUM_OUT).cast("double").alias("value"))
             .orderBy(F.col("value").desc(), F.col("r_name").asc()))

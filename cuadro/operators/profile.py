@@ -77,7 +77,7 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFram
     wide = df.agg(*_numeric_aggs(cols))
     parts = ", ".join(
         f"'{c}', mn{i}, mx{i}, cast(round(try_divide(s{i}, n{i}), 2) as double), "
-        f"cast(coalesce(s{i}, 0) as {SUM_OUT})"
+        f"cast(coalesce(s{i}, 0) as double)"
         for i, c in enumerate(cols))
     return wide.selectExpr(f"stack({len(cols)}, {parts}) as (`column`, min, max, mean, total)")
 
