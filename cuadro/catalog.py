@@ -672,12 +672,12 @@ def _orders_csv(spark, sf_dir, date_fmt: str, date_name: str) -> str:
 
 def q_scan_csv(spark, sf_dir):
     path = _orders_csv(spark, sf_dir, "dd-MM-yyyy", "o_orderdate")
-    return csv_src.load_csv(spark, path).drop(*csv_src.ORDER_KEY)
+    return csv_src.load_csv(spark, path, with_order=False)
 
 
 def q_scan_csv_dates(spark, sf_dir):
     path = _orders_csv(spark, sf_dir, "MM-dd-yyyy", "Date")
-    return csv_src.load_csv_for_charts(spark, path).drop(*csv_src.ORDER_KEY)
+    return csv_src.load_csv_for_charts(spark, path, with_order=False)
 
 
 def q_ingest_job(spark, sf_dir):

@@ -66,19 +66,25 @@ def scan_csv(spark: SparkSession, path: str | list[str], schema: T.StructType |
 
 
 def load_csv(spark: SparkSession, path: str | list[str], null_label: str | None = None,
-             min_ratio: float | None = None) -> DataFrame:
-    """Scan + full cleaning (strip, day-first dates by name, numeric coercion)."""
-    raw = scan_csv(spark, path)
-    data = raw.drop(*ORDER_KEY)
+             min_ratio: float | None = None, with_order: bool = True) -> DataFrame:
+    """Scan + full cleaning (strip, day-first dates by name, numeric coercion).
+
+    ``with_order`` keeps the file-position key (``ORDER_KEY``) for row positions and chunks;
+    without it the file-rank join is not planned at all.
+    """
+    raw = scan_csv(spark, path, with_order=with_order)
+    data = raw.drop(*ORDER_KEY) if with_order else raw
     prof = profile_table(data, min_ratio=min_ratio)
     return clean_table(raw, null_label=null_label, profile=prof)
 
 
-def load_csv_for_charts(spark: SparkSession, path: str | list[str], date_column: str = "Date") -> DataFrame:
+def load_csv_for_charts(spark: SparkSession, path: str | list[str], date_column: str = "Date",
+                        with_order: bool = True) -> DataFrame:
     """Scan for the chart path: text kept as is (no strip), a column becomes numeric only when
     every value is a number, and ``date_column`` is typed by the format cascade."""
-    raw = scan_csv(spark, path)
-    prof = profile_table(raw.drop(*ORDER_KEY), date_formats=[], min_ratio=1.0, strip=False)
+    raw = scan_csv(spark, path, with_order=with_order)
+    prof = profile_table(raw.drop(*ORDER_KEY) if with_order else raw, date_formats=[], min_ratio=1.0,
+                         strip=False)
     typed = clean_table(raw, profile=prof, strip=False)
     return cascade_dates(typed, date_column)
 

@@ -37,3 +37,12 @@ def test_plan_has_no_single_partition_window_over_rows(spark):
     plan = with_row_index(o, ["o_orderkey"], rows_per_bucket=100)._jdf.queryExecution().executedPlan().toString()
     # the only unpartitioned window is over the bucket counts (aggregated) rows
     assert "__bucket" in plan and "row_number" in plan
+
+
+def test_null_keys_come_first_across_buckets(spark):
+    rows = [(None, i) for i in range(5)] + [(float(i % 37), i) for i in range(200)]
+    df = spark.createDataFrame(rows, "k double, id int")
+    out = with_row_index(df, ["k", "id"], rows_per_bucket=16).orderBy("row_idx").collect()
+    expected = sorted(rows, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0.0, r[1]))
+    assert [(r["k"], r["id"]) for r in out] == expected
+    assert [r["row_idx"] for r in out] == list(range(len(rows)))
