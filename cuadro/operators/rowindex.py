@@ -3,11 +3,13 @@
 A window ``row_number() OVER (ORDER BY k)`` without a partition moves every row into one task.
 Instead:
 
-1. quantile boundaries of the leading order column (one ``percentile_approx`` action; the
+1. quantile boundaries of the order key (one ``percentile_approx`` action on a single numeric
+   key, or evenly spaced rows of a sorted sample of the whole key tuple; either way the
    result is a handful of literals, so the plan is deterministic if a task is re-run);
 2. bucket = position of the key among the boundaries (binary search in the JVM: ``Bucketizer``
-   for numeric and temporal keys, a balanced CASE tree for text keys); equal keys share a
-   bucket, and buckets are range-ordered;
+   for one numeric or temporal column, a balanced CASE tree of lexicographic comparisons for
+   text and composite keys); buckets are range-ordered, and a leading value shared by many
+   rows is still split when the key has more columns;
 3. per-bucket counts and their running offsets (a window over the k bucket rows only,
    broadcast back; k is chosen here, so its size is bounded);
 4. ``row_number()`` inside each bucket by the full key, plus the bucket's offset.
@@ -62,13 +64,45 @@ def _string_boundaries(df: DataFrame, lead: str, k: int, n: int) -> list[str]:
     return sorted({r[0] for r in picks.collect()})
 
 
-def _position(key: Column, bounds: list, lo: int, hi: int) -> Column:
+def _position(key: Column, bounds: list, lo: int, hi: int, less=None) -> Column:
     """Number of ``bounds`` <= key, as a balanced CASE tree (binary search, log2 k tests)."""
     if lo == hi:
         return F.lit(float(lo))
     mid = (lo + hi) // 2
-    return F.when(key < F.lit(bounds[mid]), _position(key, bounds, lo, mid)) \
-        .otherwise(_position(key, bounds, mid + 1, hi))
+    cond = less(key, bounds[mid]) if less else key < F.lit(bounds[mid])
+    return F.when(cond, _position(key, bounds, lo, mid, less)) \
+        .otherwise(_position(key, bounds, mid + 1, hi, less))
+
+
+def _tuple_less(cols: list[Column], bound: tuple) -> Column:
+    """(c1, c2, ...) < bound in ascending, NULLs-first lexicographic order."""
+    out = F.lit(False)
+    for c, b in reversed(list(zip(cols, bound))):
+        if b is None:
+            less, eq = F.lit(False), c.isNull()
+        else:
+            less, eq = c.isNull() | (c < F.lit(b)), c.eqNullSafe(F.lit(b))
+        out = less | (eq & out)
+    return out
+
+
+def _tuple_boundaries(df: DataFrame, order_by: list[str], k: int, n: int) -> list[tuple]:
+    """k-1 boundaries of the full order key, from a sample sorted by a distributed sort."""
+    frac = min(1.0, (20.0 * k) / max(n, 1))
+    sample = df.select(*order_by).sample(False, frac, seed=17)
+    ordered = (sample.orderBy(*[F.col(c).asc_nulls_first() for c in order_by])
+               .withColumn("__m", F.monotonically_increasing_id()))
+    probs = [i / k for i in range(1, k)]
+    qs = ordered.select(F.percentile_approx("__m", probs, min(max(10_000, 20 * k), 1_000_000))).first()[0]
+    if not qs:
+        return []
+    picks = ordered.where(F.col("__m").isin(sorted(set(qs)))).orderBy("__m").select(*order_by).collect()
+    out = []
+    for r in picks:
+        t = tuple(r)
+        if not out or out[-1] != t:
+            out.append(t)
+    return out
 
 
 def with_row_index(df: DataFrame, order_by: list[str], name: str = "row_idx",
@@ -85,7 +119,14 @@ def with_row_index(df: DataFrame, order_by: list[str], name: str = "row_idx",
         w1 = Window.orderBy(*order)
         return df.withColumn(name, (F.row_number().over(w1) - 1).cast("bigint"))
     key = _numeric_key(F.col(lead), dtype)
-    if key is not None:
+    if len(order_by) > 1:
+        # composite key: boundaries on the whole tuple, so a leading value shared by a large
+        # share of the rows is still split over several buckets
+        k = min(k, MAX_TEXT_BUCKETS)
+        bounds = _tuple_boundaries(df, order_by, k, n)
+        cols = [F.col(c) for c in order_by]
+        with_b = df.withColumn(_BUCKET, _position(cols, bounds, 0, len(bounds), _tuple_less))
+    elif key is not None:
         probs = [i / k for i in range(1, k)]
         accuracy = min(max(10_000, 20 * k), 1_000_000)
         qs = df.select(F.percentile_approx(key, probs, accuracy).alias("q")).first()["q"] or []

@@ -46,3 +46,16 @@ def test_null_keys_come_first_across_buckets(spark):
     expected = sorted(rows, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0.0, r[1]))
     assert [(r["k"], r["id"]) for r in out] == expected
     assert [r["row_idx"] for r in out] == list(range(len(rows)))
+
+
+def test_composite_key_with_a_hot_leading_value(spark):
+    # a third of the rows share one leading value: they must still spread over buckets
+    rows = [(0, i) for i in range(300)] + [(v, i) for v in range(1, 601) for i in range(1)]
+    df = spark.createDataFrame(rows, "lead int, id int")
+    out = with_row_index(df, ["lead", "id"], rows_per_bucket=50)
+    got = [(r["lead"], r["id"]) for r in out.orderBy("row_idx").collect()]
+    assert got == sorted(rows)
+    from cuadro.operators import rowindex
+    bounds = rowindex._tuple_boundaries(df, ["lead", "id"], 18, len(rows))
+    hot = [b for b in bounds if b[0] == 0]
+    assert len(hot) >= 3          # the hot leading value is cut by several boundaries
