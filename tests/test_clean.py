@@ -113,3 +113,14 @@ def test_resolve_source(spark, tmp_dir):
     with open(os.path.join(raw_dir, "ventas-Data-Analysis.csv"), "w") as f:
         f.write(CSV_TEXT.split("\n", 2)[0] + "\n" + CSV_TEXT.split("\n", 2)[1] + "\n")
     assert csv_src.resolve_source(spark, store_name="ventas_data", raw_dir=raw_dir).count() == 1
+
+
+def test_short_and_long_csv_rows(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "ragged.csv")
+    with open(path, "w") as f:
+        f.write("a,b,c\n1,2,3\n4,5\n6,7,8,9\n")
+    rows = [tuple(r) for r in csv_src.scan_csv(spark, path, with_order=False).collect()]
+    assert rows == [("1", "2", "3"), ("4", "5", None), ("6", "7", "8")]
+    import pytest
+    with pytest.raises(Exception):
+        csv_src.scan_csv(spark, path, mode="FAILFAST", with_order=False).collect()
