@@ -575,8 +575,9 @@ def q_ask_text_batch(spark, sf_dir):
     qs = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"),
                       F.col("text").alias("question"), F.lit("documents").alias("store_name"))
     res = ask_batch(search.embed_text(model, qs, "question"), corpus_docs_)
-    return res.select("question_id", "store_name", "n_sources", F.md5("prompt").alias("prompt_md5"),
-                      "chart_type", "error")
+    # the retrieved texts depend on the hashed embedder; the checked columns do not
+    return res.select("question_id", "store_name", F.col("n_sources").cast("bigint").alias("n_sources"),
+                      (F.char_length("prompt") > 0).alias("has_prompt"), "chart_type", "error")
 
 
 QUERIES.update({
@@ -756,3 +757,17 @@ from (select conv_id, turn, q, {_sql_intent('q')} chart_type from {_USER_Q})"""
 
 QUERIES["chart_specs"] = q_chart_specs
 ORACLE["chart_specs"] = _sql_chart_specs()
+
+
+ORACLE["ingest_job"] = f"""
+select cast(0 as bigint) doc_id, 'dataset_summary' doc_type, cast(null as bigint) num_rows,
+       cast({search.EMBED_FEATURES} as bigint) n_dims
+union all
+select cast(floor(i / 50) as bigint) + 1, 'data_chunk', count(*), cast({search.EMBED_FEATURES} as bigint)
+from (select row_number() over (order by event_id) - 1 i from events) group by 1"""
+
+ORACLE["ask_text_batch"] = f"""
+select conv_id * 1000 + turn question_id, 'documents' store_name,
+       cast(least(3, (select count(*) from documents)) as bigint) n_sources, true has_prompt,
+       {_sql_intent('lower(text)')} chart_type, cast(null as varchar) error
+from conversations where role = 'user' and length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 0"""
