@@ -148,13 +148,12 @@ def corpus_docs(df: DataFrame, order_by: list[str], fields: RowFields | None = N
     chunks = chunk_table(df, order_by, fields, n)
     data = df.drop(*(hidden or []))
     cols = F.array(*[F.lit(c) for c in data.columns])
-    summary = dataset_summary(data, date_col=date_col, stat_columns=stat_columns)
-    total_rows = data.select(F.count(F.lit(1))).scalar()
+    summary = dataset_summary(data, date_col=date_col, stat_columns=stat_columns, with_rows=True)
     head = summary.select(
         F.lit(0).cast("bigint").alias("doc_id"), F.lit(DOC_TYPE_SUMMARY).alias("doc_type"),
         F.lit(None).cast("bigint").alias("chunk_id"), F.lit(None).cast("bigint").alias("start_row"),
         F.lit(None).cast("bigint").alias("end_row"), F.lit(None).cast("bigint").alias("num_rows"),
-        total_rows.cast("bigint").alias("total_rows"), cols.alias("columns"),
+        F.col("total_rows").cast("bigint").alias("total_rows"), cols.alias("columns"),
         F.col("summary").alias("page_content"))
     body = chunks.select(
         (F.col("chunk_id") + 1).alias("doc_id"), F.lit(DOC_TYPE_CHUNK).alias("doc_type"),

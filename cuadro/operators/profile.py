@@ -95,8 +95,10 @@ def top_values(df: DataFrame, columns: list[str] | None = None, n: int = TOP_VAL
 
 
 def dataset_summary(df: DataFrame, date_col: str | None = DEFAULT_DATE_COLUMN,
-                    stat_columns: list[str] | None = None, n_top: int = TOP_VALUES) -> DataFrame:
-    """The summary document as one text row (column ``summary``).
+                    stat_columns: list[str] | None = None, n_top: int = TOP_VALUES,
+                    with_rows: bool = False) -> DataFrame:
+    """The summary document as one text row (column ``summary``; with ``with_rows`` also
+    ``total_rows``, counted by the same aggregate).
 
     Lines: title, total rows, period (when ``date_col`` exists), column list, numeric
     statistics for ``stat_columns`` (default: Price and Quantity when present), and the top
@@ -139,4 +141,7 @@ def dataset_summary(df: DataFrame, date_col: str | None = DEFAULT_DATE_COLUMN,
             # a column without any value still gets its (empty) line
             lines.append(F.concat(F.lit(f"{c}: "), F.coalesce(F.element_at(items, F.lit(c)), F.lit(""))))
     # only present parts are listed, so no empty line needs filtering
-    return wide.select(F.concat_ws("\n", *lines).alias("summary"))
+    out = [F.concat_ws("\n", *lines).alias("summary")]
+    if with_rows:
+        out.append(F.col("__rows").alias("total_rows"))
+    return wide.select(*out)
