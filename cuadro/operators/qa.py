@@ -55,8 +55,8 @@ def stuff_context(ranked: DataFrame, group_cols: list[str], rank_col: str, text_
 
 def sources_column(rank_col: str, content_col: str, metadata: Column) -> Column:
     """Aggregate: the retrieved sources in rank order, content cut to a snippet."""
-    return F.transform(
-        F.sort_array(F.collect_list(F.struct(F.col(rank_col).alias("r"),
-                                             snippet(F.col(content_col)).alias("content"),
-                                             metadata.alias("metadata")))),
-        lambda x: F.struct(x["content"].alias("content"), x["metadata"].alias("metadata")))
+    items = F.collect_list(F.struct(F.col(rank_col).alias("r"), snippet(F.col(content_col)).alias("content"),
+                                    metadata.alias("metadata")))
+    # ordered by rank alone (metadata may be a map, which has no ordering)
+    by_rank = F.array_sort(items, lambda a, b: F.when(a["r"] < b["r"], -1).when(a["r"] > b["r"], 1).otherwise(0))
+    return F.transform(by_rank, lambda x: F.struct(x["content"].alias("content"), x["metadata"].alias("metadata")))

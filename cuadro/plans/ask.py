@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.intent import chart_intent
+from .chart import chart_file_name
 from ..functions.text import strip_outer
 from ..session import checkpoint_dir
 from ..operators.qa import ASK_K, CONTEXT_SEPARATOR, ERROR_ANSWER, build_prompt, sources_column
@@ -33,7 +34,7 @@ def ask_batch(questions: DataFrame, corpus: DataFrame, k: int = ASK_K,
     ``questions``: question_id, question, store_name, embedding (the question vector).
     ``corpus``: doc_id, page_content, store_name, embedding (+ columns used by ``metadata``).
     Output: question_id, question, store_name, answer, context, prompt, sources, n_sources,
-    chart_type, error, model_used.
+    chart_type, chart_filename, error, model_used.
     """
     checkpoint_dir(questions.sparkSession)      # make sure one is set (tests: a local folder)
     qs = questions.where(F.length(strip_outer(F.col(question))) > 0)
@@ -53,7 +54,12 @@ def ask_batch(questions: DataFrame, corpus: DataFrame, k: int = ASK_K,
     # so are their hits, and the corpus is probed in place instead of being shuffled
     if stats["n"] * k * 64 <= (broadcast_bytes or BROADCAST_BYTES):
         hits = F.broadcast(hits)
-    meta = metadata if metadata is not None else F.struct(F.col("doc_id"), F.col("store_name"))
+    if metadata is not None:
+        meta = metadata
+    elif "metadata" in corpus.columns:
+        meta = F.col("metadata")                 # the stored document's own metadata
+    else:
+        meta = F.struct(F.col("doc_id"), F.col("store_name"))
     # texts are fetched from the corpus without its vector column, so the vectors are not
     # read (or recomputed) a second time; only documents with a vector can be hits anyway
     hit_docs = corpus.select("doc_id", F.col("store_name").cast("string").alias("group"), "page_content",
@@ -74,6 +80,7 @@ def ask_batch(questions: DataFrame, corpus: DataFrame, k: int = ASK_K,
         F.coalesce(F.col("sources"), F.array().cast(per_q.schema["sources"].dataType)).alias("sources"),
         F.coalesce(F.col("n_sources"), F.lit(0)).alias("n_sources"),
         chart_intent(F.col(question)).alias("chart_type"),
+        chart_file_name(F.col(question)).alias("chart_filename"),
         F.when(~is_known, F.concat(F.lit("Vector store '"), F.col(store_col), F.lit("' no encontrado")))
         .alias("error"),
         F.lit(model_name).cast("string").alias("model_used"))

@@ -132,6 +132,14 @@ def chart_trend(df: DataFrame, spec: ChartSpec) -> DataFrame | None:
     return charts.linear_trend(df, spec.columns["x"], spec.columns["y"])
 
 
+def chart_file_name(question: Column) -> Column:
+    """``<stem>_<md5(question)[:12]>.png`` when the question asks for a chart, else NULL."""
+    kind = chart_intent(question)
+    stem = F.create_map(*[x for k, v in FILE_STEMS.items() for x in (F.lit(k), F.lit(v))])
+    return F.when(kind.isNotNull(), F.concat(F.element_at(stem, kind), F.lit("_"),
+                                             F.substring(F.md5(question), 1, 12), F.lit(".png")))
+
+
 def chart_records(questions: DataFrame, question_col: str = "question",
                   path_prefix: Column | str | None = None) -> DataFrame:
     """Chart record per question of a question table, in one projection.
@@ -142,15 +150,11 @@ def chart_records(questions: DataFrame, question_col: str = "question",
     """
     q = F.col(question_col)
     kind = chart_intent(q)
-    stem = F.create_map(*[x for k, v in FILE_STEMS.items() for x in (F.lit(k), F.lit(v))])
-    chart_id = F.substring(F.md5(q), 1, 12)
-    fname = F.when(kind.isNotNull(),
-                   F.concat(F.element_at(stem, kind), F.lit("_"), chart_id, F.lit(".png")))
     out = questions.withColumns({
         "chart_type": kind,
         "chart_generated": kind.isNotNull(),
-        "chart_id": chart_id,
-        "chart_filename": fname,
+        "chart_id": F.substring(F.md5(q), 1, 12),
+        "chart_filename": chart_file_name(q),
     })
     if path_prefix is not None:
         prefix = F.lit(path_prefix) if isinstance(path_prefix, str) else path_prefix

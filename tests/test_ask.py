@@ -36,3 +36,15 @@ def test_ask_batch_records(spark):
 def test_build_prompt_column(spark):
     df = spark.createDataFrame([("ctx", "q?")], "c string, q string")
     assert df.select(build_prompt(F.col("c"), F.col("q"))).first()[0] == PROMPT_TEMPLATE.format(context="ctx", question="q?")
+
+
+def test_sources_carry_stored_metadata_and_chart_file(spark):
+    docs = spark.createDataFrame([(i, f"doc {i}", {"type": "data_chunk", "chunk_id": str(i)}, "s", [float(i)])
+                                  for i in range(4)],
+                                 "doc_id long, page_content string, metadata map<string,string>, store_name string, "
+                                 "embedding array<float>")
+    qs = spark.createDataFrame([(1, "Haz un gráfico de barras", "s", [0.0])],
+                               "question_id long, question string, store_name string, embedding array<float>")
+    r = ask_batch(qs, docs).first()
+    assert r["sources"][0]["metadata"]["chunk_id"] == "0"
+    assert r["chart_filename"].startswith("bar_chart_") and r["chart_filename"].endswith(".png")
