@@ -200,11 +200,12 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
     """
     texts = columns or [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     aggs = []
-    for c in texts:
-        aggs += [F.count(F.col(c)).alias(f"{c}__n"), F.count(guarded_double(F.col(c))).alias(f"{c}__d")]
+    for i, c in enumerate(texts):
+        aggs += [F.count(F.col(c)).alias(f"n{i}"), F.count(guarded_double(F.col(c))).alias(f"d{i}")]
     wide = df.agg(*aggs)
-    stack = ", ".join(f"'{c}', `{c}__n`, `{c}__d`" for c in texts)
-    return wide.selectExpr(f"stack({len(texts)}, {stack}) as (`column`, n_values, n_numeric)")
+    rows = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n_values"), F.col(f"d{i}").alias("n_numeric"))
+            for i, c in enumerate(texts)]
+    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def row_total(df: DataFrame, price: str = "Price", quantity: str = "Quantity",

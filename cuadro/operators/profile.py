@@ -75,11 +75,12 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFram
     """One row per numeric column: min, max, mean (2 decimals) and exact total."""
     cols = columns or numeric_columns(df.schema)
     wide = df.agg(*_numeric_aggs(cols))
-    parts = ", ".join(
-        f"'{c}', mn{i}, mx{i}, cast(round(try_divide(s{i}, n{i}), 2) as double), "
-        f"cast(coalesce(s{i}, 0) as double)"
-        for i, c in enumerate(cols))
-    return wide.selectExpr(f"stack({len(cols)}, {parts}) as (`column`, min, max, mean, total)")
+    rows = [F.struct(F.lit(c).alias("column"), F.col(f"mn{i}").alias("min"), F.col(f"mx{i}").alias("max"),
+                     F.round(F.try_divide(F.col(f"s{i}"), F.col(f"n{i}")), 2).cast("double").alias("mean"),
+                     F.coalesce(F.col(f"s{i}"), F.lit(0)).cast("double").alias("total"))
+            for i, c in enumerate(cols)]
+    # one wide row → one row per column (names stay data, never SQL text)
+    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def top_values(df: DataFrame, columns: list[str] | None = None, n: int = TOP_VALUES) -> DataFrame:

@@ -124,3 +124,11 @@ def test_short_and_long_csv_rows(spark, tmp_dir):
     import pytest
     with pytest.raises(Exception):
         csv_src.scan_csv(spark, path, mode="FAILFAST", with_order=False).collect()
+
+
+def test_awkward_column_names(spark):
+    from cuadro.operators import profile
+    df = spark.createDataFrame([("1", 2.0), ("x", 3.0)], "`it's a col` string, `price ($)` double")
+    assert [tuple(r) for r in clean.numeric_profile(df).collect()] == [("it's a col", 2, 1)]
+    r = profile.numeric_summary(df).first()
+    assert (r["column"], r["min"], r["max"], r["mean"], r["total"]) == ("price ($)", 2.0, 3.0, 2.5, 5.0)
