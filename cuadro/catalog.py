@@ -572,7 +572,8 @@ def q_ask_text_batch(spark, sf_dir):
     release()
     corpus_docs_ = store_mod.read_store(spark, base, "documents")
     turns = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
-    qs = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"),
+    # one id per (conversation, turn): the turn in the low 32 bits
+    qs = turns.select((F.col("conv_id") * F.lit(1 << 32) + F.col("turn")).alias("question_id"),
                       F.col("text").alias("question"), F.lit("documents").alias("store_name"))
     res = ask_batch(search.embed_text(model, qs, "question"), corpus_docs_)
     # the retrieved texts depend on the hashed embedder; the checked columns do not
@@ -767,7 +768,7 @@ select cast(floor(i / 50) as bigint) + 1, 'data_chunk', count(*), cast({search.E
 from (select row_number() over (order by event_id) - 1 i from events) group by 1"""
 
 ORACLE["ask_text_batch"] = f"""
-select conv_id * 1000 + turn question_id, 'documents' store_name,
+select conv_id * 4294967296 + turn question_id, 'documents' store_name,
        cast(least(3, (select count(*) from documents)) as bigint) n_sources, true has_prompt,
        {_sql_intent('lower(text)')} chart_type, cast(null as varchar) error
 from conversations where role = 'user' and length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 0"""
