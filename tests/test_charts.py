@@ -130,3 +130,13 @@ def test_nan_is_missing(spark):
 def test_pie_ties_keep_key_order_for_numbers(spark):
     df = spark.createDataFrame([(k,) for k in [9, 10, 11]], "k int")
     assert [r["label"] for r in charts.pie_shares(df, "k").orderBy("ord").collect()] == ["9", "10", "11"]
+
+
+def test_chart_records_with_path(spark):
+    from cuadro.plans.chart import chart_records
+    qs = spark.createDataFrame([("Haz un gráfico de barras",), ("hola",)], "question string")
+    rows = {r["question"]: r for r in chart_records(qs, path_prefix="/charts").collect()}
+    r = rows["Haz un gráfico de barras"]
+    assert r["chart_generated"] and r["chart_path"] == "/charts/" + r["chart_filename"]
+    assert r["chart_filename"] == f"bar_chart_{r['chart_id']}.png"
+    assert rows["hola"]["chart_type"] is None and rows["hola"]["chart_filename"] is None

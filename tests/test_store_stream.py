@@ -55,3 +55,22 @@ def test_streaming_answers(spark, tmp_dir):
         .trigger(availableNow=True).start()
     mem.awaitTermination(120)
     assert {r["question_id"]: r["chart_type"] for r in spark.table("intents").collect()} == {1: "bar", 3: None}
+
+
+def test_streaming_two_batches(spark, tmp_dir):
+    inbox = os.path.join(tmp_dir, "inbox2")
+    os.makedirs(inbox)
+    for i in range(2):
+        with open(os.path.join(inbox, f"q{i}.json"), "w") as f:
+            f.write(json.dumps({"question_id": i, "question": f"ventas {i}", "store_name": "docs"}) + "\n")
+    corpus = spark.createDataFrame([(i, f"venta {i}", "docs") for i in range(5)],
+                                   "doc_id long, page_content string, store_name string")
+    model = search.fit_text_embedder(corpus, "page_content", num_features=16)
+    corpus_v = search.embed_text(model, corpus, "page_content")
+    out = os.path.join(tmp_dir, "answers2")
+    q = start_answering(question_stream(spark, inbox, max_files_per_trigger=1), corpus_v,
+                        lambda b: search.embed_text(model, b, "question"), out,
+                        checkpoint=os.path.join(tmp_dir, "ckpt2"))
+    q.awaitTermination(120)
+    res = spark.read.parquet(out)
+    assert res.count() == 2 and res.select("batch_id").distinct().count() == 2
