@@ -51,6 +51,16 @@ def _first_with_hint(columns: list[str], hints: list[str]) -> str | None:
     return None
 
 
+def with_synonyms(question: str, synonyms: dict[str, str] | None) -> str:
+    """The question plus the column words its terms stand for (optional, off by default:
+    the reference matches column names literally, so 'ciudad' never names 'City')."""
+    q = (question or "").lower()
+    if not synonyms:
+        return q
+    extra = [v.lower() for k, v in synonyms.items() if k.lower() in q]
+    return " ".join([q] + extra)
+
+
 def _first_named_or_hinted(columns: list[str], question: str, hints: list[str]) -> str | None:
     q = (question or "").lower()
     for c in columns:
@@ -67,10 +77,10 @@ class BarRoles:
     mode: str  # 'count' or 'sum' ('sum' falls back to counts when the grand total is not > 0)
 
 
-def resolve_bar(schema: T.StructType, question: str) -> BarRoles:
+def resolve_bar(schema: T.StructType, question: str, synonyms: dict[str, str] | None = None) -> BarRoles:
     cats = string_columns(schema)
     nums = numeric_columns(schema)
-    target = _first_named_or_hinted(cats, question, BAR_TARGET_HINTS)
+    target = _first_named_or_hinted(cats, with_synonyms(question, synonyms), BAR_TARGET_HINTS)
     if target is None and cats:
         target = cats[0]
     if target is None:
@@ -123,9 +133,9 @@ def resolve_line(schema: T.StructType, parseable: list[str] | None = None) -> Li
     return LineRoles(None, nums[0], cands)
 
 
-def resolve_pie(schema: T.StructType, question: str) -> str:
+def resolve_pie(schema: T.StructType, question: str, synonyms: dict[str, str] | None = None) -> str:
     cats = string_columns(schema)
-    target = _first_named_or_hinted(cats, question, PIE_TARGET_HINTS)
+    target = _first_named_or_hinted(cats, with_synonyms(question, synonyms), PIE_TARGET_HINTS)
     if target is None and cats:
         target = cats[0]
     if target is None:

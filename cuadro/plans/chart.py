@@ -62,8 +62,9 @@ class ChartSpec:
         return d
 
 
-def bar_plan(df: DataFrame, question: str, n: int = charts.BAR_LIMIT) -> tuple[ChartSpec, DataFrame]:
-    roles = resolve_bar(df.schema, question)
+def bar_plan(df: DataFrame, question: str, n: int = charts.BAR_LIMIT,
+             synonyms: dict[str, str] | None = None) -> tuple[ChartSpec, DataFrame]:
+    roles = resolve_bar(df.schema, question, synonyms)
     spec = ChartSpec("bar", question, {"x": roles.target, "y": roles.value},
                      title=TITLE_BY.format(col=roles.target), xlabel=roles.target, mode=roles.mode)
     if roles.mode == "count":
@@ -92,8 +93,9 @@ def line_plan(df: DataFrame, question: str, order_by: list[str] | None = None
     return spec, charts.series_by_index(df, roles.value, keys)
 
 
-def pie_plan(df: DataFrame, question: str, n: int = charts.PIE_SLICES) -> tuple[ChartSpec, DataFrame]:
-    target = resolve_pie(df.schema, question)
+def pie_plan(df: DataFrame, question: str, n: int = charts.PIE_SLICES,
+             synonyms: dict[str, str] | None = None) -> tuple[ChartSpec, DataFrame]:
+    target = resolve_pie(df.schema, question, synonyms)
     spec = ChartSpec("pie", question, {"x": target}, title=TITLE_BY.format(col=target),
                      mode="shares")
     return spec, charts.pie_shares(df, target, n)
@@ -110,16 +112,19 @@ def scatter_plan(df: DataFrame, question: str) -> tuple[ChartSpec, DataFrame]:
 _PLANS = {"bar": bar_plan, "line": line_plan, "pie": pie_plan, "scatter": scatter_plan}
 
 
-def answer_chart(df: DataFrame, question: str, order_by: list[str] | None = None
-                 ) -> tuple[ChartSpec | None, DataFrame | None]:
+def answer_chart(df: DataFrame, question: str, order_by: list[str] | None = None,
+                 synonyms: dict[str, str] | None = None) -> tuple[ChartSpec | None, DataFrame | None]:
     """Dispatch one question. No chart intent → (None, None). A table without suitable
-    columns → (spec with ``error``, None), the quiet failure of the reference made explicit."""
+    columns → (spec with ``error``, None), the quiet failure of the reference made explicit.
+    ``synonyms`` (question word → column name) is optional; by default names match literally."""
     kind = detect_chart_intent(question)
     if kind is None:
         return None, None
     try:
         if kind == "line":
             return line_plan(df, question, order_by)
+        if kind in ("bar", "pie"):
+            return _PLANS[kind](df, question, synonyms=synonyms)
         return _PLANS[kind](df, question)
     except RoleError as e:
         return ChartSpec(kind, question, error=str(e)), None

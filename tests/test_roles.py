@@ -72,3 +72,11 @@ def test_missing_roles_raise():
         roles.resolve_line(_schema([("a", "s")]))
     # booleans are neither categorical nor numeric
     assert roles.numeric_columns(_schema([("flag", "b"), ("x", "d")])) == ["x"]
+
+
+def test_optional_synonyms():
+    schema = _schema([("Product", "s"), ("City", "s"), ("Quantity", "d")])
+    q = "Muestra un gráfico de ventas por ciudad"
+    assert roles.resolve_bar(schema, q).target == "Product"                       # literal names
+    assert roles.resolve_bar(schema, q, {"ciudad": "City"}).target == "City"      # opt-in map
+    assert roles.resolve_pie(schema, "gráfico circular por ciudad", {"ciudad": "City"}) == "City"
