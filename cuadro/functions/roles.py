@@ -9,6 +9,7 @@ behaviour.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
@@ -43,10 +44,19 @@ def temporal_columns(schema: T.StructType) -> list[str]:
     return [f.name for f in schema.fields if isinstance(f.dataType, kinds)]
 
 
-def _first_with_hint(columns: list[str], hints: list[str]) -> str | None:
+def has_hint(name: str, hints: list[str], whole_words: bool = False) -> bool:
+    """Whether a column name carries one of the hints: as a substring (the reference's rule,
+    so 'count' is found in 'country'), or, with ``whole_words``, as a word of the name."""
+    low = name.lower()
+    if not whole_words:
+        return any(h in low for h in hints)
+    words = set(re.split(r"[\W_]+", low))
+    return any(h in words for h in hints)
+
+
+def _first_with_hint(columns: list[str], hints: list[str], whole_words: bool = False) -> str | None:
     for c in columns:
-        low = c.lower()
-        if any(h in low for h in hints):
+        if has_hint(c, hints, whole_words):
             return c
     return None
 
@@ -61,11 +71,11 @@ def with_synonyms(question: str, synonyms: dict[str, str] | None) -> str:
     return " ".join([q] + extra)
 
 
-def _first_named_or_hinted(columns: list[str], question: str, hints: list[str]) -> str | None:
+def _first_named_or_hinted(columns: list[str], question: str, hints: list[str],
+                           whole_words: bool = False) -> str | None:
     q = (question or "").lower()
     for c in columns:
-        low = c.lower()
-        if low in q or any(h in low for h in hints):
+        if c.lower() in q or has_hint(c, hints, whole_words):
             return c
     return None
 
@@ -77,17 +87,17 @@ class BarRoles:
     mode: str  # 'count' or 'sum' ('sum' falls back to counts when the grand total is not > 0)
 
 
-def resolve_bar(schema: T.StructType, question: str, synonyms: dict[str, str] | None = None) -> BarRoles:
+def resolve_bar(schema: T.StructType, question: str, synonyms: dict[str, str] | None = None,
+                whole_words: bool = False) -> BarRoles:
     cats = string_columns(schema)
     nums = numeric_columns(schema)
-    target = _first_named_or_hinted(cats, with_synonyms(question, synonyms), BAR_TARGET_HINTS)
+    target = _first_named_or_hinted(cats, with_synonyms(question, synonyms), BAR_TARGET_HINTS, whole_words)
     if target is None and cats:
         target = cats[0]
     if target is None:
         raise RoleError(f"no categorical column for a bar chart; columns: {schema.names}")
-    value = _first_with_hint(nums, BAR_VALUE_HINTS) or (nums[0] if nums else None)
-    low = target.lower()
-    if any(h in low for h in BAR_COUNT_MODE_HINTS) or value is None:
+    value = _first_with_hint(nums, BAR_VALUE_HINTS, whole_words) or (nums[0] if nums else None)
+    if has_hint(target, BAR_COUNT_MODE_HINTS, whole_words) or value is None:
         mode = "count"
     else:
         mode = "sum"
@@ -133,9 +143,10 @@ def resolve_line(schema: T.StructType, parseable: list[str] | None = None) -> Li
     return LineRoles(None, nums[0], cands)
 
 
-def resolve_pie(schema: T.StructType, question: str, synonyms: dict[str, str] | None = None) -> str:
+def resolve_pie(schema: T.StructType, question: str, synonyms: dict[str, str] | None = None,
+                whole_words: bool = False) -> str:
     cats = string_columns(schema)
-    target = _first_named_or_hinted(cats, with_synonyms(question, synonyms), PIE_TARGET_HINTS)
+    target = _first_named_or_hinted(cats, with_synonyms(question, synonyms), PIE_TARGET_HINTS, whole_words)
     if target is None and cats:
         target = cats[0]
     if target is None:
@@ -150,11 +161,11 @@ class ScatterRoles:
     warning: str | None = None
 
 
-def resolve_scatter(schema: T.StructType) -> ScatterRoles:
+def resolve_scatter(schema: T.StructType, whole_words: bool = False) -> ScatterRoles:
     nums = numeric_columns(schema)
     if len(nums) < 2:
         raise RoleError(f"a scatter plot needs two numeric columns; numeric: {nums}")
-    x = _first_with_hint(nums, SCATTER_X_HINTS) or nums[0]
-    y = _first_with_hint(nums, SCATTER_Y_HINTS) or nums[1]
+    x = _first_with_hint(nums, SCATTER_X_HINTS, whole_words) or nums[0]
+    y = _first_with_hint(nums, SCATTER_Y_HINTS, whole_words) or nums[1]
     warning = f"x and y resolve to the same column {x}" if x == y else None
     return ScatterRoles(x, y, warning)

@@ -80,3 +80,10 @@ def test_optional_synonyms():
     assert roles.resolve_bar(schema, q).target == "Product"                       # literal names
     assert roles.resolve_bar(schema, q, {"ciudad": "City"}).target == "City"      # opt-in map
     assert roles.resolve_pie(schema, "gráfico circular por ciudad", {"ciudad": "City"}) == "City"
+
+
+def test_optional_whole_word_hints():
+    schema = _schema([("region", "s"), ("country", "d"), ("unit_count", "d")])
+    assert roles.resolve_bar(schema, "x").value == "country"                       # substring rule
+    assert roles.resolve_bar(schema, "x", whole_words=True).value == "unit_count"  # word rule
+    assert roles.has_hint("Sussex", ["sex"]) and not roles.has_hint("Sussex", ["sex"], whole_words=True)
