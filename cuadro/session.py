@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +50,7 @@ def configure(spark: SparkSession, shuffle_partitions: int | None = None) -> Non
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    ship_package(spark)
     if shuffle_partitions:
         spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions))
 
@@ -56,8 +58,8 @@ def configure(spark: SparkSession, shuffle_partitions: int | None = None) -> Non
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    It is read from the session; only when it is unset (local tests) a fresh folder is
-    created and registered, so cluster jobs never write to a machine-local path.
+    It is read from the session. Where it is unset, a local master (tests) gets a fresh
+    folder; any other master raises, because executors cannot see the driver's disk.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -65,15 +67,54 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not conf:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         conf = tempfile.mkdtemp(prefix="cuadro-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unique path under the shared checkpoint folder."""
+    """A new, unique path under the shared checkpoint folder, removed when the session ends."""
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/cuadro/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/cuadro/{name}-{uuid.uuid4().hex[:12]}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared scratch folder and read it back.
+
+    Cuts lineage like a reliable checkpoint: a lost executor re-reads files instead of
+    recomputing, and several consumers share one evaluation.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application.
+
+    Functions run in the workers are pickled by module name, so the package must be importable
+    there whatever folder the driver was started from.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_cuadro_shipped", None):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    holder = tempfile.TemporaryDirectory(prefix="cuadro-py-")   # kept: the driver serves the file
+    archive = os.path.join(os.path.realpath(holder.name), f"cuadro-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for root, _, files in os.walk(here):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    sc.addPyFile(archive)
+    sc._cuadro_shipped = holder
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
