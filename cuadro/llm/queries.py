@@ -1,4 +1,4 @@
-"""Registered queries of the training-data operators: one ``opN_<name>`` each, and the pipeline."""
+"""Registered queries of the training-data operators: one ``opN_<name>`` each."""
 
 from __future__ import annotations
 
@@ -9,12 +9,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuadro.llm import bpe, language_id, pii
-from cuadro.llm.common import documents, held_out
+from cuadro.llm import bpe, decontam, language_id, license_scan, lm, pii, quality, secret_scan, simhash, suffix_dedup
+from cuadro.llm.common import documents, held_out, id_text
+from cuadro.session import read_table
 
 BPE_RANKS = os.environ.get("CUADRO_BPE_RANKS") or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.per_document(documents(spark, sf_dir), license_scan.known_licenses(spark))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     profiles = language_id.learn(docs.where(~held_out("doc_id", 4, 2)), F.col("lang"))
@@ -30,10 +35,115 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = id_text(documents(spark, sf_dir))
+    training = docs.where(~held_out("doc_id", 7, 2)).select("text")
+    scored = lm.score(docs, training)
+    return scored.select("doc_id", held_out("doc_id", 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir), shingle=4, bits=4)
+    return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir)).drop("kept")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    order = quality.ordered(quality.RULES, quality.estimate(docs, quality.RULES))
+    base = [f"coalesce({r.reject}, false)" for r in quality.BASE_RULES]
+    shown = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    judged = quality.cascade(docs, [*quality.BASE_RULES, *order], ["doc_id"], quality.MEASURES)
+    return judged.select("doc_id", *shown, F.expr(" or ".join(base)).alias("base_failed"),
+                         F.col("rejected_by").isNull().alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_pii": op4_pii,
+    "op5_lm_score": op5_lm_score,
+    "op6_decontamination": op6_decontamination,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_simhash": op8_simhash,
+    "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE: dict[str, str] = {}
+_WS = r"[ \t\n\x0b\f\r]"
+
+#: Written by hand from the contracts; RE2 syntax.
+ORACLE: dict[str, str] = {
+    "op1_license_scan": r"""
+with known(license, body) as (values
+  ('Apache-2.0', 'licensed under the apache license version 2 0'),
+  ('Apache-2.0', 'licensed under the apache license version 2 0 the license'),
+  ('Apache-2.0', 'this work is licensed under the apache license version 2 0'),
+  ('Apache-2.0', 'spdx license identifier apache 2 0'),
+  ('MIT', 'released under the mit license'), ('MIT', 'licensed under the mit license'),
+  ('MIT', 'this work is licensed under the mit license'), ('MIT', 'spdx license identifier mit'),
+  ('GPL-3.0', 'this work is licensed under the gnu general public license version 3'),
+  ('GPL-3.0', 'licensed under the gnu general public license version 3'),
+  ('GPL-3.0', 'released under the gnu general public license version 3'),
+  ('GPL-3.0', 'spdx license identifier gpl 3 0'),
+  ('GPL-2.0', 'licensed under the gnu general public license version 2'),
+  ('LGPL-3.0', 'licensed under the gnu lesser general public license version 3'),
+  ('BSD-3-Clause', 'licensed under the bsd 3 clause license'), ('BSD-3-Clause', 'spdx license identifier bsd 3 clause'),
+  ('MPL-2.0', 'licensed under the mozilla public license version 2 0'),
+  ('CC-BY-4.0', 'this work is licensed under a creative commons attribution 4 0 international license'),
+  ('CC-BY-4.0', 'this work is licensed under cc by 4 0'), ('CC-BY-4.0', 'licensed under cc by 4 0'),
+  ('CC-BY-SA-4.0', 'licensed under cc by sa 4 0'),
+  ('CC-BY-SA-4.0', 'this work is licensed under a creative commons attribution sharealike 4 0 international license'),
+  ('CC-BY-NC-4.0', 'licensed under cc by nc 4 0'),
+  ('CC-BY-NC-4.0', 'this work is licensed under a creative commons attribution noncommercial 4 0 international license'),
+  ('CC0-1.0', 'this work is dedicated to the public domain'),
+  ('LicenseRef-all-rights-reserved', 'all rights reserved')),
+d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+parts as (select rid, t, string_split_regex(t, '\n[ \t\r]*\n') as bs, string_split(t, chr(10)) as ls from d),
+u as (select rid, 'document' as kind, 1 as n, t as body from d
+      union all select rid, 'block', unnest(range(len(bs))), unnest(bs) from parts where len(bs) > 1
+      union all select rid, 'line', unnest(range(len(ls))), unnest(ls) from parts where len(ls) > 1),
+lowered as (select rid, kind, n, regexp_replace(lower(body), '(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[^\n]*$', ' ', 'g') as b from u),
+spelt as (select rid, kind, n, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(b,
+  'licence', 'license'), 'licenced', 'licensed'), 'sub-license', 'sublicense'), 'non-commercial', 'noncommercial'),
+  'https://', 'http://'), 'organisation', 'organization'), 'acknowledgement', 'acknowledgment'),
+  'merchantibility', 'merchantability'), 'per cent', 'percent'), 'copyright owner', 'copyright holder'),
+  '&', ' and '), 'ver.', 'version') as b from lowered),
+form as (select rid, kind, n, trim(regexp_replace(b, '[^\p{L}\p{N}]+', ' ', 'g')) as f from spelt),
+hit as (select rid, kind, n, license from form join known on f = body and f <> ''),
+agg as (select rid, min(case when kind = 'document' then license end) as whole_license,
+        count(distinct kind || ':' || n) as n_matches,
+        array_to_string(list_sort(list_distinct(list(license))), ',') as licenses from hit group by rid)
+select doc_id, whole_license, coalesce(n_matches, 0) as n_matches, coalesce(licenses, '') as licenses
+from d left join agg using (rid)""",
+    "op10_quality_rules": rf"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+w as (select rid, doc_id, t, list_filter(string_split_regex(t, '{_WS}+'), lambda x: x <> '') as ws,
+      list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0b\f\r]')) as ls from d),
+g as (select rid, ws, unnest(range(1, len(ws) - 3)) as i from w where len(ws) >= 5),
+c as (select rid, i, count(*) over (partition by rid, list_slice(ws, i, i + 4)) as n from g),
+r as (select rid, count(distinct p) as n_repeat_words
+      from (select rid, unnest(range(i, i + 5)) as p from c where n > 1) group by rid),
+m as (select rid, doc_id, len(ws) as n_words, length(regexp_replace(t, '{_WS}', '', 'g')) as word_chars,
+      length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+      len(ls) as n_lines, len(ls) - len(list_distinct(ls)) as n_dup_lines,
+      coalesce(n_repeat_words, 0) as n_repeat_words from w left join r using (rid)),
+b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not (base_failed or 20 * n_symbols > word_chars or word_chars < 2 * n_words or word_chars > 20 * n_words
+       or (n_lines >= 4 and 10 * n_dup_lines > 3 * n_lines)) as kept
+from b""",
+}
