@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuadro.llm.common import groups, id_text
 
@@ -72,9 +73,24 @@ def counted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return grams[first], np.diff(np.append(first, len(grams)))
 
 
-def ranked(grams: np.ndarray, size: int) -> np.ndarray:
+PIECE = 1_000_000               # characters counted at once
+
+
+def text_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Counted n-grams of a text. A long one is cut before characters that are no letters: no
+    n-gram reaches across such a place, so the counts of the pieces add up."""
+    parts, at = [], 0
+    while at < len(text):
+        end = at + PIECE
+        while end < len(text) and text[end].isalpha():
+            end += 1
+        parts.append(counted(ngrams(letters(text[at:end]))))
+        at = end
+    return _summed(parts)
+
+
+def ranked(keys: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
     """The ``size`` most frequent grams, most frequent first, ties by the gram."""
-    keys, n = counted(grams)
     return keys[np.argsort(-n, kind="stable")[:size]]
 
 
@@ -97,11 +113,11 @@ def learn(docs: DataFrame, lang: Column, size: int = SIZE, text_col: str = "text
         held: dict[str, list] = {}
         entries = 0
         for group in groups(batches):
-            by_lang: dict[str, list[np.ndarray]] = {}
+            by_lang: dict[str, list[str]] = {}
             for name, text in group:
-                by_lang.setdefault(name, []).append(ngrams(letters(text)))
-            for name, parts in by_lang.items():
-                new = counted(np.concatenate(parts))
+                by_lang.setdefault(name, []).append(text)
+            for name, texts in by_lang.items():
+                new = text_counts("\n".join(texts))
                 before = sum(len(k) for k, _ in held.get(name, []))
                 held[name] = [_summed([*held.get(name, []), new])]
                 entries += len(held[name][0][0]) - before
@@ -155,10 +171,10 @@ class Profiles:
         """The nearest language and 1 - distance / the largest possible distance."""
         if not text or not self.names:
             return UNKNOWN, 0.0
-        cp = letters(text)
-        if len(cp) <= 1:                                      # blanks only
+        keys, n = text_counts(text)
+        if not len(keys):                                     # no letter
             return UNKNOWN, 0.0
-        grams = ranked(ngrams(cp), self.size)
+        grams = ranked(keys, n, self.size)
         distance = self.distances(grams)
         best = int(np.argmin(distance))
         return self.names[best], float(1 - distance[best] / (self.size * len(grams)))
@@ -182,7 +198,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = SIZE, i
 def label(docs: DataFrame, profiles: dict[str, list[int]], size: int = SIZE) -> DataFrame:
     """The input with columns ``lang_pred`` and ``score`` after its own; their names must be free."""
     at = docs.columns.index("text")
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         table = Profiles(profiles, size)

@@ -182,7 +182,7 @@ class Scorer:
         return {w: i + 1 for i, w in enumerate(self.words[:self.events - 1])}
 
 
-def train(texts: DataFrame, scorer: Scorer, rate: float = 0.05, noise: int = 32, batch: int = 4096) -> np.ndarray:
+def train(texts: DataFrame, scorer: Scorer, rate: float = 0.2, noise: int = 32, batch: int = 1024) -> np.ndarray:
     """Train a copy of the model in every task on all its texts and average the copies."""
     schema = pa.schema([("at", pa.int32()), ("x", pa.float64()), ("n", pa.int64())])
     shared = texts.sparkSession.sparkContext.broadcast(

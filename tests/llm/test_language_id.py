@@ -101,3 +101,10 @@ def test_query_held_out_accuracy(spark):
     held = [r for r in rows if r.held_out]
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.97 * len(held)
     assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_long_texts_are_counted_in_pieces(monkeypatch):
+    text = "Ein Wort, noch ein Wort! " * 40 + "x" * 30 + " ende"
+    whole = L.text_counts(text)
+    monkeypatch.setattr(L, "PIECE", 17)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, L.text_counts(text)))
