@@ -106,10 +106,6 @@ def _with(df: DataFrame, measure: str, wanted: Column) -> DataFrame:
     raise ValueError(f"unknown measure {measure}")
 
 
-def _hidden(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c.startswith("_")]
-
-
 def measure(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The id and all measures of every row."""
     df = _prepared(docs, [id_col])
@@ -118,13 +114,21 @@ def measure(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return df.select(id_col, *MEASURES)
 
 
+def first_rows(docs: DataFrame, rows: int) -> DataFrame:
+    """Some ``rows`` texts. Of a Parquet table only its first file is opened, however large the table."""
+    files = docs.inputFiles()
+    if files and files[0].endswith(".parquet"):
+        docs = docs.sparkSession.read.schema(docs.schema).parquet(files[0])
+    return docs.select("text").limit(rows)
+
+
 def estimate(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + RULES, rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
-    """{rule: (seconds, rejection rate)} on the first ``rows`` rows that Spark reads.
+    """{rule: (seconds, rejection rate)} on ``first_rows``.
 
     The sample is written once, so each timing starts from the same small table; the time of
     reading it alone is taken off.
     """
-    sample = materialise(docs.select("text").limit(rows), "quality-sample")
+    sample = materialise(first_rows(docs, rows), "quality-sample")
 
     def run(df: DataFrame, reject: str) -> tuple[float, float]:
         best, rate = float("inf"), 0.0
@@ -156,6 +160,8 @@ def cascade(docs: DataFrame, rules: list[Rule], keep: list[str], always: tuple[s
 
     A rule, and the measures only it needs, are evaluated for rows that no earlier rule rejected.
     """
+    if clash := {k for k in keep if k in MEASURES or k.startswith("_")}:
+        raise ValueError(f"kept columns named like measures: {sorted(clash)}")
     df = _prepared(docs, keep)
     for m in always:
         df = _with(df, m, F.lit(True))
