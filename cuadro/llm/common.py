@@ -53,3 +53,18 @@ def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
 def words_of(text: str | None) -> list[bytes]:
     """Runs of characters outside space and \\x09-\\x0D, with A-Z lower-cased, as UTF-8."""
     return [] if text is None else text.encode().lower().split()
+
+
+HOT_SHARE = 1000
+
+
+def join_by_count(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with a table of one row a key that counts the key's rows in ``n``.
+
+    Keys with over 1/HOT_SHARE of all ``total`` rows, of which there are fewer than HOT_SHARE, are
+    broadcast, so no task gathers the rows of a hot key; the other keys are joined as Spark likes.
+    """
+    is_hot = F.col("n") * HOT_SHARE > total
+    hot, cold = keyed.where(is_hot).drop("n"), keyed.where(~is_hot).drop("n")
+    cold_rows = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(cold_rows.join(cold, key))

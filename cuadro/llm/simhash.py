@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuadro.llm.common import groups, id_text, words_of
+from cuadro.llm.common import groups, id_text, join_by_count, words_of
 from cuadro.llm.components import components
 from cuadro.session import materialise
 
@@ -241,12 +241,12 @@ def links(distinct: DataFrame, bits: int, segments: int, bucket: int = BUCKET) -
 def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, segments: int = 8) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable over links) for every row."""
     fps = materialise(fingerprints(docs, shingle), "simhash-fp")
-    by_fp = fps.groupBy("fp").agg(F.min("doc_id").alias("lowest"))
+    by_fp = fps.groupBy("fp").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("n"))
     joined = components(links(by_fp.select("fp"), bits, segments), "a", "b")      # node, root
     lowest = joined.join(by_fp, joined.node == by_fp.fp).groupBy("root").agg(F.min("lowest").alias("lowest"))
     linked_ids = joined.join(lowest, "root").select(F.col("node").alias("fp"), F.col("lowest").alias("component_id"))
-    ids = by_fp.join(linked_ids, "fp", "left").select("fp", F.coalesce("component_id", "lowest").alias("component_id"))
-    return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = by_fp.join(linked_ids, "fp", "left").select("fp", F.coalesce("component_id", "lowest").alias("component_id"), "n")
+    return join_by_count(fps, ids, "fp", fps.count()).select("doc_id", "fp", "component_id")
 
 
 def fingerprint_hex(fp: str = "fp"):
