@@ -9,12 +9,13 @@ so two equal windows hold an anchor at the same place, and it is enough to compa
 anchors: 50 bytes to the right and 26 to the left hold every window around an anchor.
 
 1. Documents are packed into runs of about ``RUN_BYTES`` (a longer document is a run alone),
-   written once as one compressed row a run.
+   written once as one compressed row a run. Of documents with the same text only those with the
+   smallest doc_id go on: all windows of the others start in a smaller doc_id.
 2. Each run sends its distinct anchor hashes as sorted, delta-coded blocks by hash range. A range
    answers with one bit a hash: does another run have it?
-3. Each run sorts the suffixes of its shared anchors (key: hash, bytes to the right, bytes to the
-   left), keeps each different key once with its smallest doc_id, and sends the sorted run in
-   ranges, front-coded: the length of the prefix shared with the key before, and the rest.
+3. Each run sorts the suffixes of its shared anchors by range (key: bytes to the right, bytes to
+   the left), keeps each different key once with its smallest doc_id, and sends the sorted run,
+   front-coded: the length of the prefix shared with the key before, and the rest.
 4. A range merges its runs with a loser tree that carries common-prefix lengths: two heads whose
    known prefixes differ in length need no comparison, others are compared from the known prefix
    on. Keys with the same 24 bytes come out together; their windows are compared and each run is
@@ -43,23 +44,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuadro.llm.common import groups, id_text
+from cuadro.llm.common import groups, id_text, join_by_count
 from cuadro.session import materialise, scratch_path
 
 WINDOW, GRAM = 50, 24
 SPAN = WINDOW - GRAM + 1         # starts of a gram inside a window, and windows around an anchor
 LEFT = SPAN - 1
-RUN_BYTES = 12_000_000
+RUN_BYTES = 6_000_000
 RANGE_BYTES = 8_000_000          # text bytes for each hash range
 GROUP_KEYS = 20_000
-SCAN = 1 << 20                   # window starts handled at once
-KEY = 8 + WINDOW + LEFT + 2      # hash, right, left (nearest first), their lengths + 1
+SCAN = 1 << 16                   # window starts handled at once
+KEY = WINDOW + LEFT + 2          # right, left (nearest first), their lengths + 1
 NO_ID = (1 << 63) - 1
 ALL = (1 << SPAN) - 1
 
-RUN_DDL = "run long, ids array<long>, sizes array<long>, body binary, n_bytes long"
+RUN_DDL = "run long, ids array<long>, sizes array<long>, digests array<binary>, body binary, n_bytes long"
 RUN_SCHEMA = pa.schema([("run", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())),
-                        ("body", pa.binary()), ("n_bytes", pa.int64())])
+                        ("digests", pa.list_(pa.binary())), ("body", pa.binary()), ("n_bytes", pa.int64())])
 BLOCK_DDL = "run long, range long, block binary"
 BLOCK_SCHEMA = pa.schema([("run", pa.int64()), ("range", pa.int64()), ("block", pa.binary())])
 
@@ -88,13 +89,14 @@ def _loose(block: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 def pack(docs: DataFrame, run_bytes: int) -> DataFrame:
-    """One row a run: ids and sizes of its documents, and their bytes in one compressed body."""
+    """One row a run: ids, sizes and digests of its documents, and their bytes in one compressed body."""
 
     def row(run, ids, texts):
         body = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
         return pa.RecordBatch.from_arrays(
             [pa.array([run], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
-             pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([body], pa.binary()),
+             pa.array([[len(t) for t in texts]], pa.list_(pa.int64())),
+             pa.array([[hashlib.blake2b(t, digest_size=16).digest() for t in texts]], pa.list_(pa.binary())), pa.array([body], pa.binary()),
              pa.array([sum(map(len, texts))], pa.int64())], schema=RUN_SCHEMA)
 
     def run(batches):
@@ -113,6 +115,15 @@ def pack(docs: DataFrame, run_bytes: int) -> DataFrame:
     return id_text(docs).mapInArrow(run, RUN_DDL)
 
 
+def copies(runs: DataFrame) -> DataFrame:
+    """(run, gone): positions in a run of documents whose whole text a smaller doc_id has too."""
+    each = runs.select("run", F.posexplode(F.arrays_zip("ids", "digests")).alias("at", "doc")) \
+        .select("run", "at", F.coalesce("doc.ids", F.lit(NO_ID)).alias("id"), F.col("doc.digests").alias("digest"))
+    groups_ = each.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = join_by_count(each, groups_, "digest", each.count()).where("id > first")
+    return later.groupBy("run").agg(F.collect_list("at").alias("gone"))
+
+
 def _gram_hashes(a: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the GRAM bytes from each position, by doubling."""
     mask = (1 << 64) - 1
@@ -152,15 +163,16 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
 def anchors(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Anchor positions in the concatenated texts and their hashes; ``ends``: where each text ends."""
     at, found = [np.array([], np.int64)], [np.array([], np.uint64)]
+    begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
     for first in range(0, len(buf) - WINDOW + 1, SCAN):
         piece = buf[first:first + SCAN + WINDOW - 1]
         h = _gram_hashes(piece)
         least = _sliding(h, SPAN, np.minimum)                          # by window start
-        start = np.arange(first, first + len(least))
-        inside = start + WINDOW <= ends[np.searchsorted(ends, start, side="right").clip(max=len(ends) - 1)]
-        least = np.where(inside, least, np.uint64(0))                  # a window across texts chooses nothing
-        padded = np.concatenate([np.zeros(SPAN - 1, np.uint64), least, np.zeros(SPAN - 1, np.uint64)])
-        chosen = np.flatnonzero((_sliding(padded, SPAN, np.maximum) == h) & (h > 0))
+        near = slice(np.searchsorted(ends, first, side="right"), np.searchsorted(begins, first + len(least)))
+        for b, e in zip(begins[near].tolist(), ends[near].tolist()):    # a window across texts chooses nothing
+            least[max(b, e - WINDOW + 1, first) - first:max(e - first, 0)] = 0
+        edge = np.zeros(SPAN - 1, np.uint64)
+        chosen = np.flatnonzero((_sliding(np.concatenate([edge, least, edge]), SPAN, np.maximum) == h) & (h > 0))
         at.append(chosen + first)
         found.append(h[chosen])
     at, index = np.unique(np.concatenate(at), return_index=True)
@@ -168,10 +180,15 @@ def anchors(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, text ends and doc_ids of a run."""
+    """Bytes, text ends and doc_ids of a run, without its copies of smaller documents."""
     buf = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["body"]) or b"", np.uint8)
     ids = np.array([NO_ID if i is None else i for i in row["ids"]], np.int64)
-    return buf, np.cumsum(np.array(row["sizes"], np.int64)), ids
+    sizes = np.array(row["sizes"], np.int64)
+    if row["gone"]:
+        live = np.ones(len(ids), bool)
+        live[row["gone"]] = False
+        buf, ids, sizes = buf[np.repeat(live, sizes)], ids[live], sizes[live]
+    return buf, np.cumsum(sizes), ids
 
 
 def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
@@ -196,7 +213,7 @@ def hash_blocks(runs: DataFrame, ranges: int) -> DataFrame:
     """Step 2, the runs' side: distinct anchor hashes by range, sorted and delta-coded."""
 
     def run(batches):
-        for row in _rows(batches, ("run", "ids", "sizes", "body")):
+        for row in _rows(batches, ("run", "ids", "sizes", "body", "gone")):
             buf, ends, _ = _opened(row)
             h = np.unique(anchors(buf, ends)[1])
             name, first, last = _cuts(h, ranges)
@@ -204,7 +221,7 @@ def hash_blocks(runs: DataFrame, ranges: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([row["run"]] * len(blocks), pa.int64()), pa.array(name),
                                               pa.array(blocks, pa.binary())], schema=BLOCK_SCHEMA)
 
-    return runs.select("run", "ids", "sizes", "body").mapInArrow(run, BLOCK_DDL)
+    return runs.select("run", "ids", "sizes", "body", "gone").mapInArrow(run, BLOCK_DDL)
 
 
 def shared_bits(blocks: DataFrame) -> DataFrame:
@@ -224,63 +241,64 @@ def shared_bits(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("range").applyInArrow(merge, BLOCK_DDL)
 
 
-def _keys(buf: np.ndarray, at: np.ndarray, h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+def _keys(buf: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The key of every anchor as a row of KEY bytes; ``begin``, ``end``: its text."""
-    key = np.zeros((len(at), KEY), np.uint8)
-    key[:, :8] = h.astype(">u8").view(np.uint8).reshape(-1, 8)
     right, left = np.minimum(end - at, WINDOW), np.minimum(at - begin, LEFT)
-    for i in range(WINDOW):
-        ok = i < right
-        key[ok, 8 + i] = buf[at[ok] + i]
-    for i in range(LEFT):
-        ok = i < left
-        key[ok, 8 + WINDOW + i] = buf[at[ok] - 1 - i]
+    padded = np.concatenate([np.zeros(LEFT, np.uint8), buf, np.zeros(WINDOW, np.uint8)])
+    around = np.lib.stride_tricks.sliding_window_view(padded, LEFT + WINDOW)[at]
+    key = np.empty((len(at), KEY), np.uint8)
+    key[:, :WINDOW] = around[:, LEFT:]
+    key[:, WINDOW:WINDOW + LEFT] = around[:, LEFT - 1::-1]
+    for some, have, first, width in ((np.flatnonzero(right < WINDOW), right, 0, WINDOW), (np.flatnonzero(left < LEFT), left, WINDOW, LEFT)):
+        key[some, first:first + width] *= np.arange(width) < have[some, None]      # beyond the text: zero
     key[:, KEY - 2], key[:, KEY - 1] = right + 1, left + 1
     return key
 
 
+def _sorted_run(buf: np.ndarray, ends: np.ndarray, ids: np.ndarray, bits: dict, ranges: int):
+    """Step 3 for one run: (ranges and front-coded blocks, listing of the anchors)."""
+    at, h = anchors(buf, ends)
+    distinct, place = np.unique(h, return_inverse=True)
+    shared = np.zeros(len(distinct), bool)
+    for name, a, b in zip(*_cuts(distinct, ranges)):
+        shared[a:b] = np.unpackbits(np.frombuffer(bits[int(name)], np.uint8), count=int(b - a)).astype(bool)
+    owner = np.searchsorted(ends, at, side="right")
+    low = np.full(len(distinct), NO_ID, np.int64)
+    high = np.full(len(distinct), -NO_ID, np.int64)
+    np.minimum.at(low, place, ids[owner])
+    np.maximum.at(high, place, ids[owner])
+    keep = (shared | (low < high))[place]                              # also those of two documents of this run
+    at, owner, part = at[keep], owner[keep], _range_of(h[keep], ranges)
+    del h, distinct, place, low, high
+    key = _keys(buf, at, np.concatenate([[0], ends])[owner], ends[owner])
+    order = np.lexsort((ids[owner], key.view(f"S{KEY}").ravel(), part))
+    at, owner, part, key = at[order], owner[order], part[order], key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]).any(axis=1)                        # equal keys are of one range
+    number = np.cumsum(new) - 1
+    key, part, smallest = key[new], part[new], ids[owner[new]]         # sorted by id within a key
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
+    blocks = []
+    for a, b in zip(first, [*first[1:], len(part)]):
+        own = np.zeros(b - a, np.uint8)
+        own[1:] = (key[a + 1:b] != key[a:b - 1]).argmax(axis=1)
+        rest = key[a:b][np.arange(KEY) >= own[:, None]]
+        blocks.append((int(part[a]), _squeeze(own, rest, smallest[a:b], np.arange(a, b, dtype=np.int32))))
+    mine = ids[owner] == (smallest[number] if len(number) else smallest)
+    return blocks, _squeeze(at.astype(np.int64), number.astype(np.int32), mine.astype(np.uint8))
+
+
 def suffix_runs(runs: DataFrame, ranges: int) -> DataFrame:
     """Step 3: front-coded sorted runs by range, and one row a run (range null) that lists its anchors."""
 
     def run(batches):
-        for row in _rows(batches, ("run", "ids", "sizes", "body", "bits")):
-            buf, ends, ids = _opened(row)
-            at, h = anchors(buf, ends)
-            distinct, place = np.unique(h, return_inverse=True)
-            shared = np.zeros(len(distinct), bool)
-            answers = {b["range"]: b["block"] for b in row["bits"] or []}
-            for name, a, b in zip(*_cuts(distinct, ranges)):
-                shared[a:b] = np.unpackbits(np.frombuffer(answers[int(name)], np.uint8), count=int(b - a)).astype(bool)
-            owner = np.searchsorted(ends, at, side="right")
-            low = np.full(len(distinct), NO_ID, np.int64)
-            high = np.full(len(distinct), -NO_ID, np.int64)
-            np.minimum.at(low, place, ids[owner])
-            np.maximum.at(high, place, ids[owner])
-            keep = (shared | (low < high))[place]                      # also those of two documents of this run
-            at, h, owner = at[keep], h[keep], owner[keep]
-            key = _keys(buf, at, h, np.concatenate([[0], ends])[owner], ends[owner])
-            order = np.lexsort((ids[owner], key.view(f"S{KEY}").ravel()))
-            at, owner, key = at[order], owner[order], key[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]).any(axis=1)
-            number = np.cumsum(new) - 1
-            key, smallest = key[new], ids[owner[new]]                  # sorted by id within a key
-            lcp = np.zeros(len(key), np.uint8)
-            lcp[1:] = (key[1:] != key[:-1]).argmax(axis=1)
-            blocks, names = [], []
-            for name, a, b in zip(*_cuts(key[:, :8].copy().view(">u8").ravel().astype(np.uint64), ranges)):
-                own = lcp[a:b].copy()
-                own[0] = 0
-                rest = key[a:b][np.arange(KEY) >= own[:, None]]
-                names.append(int(name))
-                blocks.append(_squeeze(own, rest, smallest[a:b], np.arange(a, b, dtype=np.int32)))
-            mine = ids[owner] == (smallest[number] if len(number) else smallest)
-            names.append(None)
-            blocks.append(_squeeze(at.astype(np.int64), number.astype(np.int32), mine.astype(np.uint8)))
-            yield pa.RecordBatch.from_arrays([pa.array([row["run"]] * len(blocks), pa.int64()),
-                                              pa.array(names, pa.int64()), pa.array(blocks, pa.binary())], schema=BLOCK_SCHEMA)
-
-    return runs.select("run", "ids", "sizes", "body", "bits").mapInArrow(run, BLOCK_DDL)
+        for row in _rows(batches, ("run", "ids", "sizes", "body", "gone", "bits")):
+            blocks, listed = _sorted_run(*_opened(row), {b["range"]: b["block"] for b in row["bits"] or []}, ranges)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([row["run"]] * (len(blocks) + 1), pa.int64()), pa.array([n for n, _ in blocks] + [None], pa.int64()),
+                 pa.array([b for _, b in blocks] + [listed], pa.binary())], schema=BLOCK_SCHEMA)
+
+    return runs.select("run", "ids", "sizes", "body", "gone", "bits").mapInArrow(run, BLOCK_DDL)
 
 
 class Run:
@@ -357,7 +375,7 @@ def merged(runs: list[Run]) -> Iterator[tuple[int, Run]]:
 def windows_of(key: bytes) -> Iterator[tuple[int, bytes]]:
     """(bytes left of the anchor, window) of every window around the anchor of a key."""
     right, left = key[KEY - 2] - 1, key[KEY - 1] - 1
-    text = key[8 + WINDOW:8 + WINDOW + left][::-1] + key[8:8 + right]
+    text = key[WINDOW:WINDOW + left][::-1] + key[:right]
     for o in range(max(0, WINDOW - right), left + 1):
         yield o, text[left - o:left - o + WINDOW]
 
@@ -417,7 +435,7 @@ def merge_ranges(blocks: DataFrame, group_keys: int) -> DataFrame:
             group.clear()
 
         for common, run in merged(runs):
-            if common < 8 + GRAM:
+            if common < GRAM:
                 close()
                 large = False
             group.append((run.key, run.docs[run.i], run.run, run.numbers[run.i]))
@@ -474,21 +492,27 @@ def cut(runs: DataFrame, with_text: bool) -> DataFrame:
     """Step 5: one row a document."""
 
     def run(batches):
-        for row in _rows(batches, ("run", "ids", "sizes", "body", "listed", "answers")):
+        for row in _rows(batches, ("run", "ids", "sizes", "body", "gone", "listed", "answers")):
             buf, ends, gone = _removed(row)
+            whole = zstandard.ZstdDecompressor().decompress(row["body"])
+            copy = set(row["gone"] or [])
             out: list[list] = [[] for _ in OUT_SCHEMA]
-            begin = 0
-            for doc_id, end in zip(row["ids"], ends.tolist()):
-                g = gone[begin:end]
-                kept = buf[begin:end][~g].tobytes()
-                spans = int(np.count_nonzero(g[1:] & ~g[:-1])) + int(len(g) > 0 and g[0])
-                for c, v in zip(out, (doc_id, end - begin, end - begin - len(kept), spans,
+            begin = start = 0                                          # in the live texts, in all texts
+            for i, (doc_id, size) in enumerate(zip(row["ids"], row["sizes"])):
+                if i in copy:
+                    kept, spans = (b"", 1) if size >= WINDOW else (whole[start:start + size], 0)
+                else:
+                    g = gone[begin:begin + size]
+                    kept = buf[begin:begin + size][~g].tobytes()
+                    spans = int(np.count_nonzero(g[1:] & ~g[:-1])) + int(len(g) > 0 and g[0])
+                    begin += size
+                for c, v in zip(out, (doc_id, size, size - len(kept), spans,
                                       hashlib.sha256(kept).hexdigest(), kept if with_text else None)):
                     c.append(v)
-                begin = end
+                start += size
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, OUT_SCHEMA)], schema=OUT_SCHEMA)
 
-    return runs.select("run", "ids", "sizes", "body", "listed", "answers").mapInArrow(
+    return runs.select("run", "ids", "sizes", "body", "gone", "listed", "answers").mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
@@ -509,6 +533,7 @@ def dedup(docs: DataFrame, with_text: bool = False, run_bytes: int = RUN_BYTES,
           group_keys: int = GROUP_KEYS) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes, if ``with_text``)."""
     runs = _by_run(pack(docs, run_bytes))
+    runs = runs.join(materialise(copies(runs), "suffix-copies"), "run", "left")
     total = runs.agg(F.sum("n_bytes")).first()[0] or 0
     ranges = 1 + total // range_bytes
     bits = shared_bits(hash_blocks(runs, ranges)).groupBy("run").agg(F.collect_list(F.struct("range", "block")).alias("bits"))
