@@ -137,8 +137,8 @@ def learn(docs: DataFrame, lang: Column, size: int = SIZE, text_col: str = "text
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    if len(parts) == 1:
-        return parts[0]
+    if len(parts) < 2:
+        return parts[0] if parts else (np.array([], np.int64), np.array([], np.int64))
     keys = np.concatenate([k for k, _ in parts])
     n = np.concatenate([c for _, c in parts])
     order = np.argsort(keys, kind="stable")
