@@ -50,9 +50,10 @@ from cuadro.session import materialise, scratch_path
 WINDOW, GRAM = 50, 24
 SPAN = WINDOW - GRAM + 1         # starts of a gram inside a window, and windows around an anchor
 LEFT = SPAN - 1
-RUN_BYTES = 6_000_000
+RUN_BYTES = 16_000_000
 RANGE_BYTES = 8_000_000          # text bytes for each hash range
 GROUP_KEYS = 20_000
+KEYS_AT_ONCE = 40_000
 SCAN = 1 << 16                   # window starts handled at once
 KEY = WINDOW + LEFT + 2          # right, left (nearest first), their lengths + 1
 NO_ID = (1 << 63) - 1
@@ -256,7 +257,10 @@ def _keys(buf: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray) -
 
 
 def _sorted_run(buf: np.ndarray, ends: np.ndarray, ids: np.ndarray, bits: dict, ranges: int):
-    """Step 3 for one run: (ranges and front-coded blocks, listing of the anchors)."""
+    """Step 3 for one run: (ranges and front-coded blocks, listing of the anchors).
+
+    Keys are made and sorted for a few ranges at a time, ``KEYS_AT_ONCE`` anchors or one range.
+    """
     at, h = anchors(buf, ends)
     distinct, place = np.unique(h, return_inverse=True)
     shared = np.zeros(len(distinct), bool)
@@ -267,25 +271,38 @@ def _sorted_run(buf: np.ndarray, ends: np.ndarray, ids: np.ndarray, bits: dict,
     high = np.full(len(distinct), -NO_ID, np.int64)
     np.minimum.at(low, place, ids[owner])
     np.maximum.at(high, place, ids[owner])
-    keep = (shared | (low < high))[place]                              # also those of two documents of this run
-    at, owner, part = at[keep], owner[keep], _range_of(h[keep], ranges)
-    del h, distinct, place, low, high
-    key = _keys(buf, at, np.concatenate([[0], ends])[owner], ends[owner])
-    order = np.lexsort((ids[owner], key.view(f"S{KEY}").ravel(), part))
-    at, owner, part, key = at[order], owner[order], part[order], key[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]).any(axis=1)                        # equal keys are of one range
-    number = np.cumsum(new) - 1
-    key, part, smallest = key[new], part[new], ids[owner[new]]         # sorted by id within a key
-    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
-    blocks = []
-    for a, b in zip(first, [*first[1:], len(part)]):
-        own = np.zeros(b - a, np.uint8)
-        own[1:] = (key[a + 1:b] != key[a:b - 1]).argmax(axis=1)
-        rest = key[a:b][np.arange(KEY) >= own[:, None]]
-        blocks.append((int(part[a]), _squeeze(own, rest, smallest[a:b], np.arange(a, b, dtype=np.int32))))
-    mine = ids[owner] == (smallest[number] if len(number) else smallest)
-    return blocks, _squeeze(at.astype(np.int64), number.astype(np.int32), mine.astype(np.uint8))
+    keep = np.flatnonzero((shared | (low < high))[place])              # also those of two documents of this run
+    part = _range_of(h[keep], ranges)
+    order = np.argsort(part, kind="stable")
+    at, owner, part = at[keep][order], owner[keep][order], part[order]
+    del h, distinct, place, low, high, keep, order
+    begins = np.concatenate([[0], ends])
+    blocks: list[tuple[int, bytes]] = []
+    number, mine, first, count = np.empty(len(at), np.int32), np.empty(len(at), bool), 0, 0
+    while first < len(at):
+        last = int(np.searchsorted(part, part[min(first + KEYS_AT_ONCE, len(at) - 1)]))
+        if last <= first:
+            last = int(np.searchsorted(part, part[first], side="right"))
+        if first + KEYS_AT_ONCE >= len(at):
+            last = len(at)
+        some = slice(first, last)
+        key = _keys(buf, at[some], begins[owner[some]], ends[owner[some]])
+        order = np.lexsort((ids[owner[some]], key.view(f"S{KEY}").ravel(), part[some]))
+        at[some], owner[some], part[some], key = at[some][order], owner[some][order], part[some][order], key[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]).any(axis=1)                    # equal keys are of one range
+        place = np.cumsum(new) - 1
+        key, smallest, ranges_here = key[new], ids[owner[some][new]], part[some][new]      # sorted by id within a key
+        number[some] = place + count
+        mine[some] = ids[owner[some]] == smallest[place]
+        cuts = np.flatnonzero(np.concatenate([[True], ranges_here[1:] != ranges_here[:-1]]))
+        for a, b in zip(cuts, [*cuts[1:], len(key)]):
+            own = np.zeros(b - a, np.uint8)
+            own[1:] = (key[a + 1:b] != key[a:b - 1]).argmax(axis=1)
+            rest = key[a:b][np.arange(KEY) >= own[:, None]]
+            blocks.append((int(ranges_here[a]), _squeeze(own, rest, smallest[a:b], np.arange(count + a, count + b, dtype=np.int32))))
+        first, count = last, count + len(key)
+    return blocks, _squeeze(at.astype(np.int64), number, mine.astype(np.uint8))
 
 
 def suffix_runs(runs: DataFrame, ranges: int) -> DataFrame:
@@ -384,28 +401,30 @@ def judge(group: list[tuple[bytes, int, int, int]]) -> Iterator[tuple[int, int,
     """(run, number, bits) of the keys (key, doc, run, number) around one gram.
 
     Bit o is set if the window that begins o bytes before the anchor starts in a smaller doc too.
+    Windows are compared for one o after the other, so a group needs one window a key at a time.
     """
     lowest: dict[bytes, int] = {}
     for key, doc, _, _ in group:
         if doc < lowest.get(key, NO_ID + 1):
             lowest[key] = doc
-    if len(lowest) == 1:
-        least = next(iter(lowest.values()))
-        yield from ((run, number, ALL) for _, doc, run, number in group if doc > least)
-        return
-    first: dict[tuple[int, bytes], int] = {}
-    parts = {key: list(windows_of(key)) for key in lowest}
-    for key, doc in lowest.items():
-        for w in parts[key]:
-            if doc < first.get(w, NO_ID + 1):
-                first[w] = doc
+    bits = dict.fromkeys(lowest, 0)
+    if len(lowest) > 1:
+        texts = [(key, doc, key[WINDOW:WINDOW + key[KEY - 1] - 1][::-1] + key[:key[KEY - 2] - 1], key[KEY - 1] - 1)
+                 for key, doc in lowest.items()]
+        for o in range(SPAN):
+            first: dict[bytes, int] = {}
+            here = [(key, doc, w) for key, doc, text, left in texts
+                    if left >= o and len(w := text[left - o:left - o + WINDOW]) == WINDOW]
+            for _, doc, w in here:
+                if doc < first.get(w, NO_ID + 1):
+                    first[w] = doc
+            for key, doc, w in here:
+                if first[w] < doc:
+                    bits[key] |= 1 << o
     for key, doc, run, number in group:
-        bits = 0
-        for w in parts[key]:
-            if first[w] < doc:
-                bits |= 1 << w[0]
-        if bits:
-            yield run, number, bits
+        b = ALL if doc > lowest[key] else bits[key]
+        if b:
+            yield run, number, b
 
 
 ANSWER_DDL = "run long, answer long, key binary, doc long"
