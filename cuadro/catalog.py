@@ -26,7 +26,12 @@ Q_LINE = "Muestra la evolución de las ventas por mes"
 Q_SCATTER = "muestra precio vs. cantidad"
 
 
-def _chart(question: str, table: str, prep=None, order_by=None) -> Query:
+def rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
+    """Sums are floating point: rounded here, for the comparison only."""
+    return df.withColumns({c: F.round(c, digits) for c in cols})
+
+
+def _chart(question: str, table: str, prep=None, order_by=None, digits: int | None = None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = read_table(spark, sf_dir, table)
         if prep is not None:
@@ -34,7 +39,7 @@ def _chart(question: str, table: str, prep=None, order_by=None) -> Query:
         spec, data = answer_chart(df, question, order_by=order_by)
         if spec is None or data is None:
             raise ValueError(f"no chart for {question!r}: {spec}")
-        return data
+        return data if digits is None else rounded(data, digits, "value")
     return run
 
 
@@ -62,13 +67,19 @@ def q_histogram(spark, sf_dir):
     return charts.histogram(read_table(spark, sf_dir, "lineitem"), "l_quantity", 10)
 
 
+def _fractions(li: DataFrame) -> DataFrame:
+    """Values far below a cent: their sums must not be taken for zero."""
+    return li.select("l_returnflag", (F.col("l_discount") * F.col("l_tax") / 100000).alias("l_amount"))
+
+
 QUERIES: dict[str, Query] = {
-    "bar_sum": _chart(Q_BAR_PRODUCT, "lineitem"),
+    "bar_sum": _chart(Q_BAR_PRODUCT, "lineitem", digits=2),
+    "bar_sum_fractions": _chart(Q_BAR_PRODUCT, "lineitem", prep=_fractions, digits=6),
     "bar_count": _chart(Q_BAR_TYPES, "events"),
     "bar_zero_guard": _chart(Q_BAR_PRODUCT, "lineitem",
-                             prep=lambda d: d.select("l_returnflag", (F.col("l_tax") * 0).alias("l_tax_zero"))),
+                             prep=lambda d: d.select("l_returnflag", (F.col("l_tax") * 0).alias("l_tax_zero")), digits=2),
     "pie_top8": q_pie_top8,
-    "line_series": _chart(Q_LINE, "orders"),
+    "line_series": _chart(Q_LINE, "orders", digits=2),
     "line_by_index": q_line_by_index,
     "scatter_points": _chart(Q_SCATTER, "lineitem"),
     "scatter_trend": q_scatter_trend,
@@ -76,23 +87,19 @@ QUERIES: dict[str, Query] = {
     "histogram": q_histogram,
 }
 
-D2 = "decimal(38,2)"
-D28 = "decimal(38,2)"
-
 ORACLE: dict[str, str] = {
-    "bar_sum": f"""
-with g as (select l_returnflag, cast(coalesce(sum(cast(l_quantity as {D2})), 0) as {D28}) s, count(*) n
-           from lineitem where l_returnflag is not null group by 1)
-select l_returnflag, cast(case when (select sum(s) from g) > 0 then s else cast(n as {D28}) end as double) as value
-from g order by value desc, l_returnflag limit 10""",
+    "bar_sum": """
+select l_returnflag, round(cast(sum(l_quantity) as double), 2) as value from lineitem where l_returnflag is not null
+group by 1 order by value desc, l_returnflag limit 10""",
+    "bar_sum_fractions": """
+select l_returnflag, round(sum(l_discount * l_tax / 100000), 6) as value from lineitem where l_returnflag is not null
+group by 1 order by value desc, l_returnflag limit 10""",
     "bar_count": """
 select event_type, count(*) as value from events where event_type is not null
 group by 1 order by value desc, event_type limit 10""",
-    "bar_zero_guard": f"""
-with g as (select l_returnflag, cast(coalesce(sum(cast(l_tax * 0 as {D2})), 0) as {D28}) s, count(*) n
-           from lineitem where l_returnflag is not null group by 1)
-select l_returnflag, cast(case when (select sum(s) from g) > 0 then s else cast(n as {D28}) end as double) as value
-from g order by value desc, l_returnflag limit 10""",
+    "bar_zero_guard": """
+select l_returnflag, cast(count(*) as double) as value from lineitem where l_returnflag is not null
+group by 1 order by value desc, l_returnflag limit 10""",
     "pie_top8": """
 with f as (select p_name k, count(*) n from part where p_name is not null group by 1),
      r as (select k, n, row_number() over (order by n desc, k) rk from f),
@@ -101,8 +108,8 @@ with f as (select p_name k, count(*) n from part where p_name is not null group
                      cast((select sum(n) from f) - (select coalesce(sum(n), 0) from head) as bigint) n, true is_other),
      u as (select * from head union all select * from rest where n > 0)
 select ord, label, n, round(cast(100.0 as double) * n / (select sum(n) from f), 1) pct, is_other from u""",
-    "line_series": f"""
-select o_orderdate, cast(cast(coalesce(sum(cast(o_totalprice as {D2})), 0) as {D28}) as double) as value
+    "line_series": """
+select o_orderdate, round(cast(coalesce(sum(o_totalprice), 0) as double), 2) as value
 from orders where o_orderdate is not null group by 1 order by 1""",
     "line_by_index": """
 select cast(row_number() over (order by c_custkey) - 1 as bigint) row_idx, c_acctbal from customer""",
@@ -127,9 +134,8 @@ from b, w group by bin, mn, width order by bin""",
 # ---------------------------------------------------------------------------------------
 # Profile, cleaning, corpus, insights
 # ---------------------------------------------------------------------------------------
-from .functions.intent import (CHART_ORDER, CHART_PATTERNS, EXPLICIT_KEYWORDS,  # noqa: E402
-                               GATE_PATTERNS, requested_top_n)
-from .functions.text import NUMERIC_TEXT, snippet, store_name  # noqa: E402
+from .functions.intent import requested_top_n  # noqa: E402
+from .functions.text import snippet, store_name  # noqa: E402
 from .operators import clean, corpus, insights, profile  # noqa: E402
 from .operators.rowindex import with_row_index  # noqa: E402
 from .plans.chart import chart_records  # noqa: E402
@@ -146,7 +152,7 @@ Q_TOP_N = "Haz un gráfico de barras de los top 5 productos"
 
 
 def q_summary_numeric(spark, sf_dir):
-    return profile.numeric_summary(read_table(spark, sf_dir, "lineitem"))
+    return rounded(profile.numeric_summary(read_table(spark, sf_dir, "lineitem")), 2, "total").withColumn("mean", F.round("mean", 6))
 
 
 def q_summary_period(spark, sf_dir):
@@ -211,6 +217,11 @@ def q_derive_total(spark, sf_dir):
     return clean.row_total(li, "l_extendedprice", "l_quantity").select("l_orderkey", "l_linenumber", "total")
 
 
+def q_derive_total_fractions(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem").withColumn("p", F.col("l_extendedprice") / 1000)
+    return clean.row_total(li, "p", "l_discount").select("l_orderkey", "l_linenumber", "total")
+
+
 def q_row_index(spark, sf_dir):
     return with_row_index(read_table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"],
                           rows_per_bucket=2000)
@@ -221,6 +232,15 @@ def q_render_rows(spark, sf_dir):
     return corpus.render_rows(ev, EVENT_FIELDS, keep=["event_id"])
 
 
+def q_render_sales_rows(spark, sf_dir):
+    """The price and quantity part of a sentence, over prices from tiny to large."""
+    li = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_extendedprice") * 1000 + 0.5).alias("Price"), F.col("l_linenumber").alias("Quantity"),
+        F.col("l_returnflag").alias("Product"))
+    fields = corpus.RowFields(id="l_orderkey", date=None)
+    return corpus.render_rows(li, fields, keep=["l_orderkey", "l_linenumber"])
+
+
 def q_chunk_rows(spark, sf_dir):
     return corpus.chunk_table(read_table(spark, sf_dir, "events"), ["event_id"], EVENT_FIELDS)
 
@@ -244,31 +264,36 @@ def _li_part(spark, sf_dir):
 
 
 def q_top_products(spark, sf_dir):
-    return insights.top_products(*_li_part(spark, sf_dir))
+    return rounded(insights.top_products(*_li_part(spark, sf_dir)), 2, "value")
 
 
 def q_top_n(spark, sf_dir):
-    return insights.top_products(*_li_part(spark, sf_dir), n=requested_top_n(Q_TOP_N, 10))
+    return rounded(insights.top_products(*_li_part(spark, sf_dir), n=requested_top_n(Q_TOP_N, 10)), 2, "value")
 
 
 def q_best_seller(spark, sf_dir):
-    return insights.best_seller(*_li_part(spark, sf_dir))
+    return rounded(insights.best_seller(*_li_part(spark, sf_dir)), 2, "value")
 
 
 def q_monthly_trend(spark, sf_dir):
-    return insights.monthly_trend(read_table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice")
+    return rounded(insights.monthly_trend(read_table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice"), 2, "value")
 
 
 def q_avg_by_category(spark, sf_dir):
-    return insights.avg_by_category(read_table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity")
+    return insights.avg_by_category(read_table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", digits=6)
+
+
+def q_avg_fractions(spark, sf_dir):
+    """Means of values far below a cent."""
+    return insights.avg_by_category(_fractions(read_table(spark, sf_dir, "lineitem")), "l_returnflag", "l_amount", digits=12)
 
 
 def q_overall_avg(spark, sf_dir):
-    return insights.overall_avg(read_table(spark, sf_dir, "lineitem"), "l_extendedprice")
+    return insights.overall_avg(read_table(spark, sf_dir, "lineitem"), "l_extendedprice", digits=4)
 
 
 def q_compare_regions(spark, sf_dir):
-    return insights.compare_regions(*[read_table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region")])
+    return rounded(insights.compare_regions(*[read_table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region")]), 2, "value")
 
 
 def q_source_snippet(spark, sf_dir):
@@ -281,18 +306,38 @@ def q_store_name(spark, sf_dir):
     return p.select("page_id", store_name("url").alias("store_name"))
 
 
-def _user_turns(spark, sf_dir):
-    c = read_table(spark, sf_dir, "conversations")
-    return c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
+#: Question templates; {} is filled with a value of the given tables. The last one asks for nothing.
+QUESTION_TEMPLATES = [
+    "Muestra un gráfico de barras por {}", "Haz un gráfico circular de {}", "¿Cuál es la tendencia? Muestra {} por mes",
+    "Dibuja la relación entre {} y cantidad", "Quiero un chart de {}", "top 5 {}", "ventas de {} por ciudad",
+    "¿Cuántos {} hay?", "Comparar {} por manager", "gráfico de {} vs. precio",
+]
+
+
+def _questions(spark, sf_dir):
+    """Every turn of every conversation asks a template filled with its role and position; every part
+    asks one about its name. conv_id -1 marks the parts; every eleventh question is blank."""
+    c = read_table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.concat_ws(" ", "role", F.substring("text", 1, 12)).alias("word"))
+    p = read_table(spark, sf_dir, "part").select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("p_partkey").alias("turn"),
+                                                 F.col("p_name").alias("word"))
+    rows = c.unionByName(p)
+    n = len(QUESTION_TEMPLATES)
+    text = F.element_at(F.array(*[F.lit(t) for t in QUESTION_TEMPLATES]), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(n)) + 1).cast("int"))
+    filled = F.replace(text, F.lit("{}"), F.col("word"))
+    return rows.select("conv_id", "turn", F.when(F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(11)) == 0, F.lit("  "))
+                       .otherwise(filled).alias("question"))
 
 
 def q_chart_intent(spark, sf_dir):
     from .functions.intent import chart_intent
-    return _user_turns(spark, sf_dir).select("conv_id", "turn", chart_intent("question").alias("chart_type"))
+    return _questions(spark, sf_dir).select("conv_id", "turn", chart_intent("question").alias("chart_type"))
 
 
 def q_chart_record(spark, sf_dir):
-    return chart_records(_user_turns(spark, sf_dir)).drop("question")
+    """Drawn from ``region``, which has one number: scatter charts fail."""
+    region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    return chart_records(_questions(spark, sf_dir), schema=region.schema).drop("question", "timestamp")
 
 
 QUERIES.update({
@@ -309,6 +354,8 @@ QUERIES.update({
     "clean_date_cascade": q_clean_date_cascade,
     "clean_numeric": q_clean_numeric,
     "derive_total": q_derive_total,
+    "derive_total_fractions": q_derive_total_fractions,
+    "render_sales_rows": q_render_sales_rows,
     "row_index": q_row_index,
     "render_rows": q_render_rows,
     "chunk_rows": q_chunk_rows,
@@ -319,6 +366,7 @@ QUERIES.update({
     "best_seller": q_best_seller,
     "monthly_trend": q_monthly_trend,
     "avg_by_category": q_avg_by_category,
+    "avg_fractions": q_avg_fractions,
     "overall_avg": q_overall_avg,
     "compare_regions": q_compare_regions,
     "source_snippet": q_source_snippet,
@@ -334,13 +382,9 @@ def _sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _sql_dec_sum(c: str) -> str:
-    return f"cast(coalesce(sum(cast({c} as {D2})), 0) as {D28})"
-
-
 def _sql_numeric_summary(table: str, cols: list[str]) -> str:
     parts = [f"""select {_sql_str(c)} as "column", cast(min({c}) as double) as min, cast(max({c}) as double) as max,
-  round(sum(cast({c} as {D2})) / count({c}), 2) as mean, cast({_sql_dec_sum(c)} as double) as total from {table}""" for c in cols]
+  round(avg({c}), 6) as mean, round(cast(sum({c}) as double), 2) as total from {table}""" for c in cols]
     return "\nunion all\n".join(parts)
 
 
@@ -352,17 +396,19 @@ def _sql_top_values(table: str, cols: list[str], n: int = 5) -> str:
 
 
 def _sql_summary(table: str, columns: list[str], date_col: str | None, stats: list[str],
-                 texts: list[str], has_numeric: bool) -> str:
+                 texts: list[str], has_numeric: bool, date_text: bool = False) -> str:
     nl = "chr(10)"
     aggs = ["count(*) as n"]
-    if date_col:
+    if date_text:
+        aggs += [f"min({date_col}) as p0", f"max({date_col}) as p1"]
+    elif date_col:
         aggs += [f"strftime(min({date_col}), '%Y-%m-%d %H:%M:%S') as p0",
                  f"strftime(max({date_col}), '%Y-%m-%d %H:%M:%S') as p1"]
     for i, c in enumerate(stats):
         aggs += [f"cast(cast(min({c}) as double) as decimal(38,2)) as mn{i}",
                  f"cast(cast(max({c}) as double) as decimal(38,2)) as mx{i}",
-                 f"cast(round(sum(cast({c} as {D2})) / count({c}), 2) as decimal(38,2)) as me{i}",
-                 f"{_sql_dec_sum(c)} as sm{i}"]
+                 f"cast(round(avg({c}), 2) as decimal(38,2)) as me{i}",
+                 f"cast(round(cast(sum({c}) as double), 2) as decimal(38,2)) as sm{i}"]
     lines = [_sql_str("RESUMEN DEL DATASET DE VENTAS:"), "'Total de registros: ' || cast(n as varchar)"]
     if date_col:
         lines.append("'Período: ' || p0 || ' a ' || p1")
@@ -397,16 +443,27 @@ from l group by 1"""
 
 
 def _sql_intent(q: str) -> str:
-    def anyp(ps):
-        return " or ".join(f"regexp_matches({q}, {_sql_str(p)})" for p in ps)
-    explicit = " or ".join(f"contains({q}, {_sql_str(k)})" for k in EXPLICIT_KEYWORDS)
-    typed = " ".join(f"when {anyp(CHART_PATTERNS[k])} then '{k}'" for k in CHART_ORDER)
-    return (f"case when not (({explicit}) or {anyp(GATE_PATTERNS)}) then null "
-            f"else (case {typed} when {explicit} then 'bar' end) end")
+    """The intent rule, written out."""
+    explicit = f"regexp_matches({q}, 'gráfico|grafico|chart|plot|visualiza|muestra|dibuja')"
+    gate = (f"regexp_matches({q}, 'ventas.*por.*ciudad|productos.*más.*vendidos|top.*[0-9]+|ranking|distribución.*por"
+            f"|comparar.*ventas')")
+    bar = "barra|comparar.*por|distribución.*por|ventas.*por.*ciudad|ventas.*por.*producto|por.*manager|ranking|top.*[0-9]+"
+    line = "línea|tendencia|evolución|a lo largo del tiempo|por.*fecha|por.*mes|histórico"
+    pie = "gráfico de pastel|gráfico circular|pie|proporción|porcentaje.*de|distribución.*total"
+    scatter = "dispersión|scatter|correlación|relación.*entre|precio.*vs.*cantidad|vs[.]|contra"
+    return (f"case when not ({explicit} or {gate}) then null when regexp_matches({q}, '{bar}') then 'bar' "
+            f"when regexp_matches({q}, '{line}') then 'line' when regexp_matches({q}, '{pie}') then 'pie' "
+            f"when regexp_matches({q}, '{scatter}') then 'scatter' when {explicit} then 'bar' end")
 
 
 _EVENTS_SUMMARY = _sql_summary("events", EVENTS_COLUMNS, "ts", ["value"], ["event_type", "props"], True)
-_USER_Q = "(select conv_id, turn, lower(text) q, text from conversations where role = 'user')"
+_QUESTIONS = """(select conv_id, turn, text, lower(text) q from (
+  select conv_id, turn, case when ((conv_id * 7 + turn) % 11 + 11) % 11 = 0 then '  ' else replace(
+    ['Muestra un gráfico de barras por {}', 'Haz un gráfico circular de {}', '¿Cuál es la tendencia? Muestra {} por mes',
+     'Dibuja la relación entre {} y cantidad', 'Quiero un chart de {}', 'top 5 {}', 'ventas de {} por ciudad',
+     '¿Cuántos {} hay?', 'Comparar {} por manager', 'gráfico de {} vs. precio'][((conv_id + turn) % 10 + 10) % 10 + 1], '{}', word) end as text
+  from (select conv_id, turn, role || ' ' || substring(text, 1, 12) word from conversations
+        union all select cast(-1 as bigint), p_partkey, p_name from part)))"""
 
 ORACLE.update({
     "summary_numeric": _sql_numeric_summary("lineitem", LINEITEM_NUMERIC),
@@ -416,11 +473,14 @@ ORACLE.update({
                                          ["o_orderstatus", "o_orderpriority"], True),
     "dataset_info": "select count(*) n_rows, cast(11 as integer) n_cols, "
                     "'l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, "
-                    "l_tax, l_returnflag, l_linestatus, l_shipdate' as columns from lineitem",
+                    "l_tax, l_returnflag, l_linestatus, l_shipdate' as columns, "
+                    "(select string_agg(column_name || ' ' || case data_type when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' "
+                    "when 'DOUBLE' then 'double' when 'VARCHAR' then 'string' when 'DATE' then 'date' when 'TIMESTAMP' then 'timestamp_ntz' end, "
+                    "', ' order by column_index) from duckdb_columns() where table_name = 'lineitem') as types from lineitem",
     "preview_head": "select * from events order by event_id limit 10",
     "profile_columns": "\nunion all\n".join(
         f"select '{c}' as \"column\", count({c}) n_values, count(case when regexp_matches("
-        f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g'), {_sql_str(NUMERIC_TEXT)}) then 1 end) n_numeric from documents"
+        f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g'), '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$') then 1 end) n_numeric from documents"
         for c in ["text", "lang", "source"]),
     "clean_strip": "select c_custkey, regexp_replace(chr(9) || ' ' || c_mktsegment || '  x  ', '^\\s+|\\s+$', '', 'g') c_mktsegment from customer",
     "clean_null_label": "select coalesce(nullif(event_type, 'error'), 'nan') event_type, count(*) value from events group by 1",
@@ -429,7 +489,11 @@ ORACLE.update({
 from (select o_orderkey, case when o_orderstatus = 'F' then strftime(o_orderdate, '%d-%m-%Y') else strftime(o_orderdate, '%Y/%m/%d') end s from orders)""",
     "clean_numeric": """select doc_id, source, cast(regexp_replace(source, 'src', '') as bigint) source_num,
   case when lang = 'en' then null else cast(regexp_replace(source, 'src', '') as double) end source_mixed from documents""",
-    "derive_total": f"select l_orderkey, l_linenumber, cast(cast(cast(l_extendedprice as decimal(18,2)) * cast(l_quantity as decimal(18,2)) as decimal(28,2)) as double) total from lineitem",
+    "derive_total": "select l_orderkey, l_linenumber, round(cast(l_extendedprice as double) * cast(l_quantity as double), 2) total from lineitem",
+    "derive_total_fractions": "select l_orderkey, l_linenumber, cast(round(cast(cast(l_extendedprice / 1000 * l_discount as varchar) as decimal(38,18)), 2) as double) total from lineitem",
+    "render_sales_rows": """select l_orderkey, l_linenumber, 'Orden ' || l_orderkey || ': Producto: ' || l_returnflag || ', Precio: $'
+  || cast(l_extendedprice * 1000 + 0.5 as varchar) || ', Cantidad: ' || l_linenumber
+  || ', Total: $' || printf('%.2f', (l_extendedprice * 1000 + 0.5) * l_linenumber) line from lineitem""",
     "row_index": "select o_orderkey, cast(row_number() over (order by o_orderkey) - 1 as bigint) row_idx from orders",
     "render_rows": f"select event_id, {_sql_event_line()} line from events",
     "chunk_rows": _sql_chunks(),
@@ -442,36 +506,39 @@ select chunk_id + 1, 'data_chunk', chunk_id, start_row, end_row, num_rows, cast(
     "corpus_counts": "select 'dataset_summary' doc_type, cast(1 as bigint) n_docs union all "
                      "select 'data_chunk', count(distinct floor(i / 50)) from "
                      "(select row_number() over (order by event_id) - 1 i from events)",
-    "top_products": f"""select p_name, cast({_sql_dec_sum('l_quantity')} as double) as value from lineitem join part on l_partkey = p_partkey
+    "top_products": """select p_name, round(cast(coalesce(sum(l_quantity), 0) as double), 2) as value from lineitem join part on l_partkey = p_partkey
 where p_name is not null group by 1 order by value desc, p_name limit 10""",
-    "top_n": f"""select p_name, cast({_sql_dec_sum('l_quantity')} as double) as value from lineitem join part on l_partkey = p_partkey
+    "top_n": """select p_name, round(cast(coalesce(sum(l_quantity), 0) as double), 2) as value from lineitem join part on l_partkey = p_partkey
 where p_name is not null group by 1 order by value desc, p_name limit 5""",
-    "best_seller": f"""select p_name, cast({_sql_dec_sum('l_quantity')} as double) as value from lineitem join part on l_partkey = p_partkey
+    "best_seller": """select p_name, round(cast(coalesce(sum(l_quantity), 0) as double), 2) as value from lineitem join part on l_partkey = p_partkey
 where p_name is not null group by 1 order by value desc, p_name limit 1""",
-    "monthly_trend": f"""select cast(date_trunc('month', o_orderdate) as timestamp) month_start, cast({_sql_dec_sum('o_totalprice')} as double) as value
+    "monthly_trend": """select cast(date_trunc('month', o_orderdate) as timestamp) month_start, round(cast(coalesce(sum(o_totalprice), 0) as double), 2) as value
 from orders where o_orderdate is not null group by 1 order by 1""",
-    "avg_by_category": f"""select l_returnflag, round(sum(cast(l_quantity as {D2})) / count(l_quantity), 4) avg_value, count(l_quantity) n
+    "avg_by_category": """select l_returnflag, round(avg(l_quantity), 6) avg_value, count(l_quantity) n
+from lineitem where l_returnflag is not null group by 1 order by 1""",
+    "avg_fractions": """select l_returnflag, round(avg(l_discount * l_tax / 100000), 12) avg_value, count(*) n
 from lineitem where l_returnflag is not null group by 1 order by 1""",
-    "overall_avg": f"select round(sum(cast(l_extendedprice as {D2})) / count(l_extendedprice), 4) avg_value, count(l_extendedprice) n from lineitem",
-    "compare_regions": f"""select r_name, cast({_sql_dec_sum('o_totalprice')} as double) as value from orders
+    "overall_avg": "select round(avg(l_extendedprice), 4) avg_value, count(l_extendedprice) n from lineitem",
+    "compare_regions": """select r_name, round(cast(coalesce(sum(o_totalprice), 0) as double), 2) as value from orders
 join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
 group by 1 order by value desc, r_name""",
     "source_snippet": "select doc_id, case when length(text) > 200 then substring(text, 1, 200) || '...' else text end snippet from documents",
     "store_name": "select page_id, 'streamlit_' || substring(md5(url), 1, 8) store_name from pages",
-    "chart_intent": f"select conv_id, turn, {_sql_intent('q')} chart_type from {_USER_Q}",
-    "chart_record": f"""select conv_id, turn, chart_type, chart_type is not null chart_generated, substring(md5(text), 1, 12) chart_id,
-  case when chart_type is not null then (case chart_type when 'bar' then 'bar_chart' when 'line' then 'line_chart'
-    when 'pie' then 'pie_chart' else 'scatter_plot' end) || '_' || substring(md5(text), 1, 12) || '.png' end chart_filename
-from (select conv_id, turn, text, {_sql_intent('q')} chart_type from {_USER_Q})""",
+    "chart_intent": f"select conv_id, turn, {_sql_intent('q')} chart_type from {_QUESTIONS}",
+    "chart_record": f"""select conv_id, turn, chart_type, chart_type is not null and chart_type <> 'scatter' chart_generated,
+  substring(md5(text), 1, 12) chart_id,
+  case when chart_type <> 'scatter' then (case chart_type when 'bar' then 'bar_chart' when 'line' then 'line_chart'
+    else 'pie_chart' end) || '_' || substring(md5(text), 1, 12) || '.png' end chart_filename,
+  case when chart_type = 'scatter' then 'a scatter plot needs two numeric columns; numeric: [''r_regionkey'']' end error
+from (select conv_id, turn, text, {_sql_intent('q')} chart_type from {_QUESTIONS})""",
 })
 
 
 # ---------------------------------------------------------------------------------------
 # Vector search, retrieval context, store, batch questions
 # ---------------------------------------------------------------------------------------
-from .functions.text import SNIPPET_CHARS  # noqa: E402
 from .operators import qa, search  # noqa: E402
-from .plans.ask import ask_batch  # noqa: E402
+from .plans.ask import ask_batch, search_similar  # noqa: E402
 from .session import scratch_path  # noqa: E402
 from .sources import store as store_mod  # noqa: E402
 
@@ -531,13 +598,32 @@ def q_store_roundtrip(spark, sf_dir):
                        F.size("embedding").cast("bigint").alias("n_dims"))
 
 
+def q_store_read(spark, sf_dir):
+    """One store out of all, read through its partition."""
+    base = scratch_path(spark, "store")
+    store_mod.write_store(_doc_corpus(spark, sf_dir), base)
+    one = store_mod.load_store(spark, base, "src0")
+    return one.select("store_name", "doc_id", F.md5("page_content").alias("content_md5"), F.col("metadata")["lang"].alias("lang"))
+
+
+def q_store_list(spark, sf_dir):
+    base = scratch_path(spark, "store")
+    store_mod.write_store(_doc_corpus(spark, sf_dir), base)
+    return store_mod.list_stores(spark, base)
+
+
 def _vector_questions(spark, sf_dir):
-    """Every stored vector asked as a question to its own store (question text = its document)."""
+    """Every stored vector asks a question (a template filled from its document) to its own store;
+    some questions are blank, some name a store that does not exist."""
     d = read_table(spark, sf_dir, "documents")
     e = read_table(spark, sf_dir, "embeddings")
+    text = F.element_at(F.array(*[F.lit(t) for t in QUESTION_TEMPLATES]), (F.pmod("vec_id", F.lit(10)) + 1).cast("int"))
+    question = F.replace(text, F.lit("{}"), F.substring("text", 1, 20))
     return e.join(d, e["vec_id"] == d["doc_id"]).select(
-        F.col("vec_id").alias("question_id"), F.col("text").alias("question"),
-        F.col("source").alias("store_name"), "embedding")
+        F.col("vec_id").alias("question_id"),
+        F.when(F.pmod("vec_id", F.lit(11)) == 0, F.lit(" \t")).otherwise(question).alias("question"),
+        F.when(F.pmod("vec_id", F.lit(7)) == 3, F.concat(F.lit("old_"), "source")).otherwise(F.col("source")).alias("store_name"),
+        "embedding")
 
 
 def q_ask_batch(spark, sf_dir):
@@ -546,22 +632,22 @@ def q_ask_batch(spark, sf_dir):
         "question_id", "store_name", F.col("n_sources").cast("bigint").alias("n_sources"),
         F.md5("context").alias("context_md5"), F.md5("prompt").alias("prompt_md5"),
         F.md5(F.array_join(F.transform("sources", lambda s: s["content"]), "\u0001")).alias("sources_md5"),
-        "chart_type", "error")
+        F.md5(F.array_join(F.transform("sources", lambda s: F.concat_ws("/", s["metadata"]["lang"], s["metadata"]["source"])), ","))
+        .alias("metadata_md5"),
+        "answer", "chart_type", "chart_filename", "chart_generated", "error")
 
 
 def q_embed_text(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")
     model = search.fit_text_embedder(d, "text")
     out = search.embed_text(model, d.select("doc_id", "text"), "text")
-    return out.select("doc_id", F.size(F.filter("embedding", lambda x: x != 0)).alias("n_terms"))
+    at = F.filter(F.transform("embedding", lambda x, i: F.when(x != 0, i)), lambda i: i.isNotNull())
+    return out.select("doc_id", F.size(at).cast("bigint").alias("n_terms"), F.md5(F.array_join(at, ",")).alias("places_md5"),
+                      F.round(F.array_max("embedding").cast("double"), 3).alias("largest"))
 
 
-def q_ask_text_batch(spark, sf_dir):
-    """Conversation user turns asked against the documents store, vectors from hashed TF-IDF.
-
-    As in the reference flow, the store is indexed once (written to the shared folder) and
-    the questions are answered from it.
-    """
+def _text_store(spark, sf_dir):
+    """documents as one store, indexed once and written to the shared folder: (embedder, base folder)."""
     d = read_table(spark, sf_dir, "documents")
     docs = d.select("doc_id", F.col("text").alias("page_content"),
                     F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"),
@@ -570,15 +656,32 @@ def q_ask_text_batch(spark, sf_dir):
     base = scratch_path(spark, "stores")
     store_mod.write_store(embedded, base)
     release()
-    corpus_docs_ = store_mod.read_store(spark, base, "documents")
-    turns = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    return model, base
+
+
+def q_search_text(spark, sf_dir):
+    """The 5 documents nearest to the longest text of the benchmark; an unknown store adds nothing."""
+    model, base = _text_store(spark, sf_dir)
+    items = read_table(spark, sf_dir, "benchmark")
+    text = items.orderBy(F.length("text").desc(), "item_id").first()["text"]
+    found = search_similar(spark, base, "documents", text, model).unionByName(search_similar(spark, base, "no_store", text, model))
+    return found.select("rank", "doc_id", F.md5("content").alias("content_md5"), F.col("metadata")["lang"].alias("lang"),
+                        F.round("dist", 3).alias("dist"))
+
+
+def q_ask_text_batch(spark, sf_dir):
+    """Every conversation turn asked against the documents store, vectors from hashed TF-IDF."""
+    model, base = _text_store(spark, sf_dir)
+    turns = read_table(spark, sf_dir, "conversations")
     # one id per (conversation, turn): the turn in the low 32 bits
     qs = turns.select((F.col("conv_id") * F.lit(1 << 32) + F.col("turn")).alias("question_id"),
                       F.col("text").alias("question"), F.lit("documents").alias("store_name"))
-    res = ask_batch(search.embed_text(model, qs, "question"), corpus_docs_)
-    # the retrieved texts depend on the hashed embedder; the checked columns do not
+    res = ask_batch(search.embed_text(model, qs, "question"), store_mod.read_store(spark, base),
+                    stores=store_mod.list_stores(spark, base))
     return res.select("question_id", "store_name", F.col("n_sources").cast("bigint").alias("n_sources"),
-                      (F.char_length("prompt") > 0).alias("has_prompt"), "chart_type", "error")
+                      F.md5("context").alias("context_md5"), F.md5("prompt").alias("prompt_md5"),
+                      F.md5(F.array_join(F.transform("sources", lambda s: s["content"]), "\u0001")).alias("sources_md5"),
+                      "chart_type", "error")
 
 
 QUERIES.update({
@@ -588,6 +691,9 @@ QUERIES.update({
     "build_prompt": q_build_prompt,
     "stores_available": q_stores_available,
     "store_roundtrip": q_store_roundtrip,
+    "store_read": q_store_read,
+    "store_list": q_store_list,
+    "search_text": q_search_text,
     "ask_batch": q_ask_batch,
     "embed_text": q_embed_text,
     "ask_text_batch": q_ask_text_batch,
@@ -600,16 +706,59 @@ def _sql_dist(a: str, b: str) -> str:
 
 
 def _sql_prompt(context: str, question: str) -> str:
-    head, rest = qa.PROMPT_TEMPLATE.split("{context}")
-    mid, tail = rest.split("{question}")
-    return f"({_sql_str(head)} || {context} || {_sql_str(mid)} || {question} || {_sql_str(tail)})"
+    """The answer prompt, written out."""
+    head = _sql_str("""Eres un analista de datos experto que ayuda a responder preguntas sobre datasets tabulares.
+
+CONTEXTO DE DATOS:
+""")
+    mid = _sql_str("""
+
+INSTRUCCIONES:
+1. Analiza cuidadosamente los datos proporcionados en el contexto
+2. Responde la pregunta basándote ÚNICAMENTE en la información disponible
+3. Si los datos contienen información relevante, proporciona una respuesta clara y específica
+4. Incluye números, fechas y detalles específicos cuando sea posible
+5. Si la información no está disponible en los datos, indica claramente que no puedes responder
+6. Cita las columnas o filas relevantes cuando sea apropiado
+
+PREGUNTA: """)
+    return f"({head} || {context} || {mid} || {question} || chr(10) || chr(10) || 'RESPUESTA:')"
 
 
 def _sql_snippet(t: str) -> str:
-    return f"(case when length({t}) > {SNIPPET_CHARS} then substring({t}, 1, {SNIPPET_CHARS}) || '...' else {t} end)"
+    return f"(case when length({t}) > 200 then substring({t}, 1, 200) || '...' else {t} end)"
+
+
+def _sql_vectors(name: str, id_col: str, text: str, table: str) -> str:
+    """Term counts of a text column by place: (id, j, tf)."""
+    return f"""{name}_t as (select {id_col} id, unnest(list_filter(string_split_regex(lower(coalesce({text}, '')), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')) w from {table}),
+  {name}_f as (select id, cast('0x' || substring(md5(w), 25, 8) as bigint) % 512 j, count(*) tf from {name}_t group by all)"""
+
+
+def _sql_scaled(name: str) -> str:
+    """Normalised TF-IDF: (id, j, x), with idf(j) from ``idf``."""
+    return f"""{name}_x as (select id, j, tf * idf x from {name}_f join idf using (j) where idf > 0),
+  {name} as (select id, j, x / sqrt(sum(x * x) over (partition by id)) x from {name}_x)"""
+
+
+_DOC_VECTORS = f"""{_sql_vectors('d', 'doc_id', 'text', 'documents')},
+  idf as (select j, ln(((select count(*) from documents) + 1) / (count(*) + 1.0)) idf from d_f group by j),
+  {_sql_scaled('d')}"""
+
+ORACLE["embed_text"] = f"""with {_DOC_VECTORS}
+select doc_id, cast(coalesce(n, 0) as bigint) n_terms, md5(coalesce(places, '')) places_md5, round(coalesce(largest, 0.0), 3) largest
+from documents left join (select id, count(*) n, string_agg(cast(j as varchar), ',' order by j) places, max(x) largest from d group by id)
+  on id = doc_id"""
 
 
 ORACLE.update({
+    "search_text": f"""with {_DOC_VECTORS},
+  one as (select 0 item, text from benchmark order by length(text) desc, item_id limit 1),
+  {_sql_vectors('q', 'item', 'text', 'one')}, {_sql_scaled('q')},
+  dot as (select d.id doc_id, sum(d.x * q.x) s from d join q using (j) group by 1),
+  r as (select doc_id, text, lang, 2 - 2 * coalesce(s, 0) dist, row_number() over (order by round(2 - 2 * coalesce(s, 0), 6), doc_id) rk
+        from documents left join dot using (doc_id))
+select rk rank, doc_id, md5(text) content_md5, lang, round(dist, 3) dist from r where rk <= 5""",
     "retrieve_batch": f"""
 with d as (select q.vec_id query_id, e.vec_id, {_sql_dist('e.embedding', 'q.embedding')} dist from embeddings q, embeddings e),
      r as (select query_id, vec_id, dist, row_number() over (partition by query_id order by dist, vec_id) rk from d)
@@ -630,23 +779,39 @@ from documents d left join embeddings e on d.doc_id = e.vec_id group by 1 having
     "store_roundtrip": """
 select d.source store_name, d.doc_id, md5(d.text) content_md5, len(e.embedding) n_dims
 from documents d left join embeddings e on d.doc_id = e.vec_id""",
+    "store_read": "select source store_name, doc_id, md5(text) content_md5, lang from documents where source = 'src0'",
+    "store_list": """
+select d.source store_name, count(d.text) n_docs, count(e.embedding) n_vecs
+from documents d left join embeddings e on d.doc_id = e.vec_id group by 1 having count(d.text) > 0 and count(e.embedding) > 0""",
     "ask_batch": f"""
-with corpus as (select d.doc_id, d.text page_content, d.source store_name, e.embedding
+with corpus as (select d.doc_id, d.text page_content, d.source store_name, d.lang, e.embedding
                 from documents d join embeddings e on d.doc_id = e.vec_id),
-     q as (select e.vec_id question_id, d.text question, d.source store_name, e.embedding
-           from embeddings e join documents d on d.doc_id = e.vec_id
-           where length(regexp_replace(d.text, '^\\s+|\\s+$', '', 'g')) > 0),
-     dist as (select q.question_id, c.doc_id, c.page_content, {_sql_dist('c.embedding', 'q.embedding')} dist
+     q0 as (select e.vec_id question_id, case when e.vec_id % 11 = 0 then ' ' || chr(9) else replace(
+              ['Muestra un gráfico de barras por {{}}', 'Haz un gráfico circular de {{}}', '¿Cuál es la tendencia? Muestra {{}} por mes',
+               'Dibuja la relación entre {{}} y cantidad', 'Quiero un chart de {{}}', 'top 5 {{}}', 'ventas de {{}} por ciudad',
+               '¿Cuántos {{}} hay?', 'Comparar {{}} por manager', 'gráfico de {{}} vs. precio'][e.vec_id % 10 + 1],
+              '{{}}', substring(d.text, 1, 20)) end question,
+              case when e.vec_id % 7 = 3 then 'old_' || d.source else d.source end store_name, e.embedding
+           from embeddings e join documents d on d.doc_id = e.vec_id),
+     q as (select * from q0 where length(regexp_replace(question, '^\\s+|\\s+$', '', 'g')) > 0),
+     dist as (select q.question_id, c.doc_id, c.page_content, c.lang || '/' || c.store_name meta, {_sql_dist('c.embedding', 'q.embedding')} dist
               from q join corpus c on q.store_name = c.store_name),
      r as (select *, row_number() over (partition by question_id order by dist, doc_id) rk from dist),
      agg as (select question_id, count(*) n_sources,
                     string_agg(page_content, chr(10) || chr(10) order by rk) context,
-                    md5(string_agg({_sql_snippet('page_content')}, chr(1) order by rk)) sources_md5
-             from r where rk <= 3 group by 1)
-select q.question_id, q.store_name, cast(coalesce(agg.n_sources, 0) as bigint) n_sources, md5(agg.context) context_md5,
-       md5({_sql_prompt('agg.context', 'q.question')}) prompt_md5, agg.sources_md5,
-       {_sql_intent('lower(q.question)')} chart_type, cast(null as varchar) error
-from q left join agg on q.question_id = agg.question_id""",
+                    md5(string_agg({_sql_snippet('page_content')}, chr(1) order by rk)) sources_md5,
+                    md5(string_agg(meta, ',' order by rk)) metadata_md5
+             from r where rk <= 3 group by 1),
+     k as (select *, {_sql_intent('lower(question)')} chart_type, question_id % 7 = 3 lost from q)
+select k.question_id, k.store_name, cast(coalesce(agg.n_sources, 0) as bigint) n_sources, md5(agg.context) context_md5,
+       md5({_sql_prompt('agg.context', 'k.question')}) prompt_md5, coalesce(agg.sources_md5, md5('')) sources_md5,
+       coalesce(agg.metadata_md5, md5('')) metadata_md5,
+       case when lost then 'Error: No se pudo cargar el dataset especificado.' end answer, chart_type,
+       case chart_type when 'bar' then 'bar_chart' when 'line' then 'line_chart' when 'pie' then 'pie_chart'
+         when 'scatter' then 'scatter_plot' end || '_' || substring(md5(question), 1, 12) || '.png' chart_filename,
+       not lost and chart_type is not null chart_generated,
+       case when lost then 'Vector store ' || chr(39) || store_name || chr(39) || ' no encontrado' end error
+from k left join agg on k.question_id = agg.question_id""",
 })
 
 
@@ -682,15 +847,58 @@ def q_scan_csv_dates(spark, sf_dir):
     return csv_src.load_csv_for_charts(spark, path, with_order=False)
 
 
+def q_scan_csv_typed(spark, sf_dir):
+    """Truth values, month-first and two-digit-year dates, and file order, read back from text."""
+    o = read_table(spark, sf_dir, "orders")
+    path = scratch_path(spark, "csv")
+    (o.orderBy(F.col("o_totalprice").desc(), "o_orderkey")
+     .select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, "True").otherwise("False").alias("even"),
+             F.date_format("o_orderdate", "MM/dd/yyyy").alias("us_date"), F.date_format("o_orderdate", "dd/MM/yy").alias("short_date"),
+             F.date_format("o_orderdate", "d MMM yyyy").alias("long_date"))
+     .write.option("header", True).csv(path))
+    table = csv_src.load_csv(spark, path)
+    return with_row_index(table, csv_src.ORDER_KEY).drop(*csv_src.ORDER_KEY)
+
+
+def _store_csv(spark, sf_dir, table: DataFrame) -> str:
+    """A raw folder that holds ``table`` as the file of the store ``sales_data``."""
+    raw = scratch_path(spark, "raw")
+    table.write.option("header", True).csv(f"{raw}/sales-Data-Analysis.csv")
+    return raw
+
+
+def q_resolve_source(spark, sf_dir):
+    """A question on a store without a table: its CSV file is found, loaded and drawn."""
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    spec, data = answer_chart(None, "Haz un gráfico de ventas", store_name="sales_data", raw_dir=_store_csv(spark, sf_dir, o), spark=spark)
+    return rounded(data, 2, "value").withColumn("label", F.lit(spec.label()))
+
+
+def q_line_by_file_order(spark, sf_dir):
+    """A series by position follows the order of the file, not of its first column."""
+    c = read_table(spark, sf_dir, "customer").orderBy(F.col("c_acctbal").desc(), "c_custkey").select("c_custkey", "c_mktsegment")
+    _, data = answer_chart(None, "Muestra la tendencia", store_name="sales_data", raw_dir=_store_csv(spark, sf_dir, c), spark=spark)
+    return data
+
+
+def q_column_roles(spark, sf_dir):
+    """The columns each kind of question gets from a loaded CSV, and how many questions ask for them."""
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate", F.col("o_orderstatus").alias("type"),
+                                                   "o_orderpriority")
+    table = csv_src.resolve_source(spark, store_name="sales_data", raw_dir=_store_csv(spark, sf_dir, o))
+    return chart_specs(_questions(spark, sf_dir), table).groupBy("chart_type", "x", "y", "mode").agg(F.count(F.lit(1)).alias("n"))
+
+
 def q_ingest_job(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events")
     path = scratch_path(spark, "csv")
-    ev.orderBy("event_id").write.option("header", True).csv(path)
+    ev.orderBy("event_id").write.option("header", True).option("escape", '"').csv(path)
     stored = ingest_csv(spark, path, "events_data", base=scratch_path(spark, "stores"),
                         fields=EVENT_FIELDS, date_col="ts", stat_columns=["value"])
-    return stored.select("doc_id", F.col("metadata")["type"].alias("doc_type"),
-                         F.col("metadata")["num_rows"].cast("bigint").alias("num_rows"),
-                         F.size("embedding").cast("bigint").alias("n_dims"))
+    meta = F.col("metadata")
+    return stored.select("doc_id", meta["type"].alias("doc_type"), F.md5("page_content").alias("content_md5"),
+                         *[meta[k].cast("bigint").alias(k) for k in ("chunk_id", "start_row", "end_row", "num_rows", "total_rows")],
+                         meta["columns"].alias("columns"), F.size("embedding").cast("bigint").alias("n_dims"))
 
 
 def q_chart_dispatch(spark, sf_dir):
@@ -700,6 +908,10 @@ def q_chart_dispatch(spark, sf_dir):
 QUERIES.update({
     "scan_csv": q_scan_csv,
     "scan_csv_dates": q_scan_csv_dates,
+    "scan_csv_typed": q_scan_csv_typed,
+    "resolve_source": q_resolve_source,
+    "line_by_file_order": q_line_by_file_order,
+    "column_roles": q_column_roles,
     "ingest_job": q_ingest_job,
     "chart_dispatch": q_chart_dispatch,
 })
@@ -708,6 +920,19 @@ ORACLE.update({
     "scan_csv": "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from orders",
     "scan_csv_dates": """select o_orderkey, o_custkey, ' ' || o_orderstatus || chr(9) o_orderstatus, o_totalprice,
   o_orderdate "Date", o_orderpriority from orders""",
+    "scan_csv_typed": """
+select o_orderkey, o_orderkey % 2 = 0 even, cast(date_trunc('day', o_orderdate) as timestamp) us_date, cast(date_trunc('day', o_orderdate) as timestamp) short_date,
+  cast(date_trunc('day', o_orderdate) as timestamp) long_date,
+  row_number() over (order by o_totalprice desc, o_orderkey) - 1 row_idx from orders""",
+    "resolve_source": """
+select o_orderstatus, round(cast(sum(o_totalprice) as double), 2) as value, 'Total o_totalprice' label
+from orders where o_orderstatus is not null group by 1 order by value desc, 1 limit 10""",
+    "line_by_file_order": "select row_number() over (order by c_acctbal desc, c_custkey) - 1 row_idx, c_custkey from customer",
+    "column_roles": f"""
+select chart_type, case chart_type when 'bar' then 'o_orderdate' when 'pie' then 'type' when 'line' then 'o_orderdate' when 'scatter' then 'o_totalprice' end x,
+  case chart_type when 'bar' then 'o_totalprice' when 'line' then 'o_totalprice' when 'scatter' then 'o_totalprice' end y,
+  case chart_type when 'bar' then 'sum' when 'pie' then 'shares' when 'line' then 'series' when 'scatter' then 'points' end "mode", count(*) n
+from (select {_sql_intent('q')} chart_type from {_QUESTIONS}) group by all""",
     "chart_dispatch": """
 with f as (select o_orderstatus k, count(*) n from orders where o_orderstatus is not null group by 1),
      r as (select k, n, row_number() over (order by n desc, k) rk from f),
@@ -722,53 +947,53 @@ select ord, label, n, round(cast(100.0 as double) * n / (select sum(n) from f),
 # ---------------------------------------------------------------------------------------
 # Chart specs for a question log
 # ---------------------------------------------------------------------------------------
-from .functions.roles import BAR_COUNT_MODE_HINTS, BAR_TARGET_HINTS, PIE_TARGET_HINTS  # noqa: E402
 from .plans.chart import chart_specs  # noqa: E402
 
-LINEITEM_TEXT = ["l_returnflag", "l_linestatus"]
-
 
 def q_chart_specs(spark, sf_dir):
     """Chart type and columns for every user turn, against the lineitem schema."""
-    return chart_specs(_user_turns(spark, sf_dir), read_table(spark, sf_dir, "lineitem")).drop("question")
-
-
-def _sql_first_named(q: str, cols: list[str], hints: list[str]) -> str:
-    whens = " ".join(
-        f"when {'true' if any(h in c.lower() for h in hints) else f'contains({q}, {_sql_str(c.lower())})'} then {_sql_str(c)}"
-        for c in cols)
-    return f"(case {whens} else {_sql_str(cols[0])} end)"
+    return chart_specs(_questions(spark, sf_dir), read_table(spark, sf_dir, "lineitem")).drop("question")
 
 
 def _sql_chart_specs() -> str:
-    bar_x = _sql_first_named("q", LINEITEM_TEXT, BAR_TARGET_HINTS)
-    pie_x = _sql_first_named("q", LINEITEM_TEXT, PIE_TARGET_HINTS)
-    counts = [c for c in LINEITEM_TEXT if any(h in c.lower() for h in BAR_COUNT_MODE_HINTS)]
-    in_counts = f"{bar_x} in ({', '.join(_sql_str(c) for c in counts)})" if counts else "false"
-    mode_bar = f"(case when {in_counts} then 'count' else 'sum' end)"
+    """Of lineitem's two text columns the one that the question names, else the first."""
+    x = "(case when contains(q, 'l_returnflag') then 'l_returnflag' when contains(q, 'l_linestatus') then 'l_linestatus' else 'l_returnflag' end)"
     return f"""select conv_id, turn, chart_type,
-  case chart_type when 'bar' then {bar_x} when 'line' then 'l_shipdate' when 'pie' then {pie_x}
-                  when 'scatter' then 'l_extendedprice' end x,
-  case chart_type when 'bar' then (case when {mode_bar} = 'sum' then 'l_quantity' end) when 'line' then 'l_extendedprice'
-                  when 'scatter' then 'l_quantity' end y,
-  case chart_type when 'bar' then {mode_bar} when 'line' then 'series' when 'pie' then 'shares'
-                  when 'scatter' then 'points' end "mode"
-from (select conv_id, turn, q, {_sql_intent('q')} chart_type from {_USER_Q})"""
+  case chart_type when 'bar' then {x} when 'line' then 'l_shipdate' when 'pie' then {x} when 'scatter' then 'l_extendedprice' end x,
+  case chart_type when 'bar' then 'l_quantity' when 'line' then 'l_extendedprice' when 'scatter' then 'l_quantity' end y,
+  case chart_type when 'bar' then 'sum' when 'line' then 'series' when 'pie' then 'shares' when 'scatter' then 'points' end "mode"
+from (select conv_id, turn, q, {_sql_intent('q')} chart_type from {_QUESTIONS})"""
 
 
 QUERIES["chart_specs"] = q_chart_specs
 ORACLE["chart_specs"] = _sql_chart_specs()
 
 
+_CSV_EVENTS = """(select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') ts, user_id, event_type, value,
+  props from events)"""
+_CSV_SUMMARY = _sql_summary(_CSV_EVENTS, EVENTS_COLUMNS, "ts", ["value"], ["ts", "event_type", "props"], True, date_text=True)
+_CSV_LINE = _sql_event_line().replace("strftime(ts, '%Y-%m-%d %H:%M:%S')", "ts")
+
 ORACLE["ingest_job"] = f"""
-select cast(0 as bigint) doc_id, 'dataset_summary' doc_type, cast(null as bigint) num_rows,
-       cast({search.EMBED_FEATURES} as bigint) n_dims
+with su as ({_CSV_SUMMARY}),
+  l as (select cast(row_number() over (order by event_id) - 1 as bigint) i, {_CSV_LINE} line from {_CSV_EVENTS}),
+  ch as (select cast(floor(i / 50) as bigint) c, min(i) a, max(i) b, count(*) n, 'CHUNK DE DATOS (filas ' || min(i) || ' a ' || max(i) || '):' || chr(10)
+           || string_agg(line, chr(10) order by i) t from l group by 1)
+select cast(0 as bigint) doc_id, 'dataset_summary' doc_type, md5(summary) content_md5, cast(null as bigint) chunk_id, cast(null as bigint) start_row,
+  cast(null as bigint) end_row, cast(null as bigint) num_rows, (select count(*) from events) total_rows, {_sql_str(', '.join(EVENTS_COLUMNS))} as columns,
+  cast(512 as bigint) n_dims from su
 union all
-select cast(floor(i / 50) as bigint) + 1, 'data_chunk', count(*), cast({search.EMBED_FEATURES} as bigint)
-from (select row_number() over (order by event_id) - 1 i from events) group by 1"""
-
-ORACLE["ask_text_batch"] = f"""
-select conv_id * 4294967296 + turn question_id, 'documents' store_name,
-       cast(least(3, (select count(*) from documents)) as bigint) n_sources, true has_prompt,
-       {_sql_intent('lower(text)')} chart_type, cast(null as varchar) error
-from conversations where role = 'user' and length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 0"""
+select c + 1, 'data_chunk', md5(t), c, a, b, n, null, null, 512 from ch"""
+
+ORACLE["ask_text_batch"] = f"""with {_DOC_VECTORS},
+  turns as (select conv_id * 4294967296 + turn qid, text from conversations where length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 0),
+  {_sql_vectors('q', 'qid', 'text', 'turns')}, {_sql_scaled('q')},
+  dot as (select q.id qid, d.id doc_id, sum(d.x * q.x) s from d join q using (j) group by all),
+  r as (select qid, doc_id, row_number() over (partition by qid order by round(2 - 2 * s, 6), doc_id) rk from dot),
+  agg as (select qid, count(*) n, string_agg(text, chr(10) || chr(10) order by rk) context,
+                 md5(string_agg({_sql_snippet('text')}, chr(1) order by rk)) sources_md5
+          from r join documents using (doc_id) where rk <= 3 group by 1)
+select qid question_id, 'documents' store_name, n n_sources, md5(context) context_md5,
+       md5({_sql_prompt('context', 'turns.text')}) prompt_md5, sources_md5,
+       {_sql_intent('lower(turns.text)')} chart_type, cast(null as varchar) error
+from turns join agg using (qid)"""

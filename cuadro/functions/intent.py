@@ -120,9 +120,3 @@ def requested_top_n(question: str | None, default: int) -> int:
         if m:
             return int(m.group(1))
     return default
-
-
-def top_n_column(question: Column, default: int) -> Column:
-    """Column form of :func:`requested_top_n`."""
-    n = F.regexp_extract(F.lower(question), r"top\D*(\d+)", 1)
-    return F.when(n == "", F.lit(default)).otherwise(n.cast("int"))

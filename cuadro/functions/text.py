@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------------------
 # Fixed values.
@@ -55,8 +56,29 @@ def guarded_long(c: Column | str) -> Column:
 
 
 def money_text(c: Column | str, scale: int = 2) -> Column:
-    """Number rendered with ``scale`` decimals (half-up), through a DECIMAL cast."""
-    return _c(c).cast(f"decimal(38,{scale})").cast("string")
+    """Number rendered with ``scale`` decimals, half-up; as plain text where DECIMAL cannot hold it."""
+    x = _c(c)
+    return F.coalesce(x.try_cast(f"decimal(38,{scale})").cast("string"), x.cast("string"))
+
+
+def number_text(c: Column | str, dtype: T.DataType) -> Column:
+    """A number as Python prints it: 12345678.9, 0.0001, 1e-05, 1e+16, 3.0; whole numbers without a point."""
+    x = _c(c)
+    if not isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return x.cast("string")
+    text = x.cast("string")
+    plain = F.regexp_replace(text.try_cast("decimal(38,21)").cast("string"), "0+$", "")
+    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    digits = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
+    power = F.substring_index(text, "E", -1)
+    sign = F.when(power.startswith("-"), F.lit("-")).otherwise(F.lit("+"))
+    scientific = F.concat(digits, F.lit("e"), sign, F.lpad(F.regexp_replace(power, "-", ""), 2, "0"))
+    size = F.abs(x)
+    return (F.when(F.isnan(x), F.lit("nan"))
+            .when(size == float("inf"), F.when(x > 0, F.lit("inf")).otherwise(F.lit("-inf")))
+            .when((size == 0) | ((size >= 1e-4) & (size < 1e16)), F.when(size == 0, text).otherwise(plain))
+            .otherwise(F.when(F.length(power) > 2, F.concat(digits, F.lit("e"), sign, F.regexp_replace(power, "-", "")))
+                       .otherwise(scientific)))
 
 
 def store_name(file_name: Column | str, prefix: str = STORE_PREFIX) -> Column:

@@ -2,24 +2,22 @@
 
 Every operator is one declarative plan: a partial/final hash aggregate on the key, and a
 ``TakeOrderedAndProject`` for the top-k, so no task ever holds more than one partition's
-groups plus k rows. Grand totals that steer a result (zero guard, shares, histogram range)
-are scalar subqueries over the rows (one-row partial aggregates per task), computed once by
-Spark and inlined as a literal; nothing is collected by this code.
+groups plus k rows. Grand totals that steer a result (zero guard, shares) are scalar
+subqueries over the same grouped aggregate, so the table is scanned once and its exchange is
+reused; nothing is collected by this code.
 
-Sums go through ``DECIMAL(38,2)`` so a total does not depend on the order in which partitions
-are added (floating point sums do); the exact total is then reported as DOUBLE.
+Sums add the values as they are: whole numbers and DECIMAL exactly, DOUBLE in floating point
+(so the last bits depend on the order of addition). NaN is missing, infinities stay.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .rowindex import with_row_index
 
-SUM_IN = "decimal(38,2)"     # wide enough for 64-bit ids; sums stay exact to the cent
-SUM_OUT = "decimal(38,2)"
-
 # ---------------------------------------------------------------------------------------
 # Sizes of the reference charts and the remainder label of a pie chart.
 BAR_LIMIT = 10
@@ -35,16 +33,21 @@ def no_nan(c: Column | str) -> Column:
     return F.when(F.isnan(col), F.lit(None)).otherwise(col)
 
 
-def exact_count(c: Column | str) -> Column:
-    """Values that take part in an exact sum (NULL and NaN excluded)."""
-    col = F.col(c) if isinstance(c, str) else c
-    return F.count(col.cast(SUM_IN))
+def summable(df: DataFrame, c: str) -> Column:
+    """The column as it is summed: NaN missing, whole numbers wide enough not to overflow."""
+    col = no_nan(c)
+    return col.cast("decimal(20,0)") if isinstance(df.schema[c].dataType, T.IntegralType) else col
 
 
-def exact_sum(c: Column | str) -> Column:
-    """SUM through DECIMAL(18,2); an empty or all-NULL group sums to 0, not NULL."""
-    col = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(F.sum(col.cast(SUM_IN)), F.lit(0).cast(SUM_OUT)).cast(SUM_OUT)
+def total(df: DataFrame, c: str) -> Column:
+    """SUM of the unrounded values; an empty or all-missing group sums to 0, not NULL."""
+    return F.coalesce(F.sum(summable(df, c)), F.lit(0))
+
+
+def mean(df: DataFrame, c: str) -> Column:
+    """Mean of the values that are present, as DOUBLE; NULL when there are none."""
+    x = summable(df, c)
+    return F.try_divide(F.sum(x).cast("double"), F.count(x))
 
 
 def _ranked(df: DataFrame, key: str, value: str, n: int | None) -> DataFrame:
@@ -61,21 +64,27 @@ def bar_counts(df: DataFrame, key: str, n: int | None = BAR_LIMIT) -> DataFrame:
 
 def bar_sums(df: DataFrame, key: str, value: str, n: int | None = BAR_LIMIT,
              zero_guard: bool = True) -> DataFrame:
-    """Group sums, largest first. With ``zero_guard`` the counts are used instead whenever
-    the grand total of the group sums (over all groups, before the limit) is not > 0.
+    """Group sums, largest first: (key, value). With ``zero_guard`` the counts are used instead
+    whenever the grand total of the group sums (over all groups, before the limit) is not > 0."""
+    return bar_sums_labelled(df, key, value, n, zero_guard).select(key, "value")
+
+
+def bar_sums_labelled(df: DataFrame, key: str, value: str, n: int | None = BAR_LIMIT,
+                      zero_guard: bool = True) -> DataFrame:
+    """``bar_sums`` with ``counted``: whether the guard put counts in place of the sums.
 
-    The grand total equals the sum over all rows with a key, so it is taken straight from
-    the rows (a one-row partial aggregate per task) instead of re-aggregating the groups.
+    The grand total is a subquery over the grouped aggregate itself (same columns, so Spark
+    reuses its exchange); the table is read once.
     """
-    base = df.where(F.col(key).isNotNull())
-    g = base.groupBy(key).agg(exact_sum(value).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    g = df.where(F.col(key).isNotNull()).groupBy(key).agg(
+        total(df, value).cast("double").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    counted = F.lit(False)
     if zero_guard:
-        total = base.select(F.sum(F.col(value).cast(SUM_IN))).scalar()
-        v = F.when(total > 0, F.col("_s")).otherwise(F.col("_n").cast(SUM_OUT))
-    else:
-        v = F.col("_s")
-    v = v.cast("double")      # exact decimal total, reported as DOUBLE
-    return _ranked(g.select(key, v.alias("value")), key, "value", n)
+        grand = g.agg(F.struct(F.sum("_s").alias("s"), F.sum("_n").alias("n"))).scalar()
+        counted = ~F.coalesce(grand.getField("s") > 0, F.lit(False))
+    out = g.select(key, F.when(counted, F.col("_n").cast("double")).otherwise(F.col("_s")).alias("value"),
+                   counted.alias("counted"))
+    return _ranked(out, key, "value", n)
 
 
 def pie_shares(df: DataFrame, key: str, n: int = PIE_SLICES,
@@ -87,12 +96,11 @@ def pie_shares(df: DataFrame, key: str, n: int = PIE_SLICES,
 
     Plan: one frequency aggregate → TakeOrderedAndProject(n) → a single-row aggregate of
     those n rows → ``explode`` into the n slices plus the remainder. The total is a scalar
-    subquery over the rows (a one-row partial count per task), so a key with millions of
-    distinct values never meets an unpartitioned window and the aggregate runs once.
+    subquery over the same aggregate (its exchange is reused), so the table is read once and
+    a key with millions of distinct values never meets an unpartitioned window.
     """
-    base = df.where(F.col(key).isNotNull())
-    freq = base.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = base.select(F.count(F.lit(1))).scalar()
+    freq = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = freq.select(F.sum("n")).scalar()
     top = freq.orderBy(F.col("n").desc(), F.col(key).asc()).limit(n)
     one = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("neg"),
                                                         F.col(key).alias("k")))).alias("items"),
@@ -116,7 +124,7 @@ def slices_type() -> str:
 def time_series(df: DataFrame, date_col: str, value_col: str) -> DataFrame:
     """Sum of the value per exact timestamp, ascending (no calendar bucketing)."""
     return (df.where(F.col(date_col).isNotNull())
-            .groupBy(date_col).agg(exact_sum(value_col).cast("double").alias("value"))
+            .groupBy(date_col).agg(total(df, value_col).cast("double").alias("value"))
             .orderBy(date_col))
 
 

@@ -7,7 +7,8 @@ and then applies one projection:
 2. optionally label missing text (``null_label='nan'`` reproduces a pandas ``astype(str)``);
 3. date columns chosen by *name*, parsed day-first, all-or-nothing per column: the first
    format that parses every non-NULL value wins, otherwise the column stays text;
-4. text columns where at least one value is a plain number become numeric (BIGINT when all
+4. text columns whose every row is True or False become BOOLEAN;
+5. text columns where at least one value is a plain number become numeric (BIGINT when all
    values are integers, else DOUBLE); values that do not parse become NULL.
 
 Cost: one extra scan for the profile; pass ``schema`` to ``scan_csv`` and skip this step when
@@ -33,45 +34,58 @@ DAYFIRST_FORMATS = [
     "d-M-yyyy", "d/M/yyyy", "d.M.yyyy",
     "d-M-yyyy H:m:s", "d/M/yyyy H:m:s", "d-M-yyyy H:m", "d/M/yyyy H:m",
     "yyyy-M-d", "yyyy/M/d", "yyyy-M-d H:m:s[.SSSSSS]", "yyyy-M-d'T'H:m:s[.SSSSSS]",
+    "d-M-yy", "d/M/yy", "d.M.yy", "d MMM yyyy", "d-MMM-yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy",
+    "d/M/yyyy h:m:s a", "d/M/yyyy h:m a", "d-M-yyyy h:m:s a", "d-M-yyyy h:m a",
 ]
-# Cascade for the plotting loader: day-month-year, then month-day-year, then common
-# layouts, then a per-row mix preferring day first.
+# Month first, tried for a column only after no day-first format fits all of it.
+MONTHFIRST_FORMATS = ["M-d-yyyy", "M/d/yyyy", "M/d/yyyy H:m:s", "M/d/yyyy H:m", "M-d-yy", "M/d/yy",
+                      "M/d/yyyy h:m:s a", "M/d/yyyy h:m a"]
+# Cascade for the plotting loader: day-month-year, then month-day-year, then the other
+# layouts, each for the whole column; last a per-row mix preferring day first.
 CASCADE_FORMATS = ["d-M-yyyy", "M-d-yyyy"]
 INFERRED_FORMATS = ["yyyy-M-d", "yyyy-M-d H:m:s[.SSSSSS]", "yyyy-M-d'T'H:m:s[.SSSSSS]",
                     "yyyy/M/d", "M/d/yyyy", "d.M.yyyy"]
 # ---------------------------------------------------------------------------------------
 
 
+_SHAPES = [("yyyy", r"\d{4}"), ("yy", r"\d{2}"), ("MMMM", r"[A-Za-z]{3,9}"), ("MMM", r"[A-Za-z]{3}"),
+           ("[.SSSSSS]", r"(\.\d{1,6})?"), ("a", "([AaPp][Mm])"), *((x, r"\d{1,2}") for x in "dMHhms")]
+
+
 def format_shape(fmt: str) -> str:
-    """Anchored regex of the text layout a datetime pattern accepts (digits and separators).
+    """Anchored regex of the text layout a datetime pattern accepts.
 
     Parsing is only attempted on text of the right shape: a failed parse costs as much as a
     successful one, and most values fail most formats.
     """
     out, i = [], 0
     while i < len(fmt):
-        if fmt.startswith("yyyy", i):
-            out.append(r"\d{4}")
-            i += 4
-        elif fmt.startswith("[.SSSSSS]", i):
-            out.append(r"(\.\d{1,6})?")
-            i += len("[.SSSSSS]")
-        elif fmt[i] in "dMHms":
-            out.append(r"\d{1,2}")
-            i += 1
-        elif fmt[i] == "'":
+        if fmt[i] == "'":
             j = fmt.index("'", i + 1)
             out.append(re.escape(fmt[i + 1:j]))
             i = j + 1
-        else:
-            out.append(re.escape(fmt[i]))
-            i += 1
+            continue
+        piece, shape = next(((p, x) for p, x in _SHAPES if fmt.startswith(p, i)), (fmt[i], re.escape(fmt[i])))
+        out.append(shape)
+        i += len(piece)
     return "^" + "".join(out) + "$"
 
 
 def parse_timestamp(c: Column, fmt: str) -> Column:
-    """Text → TIMESTAMP_NTZ with one format; NULL when it does not parse."""
-    return F.when(c.rlike(format_shape(fmt)), F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz"))
+    """Text → TIMESTAMP_NTZ with one format; NULL when it does not parse.
+
+    Names of months and of halves of the day are read in any case. Two-digit years from 69 on
+    belong to the last century.
+    """
+    text = c
+    if "MMM" in fmt:
+        text = F.initcap(F.lower(c))
+    elif fmt.endswith("a"):
+        text = F.upper(c)
+    ts = F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")
+    if "yy" in fmt and "yyyy" not in fmt:
+        ts = F.when(F.year(ts) >= 2069, ts - F.expr("interval 100 years")).otherwise(ts)
+    return F.when(c.rlike(format_shape(fmt)), ts)
 
 
 def parse_timestamp_any(c: Column, formats: list[str]) -> Column:
@@ -89,9 +103,14 @@ class Profile:
     nonnull: dict = field(default_factory=dict)
     date_format: dict = field(default_factory=dict)   # column -> chosen format
     numeric: dict = field(default_factory=dict)       # column -> 'bigint' | 'double'
+    boolean: set = field(default_factory=set)         # every row is True or False
+
 
+# The spellings of truth values that a pandas CSV read accepts.
+TRUE_TEXT, FALSE_TEXT = ["True", "TRUE", "true"], ["False", "FALSE", "false"]
 
-def profile_table(df: DataFrame, date_formats: list[str] = DAYFIRST_FORMATS,
+
+def profile_table(df: DataFrame, date_formats: list[str] = DAYFIRST_FORMATS + MONTHFIRST_FORMATS,
                   min_ratio: float | None = None, strip: bool = True) -> Profile:
     """One aggregate over the table: the counters that drive ``clean_table``."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
@@ -102,6 +121,7 @@ def profile_table(df: DataFrame, date_formats: list[str] = DAYFIRST_FORMATS,
         exprs.append(F.count(raw).alias(f"n{i}"))                 # stripping never makes NULL
         exprs.append(F.count(guarded_double(raw)).alias(f"d{i}"))  # the guards strip themselves
         exprs.append(F.count(guarded_long(raw)).alias(f"l{i}"))
+        exprs.append(F.count(F.when(raw.isin(TRUE_TEXT + FALSE_TEXT), 1)).alias(f"b{i}"))
         if is_date_name(c):
             for j, fmt in enumerate(date_formats):
                 exprs.append(F.count(parse_timestamp(s, fmt)).alias(f"t{i}_{j}"))
@@ -117,6 +137,9 @@ def profile_table(df: DataFrame, date_formats: list[str] = DAYFIRST_FORMATS,
                     break
         if c in prof.date_format:
             continue
+        if n > 0 and row[f"b{i}"] == prof.rows:
+            prof.boolean.add(c)
+            continue
         d, lg = row[f"d{i}"], row[f"l{i}"]
         need = 1 if min_ratio is None else max(1, int(min_ratio * n + 0.999999))
         if n > 0 and d >= need:
@@ -137,6 +160,8 @@ def clean_table(df: DataFrame, null_label: str | None = None, min_ratio: float |
         s = strip_outer(c) if strip else c
         if f.name in prof.date_format:
             out.append(parse_timestamp(s, prof.date_format[f.name]).alias(f.name))
+        elif f.name in prof.boolean:
+            out.append(c.isin(TRUE_TEXT).alias(f.name))
         elif f.name in prof.numeric:
             conv = guarded_long(s) if prof.numeric[f.name] == "bigint" else guarded_double(s)
             out.append(conv.alias(f.name))
@@ -150,47 +175,51 @@ def clean_table(df: DataFrame, null_label: str | None = None, min_ratio: float |
 def cascade_dates(df: DataFrame, column: str = "Date") -> DataFrame:
     """Date typing of the plotting loader: whole-column formats in order, then per-row mix.
 
-    No stripping and no numeric coercion. One profile action when ``column`` is text.
+    No stripping and no numeric coercion. One profile action when ``column`` is text. A value
+    that no format reads raises, naming one such value.
     """
     if column not in df.columns or not isinstance(df.schema[column].dataType, T.StringType):
         return df
     c = F.col(column)
-    whole = CASCADE_FORMATS + INFERRED_FORMATS
-    row = df.agg(F.count(c).alias("n"),
+    rest = [f for f in INFERRED_FORMATS + DAYFIRST_FORMATS + MONTHFIRST_FORMATS if f not in CASCADE_FORMATS]
+    whole = CASCADE_FORMATS + list(dict.fromkeys(rest))
+    mixed = parse_timestamp_any(c, DAYFIRST_FORMATS + MONTHFIRST_FORMATS)
+    row = df.agg(F.count(c).alias("n"), F.min(F.when(mixed.isNull(), c)).alias("bad"),
                  *[F.count(parse_timestamp(c, f)).alias(f"f{i}") for i, f in enumerate(whole)]).first()
     for i, fmt in enumerate(whole):
         if row[f"f{i}"] == row["n"]:
             return df.withColumn(column, parse_timestamp(c, fmt))
-    return df.withColumn(column, parse_timestamp_any(c, DAYFIRST_FORMATS + ["M-d-yyyy"]))
+    if row["bad"] is not None:
+        raise ValueError(f"column {column}: {row['bad']!r} is not a date in any known format")
+    return df.withColumn(column, mixed)
 
 
-def parseable_dates(df: DataFrame, candidates: list[str]) -> list[str]:
-    """Which candidates hold dates: temporal columns always; text columns when every
-    non-NULL value parses (one aggregate for all text candidates)."""
+def column_date_formats(df: DataFrame, candidates: list[str]) -> dict[str, str | None]:
+    """Which candidates hold dates, in their order: temporal columns (format None), and text
+    columns that one format reads in full (one aggregate for all text candidates)."""
     temporal = (T.TimestampType, T.TimestampNTZType, T.DateType)
-    out, texts = [], []
-    for c in candidates:
-        dt = df.schema[c].dataType
-        if isinstance(dt, temporal):
-            out.append(c)
-        elif isinstance(dt, T.StringType):
-            texts.append(c)
+    texts = [c for c in candidates if isinstance(df.schema[c].dataType, T.StringType)]
+    fmts = list(dict.fromkeys(DAYFIRST_FORMATS + MONTHFIRST_FORMATS + INFERRED_FORMATS))
+    found: dict[str, str | None] = {}
     if texts:
-        fmts = DAYFIRST_FORMATS + INFERRED_FORMATS
         row = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(texts)],
-                     *[F.count(parse_timestamp_any(strip_outer(F.col(c)), fmts)).alias(f"p{i}")
-                       for i, c in enumerate(texts)]).first()
-        ok = {c for i, c in enumerate(texts) if row[f"n{i}"] > 0 and row[f"p{i}"] == row[f"n{i}"]}
-        out = [c for c in candidates if c in set(out) | ok]
-    return out
-
-
-def parse_dates_like(df: DataFrame, column: str) -> DataFrame:
-    """Make ``column`` temporal if it is text (per-row, day-first preference)."""
-    if isinstance(df.schema[column].dataType, T.StringType):
-        fmts = DAYFIRST_FORMATS + INFERRED_FORMATS
-        return df.withColumn(column, parse_timestamp_any(strip_outer(F.col(column)), fmts))
-    return df
+                     *[F.count(parse_timestamp(strip_outer(F.col(c)), f)).alias(f"p{i}_{j}")
+                       for i, c in enumerate(texts) for j, f in enumerate(fmts)]).first()
+        for i, c in enumerate(texts):
+            fits = [f for j, f in enumerate(fmts) if row[f"n{i}"] > 0 and row[f"p{i}_{j}"] == row[f"n{i}"]]
+            if fits:
+                found[c] = fits[0]
+    return {c: found.get(c) for c in candidates if c in found or isinstance(df.schema[c].dataType, temporal)}
+
+
+def parse_dates_like(df: DataFrame, column: str, fmt: str | None = None) -> DataFrame:
+    """Make ``column`` temporal if it is text: one format for the whole column."""
+    if not isinstance(df.schema[column].dataType, T.StringType):
+        return df
+    fmt = fmt or column_date_formats(df, [column]).get(column)
+    if fmt is None:
+        raise ValueError(f"column {column} has no single date format")
+    return df.withColumn(column, parse_timestamp(strip_outer(F.col(column)), fmt))
 
 
 def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -210,9 +239,7 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
 
 def row_total(df: DataFrame, price: str = "Price", quantity: str = "Quantity",
               name: str = "total") -> DataFrame:
-    """price × quantity, computed exactly to the cent and reported as DOUBLE; NULL if either
-    is missing."""
+    """price × quantity as DOUBLE, rounded to the cent after the product; NULL if either is missing."""
     if price not in df.columns or quantity not in df.columns:
         return df
-    t = (F.col(price).cast("decimal(18,2)") * F.col(quantity).cast("decimal(18,2)")).cast("decimal(28,2)").cast("double")
-    return df.withColumn(name, t)
+    return df.withColumn(name, F.round(F.col(price).cast("double") * F.col(quantity).cast("double"), 2))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import fill, money_text, rstrip_chars
+from ..functions.text import fill, money_text, number_text, rstrip_chars
 from .profile import TIMESTAMP_TEXT, dataset_summary
 from .rowindex import with_row_index
 
@@ -89,10 +89,10 @@ def row_sentence(df: DataFrame, fields: RowFields, row_idx_col: str = "row_idx")
         parts.append(_part(ROW_LABELS["product"], _value_text(df, f.product)))
     if f.price and f.quantity:
         p, q = F.col(f.price), F.col(f.quantity)
-        total = (p.cast("decimal(18,2)") * q.cast("decimal(18,2)")).cast("decimal(28,2)")
-        parts.append(F.concat(F.lit(f"{ROW_LABELS['price']}: $"), p.cast("string"),
-                              F.lit(f", {ROW_LABELS['quantity']}: "), q.cast("string"),
-                              F.lit(f", {ROW_LABELS['total']}: $"), total.cast("string"), F.lit(", ")))
+        total = money_text(p.cast("double") * q.cast("double"))
+        parts.append(F.concat(F.lit(f"{ROW_LABELS['price']}: $"), number_text(p, df.schema[f.price].dataType),
+                              F.lit(f", {ROW_LABELS['quantity']}: "), number_text(q, df.schema[f.quantity].dataType),
+                              F.lit(f", {ROW_LABELS['total']}: $"), total, F.lit(", ")))
     elif f.total:
         parts.append(_part(ROW_LABELS["total"], money_text(F.col(f.total)), "$"))
     for key in ("purchase_type", "payment", "manager", "city"):
@@ -163,12 +163,6 @@ def corpus_docs(df: DataFrame, order_by: list[str], fields: RowFields | None = N
     return head.unionByName(body)
 
 
-def doc_metadata(docs: DataFrame) -> Column:
-    """The metadata struct of a corpus document."""
-    return F.struct(F.col("doc_type").alias("type"), "chunk_id", "start_row", "end_row",
-                    "num_rows", "total_rows", "columns")
-
-
 def corpus_counts(docs: DataFrame) -> DataFrame:
     """Documents per type (the ingest log line: n chunks + 1 summary)."""
     return docs.groupBy("doc_type").agg(F.count(F.lit(1)).alias("n_docs"))

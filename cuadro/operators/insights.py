@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .charts import SUM_IN, SUM_OUT, exact_count, exact_sum
+from .charts import mean, no_nan, summable, total
 
 TOP_PRODUCTS = 10
 
@@ -25,11 +25,11 @@ def _top(df: DataFrame, key: str, n: int | None) -> DataFrame:
 def product_totals(lineitem: DataFrame, part: DataFrame, value: str = "l_quantity") -> DataFrame:
     """Total of ``value`` per product name (lineitem pre-aggregated per part key)."""
     per_part = (lineitem.where(F.col("l_partkey").isNotNull())
-                .groupBy("l_partkey").agg(F.sum(F.col(value).cast(SUM_IN)).alias("_s")))
+                .groupBy("l_partkey").agg(F.sum(summable(lineitem, value)).alias("_s")))
     named = per_part.join(part.select("p_partkey", "p_name"),
                           per_part["l_partkey"] == part["p_partkey"])
     return (named.where(F.col("p_name").isNotNull())
-            .groupBy("p_name").agg(F.coalesce(F.sum("_s"), F.lit(0)).cast(SUM_OUT).cast("double").alias("value")))
+            .groupBy("p_name").agg(F.coalesce(F.sum("_s"), F.lit(0)).cast("double").alias("value")))
 
 
 def top_products(lineitem: DataFrame, part: DataFrame, n: int = TOP_PRODUCTS) -> DataFrame:
@@ -45,23 +45,24 @@ def monthly_trend(df: DataFrame, date_col: str, value_col: str) -> DataFrame:
     """Calendar-month totals, ascending."""
     month = F.date_trunc("month", F.col(date_col)).cast("timestamp_ntz")
     return (df.where(F.col(date_col).isNotNull())
-            .groupBy(month.alias("month_start")).agg(exact_sum(value_col).cast("double").alias("value"))
+            .groupBy(month.alias("month_start")).agg(total(df, value_col).cast("double").alias("value"))
             .orderBy("month_start"))
 
 
-def avg_by_category(df: DataFrame, key: str, value: str, digits: int = 4) -> DataFrame:
-    """Mean of ``value`` per non-NULL key, exact decimal mean rounded to ``digits``."""
+def avg_by_category(df: DataFrame, key: str, value: str, digits: int | None = None) -> DataFrame:
+    """Mean of ``value`` per non-NULL key; ``digits`` rounds the mean for display."""
     return (df.where(F.col(key).isNotNull())
             .groupBy(key)
-            .agg(F.round(F.try_divide(F.sum(F.col(value).cast(SUM_IN)), exact_count(value)), digits)
-                 .cast("double").alias("avg_value"),
-                 exact_count(value).alias("n"))
+            .agg(_shown(mean(df, value), digits).alias("avg_value"), F.count(no_nan(value)).alias("n"))
             .orderBy(key))
 
 
-def overall_avg(df: DataFrame, value: str, digits: int = 4) -> DataFrame:
-    return df.agg(F.round(F.try_divide(F.sum(F.col(value).cast(SUM_IN)), exact_count(value)), digits)
-                  .cast("double").alias("avg_value"), exact_count(value).alias("n"))
+def overall_avg(df: DataFrame, value: str, digits: int | None = None) -> DataFrame:
+    return df.agg(_shown(mean(df, value), digits).alias("avg_value"), F.count(no_nan(value)).alias("n"))
+
+
+def _shown(c, digits: int | None):
+    return c if digits is None else F.round(c, digits)
 
 
 def compare_regions(orders: DataFrame, customer: DataFrame, nation: DataFrame,
@@ -72,12 +73,12 @@ def compare_regions(orders: DataFrame, customer: DataFrame, nation: DataFrame,
     regions meet the last two joins.
     """
     per_cust = (orders.where(F.col("o_custkey").isNotNull())
-                .groupBy("o_custkey").agg(F.sum(F.col("o_totalprice").cast(SUM_IN)).alias("_s")))
+                .groupBy("o_custkey").agg(F.sum(summable(orders, "o_totalprice")).alias("_s")))
     per_nation = (per_cust.join(customer.select("c_custkey", "c_nationkey"),
                                 per_cust["o_custkey"] == customer["c_custkey"])
                   .groupBy("c_nationkey").agg(F.sum("_s").alias("_s")))
     geo = nation.select("n_nationkey", "n_regionkey").join(
         region.select("r_regionkey", "r_name"), F.col("n_regionkey") == F.col("r_regionkey"))
     return (per_nation.join(geo, per_nation["c_nationkey"] == geo["n_nationkey"])
-            .groupBy("r_name").agg(F.coalesce(F.sum("_s"), F.lit(0)).cast(SUM_OUT).cast("double").alias("value"))
+            .groupBy("r_name").agg(F.coalesce(F.sum("_s"), F.lit(0)).cast("double").alias("value"))
             .orderBy(F.col("value").desc(), F.col("r_name").asc()))

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.roles import numeric_columns, string_columns
-from ..functions.text import fill
-from .charts import SUM_IN, SUM_OUT, no_nan
+from ..functions.text import fill, money_text
+from .charts import mean, no_nan, total
 
 # ---------------------------------------------------------------------------------------
 # Summary text lines, statistics columns and sizes of the reference.
@@ -35,10 +35,6 @@ TIMESTAMP_TEXT = "yyyy-MM-dd HH:mm:ss"
 # ---------------------------------------------------------------------------------------
 
 
-def _dec2(c: Column) -> Column:
-    return c.cast(SUM_IN)
-
-
 def _text(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return F.date_format(c, TIMESTAMP_TEXT)
@@ -46,11 +42,12 @@ def _text(c: Column, dtype: T.DataType) -> Column:
 
 
 def dataset_info(df: DataFrame) -> DataFrame:
-    """Rows, number of columns and column names (names and types come from the schema)."""
+    """Rows, number of columns, and every column's name and type (from the schema)."""
     return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
         "n_rows",
         F.lit(len(df.columns)).alias("n_cols"),
-        F.lit(", ".join(df.columns)).alias("columns"))
+        F.lit(", ".join(df.columns)).alias("columns"),
+        F.lit(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)).alias("types"))
 
 
 def preview(df: DataFrame, order_by: list[str], n: int = PREVIEW_ROWS) -> DataFrame:
@@ -62,29 +59,32 @@ def period(df: DataFrame, date_col: str) -> DataFrame:
     return df.agg(F.min(date_col).alias("period_start"), F.max(date_col).alias("period_end"))
 
 
-def _numeric_aggs(columns: list[str]) -> list[Column]:
+def _numeric_aggs(df: DataFrame, columns: list[str]) -> list[Column]:
     aggs = []
     for i, c in enumerate(columns):
         x = no_nan(F.col(c))          # NaN is missing, as in the reference's statistics
         aggs += [F.min(x).cast("double").alias(f"mn{i}"), F.max(x).cast("double").alias(f"mx{i}"),
-                 F.sum(_dec2(x)).cast(SUM_OUT).alias(f"s{i}"), F.count(x).alias(f"n{i}")]
+                 total(df, c).cast("double").alias(f"s{i}"), mean(df, c).alias(f"m{i}")]
     return aggs
 
 
 def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row per numeric column: min, max, mean (2 decimals) and exact total."""
+    """One row per numeric column: min, max, mean and total of the unrounded values."""
     cols = columns or numeric_columns(df.schema)
-    wide = df.agg(*_numeric_aggs(cols))
+    wide = df.agg(*_numeric_aggs(df, cols))
     rows = [F.struct(F.lit(c).alias("column"), F.col(f"mn{i}").alias("min"), F.col(f"mx{i}").alias("max"),
-                     F.round(F.try_divide(F.col(f"s{i}"), F.col(f"n{i}")), 2).cast("double").alias("mean"),
-                     F.coalesce(F.col(f"s{i}"), F.lit(0)).cast("double").alias("total"))
+                     F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("total"))
             for i, c in enumerate(cols)]
     # one wide row → one row per column (names stay data, never SQL text)
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def top_values(df: DataFrame, columns: list[str] | None = None, n: int = TOP_VALUES) -> DataFrame:
-    """The n most frequent non-NULL values of every text column: (column, value, n, rank)."""
+    """The n most frequent non-NULL values of every text column: (column, value, n, rank).
+
+    Ties rank by the value itself, so the text has to travel with its count; the partial
+    aggregate sends each different value once per task.
+    """
     cols = columns or string_columns(df.schema)
     longf = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
         ids=[], values=cols, variableColumnName="column", valueColumnName="value")
@@ -103,7 +103,7 @@ def dataset_summary(df: DataFrame, date_col: str | None = DEFAULT_DATE_COLUMN,
 
     Lines: title, total rows, period (when ``date_col`` exists), column list, numeric
     statistics for ``stat_columns`` (default: Price and Quantity when present), and the top
-    values of every text column. Numbers are rendered with two decimals through DECIMAL.
+    values of every text column. Numbers are rendered with two decimals.
     """
     schema = df.schema
     nums = numeric_columns(schema)
@@ -112,7 +112,7 @@ def dataset_summary(df: DataFrame, date_col: str | None = DEFAULT_DATE_COLUMN,
              if c in nums]
     has_date = date_col is not None and date_col in df.columns
 
-    aggs = [F.count(F.lit(1)).alias("__rows")] + _numeric_aggs(stats)
+    aggs = [F.count(F.lit(1)).alias("__rows")] + _numeric_aggs(df, stats)
     if has_date:
         dt = schema[date_col].dataType
         aggs += [_text(F.min(date_col), dt).alias("__p0"), _text(F.max(date_col), dt).alias("__p1")]
@@ -125,10 +125,8 @@ def dataset_summary(df: DataFrame, date_col: str | None = DEFAULT_DATE_COLUMN,
     if nums:
         lines.append(F.lit(SUMMARY_NUMERIC_HEADER))
         for i, c in enumerate(stats):
-            mean = F.round(F.try_divide(F.col(f"s{i}"), F.col(f"n{i}")), 2).cast("decimal(38,2)")
-            lines.append(fill(SUMMARY_NUMERIC_LINE, col=F.lit(c),
-                              min=F.col(f"mn{i}").cast("decimal(38,2)"), max=F.col(f"mx{i}").cast("decimal(38,2)"),
-                              mean=mean, total=F.coalesce(F.col(f"s{i}"), F.lit(0).cast(SUM_OUT))))
+            lines.append(fill(SUMMARY_NUMERIC_LINE, col=F.lit(c), min=money_text(f"mn{i}"), max=money_text(f"mx{i}"),
+                              mean=money_text(f"m{i}"), total=money_text(f"s{i}")))
     if texts:
         lines.append(F.lit(SUMMARY_CATEGORY_HEADER))
         tv = top_values(df, texts, n_top)

@@ -1,152 +1,64 @@
 """Dense 0-based row position from a declared order key, without a global window.
 
 A window ``row_number() OVER (ORDER BY k)`` without a partition moves every row into one task.
-Instead:
-
-1. quantile boundaries of the order key (one ``percentile_approx`` action on a single numeric
-   key, or evenly spaced rows of a sorted sample of the whole key tuple; either way the
-   result is a handful of literals, so the plan is deterministic if a task is re-run);
-2. bucket = position of the key among the boundaries (binary search in the JVM: ``Bucketizer``
-   for one numeric or temporal column, a balanced CASE tree of lexicographic comparisons for
-   text and composite keys); buckets are range-ordered, and a leading value shared by many
-   rows is still split when the key has more columns;
-3. per-bucket counts and their running offsets (a window over the k bucket rows only,
-   broadcast back; k is chosen here, so its size is bounded);
-4. ``row_number()`` inside each bucket by the full key, plus the bucket's offset.
-
-The full order key must be unique for the result to be deterministic. Buckets hold about
-``rows_per_bucket`` rows, so each window task sorts a bounded slice.
+Instead, for any size and any key types:
+
+1. ``repartitionByRange`` on the full order key (Spark samples the boundaries itself; NULL,
+   NaN and infinities are ordered like any value), sized to about ``rows_per_bucket`` rows a
+   partition; each row keeps the id of its partition;
+2. the result is written once in the shared scratch folder, so the partition ids that the
+   later steps read are the ones that were written, not those of another sampling run;
+3. rows per partition id, and their running offsets: a window over the partition ids only;
+4. ``row_number()`` inside each partition id by the full key, plus the offset.
+
+The full order key must be unique for the result to be deterministic. A leading value shared by
+many rows is split when the key has more columns.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..session import materialise
 
 ROWS_PER_BUCKET = 2_000_000
-MAX_TEXT_BUCKETS = 4096
+#: File position of a scanned row: file, byte offset of its split, row inside the split.
+FILE_ORDER = ["_file", "_block", "_pos"]
 _BUCKET = "__bucket"
-_KEYNUM = "__key_num"
-
+_OFFSET = "__offset"
 
-def _numeric_key(c: Column, dtype: T.DataType) -> Column | None:
-    if isinstance(dtype, T.TimestampNTZType):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(c).cast("double")
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(dtype, (T.NumericType, T.BooleanType)):
-        return c.cast("double")
-    return None
 
+def number_within(df: DataFrame, bucket: list[str], order_by: list[str], name: str = "row_idx") -> DataFrame:
+    """Position of each row where ``bucket`` columns (ascending) already order groups of rows.
 
-def _string_boundaries(df: DataFrame, lead: str, k: int, n: int) -> list[str]:
-    """k-1 boundaries of a text key from a sample.
-
-    The sample is sorted by a distributed (range-partitioned) sort; ``monotonically_increasing_id``
-    after that sort increases with the key across partitions, so its quantiles (numeric,
-    ``percentile_approx``) point at evenly spaced sample values. Only those k values reach the
-    driver.
+    One count per group, a running offset over the groups, a rank inside each group. The
+    offsets are one row per group; Spark joins them as their size allows.
     """
-    frac = min(1.0, (20.0 * k) / max(n, 1))
-    sample = df.select(lead).where(F.col(lead).isNotNull()).sample(False, frac, seed=17)
-    ordered = sample.orderBy(lead).withColumn("__m", F.monotonically_increasing_id())
-    probs = [i / k for i in range(1, k)]
-    qs = ordered.select(F.percentile_approx("__m", probs, min(max(10_000, 20 * k), 1_000_000))).first()[0]
-    if not qs:
-        return []
-    picks = ordered.where(F.col("__m").isin(sorted(set(qs)))).select(lead)
-    return sorted({r[0] for r in picks.collect()})
-
-
-def _position(key: Column, bounds: list, lo: int, hi: int, less=None) -> Column:
-    """Number of ``bounds`` <= key, as a balanced CASE tree (binary search, log2 k tests)."""
-    if lo == hi:
-        return F.lit(float(lo))
-    mid = (lo + hi) // 2
-    cond = less(key, bounds[mid]) if less else key < F.lit(bounds[mid])
-    return F.when(cond, _position(key, bounds, lo, mid, less)) \
-        .otherwise(_position(key, bounds, mid + 1, hi, less))
-
-
-def _tuple_less(cols: list[Column], bound: tuple) -> Column:
-    """(c1, c2, ...) < bound in ascending, NULLs-first lexicographic order."""
-    out = F.lit(False)
-    for c, b in reversed(list(zip(cols, bound))):
-        if b is None:
-            less, eq = F.lit(False), c.isNull()
-        else:
-            less, eq = c.isNull() | (c < F.lit(b)), c.eqNullSafe(F.lit(b))
-        out = less | (eq & out)
-    return out
-
-
-def _tuple_boundaries(df: DataFrame, order_by: list[str], k: int, n: int) -> list[tuple]:
-    """k-1 boundaries of the full order key, from a sample sorted by a distributed sort."""
-    frac = min(1.0, (20.0 * k) / max(n, 1))
-    sample = df.select(*order_by).sample(False, frac, seed=17)
-    ordered = (sample.orderBy(*[F.col(c).asc_nulls_first() for c in order_by])
-               .withColumn("__m", F.monotonically_increasing_id()))
-    probs = [i / k for i in range(1, k)]
-    qs = ordered.select(F.percentile_approx("__m", probs, min(max(10_000, 20 * k), 1_000_000))).first()[0]
-    if not qs:
-        return []
-    picks = ordered.where(F.col("__m").isin(sorted(set(qs)))).orderBy("__m").select(*order_by).collect()
-    out = []
-    for r in picks:
-        t = tuple(r)
-        if not out or out[-1] != t:
-            out.append(t)
-    return out
+    counts = df.groupBy(*bucket).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(c).alias(f"__o{i}") for i, c in enumerate(bucket)],
+                            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(_OFFSET))
+    same = [df[c].eqNullSafe(offsets[f"__o{i}"]) for i, c in enumerate(bucket)]
+    inside = Window.partitionBy(*bucket).orderBy(*[F.col(c).asc_nulls_first() for c in order_by])
+    joined = df.join(offsets, same).drop(*[f"__o{i}" for i in range(len(bucket))])
+    return joined.withColumn(name, (F.col(_OFFSET) + F.row_number().over(inside) - 1).cast("bigint")).drop(_OFFSET)
 
 
 def with_row_index(df: DataFrame, order_by: list[str], name: str = "row_idx",
                    rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add ``name`` = 0-based dense position of each row in ``order_by`` order (ascending,
-    NULLs first)."""
-    lead = order_by[0]
+    NULLs first, NaN last).
+
+    Rows that carry their file position need no boundaries: the splits are the buckets.
+    """
+    if order_by == FILE_ORDER:
+        return number_within(df, FILE_ORDER[:2], FILE_ORDER[2:], name)
     n = df.count()
-    k = max(1, math.ceil(n / rows_per_bucket))
-    dtype = df.schema[lead].dataType
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    buckets = max(math.ceil(n / rows_per_bucket), slots)
     order = [F.col(c).asc_nulls_first() for c in order_by]
-    if k == 1:
-        # small input (at most rows_per_bucket rows): one sorted task is the cheapest plan
-        w1 = Window.orderBy(*order)
-        return df.withColumn(name, (F.row_number().over(w1) - 1).cast("bigint"))
-    key = _numeric_key(F.col(lead), dtype)
-    if len(order_by) > 1:
-        # composite key: boundaries on the whole tuple, so a leading value shared by a large
-        # share of the rows is still split over several buckets
-        k = min(k, MAX_TEXT_BUCKETS)
-        bounds = _tuple_boundaries(df, order_by, k, n)
-        cols = [F.col(c) for c in order_by]
-        with_b = df.withColumn(_BUCKET, _position(cols, bounds, 0, len(bounds), _tuple_less))
-    elif key is not None:
-        probs = [i / k for i in range(1, k)]
-        accuracy = min(max(10_000, 20 * k), 1_000_000)
-        qs = df.select(F.percentile_approx(key, probs, accuracy).alias("q")).first()["q"] or []
-        splits = [-math.inf] + sorted({float(q) for q in qs if q is not None}) + [math.inf]
-        keyed = df.withColumn(_KEYNUM, F.coalesce(key, F.lit(-math.inf)))
-        with_b = Bucketizer(splits=splits, inputCol=_KEYNUM, outputCol=_BUCKET) \
-            .transform(keyed).drop(_KEYNUM)
-    else:
-        # text keys: the bucket lookup is a CASE tree, so the number of buckets is kept to a
-        # plan-friendly size (the result stays exact; only bucket sizes grow)
-        k = min(k, MAX_TEXT_BUCKETS)
-        bounds = _string_boundaries(df, lead, k, n)
-        lead_c = F.col(lead)
-        pos = _position(lead_c, bounds, 0, len(bounds))
-        with_b = df.withColumn(_BUCKET, F.when(lead_c.isNull(), F.lit(0.0)).otherwise(pos))
-    counts = with_b.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("__n"))
-    # running offsets over the (at most k) bucket rows
-    w_off = Window.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(_BUCKET, F.coalesce(F.sum("__n").over(w_off), F.lit(0)).alias("__off"))
-    joined = with_b.join(F.broadcast(offsets), _BUCKET)
-    w = Window.partitionBy(_BUCKET).orderBy(*order)
-    return (joined.withColumn(name, (F.col("__off") + F.row_number().over(w) - 1).cast("bigint"))
-            .drop(_BUCKET, "__off"))
+    spread = df.repartitionByRange(buckets, *order).withColumn(_BUCKET, F.spark_partition_id())
+    return number_within(materialise(spread, "row-index"), [_BUCKET], order_by, name).drop(_BUCKET)

@@ -35,9 +35,9 @@ from pyspark.sql import types as T
 from ..session import spread_for_cpu
 
 BROADCAST_BYTES = 64 << 20        # question matrix size that is broadcast
-CORPUS_BLOCK_ROWS = 200_000        # documents per block in the blocked plan
+CORPUS_BLOCK_BYTES = 64 << 20      # vectors (as float64) per document block in the blocked plan
+TILE_BYTES = 16 << 20              # temporaries of one scoring step
 _CAND_EXTRA = 8                    # extra candidates kept beyond k before exact re-scoring
-_CHUNK_CELLS = 4_000_000           # distance cells scored at once
 _U = np.finfo(np.float64).eps / 2  # unit roundoff
 
 _OUT = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("doc_id", T.LongType()),
@@ -45,9 +45,9 @@ _OUT = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("doc
 
 
 def _exact(C: np.ndarray, Q: np.ndarray) -> np.ndarray:
-    """Σ(c−q)² for every (c, q): shape (len(C), len(Q))."""
+    """Σ(c−q)² for every (c, q): shape (len(C), len(Q)); temporaries stay within TILE_BYTES."""
     out = np.empty((C.shape[0], Q.shape[0]))
-    step = max(1, _CHUNK_CELLS // max(1, Q.shape[0] * max(1, Q.shape[1])))
+    step = max(1, TILE_BYTES // (8 * max(1, Q.shape[0] * Q.shape[1])))
     for s in range(0, C.shape[0], step):
         d = C[s:s + step, None, :] - Q[None, :, :]
         out[s:s + step] = np.einsum("mqd,mqd->mq", d, d)
@@ -65,75 +65,75 @@ def _merge(best_d, best_i, d, i, k):
     return D, I
 
 
+def _few_copies(ids: np.ndarray, C: np.ndarray, k: int) -> np.ndarray:
+    """Rows that can matter: of equal vectors only the k smallest ids (ties go to the smaller id)."""
+    if len(ids) <= k:
+        return np.arange(len(ids))
+    raw = np.ascontiguousarray(C + 0.0).view(np.dtype((np.void, C.shape[1] * 8))).ravel()
+    group = np.unique(raw, return_inverse=True)[1]
+    order = np.lexsort((ids, group))
+    first = np.searchsorted(group[order], group[order])
+    return order[np.arange(len(order)) - first < k]
+
+
 class TopK:
-    """Running exact top-k per question over corpus blocks."""
+    """Running exact top-k per question over corpus blocks.
+
+    Documents and questions are cut into tiles, so that no temporary exceeds ``TILE_BYTES``
+    whatever the number of questions, the width, or the number of equal vectors.
+    """
 
     def __init__(self, q_ids: np.ndarray, Q: np.ndarray, k: int):
         self.q_ids, self.Q, self.k = q_ids, Q, k
         self.q2 = (Q * Q).sum(1)
-        self.D = np.full((len(q_ids), 0), np.inf)
-        self.I = np.zeros((len(q_ids), 0), dtype=np.int64)
+        self.D = np.full((len(q_ids), k), np.inf)
+        self.I = np.full((len(q_ids), k), np.iinfo(np.int64).max)
 
     def add(self, c_ids: np.ndarray, C: np.ndarray) -> None:
-        q, k = len(self.q_ids), self.k
-        if q == 0 or len(c_ids) == 0:
+        if len(self.q_ids) == 0 or len(c_ids) == 0:
             return
-        step = max(1, _CHUNK_CELLS // q)
-        for s in range(0, C.shape[0], step):
-            self._add_chunk(c_ids[s:s + step], C[s:s + step], k)
-
-    def _add_chunk(self, ids, Cc, k):
-        mc = Cc.shape[0]
-        c2 = (Cc * Cc).sum(1)
-        kk = min(mc, k + _CAND_EXTRA)
-        if kk == mc:
-            ex = _exact(Cc, self.Q).T                                   # (q, mc)
-            self.D, self.I = _merge(self.D, self.I, ex, np.broadcast_to(ids, ex.shape), k)
+        d = max(1, C.shape[1])
+        kk = self.k + _CAND_EXTRA
+        q_step = max(1, TILE_BYTES // (8 * kk * d))
+        c_step = max(kk + 1, TILE_BYTES // (8 * max(d, min(q_step, len(self.q_ids)))))
+        for s in range(0, len(c_ids), c_step):
+            ids, Cc = c_ids[s:s + c_step], C[s:s + c_step]
+            keep = _few_copies(ids, Cc, self.k)
+            ids, Cc = ids[keep], Cc[keep]
+            for t in range(0, len(self.q_ids), q_step):
+                self._add_tile(ids, Cc, slice(t, t + q_step))
+
+    def _add_tile(self, ids: np.ndarray, Cc: np.ndarray, part: slice) -> None:
+        k, Q, q2 = self.k, self.Q[part], self.q2[part]
+        kk = min(len(ids), k + _CAND_EXTRA)
+        if kk == len(ids):
+            ex = _exact(Cc, Q).T                                         # (q, m)
+            self.D[part], self.I[part] = _merge(self.D[part], self.I[part], ex, np.broadcast_to(ids, ex.shape), k)
             return
-        approx = c2[:, None] + self.q2[None, :] - 2.0 * (Cc @ self.Q.T)  # (mc, q)
-        part = np.argpartition(approx, kk, axis=0)
-        cand = part[:kk]                                                # (kk, q)
-        nxt = np.take_along_axis(approx, part[kk:kk + 1], 0)[0]         # best approx left out
-        diff = Cc[cand] - self.Q[None, :, :]
-        ex = np.einsum("kqd,kqd->kq", diff, diff)                       # (kk, q)
-        cid = ids[cand]
-        kth = np.sort(ex, axis=0)[min(k, kk) - 1]
+        c2 = (Cc * Cc).sum(1)
+        approx = c2[:, None] + q2[None, :] - 2.0 * (Cc @ Q.T)            # (m, q)
+        order = np.argpartition(approx, kk, axis=0)
+        cand = order[:kk]                                                # (kk, q)
+        nxt = np.take_along_axis(approx, order[kk:kk + 1], 0)[0]         # best approx left out
+        diff = Cc[cand] - Q[None, :, :]
+        ex = np.einsum("kqd,kqd->kq", diff, diff)                        # (kk, q)
+        kth = np.sort(ex, axis=0)[k - 1]
         # rigorous float64 error bound of |c|²+|q|²−2c·q against Σ(c−q)² (both computed):
         # (d+4)·u·(|c|+|q|)², doubled for the rounding of the exact form itself
-        d = Cc.shape[1]
-        cmax = np.sqrt(c2.max())
-        eps = 2.0 * (d + 4) * _U * (cmax + np.sqrt(self.q2)) ** 2 + 1e-300
-        unsafe = nxt - eps <= kth
-        D = np.empty((len(self.q_ids), k))
-        I = np.empty((len(self.q_ids), k), dtype=np.int64)
-        safe = ~unsafe
-        if safe.any():
-            D[safe], I[safe] = _merge(self.D[safe], self.I[safe], ex.T[safe], cid.T[safe], k)
-        if unsafe.any():
-            # near-ties at the candidate border: re-score exactly every row of the chunk whose
-            # fast distance falls inside the ambiguous band, for these questions only
-            uq = np.nonzero(unsafe)[0]
-            band = approx[:, uq] <= (kth[uq] + eps[uq])[None, :]
-            rr, cc = np.nonzero(band)
-            diff = Cc[rr] - self.Q[uq[cc]]
-            bd = np.einsum("bd,bd->b", diff, diff)
-            prev_q = np.repeat(np.arange(len(uq)), self.D.shape[1])
-            allq = np.concatenate([prev_q, cc])
-            alld = np.concatenate([self.D[uq].reshape(-1), bd])
-            alli = np.concatenate([self.I[uq].reshape(-1), ids[rr]])
-            order = np.lexsort((alli, alld, allq))
-            allq, alld, alli = allq[order], alld[order], alli[order]
-            starts = np.searchsorted(allq, np.arange(len(uq)))
-            pos = np.arange(len(allq)) - starts[allq]
-            keep = pos < k
-            D[uq[allq[keep]], pos[keep]] = alld[keep]
-            I[uq[allq[keep]], pos[keep]] = alli[keep]
-        self.D, self.I = D, I
+        eps = 2.0 * (Cc.shape[1] + 4) * _U * (np.sqrt(c2.max()) + np.sqrt(q2)) ** 2 + 1e-300
+        D, I = _merge(self.D[part], self.I[part], ex.T, ids[cand].T, k)
+        # near-ties at the candidate border: re-score exactly every document inside the ambiguous band
+        for u in np.flatnonzero(nxt - eps <= kth).tolist():
+            rows = np.flatnonzero(approx[:, u] <= kth[u] + eps[u])
+            exact = _exact(Cc[rows], Q[u:u + 1]).T
+            D[u:u + 1], I[u:u + 1] = _merge(self.D[part][u:u + 1], self.I[part][u:u + 1], exact, ids[rows][None, :], k)
+        self.D[part], self.I[part] = D, I
 
     def rows(self, group: str = "") -> pd.DataFrame:
-        q = np.repeat(self.q_ids, self.D.shape[1])
-        return pd.DataFrame({"query_id": q.astype(np.int64), "doc_id": self.I.reshape(-1).astype(np.int64),
-                             "dist": self.D.reshape(-1).astype(np.float64),
+        found = np.isfinite(self.D).ravel()
+        q = np.repeat(self.q_ids, self.D.shape[1])[found]
+        return pd.DataFrame({"query_id": q.astype(np.int64), "doc_id": self.I.ravel()[found].astype(np.int64),
+                             "dist": self.D.ravel()[found].astype(np.float64),
                              "_g": np.full(len(q), str(group), dtype=object)})
 
 
@@ -161,7 +161,7 @@ def broadcastable(n_rows: int, dim: int, broadcast_bytes: int = BROADCAST_BYTES)
 def knn(corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str = "doc_id",
         corpus_vec: str = "embedding", query_id: str = "query_id", query_vec: str = "embedding",
         group_col: str | None = None, broadcast_bytes: int = BROADCAST_BYTES,
-        corpus_block_rows: int = CORPUS_BLOCK_ROWS,
+        corpus_block_bytes: int = CORPUS_BLOCK_BYTES,
         query_stats: tuple[int, int] | None = None) -> DataFrame:
     """k nearest corpus rows for every query row: (query_id, rank, doc_id, dist[, group]).
 
@@ -185,7 +185,7 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str = "doc_id"
         return _finish(_broadcast_plan(cdf, qdf, k), k, group_col)
     n_c = cdf.count()
     qb = math.ceil(q_bytes / broadcast_bytes)
-    cb = max(1, math.ceil(n_c / corpus_block_rows))
+    cb = max(1, math.ceil(n_c * max(dim, 1) * 8 / corpus_block_bytes))
     return _finish(_blocked_plan(cdf, qdf, k, qb, cb), k, group_col)
 
 
@@ -256,31 +256,56 @@ def centroid(df: DataFrame, vec_col: str = "embedding", out: str = "embedding")
 # ---------------------------------------------------------------------------------------
 # Fixed values of the built-in text embedding (the reference calls a remote model instead).
 EMBED_FEATURES = 512
-TOKEN_PATTERN = r"(?U)\W+"
+TOKEN_PATTERN = r"[^\p{L}\p{N}_]+"
 # ---------------------------------------------------------------------------------------
 
 
-def fit_text_embedder(corpus: DataFrame, text_col: str, num_features: int = EMBED_FEATURES):
-    """Hashed TF-IDF with L2 normalisation, fitted on the corpus (one distributed pass for
-    the document frequencies)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-    stages = [RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=TOKEN_PATTERN, toLowercase=True),
-              HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
-              IDF(inputCol="_tf", outputCol="_tfidf"),
-              Normalizer(inputCol="_tfidf", outputCol="_vec", p=2.0)]
-    return Pipeline(stages=stages).fit(spread_for_cpu(corpus.select(text_col)))
+class TextEmbedder:
+    """Hashed TF-IDF with L2 normalisation.
+
+    A word's place is the last 8 hex digits of its md5 modulo ``features``, which any SQL engine
+    can repeat; counting, IDF (ln((N + 1) / (df + 1))) and normalisation are Spark ML's.
+    """
+
+    def __init__(self, features: int = EMBED_FEATURES):
+        self.features = features
+        self.idf = None
+
+    def _terms(self, df: DataFrame, text_col: str) -> DataFrame:
+        from pyspark.ml.feature import CountVectorizerModel
+        words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), TOKEN_PATTERN), lambda w: w != "")
+        place = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 25, 8), 16, 10).cast("long"),
+                                                    F.lit(self.features)).cast("string"))
+        counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(self.features)], "_place", "_tf", minTF=1.0)
+        return counter.transform(spread_for_cpu(df).withColumn("_place", place)).drop("_place")
+
+    def fit(self, corpus: DataFrame, text_col: str) -> "TextEmbedder":
+        """One distributed pass for the document frequencies."""
+        return self._fit_terms(self._terms(corpus.select(text_col), text_col))
+
+    def _fit_terms(self, terms: DataFrame) -> "TextEmbedder":
+        from pyspark.ml.feature import IDF
+        self.idf = IDF(inputCol="_tf", outputCol="_tfidf").fit(terms.select("_tf"))
+        return self
+
+    def _finish(self, terms: DataFrame, out: str) -> DataFrame:
+        from pyspark.ml.feature import Normalizer
+        from pyspark.ml.functions import vector_to_array
+        normal = Normalizer(inputCol="_tfidf", outputCol="_vec", p=2.0)
+        return normal.transform(self.idf.transform(terms)) \
+            .withColumn(out, vector_to_array("_vec", "float32")).drop("_tf", "_tfidf", "_vec")
+
+    def transform(self, df: DataFrame, text_col: str, out: str = "embedding") -> DataFrame:
+        return self._finish(self._terms(df, text_col), out)
+
+
+def fit_text_embedder(corpus: DataFrame, text_col: str, num_features: int = EMBED_FEATURES) -> TextEmbedder:
+    return TextEmbedder(num_features).fit(corpus, text_col)
 
 
-def embed_text(model, df: DataFrame, text_col: str, out: str = "embedding") -> DataFrame:
+def embed_text(model: TextEmbedder, df: DataFrame, text_col: str, out: str = "embedding") -> DataFrame:
     """Apply a fitted embedder; the vector becomes ARRAY<FLOAT>."""
-    from pyspark.ml.functions import vector_to_array
-    src = model.stages[0].getInputCol()
-    df = spread_for_cpu(df)
-    res = model.transform(df.withColumnRenamed(text_col, src) if text_col != src else df)
-    if text_col != src:
-        res = res.withColumnRenamed(src, text_col)
-    return res.withColumn(out, vector_to_array("_vec", "float32")).drop("_tok", "_tf", "_tfidf", "_vec")
+    return model.transform(df, text_col, out)
 
 
 def fit_and_embed(corpus: DataFrame, text_col: str, out: str = "embedding",
@@ -292,16 +317,7 @@ def fit_and_embed(corpus: DataFrame, text_col: str, out: str = "embedding",
     Returns (model, embedded corpus, release).
     """
     from pyspark import StorageLevel
-    from pyspark.ml import PipelineModel
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
-    tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=TOKEN_PATTERN, toLowercase=True)
-    tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features)
-    terms = tf.transform(tok.transform(spread_for_cpu(corpus))).drop("_tok") \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    idf = IDF(inputCol="_tf", outputCol="_tfidf").fit(terms.select("_tf"))
-    norm = Normalizer(inputCol="_tfidf", outputCol="_vec", p=2.0)
-    embedded = (norm.transform(idf.transform(terms))
-                .withColumn(out, vector_to_array("_vec", "float32")).drop("_tf", "_tfidf", "_vec"))
-    model = PipelineModel(stages=[tok, tf, idf, norm])
-    return model, embedded, terms.unpersist
+    model = TextEmbedder(num_features)
+    terms = model._terms(corpus, text_col).persist(StorageLevel.MEMORY_AND_DISK)
+    model._fit_terms(terms)
+    return model, model._finish(terms, out), terms.unpersist

@@ -12,40 +12,66 @@ One job per batch: the store check is an aggregate joined to the questions, retr
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.intent import chart_intent
-from .chart import chart_file_name
-from ..functions.text import strip_outer
+from ..functions.text import fill, strip_outer
+from .chart import chart_file_name, role_errors
 from ..session import checkpoint_dir
-from ..operators.qa import ASK_K, CONTEXT_SEPARATOR, ERROR_ANSWER, build_prompt, sources_column
-from ..operators.search import BROADCAST_BYTES, knn
-from ..sources.store import available_stores
+from ..operators.qa import ASK_K, CONTEXT_SEPARATOR, ERROR_ANSWER, ERROR_STORE, SEARCH_K, build_prompt, sources_column
+from ..operators.search import BROADCAST_BYTES, embed_text, knn
+from ..sources.store import StoreNotFound, available_stores, load_store
+
+PRUNED_STORES = 1000      # up to so many asked stores are named in the scan's partition filter
+
+
+def search_similar(spark: SparkSession, base: str, store: str, text: str, model, k: int = SEARCH_K) -> DataFrame:
+    """The k documents of one store nearest to a text: (rank, doc_id, content, metadata, dist).
+
+    Reads that store's partition only. An unknown store gives an empty result.
+    """
+    try:
+        docs = load_store(spark, base, store)
+    except StoreNotFound:
+        return spark.createDataFrame([], "rank long, doc_id long, content string, metadata map<string,string>, dist double")
+    question = embed_text(model, spark.createDataFrame([(0, text)], "query_id long, text string"), "text")
+    hits = knn(docs, question, k)
+    found = docs.select("doc_id", F.col("page_content").alias("content"), "metadata")
+    # the hits are k rows
+    return found.join(F.broadcast(hits), "doc_id").select("rank", "doc_id", "content", "metadata", "dist").orderBy("rank")
 
 
 def ask_batch(questions: DataFrame, corpus: DataFrame, k: int = ASK_K,
               question_id: str = "question_id", question: str = "question",
               store_col: str = "store_name", vec_col: str = "embedding",
               metadata: Column | None = None, model_name: str | None = None,
-              broadcast_bytes: int | None = None) -> DataFrame:
+              broadcast_bytes: int | None = None, stores: DataFrame | None = None,
+              schema: T.StructType | None = None) -> DataFrame:
     """Answer records for every non-blank question.
 
     ``questions``: question_id, question, store_name, embedding (the question vector).
     ``corpus``: doc_id, page_content, store_name, embedding (+ columns used by ``metadata``).
+    ``stores``: the complete stores (``list_stores``); without it they are counted from the corpus.
+    ``schema``: of the table the charts would be drawn from; it decides ``chart_generated``.
     Output: question_id, question, store_name, answer, context, prompt, sources, n_sources,
-    chart_type, chart_filename, error, model_used.
+    chart_type, chart_filename, chart_generated, error, model_used, timestamp (ISO text).
     """
     checkpoint_dir(questions.sparkSession)      # make sure one is set (tests: a local folder)
     qs = questions.where(F.length(strip_outer(F.col(question))) > 0)
     # one row per store: small, and AQE broadcasts it once its size is measured
-    stores = available_stores(corpus).select(F.col("store_name").alias("_known"))
+    complete = available_stores(corpus) if stores is None else stores
+    known_stores = complete.select(F.col("store_name").alias("_known"))
     # the flagged batch is read by several actions (size check, question matrix, final
     # join): write it once to the shared checkpoint folder instead of recomputing the store
     # check over the corpus each time; this also cuts its lineage
-    flagged = qs.join(stores, qs[store_col] == stores["_known"], "left").checkpoint(eager=True)
+    flagged = qs.join(known_stores, qs[store_col] == known_stores["_known"], "left").checkpoint(eager=True)
     known = flagged.where(F.col("_known").isNotNull())
     stats = known.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
+    asked = [r[0] for r in known.select("_known").distinct().limit(PRUNED_STORES + 1).collect()]
+    if len(asked) <= PRUNED_STORES:
+        corpus = corpus.where(F.col("store_name").isin(asked))     # prunes the store's partitions
     docs = corpus.where(F.col(vec_col).isNotNull())
     kw = {} if broadcast_bytes is None else {"broadcast_bytes": broadcast_bytes}
     hits = knn(docs, known, k, corpus_id="doc_id", corpus_vec=vec_col, query_id=question_id,
@@ -72,6 +98,10 @@ def ask_batch(questions: DataFrame, corpus: DataFrame, k: int = ASK_K,
         F.count(F.lit(1)).alias("n_sources"))
     out = flagged.join(per_q, flagged[question_id] == per_q["query_id"], "left")
     is_known = F.col("_known").isNotNull()
+    kind = chart_intent(F.col(question))
+    drawable = is_known & kind.isNotNull()
+    if schema is not None:
+        drawable = drawable & ~F.coalesce(kind.isin(list(role_errors(schema))), F.lit(False))
     return out.select(
         F.col(question_id), F.col(question), F.col(store_col).alias("store_name"),
         F.when(~is_known, F.lit(ERROR_ANSWER)).alias("answer"),
@@ -81,6 +111,7 @@ def ask_batch(questions: DataFrame, corpus: DataFrame, k: int = ASK_K,
         F.coalesce(F.col("n_sources"), F.lit(0)).alias("n_sources"),
         chart_intent(F.col(question)).alias("chart_type"),
         chart_file_name(F.col(question)).alias("chart_filename"),
-        F.when(~is_known, F.concat(F.lit("Vector store '"), F.col(store_col), F.lit("' no encontrado")))
-        .alias("error"),
-        F.lit(model_name).cast("string").alias("model_used"))
+        drawable.alias("chart_generated"),
+        F.when(~is_known, fill(ERROR_STORE, store=F.col(store_col))).alias("error"),
+        F.lit(model_name).cast("string").alias("model_used"),
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"))

@@ -8,17 +8,20 @@ out of scope: the plotted series *is* the result.
 from __future__ import annotations
 
 import hashlib
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.intent import chart_intent, detect_chart_intent
 from ..functions.roles import (RoleError, line_date_candidates, resolve_bar, resolve_line,
                                resolve_pie, resolve_scatter)
 from ..functions.text import basename
 from ..operators import charts
-from ..operators.clean import parse_dates_like, parseable_dates
+from ..operators.clean import column_date_formats, parse_dates_like
+from ..operators.rowindex import FILE_ORDER
+from ..sources.csv import DEFAULT_RAW_DIR, resolve_source
 
 # ---------------------------------------------------------------------------------------
 # Chart labels and file-name stems.
@@ -44,6 +47,7 @@ class ChartSpec:
     mode: str | None = None
     error: str | None = None
     warning: str | None = None
+    guarded: DataFrame | None = field(default=None, repr=False)
 
     @property
     def chart_id(self) -> str:
@@ -55,54 +59,63 @@ class ChartSpec:
             return None
         return f"{FILE_STEMS[self.chart_type]}_{self.chart_id}.png"
 
-    def as_dict(self) -> dict:
-        d = asdict(self)
-        d["chart_id"] = self.chart_id
-        d["file_name"] = self.file_name
-        return d
+    def label(self) -> str | None:
+        """The value axis' label as drawn. For sums it follows the zero guard, which reads the data."""
+        if self.guarded is not None:
+            first = self.guarded.select("counted").first()
+            if first is not None and first["counted"]:
+                return YLABEL_COUNT
+        return self.ylabel
 
 
 def bar_plan(df: DataFrame, question: str, n: int = charts.BAR_LIMIT,
-             synonyms: dict[str, str] | None = None) -> tuple[ChartSpec, DataFrame]:
-    roles = resolve_bar(df.schema, question, synonyms)
+             synonyms: dict[str, str] | None = None, whole_words: bool = False) -> tuple[ChartSpec, DataFrame]:
+    roles = resolve_bar(df.schema, question, synonyms, whole_words)
     spec = ChartSpec("bar", question, {"x": roles.target, "y": roles.value},
                      title=TITLE_BY.format(col=roles.target), xlabel=roles.target, mode=roles.mode)
     if roles.mode == "count":
         spec.ylabel = YLABEL_COUNT
         return spec, charts.bar_counts(df, roles.target, n)
-    # the zero guard may still switch to counts at run time; the label follows the data
+    # the zero guard may still switch to counts at run time; ``spec.label()`` follows the data
     spec.ylabel = YLABEL_TOTAL.format(col=roles.value)
-    return spec, charts.bar_sums(df, roles.target, roles.value, n)
+    spec.guarded = charts.bar_sums_labelled(df, roles.target, roles.value, n)
+    return spec, spec.guarded.drop("counted")
 
 
 def line_plan(df: DataFrame, question: str, order_by: list[str] | None = None
               ) -> tuple[ChartSpec, DataFrame]:
-    cands = line_date_candidates(df.schema)
-    ok = parseable_dates(df, cands)          # one profile action for text candidates only
-    roles = resolve_line(df.schema, ok)
+    """``df`` may carry the file position of its rows; a series by position then follows it."""
+    data = visible(df)
+    formats = column_date_formats(data, line_date_candidates(data.schema))   # one action, for text candidates only
+    roles = resolve_line(data.schema, list(formats))
     if roles.date is not None:
-        data = parse_dates_like(df, roles.date)
+        dated = parse_dates_like(data, roles.date, formats[roles.date])
         spec = ChartSpec("line", question, {"x": roles.date, "y": roles.value},
                          title=TITLE_LINE.format(col=roles.value), xlabel=roles.date,
                          ylabel=roles.value, mode="series")
-        return spec, charts.time_series(data, roles.date, roles.value)
-    keys = order_by or [df.columns[0]]
+        return spec, charts.time_series(dated, roles.date, roles.value)
+    keys = order_by or (FILE_ORDER if set(FILE_ORDER) <= set(df.columns) else [data.columns[0]])
     spec = ChartSpec("line", question, {"x": "row_idx", "y": roles.value},
                      title=TITLE_INDEX.format(col=roles.value), xlabel=XLABEL_INDEX,
                      ylabel=roles.value, mode="index")
     return spec, charts.series_by_index(df, roles.value, keys)
 
 
+def visible(df: DataFrame) -> DataFrame:
+    """The table without the columns that only order its rows."""
+    return df.drop(*FILE_ORDER) if set(FILE_ORDER) <= set(df.columns) else df
+
+
 def pie_plan(df: DataFrame, question: str, n: int = charts.PIE_SLICES,
-             synonyms: dict[str, str] | None = None) -> tuple[ChartSpec, DataFrame]:
-    target = resolve_pie(df.schema, question, synonyms)
+             synonyms: dict[str, str] | None = None, whole_words: bool = False) -> tuple[ChartSpec, DataFrame]:
+    target = resolve_pie(df.schema, question, synonyms, whole_words)
     spec = ChartSpec("pie", question, {"x": target}, title=TITLE_BY.format(col=target),
                      mode="shares")
     return spec, charts.pie_shares(df, target, n)
 
 
-def scatter_plan(df: DataFrame, question: str) -> tuple[ChartSpec, DataFrame]:
-    roles = resolve_scatter(df.schema)
+def scatter_plan(df: DataFrame, question: str, whole_words: bool = False) -> tuple[ChartSpec, DataFrame]:
+    roles = resolve_scatter(df.schema, whole_words)
     spec = ChartSpec("scatter", question, {"x": roles.x, "y": roles.y},
                      title=TITLE_SCATTER.format(x=roles.x, y=roles.y), xlabel=roles.x,
                      ylabel=roles.y, mode="points", warning=roles.warning)
@@ -112,20 +125,33 @@ def scatter_plan(df: DataFrame, question: str) -> tuple[ChartSpec, DataFrame]:
 _PLANS = {"bar": bar_plan, "line": line_plan, "pie": pie_plan, "scatter": scatter_plan}
 
 
-def answer_chart(df: DataFrame, question: str, order_by: list[str] | None = None,
-                 synonyms: dict[str, str] | None = None) -> tuple[ChartSpec | None, DataFrame | None]:
+NO_SOURCE = "no table, file or store file to draw from"
+
+
+def answer_chart(df: DataFrame | None, question: str, order_by: list[str] | None = None,
+                 synonyms: dict[str, str] | None = None, whole_words: bool = False,
+                 path: str | None = None, store_name: str | None = None, raw_dir: str = DEFAULT_RAW_DIR,
+                 spark: SparkSession | None = None) -> tuple[ChartSpec | None, DataFrame | None]:
     """Dispatch one question. No chart intent → (None, None). A table without suitable
     columns → (spec with ``error``, None), the quiet failure of the reference made explicit.
-    ``synonyms`` (question word → column name) is optional; by default names match literally."""
+
+    Without a table the source is the CSV at ``path``, else the file named after the store,
+    else the default file (``resolve_source``). ``synonyms`` (question word → column name) and
+    ``whole_words`` are optional; by default names match literally.
+    """
     kind = detect_chart_intent(question)
     if kind is None:
         return None, None
+    if df is None:
+        df = resolve_source(spark or SparkSession.getActiveSession(), None, path, store_name, raw_dir)
+        if df is None:
+            return ChartSpec(kind, question, error=NO_SOURCE), None
     try:
         if kind == "line":
             return line_plan(df, question, order_by)
         if kind in ("bar", "pie"):
-            return _PLANS[kind](df, question, synonyms=synonyms)
-        return _PLANS[kind](df, question)
+            return _PLANS[kind](visible(df), question, synonyms=synonyms, whole_words=whole_words)
+        return _PLANS[kind](visible(df), question, whole_words=whole_words)
     except RoleError as e:
         return ChartSpec(kind, question, error=str(e)), None
 
@@ -145,21 +171,40 @@ def chart_file_name(question: Column) -> Column:
                                              F.substring(F.md5(question), 1, 12), F.lit(".png")))
 
 
+def role_errors(schema: T.StructType) -> dict[str, str]:
+    """The chart types a table cannot be drawn as, and why."""
+    tries = {"bar": lambda: resolve_bar(schema, ""), "line": lambda: resolve_line(schema),
+             "pie": lambda: resolve_pie(schema, ""), "scatter": lambda: resolve_scatter(schema)}
+    out = {}
+    for kind, attempt in tries.items():
+        try:
+            attempt()
+        except RoleError as e:
+            out[kind] = str(e)
+    return out
+
+
 def chart_records(questions: DataFrame, question_col: str = "question",
-                  path_prefix: Column | str | None = None) -> DataFrame:
+                  path_prefix: Column | str | None = None, schema: T.StructType | None = None) -> DataFrame:
     """Chart record per question of a question table, in one projection.
 
-    Columns added: chart_type, chart_generated, chart_id, chart_filename (and chart_path
-    when a prefix is given). The id is ``md5(question)`` instead of a clock reading, so two
+    Columns added: chart_type, chart_generated, chart_id, chart_filename, error, timestamp (ISO
+    text, one per run) (and chart_path when a prefix is given). With the table's ``schema`` a
+    chart that it cannot give is a failure: not generated, no file, and ``error`` says why. The id is ``md5(question)`` instead of a clock reading, so two
     questions asked within a second no longer overwrite each other's file.
     """
     q = F.col(question_col)
     kind = chart_intent(q)
+    error = F.lit(None).cast("string")
+    for k, why in (role_errors(schema) if schema is not None else {}).items():
+        error = F.when(kind == k, F.lit(why)).otherwise(error)
     out = questions.withColumns({
         "chart_type": kind,
-        "chart_generated": kind.isNotNull(),
+        "chart_generated": kind.isNotNull() & error.isNull(),
         "chart_id": F.substring(F.md5(q), 1, 12),
-        "chart_filename": chart_file_name(q),
+        "chart_filename": F.when(error.isNull(), chart_file_name(q)),
+        "error": error,
+        "timestamp": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
     })
     if path_prefix is not None:
         prefix = F.lit(path_prefix) if isinstance(path_prefix, str) else path_prefix
@@ -188,6 +233,7 @@ def chart_specs(questions: DataFrame, df: DataFrame, question_col: str = "questi
     """
     from ..functions.roles import (BAR_COUNT_MODE_HINTS, BAR_TARGET_HINTS, PIE_TARGET_HINTS,
                                    numeric_columns, string_columns)
+    df = visible(df)
     schema = df.schema
     q = F.lower(F.col(question_col))
     kind = chart_intent(F.col(question_col))
@@ -203,7 +249,7 @@ def chart_specs(questions: DataFrame, df: DataFrame, question_col: str = "questi
     bar_mode = F.when(bar_x.isin(count_targets) | F.lit(bar_value is None), F.lit("count")) \
         .otherwise(F.lit("sum")) if cats else null
     try:
-        line = resolve_line(schema, parseable_dates(df, line_date_candidates(schema)))
+        line = resolve_line(schema, list(column_date_formats(df, line_date_candidates(schema))))
         line_x, line_y = (line.date or "row_idx"), line.value
         line_mode = "series" if line.date else "index"
     except RoleError:
@@ -250,7 +296,7 @@ def answer_chart_batch(df: DataFrame, questions: DataFrame, question_col: str =
         elif kind == "line" and mode == "series":
             out[tuple(s)] = charts.time_series(parse_dates_like(df, x), x, y)
         elif kind == "line":
-            out[tuple(s)] = charts.series_by_index(df, y, order_by or [df.columns[0]])
+            out[tuple(s)] = line_plan(df, s["chart_type"], order_by)[1]
         elif kind == "scatter":
             out[tuple(s)] = charts.scatter_points(df, x, y)
     return out

@@ -2,19 +2,20 @@
 
 Types are decided afterwards by ``operators.clean`` from one profile action over the data
 (or skipped entirely when a schema is passed). Each row also gets its file position as a
-sortable key, ``(_split, _pos)``: the file's rank and the split's byte offset packed into one
-BIGINT, plus the row's increasing id inside its task. Ordering by that key gives file order,
-and since one split is at most ``spark.sql.files.maxPartitionBytes`` the key spreads evenly
-over ``with_row_index`` buckets.
+sortable key of three columns, ``FILE_ORDER``: the file's path, the byte offset of its split
+and the row's increasing id inside its task. Ordering by it gives file order; no list of files
+is gathered. A row with more fields than the header stops the load; a shorter one is filled
+with NULLs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.clean import cascade_dates, clean_table, profile_table
+from ..operators.rowindex import FILE_ORDER
 
 # ---------------------------------------------------------------------------------------
 # The text tokens a pandas CSV read treats as missing (its defaults).
@@ -25,8 +26,8 @@ DEFAULT_CSV_NAME = "Sales-Data-Analysis.csv"
 STORE_CSV_PATTERN = "{base}/{name}-Data-Analysis.csv"
 # ---------------------------------------------------------------------------------------
 
-ORDER_KEY = ["_split", "_pos"]
-_BLOCK_BITS = 1 << 40   # byte offsets below 1 TiB per file
+ORDER_KEY = FILE_ORDER
+_RAW = "_raw_record"
 
 
 def scan_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None,
@@ -35,34 +36,37 @@ def scan_csv(spark: SparkSession, path: str | list[str], schema: T.StructType |
     """Read CSV files as text columns (or with ``schema``), missing-value tokens → NULL.
 
     ``multi_line`` allows quoted line breaks but makes each file one unsplittable task.
+    In the default mode a record with too many fields raises when it is read; the other modes
+    of Spark's reader (``FAILFAST``, ``DROPMALFORMED``) are passed on.
     """
     reader = (spark.read.option("header", True).option("escape", '"')
               .option("multiLine", multi_line).option("mode", mode))
-    if schema is not None:
-        reader = reader.schema(schema)
+    if schema is None:
+        schema = reader.option("inferSchema", False).csv(path).schema
+    checked = mode.upper() == "PERMISSIVE"
+    if checked:
+        reader = reader.option("columnNameOfCorruptRecord", _RAW)
+        wide = T.StructType([*schema.fields, T.StructField(_RAW, T.StringType())])
+        raw = reader.schema(wide).csv(path)
+        # a record that Spark calls malformed is too long if it has a comma too many outside quotes
+        bare = F.regexp_replace(F.col(_RAW), r'"([^"]|"")*"', "")
+        extra = F.col(_RAW).isNotNull() & (F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) >= len(schema))
+        # the message holds every field, so that all are read: of a pruned record Spark sees no length
+        error = F.concat(F.lit("more fields than the header: "), F.substring(_RAW, 1, 200), F.lit("; read as "),
+                         F.substring(F.concat_ws("|", *[F.col(f"`{f.name}`").cast("string") for f in schema.fields]), 1, 200))
+        raw = raw.where(F.when(extra, F.raise_error(error).cast("boolean")).otherwise(F.lit(True)))
     else:
-        reader = reader.option("inferSchema", False)
-    raw = reader.csv(path)
-    data_cols = raw.columns
+        raw = reader.schema(schema).csv(path)
     cols = []
-    for f in raw.schema.fields:
+    for f in schema.fields:
         c = F.col(f"`{f.name}`")
         if na_tokens and isinstance(f.dataType, T.StringType):
             c = F.when(c.isin(na_tokens), F.lit(None).cast("string")).otherwise(c)
         cols.append(c.alias(f.name))
-    if not with_order:
-        return raw.select(*cols)
-    with_meta = raw.select(*cols, F.col("_metadata.file_path").alias("_file"),
-                           F.col("_metadata.file_block_start").alias("_block"),
-                           F.monotonically_increasing_id().alias("_pos"))
-    files = with_meta.select("_file").distinct()
-    # one row per input file: the window spans the file list only. The join is left to AQE:
-    # broadcast when the measured file list is small, else a sort-merge join whose skewed
-    # partitions (one very large file) AQE splits.
-    ranks = files.select("_file", (F.row_number().over(Window.orderBy("_file")) - 1).alias("_frank"))
-    keyed = with_meta.join(ranks, "_file")
-    split = (F.col("_frank").cast("bigint") * F.lit(_BLOCK_BITS) + F.col("_block")).alias("_split")
-    return keyed.select(*[F.col(f"`{c}`") for c in data_cols], split, "_pos")
+    if with_order:
+        cols += [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                 F.monotonically_increasing_id().alias("_pos")]
+    return raw.select(*cols)
 
 
 def load_csv(spark: SparkSession, path: str | list[str], null_label: str | None = None,
@@ -70,7 +74,7 @@ def load_csv(spark: SparkSession, path: str | list[str], null_label: str | None
     """Scan + full cleaning (strip, day-first dates by name, numeric coercion).
 
     ``with_order`` keeps the file-position key (``ORDER_KEY``) for row positions and chunks;
-    without it the file-rank join is not planned at all.
+    without it those columns are not read.
     """
     raw = scan_csv(spark, path, with_order=with_order)
     data = raw.drop(*ORDER_KEY) if with_order else raw

@@ -37,6 +37,26 @@ def write_store(docs: DataFrame, base: str) -> None:
     (docs.select(*cols).hint("rebalance", "store_name")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("store_name").parquet(base))
+    _write_manifest(docs.sparkSession, base, docs.select("store_name").distinct())
+
+
+def _manifest_path(base: str) -> str:
+    return base.rstrip("/") + "/_manifest"           # a leading underscore: no partition of the store table
+
+
+def _write_manifest(spark: SparkSession, base: str, written: DataFrame) -> None:
+    """One row per store just written, counted from its files."""
+    counts = read_store(spark, base).join(written, "store_name", "left_semi").groupBy("store_name").agg(
+        F.count("page_content").alias("n_docs"), F.count("embedding").alias("n_vecs"))
+    (counts.select("n_docs", "n_vecs", "store_name").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("store_name").parquet(_manifest_path(base)))
+
+
+def list_stores(spark: SparkSession, base: str) -> DataFrame:
+    """Complete stores from the manifest: (store_name, n_docs, n_vecs); no document is read."""
+    schema = "n_docs long, n_vecs long, store_name string"
+    return (spark.read.schema(schema).parquet(_manifest_path(base))
+            .where((F.col("n_docs") > 0) & (F.col("n_vecs") > 0)).select("store_name", "n_docs", "n_vecs"))
 
 
 def read_store(spark: SparkSession, base: str, store: str | None = None) -> DataFrame:

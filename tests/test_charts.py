@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from cuadro.operators import charts
 from cuadro.plans.chart import answer_chart, chart_trend
 
@@ -93,7 +95,7 @@ def test_batch_specs_agree_with_single_dispatch(spark):
     from tests.test_intent import TRUTH
     import datetime as dt
     df = spark.createDataFrame(
-        [(1, dt.datetime(2022, 11, 7), "Fries", 3.49, 573.07, "Online", "Gift Card", "Ana", "Lisbon")],
+        [(1, dt.datetime(2019, 3, 17), "Lamp", 8.25, 41.5, "Phone", "Voucher", "Ada", "Bergen")],
         "`Order ID` long, Date timestamp_ntz, Product string, Price double, Quantity double, "
         "`Purchase Type` string, `Payment Method` string, Manager string, City string")
     qs = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(TRUTH)] + [(99, "gráfico por manager")],
@@ -140,3 +142,50 @@ def test_chart_records_with_path(spark):
     assert r["chart_generated"] and r["chart_path"] == "/charts/" + r["chart_filename"]
     assert r["chart_filename"] == f"bar_chart_{r['chart_id']}.png"
     assert rows["hola"]["chart_type"] is None and rows["hola"]["chart_filename"] is None
+
+
+def test_sums_are_not_rounded_first(spark):
+    rows = [("a", 0.004), ("a", 0.004), ("b", 0.003)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = [(r.k, round(r.value, 9), r.counted) for r in charts.bar_sums_labelled(df, "k", "v").collect()]
+    assert got == [("a", 0.008, False), ("b", 0.003, False)]
+    big = spark.createDataFrame([("a", 1e40), ("b", float("inf")), ("c", float("nan")), ("c", 1.0)], "k string, v double")
+    assert [(r.k, r.value) for r in charts.bar_sums(big, "k", "v").collect()] == [("b", float("inf")), ("a", 1e40), ("c", 1.0)]
+    from cuadro.operators import insights, profile
+    assert abs(insights.overall_avg(df, "v").first().avg_value - 0.011 / 3) < 1e-12
+    assert abs(profile.numeric_summary(df, ["v"]).first().total - 0.011) < 1e-12
+
+
+def test_label_follows_the_zero_guard(spark):
+    from cuadro.plans.chart import answer_chart
+    zero = spark.createDataFrame([("a", 0.0), ("a", 0.0), ("b", 0.0)], "k string, v double")
+    spec, data = answer_chart(zero, "gráfico de barras")
+    assert spec.label() == "Cantidad" and [tuple(r) for r in data.collect()] == [("a", 2.0), ("b", 1.0)]
+    spec, _ = answer_chart(zero.withColumn("v", F.col("v") + 0.001), "gráfico de barras")
+    assert spec.label() == "Total v"
+
+
+def test_one_scan_for_bars_and_shares(spark):
+    from cuadro.session import read_table
+    from tests.conftest import SF_SMALL
+    li = read_table(spark, SF_SMALL, "lineitem")
+    for df in (charts.bar_sums(li, "l_returnflag", "l_quantity"), charts.pie_shares(li, "l_returnflag")):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        final = plan.split("== Initial Plan ==")[0]
+        assert "ReusedExchange" in final or final.count("FileScan") == 1
+
+
+def test_hidden_columns_and_file_order(spark, tmp_dir):
+    import os
+    from cuadro.plans.chart import answer_chart
+    folder = os.path.join(tmp_dir, "raw")
+    os.makedirs(folder)
+    with open(os.path.join(folder, "shop-Data-Analysis.csv"), "w") as f:
+        f.write("name,amount\nz,3\na,1\nm,2\n")
+    spec, data = answer_chart(None, "muestra la tendencia", store_name="shop_data", raw_dir=folder, spark=spark)
+    assert [(r.row_idx, r.amount) for r in data.orderBy("row_idx").collect()] == [(0, 3), (1, 1), (2, 2)]
+    spec, data = answer_chart(None, "dispersión, muestra", store_name="shop_data", raw_dir=folder, spark=spark)
+    assert data is None and "two numeric" in spec.error           # the position of a row is no number to draw
+    spec, data = answer_chart(None, "muestra barras", store_name="none_data", raw_dir=os.path.join(tmp_dir, "nowhere"), spark=spark)
+    assert data is None and spec.error

@@ -10,10 +10,10 @@ from cuadro.sources import csv as csv_src
 
 DIRTY = [
     # order_id, Date, product, price, qty, note
-    ("1", "07-11-2022", "  Fries ", "3.49", "573.07", "Tom      Jackson"),
-    ("2", "08-11-2022", "\tBurgers", "1d", "200", "x"),
-    ("3", "31-12-2022", "Fries", "inf", "1,000", None),
-    ("4", "01-01-2023", None, "nan", "12", "  "),
+    ("1", "17-03-2019", "  Lamp ", "8.25", "41.5", "Ada      Quill"),
+    ("2", "18-03-2019", "\tDesk", "1d", "6", "x"),
+    ("3", "30-06-2019", "Lamp", "inf", "1,000", None),
+    ("4", "02-01-2020", None, "nan", "12", "  "),
 ]
 COLS = "order_id string, Date string, product string, price string, qty string, note string"
 
@@ -25,20 +25,20 @@ def test_clean_table_types_and_values(spark):
     assert types == {"order_id": "bigint", "Date": "timestamp_ntz", "product": "string",
                      "price": "double", "qty": "double", "note": "string"}
     rows = {r["order_id"]: r for r in out.collect()}
-    assert rows[1]["Date"] == dt.datetime(2022, 11, 7)          # day first
-    assert rows[1]["product"] == "Fries"                         # outer blanks and tabs stripped
-    assert rows[2]["product"] == "Burgers"
-    assert rows[1]["note"] == "Tom      Jackson"                 # inner runs kept
+    assert rows[1]["Date"] == dt.datetime(2019, 3, 17)          # day first
+    assert rows[1]["product"] == "Lamp"                         # outer blanks and tabs stripped
+    assert rows[2]["product"] == "Desk"
+    assert rows[1]["note"] == "Ada      Quill"                 # inner runs kept
     assert rows[4]["note"] == ""
-    assert rows[1]["price"] == 3.49
+    assert rows[1]["price"] == 8.25
     assert rows[2]["price"] is None and rows[3]["price"] is None and rows[4]["price"] is None  # 1d, inf, nan
-    assert rows[3]["qty"] is None and rows[2]["qty"] == 200.0    # '1,000' is not a number: lossy
+    assert rows[3]["qty"] is None and rows[2]["qty"] == 6.0    # '1,000' is not a number: lossy
 
 
 def test_null_label(spark):
     df = spark.createDataFrame(DIRTY, COLS)
     out = clean.clean_table(df.select("order_id", "product"), null_label="nan")
-    assert {r["product"] for r in out.collect()} == {"Fries", "Burgers", "nan"}
+    assert {r["product"] for r in out.collect()} == {"Lamp", "Desk", "nan"}
 
 
 def test_dates_are_all_or_nothing(spark):
@@ -70,16 +70,16 @@ def test_min_ratio(spark):
 
 
 def test_row_total(spark):
-    df = spark.createDataFrame([(3.49, 573.07), (None, 1.0)], "Price double, Quantity double")
+    df = spark.createDataFrame([(8.253, 41.57), (None, 1.0)], "Price double, Quantity double")
     got = [r["total"] for r in clean.row_total(df).collect()]
-    assert str(got[0]) == "2000.01" and got[1] is None
+    assert str(got[0]) == "343.08" and got[1] is None
 
 
 CSV_TEXT = '''Order ID,Date,Product,Price,Quantity,Purchase Type,Payment Method,Manager,City
-10452,07-11-2022,Fries,3.49,573.07,Online , Gift Card,       Pablo Perez,Lisbon
-10453,07-11-2022,Beverages,2.95,745.76,Online , Gift Card,       Pablo Perez,Lisbon
-10454,08-11-2022,"Sides & Other",4.99,200.4,In-store , Gift Card,Joao    Silva,London
-10455,08-11-2022,Burgers,NA,NA,Drive-thru ,Cash,"Tom ""TJ"" Jackson",Madrid
+71,17-03-2019,Lamp,8.25,41.5,Phone , Voucher,       Ada Quill,Bergen
+72,17-03-2019,Desk,120.0,3.0,Phone , Voucher,       Ada Quill,Bergen
+73,18-03-2019,"Rug, round",15.75,2.25,Counter , Voucher,Bo    Reed,Turku
+74,18-03-2019,Chair,NA,NA,Van ,Coins,"Cy ""C"" Moss",Ghent
 '''
 
 
@@ -92,15 +92,15 @@ def test_csv_scan_and_load(spark, tmp_dir):
                                "Payment Method", "Manager", "City"]
     df = csv_src.load_csv(spark, path).orderBy(*csv_src.ORDER_KEY)
     rows = df.collect()
-    assert [r["Order ID"] for r in rows] == [10452, 10453, 10454, 10455]
-    assert rows[0]["Payment Method"] == "Gift Card" and rows[0]["Purchase Type"] == "Online"
-    assert rows[2]["Product"] == "Sides & Other"
-    assert rows[3]["Manager"] == 'Tom "TJ" Jackson'
+    assert [r["Order ID"] for r in rows] == [71, 72, 73, 74]
+    assert rows[0]["Payment Method"] == "Voucher" and rows[0]["Purchase Type"] == "Phone"
+    assert rows[2]["Product"] == "Rug, round"
+    assert rows[3]["Manager"] == 'Cy "C" Moss'
     assert rows[3]["Price"] is None                 # NA token
-    assert rows[0]["Date"] == dt.datetime(2022, 11, 7)
+    assert rows[0]["Date"] == dt.datetime(2019, 3, 17)
     charts = csv_src.load_csv_for_charts(spark, path)
     assert charts.schema["Date"].dataType.simpleString() == "timestamp_ntz"
-    assert charts.where(F.col("Order ID") == 10452).first()["Payment Method"] == " Gift Card"   # no strip
+    assert charts.where(F.col("Order ID") == 71).first()["Payment Method"] == " Voucher"   # no strip
 
 
 def test_resolve_source(spark, tmp_dir):
@@ -116,14 +116,53 @@ def test_resolve_source(spark, tmp_dir):
 
 
 def test_short_and_long_csv_rows(spark, tmp_dir):
+    import pytest
     path = os.path.join(tmp_dir, "ragged.csv")
     with open(path, "w") as f:
-        f.write("a,b,c\n1,2,3\n4,5\n6,7,8,9\n")
+        f.write("a,b,c\n1,2,3\n4,5\n\"x,y\",\"p\"\"q,\",z\n")
     rows = [tuple(r) for r in csv_src.scan_csv(spark, path, with_order=False).collect()]
-    assert rows == [("1", "2", "3"), ("4", "5", None), ("6", "7", "8")]
+    assert rows == [("1", "2", "3"), ("4", "5", None), ("x,y", 'p"q,', "z")]
+    with open(path, "a") as f:
+        f.write("6,7,8,9\n")                                     # too long: the load stops, also when only counted
+    for mode in ("PERMISSIVE", "FAILFAST"):
+        with pytest.raises(Exception):
+            csv_src.scan_csv(spark, path, mode=mode, with_order=False).collect()
+    with pytest.raises(Exception, match="more fields"):
+        csv_src.scan_csv(spark, path, with_order=False).select("b").collect()
+
+
+def test_truth_values_and_more_dates(spark):
+    df = spark.createDataFrame([("True", "12-31-2022", "07/11/69", "7 nov 2022", "7/11/2022 1:05 pm", "true"),
+                                ("False", "01-02-2023", "08/11/68", "8 DEC 2022", "8/11/2022 12:00 AM", None)],
+                               "flag string, date1 string, date2 string, date3 string, date4 string, gap string")
+    out = clean.clean_table(df)
+    assert [f.dataType.simpleString() for f in out.schema.fields] == ["boolean"] + ["timestamp_ntz"] * 4 + ["string"]
+    a, b = out.collect()
+    assert (a.flag, b.flag) == (True, False)
+    assert (a.date1, b.date1) == (dt.datetime(2022, 12, 31), dt.datetime(2023, 1, 2))      # month first, whole column
+    assert (a.date2, b.date2) == (dt.datetime(1969, 11, 7), dt.datetime(2068, 11, 8))
+    assert (a.date3, b.date3) == (dt.datetime(2022, 11, 7), dt.datetime(2022, 12, 8))
+    assert (a.date4, b.date4) == (dt.datetime(2022, 11, 7, 13, 5), dt.datetime(2022, 11, 8))
+
+
+def test_a_value_that_is_no_date_stops_the_chart_loader(spark):
     import pytest
-    with pytest.raises(Exception):
-        csv_src.scan_csv(spark, path, mode="FAILFAST", with_order=False).collect()
+    df = spark.createDataFrame([("07-11-2022",), ("someday",)], "Date string")
+    with pytest.raises(ValueError, match="someday"):
+        clean.cascade_dates(df)
+
+
+def test_one_date_format_for_a_column(spark):
+    df = spark.createDataFrame([("03/04/2022",), ("04/25/2022",)], "d string")
+    assert clean.column_date_formats(df, ["d"]) == {"d": "M/d/yyyy"}
+    assert [r.d for r in clean.parse_dates_like(df, "d").collect()] == [dt.datetime(2022, 3, 4), dt.datetime(2022, 4, 25)]
+    mixed = spark.createDataFrame([("25/04/2022",), ("04/25/2022",)], "d string")
+    assert clean.column_date_formats(mixed, ["d"]) == {}
+
+
+def test_row_total_multiplies_first(spark):
+    df = spark.createDataFrame([(3.495, 100.0), (0.004, 1000.0)], "Price double, Quantity double")
+    assert [r["total"] for r in clean.row_total(df).collect()] == [349.5, 4.0]
 
 
 def test_awkward_column_names(spark):

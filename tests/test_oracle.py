@@ -29,5 +29,4 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_an_oracle_or_is_listed():
-    rows_only = {"embed_text"}
-    assert set(QUERIES) - set(ORACLES) == rows_only
+    assert set(QUERIES) == set(ORACLES)

@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as E
 from tests.conftest import SF_SMALL
 
-Q = E.queries()
+Q = {k: v for k, v in E.queries().items() if k not in E.LLM_QUERIES}
 
 
 def _plan(df) -> str:

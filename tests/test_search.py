@@ -36,7 +36,7 @@ def test_broadcast_and_blocked_plans_equal_brute_force(spark):
     qdf = e.where(e["vec_id"].isin(list(queries)))
     a = search.knn(e, qdf, 4, corpus_id="vec_id", query_id="vec_id")
     assert _got(a) == expected
-    b = search.knn(e, qdf, 4, corpus_id="vec_id", query_id="vec_id", broadcast_bytes=1024, corpus_block_rows=30)
+    b = search.knn(e, qdf, 4, corpus_id="vec_id", query_id="vec_id", broadcast_bytes=1024, corpus_block_bytes=2000)
     assert _got(b) == expected
 
 
@@ -46,7 +46,7 @@ def test_ties_are_broken_by_id_and_groups_respected(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [1.0, 0.0], "b")], "query_id long, embedding array<float>, g string")
     got = _got(search.knn(c, q, 3, group_col="g"))
     assert got == {1: [0, 1, 2], 2: [100, 101, 102]}
-    got_b = _got(search.knn(c, q, 3, group_col="g", broadcast_bytes=1, corpus_block_rows=4))
+    got_b = _got(search.knn(c, q, 3, group_col="g", broadcast_bytes=1, corpus_block_bytes=64))
     assert got_b == got
 
 
@@ -77,3 +77,18 @@ def test_empty_question_set_gives_empty_result(spark):
     none = e.where(e["vec_id"] < 0)
     out = search.knn(e, none, 5, corpus_id="vec_id", query_id="vec_id")
     assert out.count() == 0 and out.columns == ["query_id", "rank", "doc_id", "dist"]
+
+
+def test_equal_vectors_stay_within_bounded_memory():
+    import tracemalloc
+    rng = np.random.default_rng(4)
+    C = np.repeat(rng.normal(size=(1, 64)), 5000, axis=0)
+    Q = np.vstack([C[:1], rng.normal(size=(399, 64))])
+    ids = rng.permutation(5000)
+    tracemalloc.start()
+    t = search.TopK(np.arange(400), Q, 5)
+    t.add(ids, C)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+    assert all(list(g.sort_values(["dist", "doc_id"]).doc_id) == [0, 1, 2, 3, 4] for _, g in t.rows().groupby("query_id"))
