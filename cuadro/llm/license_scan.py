@@ -1,9 +1,10 @@
 """Licence scan by canonical digest lookup.
 
-A text is brought to a canonical form (lower case, copyright lines dropped, equivalent spellings
-unified, everything but letters and digits one blank), and the digest of the whole form is joined
-to the digests of known licence texts. Scanned as entire texts: the document, each block of lines
-between empty lines, and each line.
+A text is brought to a canonical form line by line (lower case, copyright lines dropped, equivalent
+spellings unified, everything but letters and digits one blank); the form of a longer text is that
+of its lines, joined by blanks. The digest of the whole form is joined to the digests of known
+licence texts. Scanned as entire texts: the document, each block of lines between empty lines, and
+each line; blocks and lines only where the document has several with words.
 
 Everything is a DataFrame expression; the known texts are a small table that Spark joins as it
 likes. Defined results: a null or wordless text matches nothing; rows are kept one for one (also
@@ -53,15 +54,33 @@ SPELLINGS = [
     ("merchantibility", "merchantability"), ("per cent", "percent"), ("copyright owner", "copyright holder"),
     ("&", " and "), ("ver.", "version"),
 ]
-COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[^\n]*$"
+COPYRIGHT = r"^[^\p{L}\p{N}]*(copyright|\(c\)|©)"
+EMPTY_LINE = r"^[ \t\r]*$"
+BREAK = "\u0002"                  # stands for an empty line among forms, which hold letters, digits and blanks only
+BROADCAST_ROWS = 100_000
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form; null stays null."""
-    t = F.regexp_replace(F.lower(text), COPYRIGHT, " ")
+def _line(text: Column) -> Column:
+    """Canonical form of one line."""
+    low = F.lower(text)
+    t = low
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
+    return F.when(low.rlike(COPYRIGHT), F.lit("")).otherwise(F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " ")))
+
+
+def _joined(lines: Column) -> Column:
+    return F.array_join(F.filter(lines, lambda x: (x != "") & (x != BREAK)), " ")
+
+
+def _marked(text: Column) -> Column:
+    """The forms of a text's lines; empty lines are marked."""
+    return F.transform(F.split(text, "\n"), lambda x: F.when(x.rlike(EMPTY_LINE), F.lit(BREAK)).otherwise(_line(x)))
+
+
+def canonical(text: Column) -> Column:
+    """The canonical form of a text; null stays null."""
+    return _joined(_marked(text))
 
 
 def digest(form: Column) -> Column:
@@ -76,27 +95,28 @@ def known_licenses(spark: SparkSession, known: list[tuple[str, str]] | None = No
 
 
 def units(docs: DataFrame, key: str) -> DataFrame:
-    """(key, kind, number, digest) of every entire text: document, block, line; wordless ones are left out.
-
-    A block or line that is the whole of the larger text is not repeated.
-    """
+    """(key, kind, number, digest) of every entire text with words: document, block, line."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    parts = docs.select(key, text.alias("t")).withColumn("blocks", F.split("t", r"\n[ \t\r]*\n")) \
-        .withColumn("lines", F.split("t", "\n"))
+    marked = docs.select(key, _marked(text).alias("lines"))
+    blocks = F.transform(F.split(F.array_join("lines", "\n"), BREAK), lambda b: _joined(F.split(b, "\n")))
+    forms = marked.select(key, _joined(F.col("lines")).alias("document"), F.filter(blocks, lambda b: b != "").alias("blocks"),
+                          F.filter("lines", lambda x: (x != "") & (x != BREAK)).alias("lines"))
 
     def numbered(kind: str, c: Column) -> Column:
-        return F.transform(c, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("number"), x.alias("body")))
+        return F.transform(c, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("number"), x.alias("form")))
 
-    none = F.array().cast("array<struct<kind:string,number:int,body:string>>")
-    rows = parts.select(key, F.explode(F.concat(
-        numbered("document", F.array("t")),
+    none = F.array().cast("array<struct<kind:string,number:int,form:string>>")
+    rows = forms.select(key, F.explode(F.concat(
+        numbered("document", F.array("document")),
         F.when(F.size("blocks") > 1, numbered("block", F.col("blocks"))).otherwise(none),
         F.when(F.size("lines") > 1, numbered("line", F.col("lines"))).otherwise(none))).alias("u"))
-    return rows.select(key, "u.kind", "u.number", digest(canonical(F.col("u.body"))).alias("digest")).where("digest is not null")
+    return rows.select(key, "u.kind", "u.number", digest(F.col("u.form")).alias("digest")).where("digest is not null")
 
 
 def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Matches: key, kind, number, license."""
+    """Matches: key, kind, number, license. The known texts are counted; a short list goes to every task."""
+    if known.count() <= BROADCAST_ROWS:
+        known = F.broadcast(known)
     return units(docs, key).join(known, "digest").select(key, "kind", "number", "license")
 
 

@@ -55,7 +55,7 @@ RULES = (
     Rule("symbols", "20 * n_symbols > word_chars", ("n_symbols", "word_chars")),
     Rule("short_words", "word_chars < 2 * n_words", ("n_words", "word_chars")),
     Rule("long_words", "word_chars > 20 * n_words", ("n_words", "word_chars")),
-    Rule("dup_lines", "n_lines >= 4 and 10 * n_dup_lines > 3 * n_lines", ("n_lines", "n_dup_lines")),
+    Rule("dup_lines", "n_lines >= 4 and 2 * n_dup_lines > n_lines", ("n_lines", "n_dup_lines")),
 )
 
 

@@ -112,17 +112,19 @@ with known(license, body) as (values
   ('CC0-1.0', 'this work is dedicated to the public domain'),
   ('LicenseRef-all-rights-reserved', 'all rights reserved')),
 d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
-parts as (select rid, t, string_split_regex(t, '\n[ \t\r]*\n') as bs, string_split(t, chr(10)) as ls from d),
-u as (select rid, 'document' as kind, 1 as n, t as body from d
-      union all select rid, 'block', unnest(range(len(bs))), unnest(bs) from parts where len(bs) > 1
-      union all select rid, 'line', unnest(range(len(ls))), unnest(ls) from parts where len(ls) > 1),
-lowered as (select rid, kind, n, regexp_replace(lower(body), '(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[^\n]*$', ' ', 'g') as b from u),
-spelt as (select rid, kind, n, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(b,
+l as (select rid, unnest(range(len(ls))) as n, unnest(ls) as raw from (select rid, string_split(t, chr(10)) as ls from d)),
+spelt as (select rid, n, raw, lower(raw) as low, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(lower(raw),
   'licence', 'license'), 'licenced', 'licensed'), 'sub-license', 'sublicense'), 'non-commercial', 'noncommercial'),
   'https://', 'http://'), 'organisation', 'organization'), 'acknowledgement', 'acknowledgment'),
   'merchantibility', 'merchantability'), 'per cent', 'percent'), 'copyright owner', 'copyright holder'),
-  '&', ' and '), 'ver.', 'version') as b from lowered),
-form as (select rid, kind, n, trim(regexp_replace(b, '[^\p{L}\p{N}]+', ' ', 'g')) as f from spelt),
+  '&', ' and '), 'ver.', 'version') as b from l),
+line as (select rid, n, sum(case when regexp_full_match(raw, '[ \t\r]*') then 1 else 0 end) over (partition by rid order by n) as block,
+         case when regexp_matches(low, '^[^\p{L}\p{N}]*(copyright|\(c\)|©)') then '' else trim(regexp_replace(b, '[^\p{L}\p{N}]+', ' ', 'g')) end as f from spelt),
+words as (select rid, n, block, f from line where f <> ''),
+blocks as (select rid, block, string_agg(f, ' ' order by n) as f, count(*) over (partition by rid) as many from words group by rid, block),
+form as (select rid, 'document' as kind, 0 as n, string_agg(f, ' ' order by n) as f from words group by rid
+         union all select rid, 'block', block, f from blocks where many > 1
+         union all select rid, 'line', n, f from (select *, count(*) over (partition by rid) as many from words) where many > 1),
 hit as (select rid, kind, n, license from form join known on f = body and f <> ''),
 agg as (select rid, min(case when kind = 'document' then license end) as whole_license,
         count(distinct kind || ':' || n) as n_matches,
@@ -133,8 +135,10 @@ from d left join agg using (rid)""",
 with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
 w as (select rid, doc_id, t, list_filter(string_split_regex(t, '{_WS}+'), lambda x: x <> '') as ws,
       list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0b\f\r]')) as ls from d),
-g as (select rid, ws, unnest(range(1, len(ws) - 3)) as i from w where len(ws) >= 5),
-c as (select rid, i, count(*) over (partition by rid, list_slice(ws, i, i + 4)) as n from g),
+p as (select rid, unnest(ws) as x, unnest(range(len(ws))) as i from w),
+g as (select rid, i, x || ' ' || lead(x, 1) over o || ' ' || lead(x, 2) over o || ' ' || lead(x, 3) over o || ' '
+        || lead(x, 4) over o as gram from p window o as (partition by rid order by i)),
+c as (select rid, i, count(*) over (partition by rid, gram) as n from g where gram is not null),
 r as (select rid, count(distinct p) as n_repeat_words
       from (select rid, unnest(range(i, i + 5)) as p from c where n > 1) group by rid),
 m as (select rid, doc_id, len(ws) as n_words, length(regexp_replace(t, '{_WS}', '', 'g')) as word_chars,
@@ -144,6 +148,6 @@ m as (select rid, doc_id, len(ws) as n_words, length(regexp_replace(t, '{_WS}',
 b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not (base_failed or 20 * n_symbols > word_chars or word_chars < 2 * n_words or word_chars > 20 * n_words
-       or (n_lines >= 4 and 10 * n_dup_lines > 3 * n_lines)) as kept
+       or (n_lines >= 4 and 2 * n_dup_lines > n_lines)) as kept
 from b""",
 }

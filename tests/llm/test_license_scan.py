@@ -6,16 +6,34 @@ from cuadro.llm import license_scan as L
 
 
 def canon(t):
-    t = re.sub(r"(?m)^[^\w\n]*(copyright|\(c\)|©)[^\n]*$", " ", t.lower())
-    for a, b in L.SPELLINGS:
-        t = t.replace(a, b)
-    return re.sub(r"[\W_]+", " ", t).strip()
+    out = []
+    for line in t.split("\n"):
+        low = line.lower()
+        if re.match(r"[\W_]*(copyright|\(c\)|©)", low):
+            continue
+        for a, b in L.SPELLINGS:
+            low = low.replace(a, b)
+        out.append(re.sub(r"[\W_]+", " ", low).strip())
+    return " ".join(x for x in out if x)
+
+
+def entire_texts(t):
+    lines = [x for x in t.split("\n") if canon(x)]
+    blocks, open_ = [], []
+    for line in [*t.split("\n"), ""]:
+        if re.fullmatch(r"[ \t\r]*", line):
+            blocks.append("\n".join(open_))
+            open_ = []
+        else:
+            open_.append(line)
+    blocks = [x for x in blocks if canon(x)]
+    return [t] + (blocks if len(blocks) > 1 else []) + (lines if len(lines) > 1 else [])
 
 
 TEXTS = [None, "", "...", "Released under the MIT License.", "  RELEASED under the MIT LICENCE!!", "prose\nReleased under the MIT License.\nmore",
          "Copyright (c) 2020 Someone\nReleased under the\nMIT License", "a\n\nLicensed under the Apache License,\nVersion 2.0\n\nb",
          "Not released under the MIT License.", "released under the mit license\nreleased under the mit license", "All rights reserved.",
-         "x " * 20000 + "\nLicensed under CC BY-NC 4.0."]
+         "x " * 20000 + "\nLicensed under CC BY-NC 4.0.", "Released under the MIT License.\n\n", "\n \t\nReleased under the\nMIT Licence\n\n\nend"]
 
 
 def test_matches(spark):
@@ -28,9 +46,7 @@ def test_matches(spark):
     assert len(rows) == len(TEXTS) + 2
     for r in rows:
         t = (TEXTS[r.doc_id] if r.doc_id is not None else TEXTS[3]) or ""
-        blocks, lines = re.split(r"\n[ \t\r]*\n", t), t.split("\n")
-        units = [t] + (blocks if len(blocks) > 1 else []) + (lines if len(lines) > 1 else [])
-        hits = [forms[canon(u)] for u in units if canon(u) in forms]
+        hits = [forms[canon(u)] for u in entire_texts(t) if canon(u) in forms]
         assert r.n_matches == len(hits)
         assert r.licenses == ",".join(sorted(set().union(*hits))) if hits else r.licenses == ""
         assert r.whole_license == (min(forms[canon(t)]) if canon(t) in forms else None)
