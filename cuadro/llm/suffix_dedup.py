@@ -562,4 +562,5 @@ def dedup(docs: DataFrame, with_text: bool = False, run_bytes: int = RUN_BYTES,
         .unionByName(judge_large(answers.where("key is not null"))) \
         .groupBy("run").agg(F.collect_list("answer").alias("answers"))
     listed = sorted_runs.where("range is null").select("run", F.col("block").alias("listed"))
-    return cut(runs.join(listed, "run").join(all_answers, "run", "left"), with_text)
+    # the rows are small against the runs they come from: gathered into fewer, even partitions
+    return cut(runs.join(listed, "run").join(all_answers, "run", "left"), with_text).hint("rebalance")
