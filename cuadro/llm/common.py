@@ -12,7 +12,7 @@ from cuadro.session import read_table
 
 #: Texts are handed to the kernels in groups of about this many bytes, so the temporaries of a
 #: task stay small whatever the Arrow batch holds. One longer text is a group of its own.
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 1_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

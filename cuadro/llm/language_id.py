@@ -73,7 +73,7 @@ def counted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return grams[first], np.diff(np.append(first, len(grams)))
 
 
-PIECE = 1_000_000               # characters counted at once
+PIECE = 300_000               # characters counted at once
 
 
 def text_counts(text: str) -> tuple[np.ndarray, np.ndarray]:

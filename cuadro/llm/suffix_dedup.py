@@ -50,7 +50,7 @@ from cuadro.session import materialise, scratch_path
 WINDOW, GRAM = 50, 24
 SPAN = WINDOW - GRAM + 1         # starts of a gram inside a window, and windows around an anchor
 LEFT = SPAN - 1
-RUN_BYTES = 16_000_000
+RUN_BYTES = 8_000_000
 RANGE_BYTES = 8_000_000          # text bytes for each hash range
 GROUP_KEYS = 20_000
 KEYS_AT_ONCE = 40_000
@@ -488,48 +488,65 @@ OUT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_rem
                         ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
-def _removed(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes of the run, text ends, which bytes go)."""
+def _answered(row: dict, at_most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The live texts of a run in stretches of about ``at_most`` bytes.
+
+    Yields (first text, last text, bytes, ends within the stretch, which bytes go).
+    """
     buf, ends, _ = _opened(row)
     at, number, mine = _loose(row["listed"], "<i8", "<i4", "u1")
     answers = np.array(row["answers"] or [], np.int64)
     bits = np.zeros(int(number.max(initial=-1)) + 1, np.int64)
     np.bitwise_or.at(bits, answers >> 32, answers & ALL)
-    owner = np.searchsorted(ends, at, side="right")
-    begin = np.concatenate([[0], ends])[owner]
-    mask = np.where(mine == 1, bits[number] if len(bits) else 0, ALL)
-    change = np.zeros(len(buf) + 1, np.int32)
-    for o in range(SPAN):
-        go = (mask >> o & 1 == 1) & (at - begin >= o) & (at - o + WINDOW <= ends[owner] if len(at) else False)
-        start = at[go] - o
-        np.add.at(change, start, 1)
-        np.add.at(change, start + WINDOW, -1)
-    return buf, ends, np.cumsum(change[:-1], dtype=np.int32) > 0
+    order = np.argsort(at)
+    at = at[order]
+    mask = np.where(mine[order] == 1, bits[number[order]] if len(bits) else 0, ALL)
+    first = 0
+    while first < len(ends):
+        start = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, start + at_most, side="right")))
+        stop = int(ends[last - 1])
+        here = slice(*np.searchsorted(at, [start, stop]))
+        own_ends = ends[first:last] - start
+        place = at[here] - start
+        owner = np.searchsorted(own_ends, place, side="right")
+        begin, end = np.concatenate([[0], own_ends])[owner], own_ends[owner] if len(place) else place
+        change = np.zeros(stop - start + 1, np.int32)
+        for o in range(SPAN):
+            go = place[(mask[here] >> o & 1 == 1) & (place - begin >= o) & (place - o + WINDOW <= end)] - o
+            np.add.at(change, go, 1)
+            np.add.at(change, go + WINDOW, -1)
+        yield first, last, buf[start:stop], own_ends, np.cumsum(change[:-1], dtype=np.int32) > 0
+        first = last
 
 
 def cut(runs: DataFrame, with_text: bool) -> DataFrame:
     """Step 5: one row a document."""
 
+    def result(doc_id, size, kept, spans):
+        return doc_id, size, size - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), OUT_SCHEMA)], schema=OUT_SCHEMA)
+
     def run(batches):
         for row in _rows(batches, ("run", "ids", "sizes", "body", "gone", "listed", "answers")):
-            buf, ends, gone = _removed(row)
-            whole = zstandard.ZstdDecompressor().decompress(row["body"])
             copy = set(row["gone"] or [])
-            out: list[list] = [[] for _ in OUT_SCHEMA]
-            begin = start = 0                                          # in the live texts, in all texts
-            for i, (doc_id, size) in enumerate(zip(row["ids"], row["sizes"])):
-                if i in copy:
-                    kept, spans = (b"", 1) if size >= WINDOW else (whole[start:start + size], 0)
-                else:
-                    g = gone[begin:begin + size]
-                    kept = buf[begin:begin + size][~g].tobytes()
+            live = [i for i in range(len(row["ids"])) if i not in copy]
+            for first, last, buf, ends, gone in _answered(row):
+                out, begin = [], 0
+                for i, end in zip(live[first:last], ends.tolist()):
+                    g = gone[begin:end]
+                    kept = buf[begin:end][~g].tobytes()
                     spans = int(np.count_nonzero(g[1:] & ~g[:-1])) + int(len(g) > 0 and g[0])
-                    begin += size
-                for c, v in zip(out, (doc_id, size, size - len(kept), spans,
-                                      hashlib.sha256(kept).hexdigest(), kept if with_text else None)):
-                    c.append(v)
-                start += size
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, OUT_SCHEMA)], schema=OUT_SCHEMA)
+                    out.append(result(row["ids"][i], end - begin, kept, spans))
+                    begin = end
+                yield batch(out)
+            if copy:
+                whole = zstandard.ZstdDecompressor().decompress(row["body"])
+                start = np.concatenate([[0], np.cumsum(row["sizes"])]).tolist()
+                yield batch([result(row["ids"][i], size, *((b"", 1) if size >= WINDOW else (whole[start[i]:start[i] + size], 0)))
+                             for i in sorted(copy) for size in [row["sizes"][i]]])
 
     return runs.select("run", "ids", "sizes", "body", "gone", "listed", "answers").mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
