@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
 
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -74,15 +78,36 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unique path under the shared checkpoint folder, removed when the session ends."""
+    """A new, unique path under the shared checkpoint folder, removed when the driver's Python ends
+    (or before, by ``release_scratch``)."""
     base = checkpoint_dir(spark).rstrip("/")
     path = f"{base}/cuadro/{name}-{uuid.uuid4().hex[:12]}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    if not _SCRATCH:
+        atexit.register(_at_exit)
+    _SCRATCH.append(path)
     return path
 
 
+def release_scratch() -> None:
+    """Delete the scratch folders of this driver. Frames that read them cannot be used afterwards."""
+    context, jvm = SparkContext._active_spark_context, SparkContext._jvm
+    if jvm is None:
+        return
+    conf = context._jsc.hadoopConfiguration() if context else jvm.org.apache.hadoop.conf.Configuration()
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def _at_exit() -> None:
+    with contextlib.suppress(Py4JError, OSError):        # the JVM may be gone already
+        release_scratch()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared scratch folder and read it back.
 

@@ -3,6 +3,7 @@
 import os
 import subprocess
 import sys
+import time
 from types import SimpleNamespace
 
 import pytest
@@ -45,4 +46,9 @@ def test_scratch_goes_with_the_session_and_workers_get_the_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
     assert "ROWS 5" in out.stdout, out.stderr[-2000:]
-    assert not [f for _, _, files in os.walk(folder) for f in files]
+    for _ in range(100):                                              # the JVM ends a little after Python
+        left = [f for _, _, files in os.walk(folder) for f in files]
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left
