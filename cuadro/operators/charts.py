@@ -82,7 +82,8 @@ def bar_sums_labelled(df: DataFrame, key: str, value: str, n: int | None = BAR_L
     if zero_guard:
         grand = g.agg(F.struct(F.sum("_s").alias("s"), F.sum("_n").alias("n"))).scalar()
         counted = ~F.coalesce(grand.getField("s") > 0, F.lit(False))
-    out = g.select(key, F.when(counted, F.col("_n").cast("double")).otherwise(F.col("_s")).alias("value"),
+    # the sum before the count, as in the subquery: Spark reuses an exchange only if both list them alike
+    out = g.select(key, F.when(~counted, F.col("_s")).otherwise(F.col("_n").cast("double")).alias("value"),
                    counted.alias("counted"))
     return _ranked(out, key, "value", n)
 
