@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 
 from cuadro.llm.common import groups, id_text
 
-# Classes of a code point. LETTER..SPLIT depend on the neighbours too, see classify().
+# Classes of a code point; those of white space and of apostrophes depend on what follows, see classify().
 LETTER, NUMBER, OTHER, APOS2, APOS3, RUN, PREFIX, SINGLE, BREAK = range(9)
 # What is open after a code point: nothing, a run of a class, a lone space that may lead a run, or
 # a contraction that takes one or two more letters.

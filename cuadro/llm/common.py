@@ -46,15 +46,12 @@ def groups(batches: Iterator[pa.RecordBatch], size: Callable = len,
             yield rows
 
 
-def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Runs of characters outside space and \\x09-\\x0D, with A-Z lower-cased, as UTF-8."""
     return [] if text is None else text.encode().lower().split()
 
 
+#: A key is hot from this part of all rows on.
 HOT_SHARE = 1000
 
 
