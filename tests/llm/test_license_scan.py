@@ -1,6 +1,10 @@
 """Licence scan against plain Python."""
 
+import random
 import re
+import textwrap
+
+from pyspark.sql import functions as F
 
 from cuadro.llm import license_scan as L
 
@@ -59,3 +63,65 @@ def test_empty_tables(spark):
     assert L.per_document(docs.limit(0), L.known_licenses(spark)).count() == 0
     none = L.known_licenses(spark, [("x", "...")])
     assert [tuple(r) for r in L.per_document(docs, none).collect()] == [(1, None, 0, "")]
+
+
+def brute_runs(t, forms):
+    """Every run of two or more lines with words, but not the document or one block, whose form is known."""
+    lines, block = [], 0
+    for line in t.split("\n"):
+        block += bool(re.fullmatch(r"[ \t\r]*", line))
+        if canon(line):
+            lines.append((canon(line), block))
+    whole = [[i for i, x in enumerate(lines) if x[1] == b] for b in {x[1] for x in lines}] + [list(range(len(lines)))]
+    return [forms[f] for i in range(len(lines)) for j in range(i + 1, len(lines))
+            if (f := " ".join(x[0] for x in lines[i:j + 1])) in forms and list(range(i, j + 1)) not in whole]
+
+
+def test_runs_of_lines_against_every_run(spark):
+    known = [("A", "one two three four five"), ("B", "one two three\n\nfour"), ("C", "one two"), ("D", "x " * 30), ("E", "two three four five")]
+    forms = {}
+    for name, body in known:
+        forms.setdefault(canon(body), set()).add(name)
+    rng = random.Random(3)
+    texts = ["\n".join(rng.choice(["one", "one two", "two three", "two\nthree", "four", "five", "", "four five", "x x x", "x " * 9])
+                       for _ in range(rng.randint(1, 25))) for _ in range(300)]
+    texts += ["one\ntwo three\n\nfour five\nend", "end\n" + "x\n" * 40, texts[0]]
+    rows = L.per_document(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"),
+                          L.known_licenses(spark, known)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        t = texts[r.doc_id]
+        hits = [forms[canon(u)] for u in entire_texts(t) if canon(u) in forms] + brute_runs(t, forms)
+        assert r.n_matches == len(hits), t
+        assert r.licenses == ",".join(sorted(set().union(*hits))), t
+
+
+def rewrapped(text, width):
+    return "\n\n".join(textwrap.fill(p, width, initial_indent="# ", subsequent_indent="# ") for p in re.split(r"\n\s*\n", text))
+
+
+def test_full_texts_in_documents_of_any_wrapping(spark):
+    names = [(p[0], p[1]) for p in L.PARTS]
+    bodies = L.full_texts()
+    docs = [(i, b) for i, (_, b) in enumerate(bodies)]
+    docs += [(1000 + i, f"Some file.\n\nCopyright (c) 2021 Jane Doe\n\n{b}\n\nint main;\n") for i, (_, b) in enumerate(bodies)]
+    again = {n: b for n, b in bodies if n in ("MIT", "BSD-2-Clause", "ISC", "Unlicense")}
+    docs += [(2000 + 100 * w + i, "package x\n" + rewrapped(b, w) + "\nimport y") for w in (40, 66) for i, b in enumerate(again.values())]
+    got = {r.doc_id: r for r in L.per_document(spark.createDataFrame(docs, "doc_id long, text string"), L.known_licenses(spark)).collect()}
+    for i, (name, _) in enumerate(names):
+        assert got[i].whole_license == name
+        assert got[1000 + i].whole_license is None and name in got[1000 + i].licenses.split(","), (name, i)
+    for w in (40, 66):
+        for i, name in enumerate(again):
+            assert name in got[2000 + 100 * w + i].licenses.split(","), (name, w)
+
+
+def test_only_statements_of_copyright_are_dropped(spark):
+    drop = ["Copyright (c) 2020 Someone", "(C) 1999-2001 X", "© Me", "# Copyright: 2020, Y", "Copyright Jane Doe", "COPYRIGHT ACME Inc.",
+            "copyright by them", "Copyright [yyyy] [name]", "(c) Jane Doe", "Copyright (C) The Authors"]
+    keep = ["(c) You must retain, in the Source form", "copyright notice, this list", "COPYRIGHT HOLDERS AND CONTRIBUTORS",
+            "copyright license to reproduce", "Copyright License. Subject to the terms", "copyrighted by", "\"Copyright\" also means"]
+    rows = [(i, t) for i, t in enumerate(drop + keep)]
+    form = {r.i: r.f for r in spark.createDataFrame(rows, "i int, text string").select("i", L.canonical(F.col("text")).alias("f")).collect()}
+    for i, t in rows:
+        assert (form[i] == "") == (t in drop), t
