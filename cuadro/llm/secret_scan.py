@@ -1,7 +1,9 @@
 """Secret scan: candidates, features, and a random forest that removes false positives.
 
-Candidates are words whose core is 16 or more of ``A-Za-z0-9+/_~.-`` (then at most two ``=``) and
-that hold a digit or stand behind a cue word such as "token". The forest sees the candidate's
+Candidates are all cores in a word: 16 or more of ``A-Za-z0-9+/_~.-`` (then at most two ``=``) that
+hold a digit or stand behind a cue word such as "token"; a value of 4 or more characters, symbols
+too, that is assigned to a name with a cue or follows a cue; and the password of a URL
+``scheme://user:password@host``. The forest sees the candidate's
 length, its character classes and the transitions between them, how much of it a dictionary
 covers, marks of paths, and the neighbouring words. It is trained from labelled findings.
 
@@ -25,7 +27,7 @@ from cuadro.session import materialise
 
 TRAIN_ROWS = 20_000
 SPACE = "[ \\t-\\r]+"
-# Inline name, then the core; quotes, brackets, = and : may stand between, punctuation may follow.
+# The form of a word that is one candidate. Inline name, then the core; quotes, brackets, = and : may stand between, punctuation may follow.
 SHAPE = r"""^(?:(\S*?)[=:"'`(<\[{]+)?([A-Za-z0-9+/_~.\-]{16,}={0,2})[^A-Za-z0-9]*$"""
 
 #: Words before a secret, words of examples, and words a made-up value may contain.
@@ -35,6 +37,23 @@ EXAMPLES = ["example", "sample", "dummy", "placeholder", "changeme", "your", "fa
 DICTIONARY = ["example", "sample", "dummy", "placeholder", "change", "your", "fake", "test", "token", "secret", "password",
               "here", "value", "user", "name", "admin", "data", "file", "path", "home", "local", "config", "default", "http",
               "www", "com", "org", "the", "and", "for", "with", "tion", "ing", "ment", "ung", "keit", "heit", "ción", "ation"]
+_CUE = "(?i:" + "|".join(CUES) + ")"
+_SIGN = r"""["'`\\\])]*(?:[=:]+>?)[\\(<\[{]*"""
+_VALUE = r"""(?:["'`]([^\s"'`]{4,}?)\\?["'`]|["'`]*([^\s"'`,;&{}()<>\[\]\\]{4,}))"""
+_CORE = r"[A-Za-z0-9+/_~.\-]{16,}(?:={1,2}(?![A-Za-z0-9]))?"
+# The password of a URL; a value assigned to a name with a cue; a long core, with or without a name. Parts of names are
+# bounded, so that long runs cost linear time; what ends in a cue may have been taken as a long core.
+WITHIN = (r"""([A-Za-z][A-Za-z0-9+.\-]{0,20}://[^\s:/@"'`]{0,200}):([^\s"'`/@]{4,})@"""
+          + r"|(?:([\w.\-]{0,64}" + _CUE + r"[\w.\-]{0,64})|(?<=(" + _CUE + r")))" + _SIGN + _VALUE
+          + r"|(?:([\w.\-]{0,64})" + _SIGN + r"""["'`]*)?(""" + _CORE + ")")
+NAMES, CORES = (1, 3, 4, 7), (2, 5, 6, 8)
+# The whole word is the value where the words before it end in a cue with a sign, or a cue alone.
+BEHIND = r"""^["'`(<\[{]*""" + _VALUE + "|" + WITHIN
+BEHIND_NAMES, BEHIND_CORES = tuple(n + 2 for n in NAMES), (1, 2, *(n + 2 for n in CORES))
+NAMED = _CUE + r"""[\w.\-]*["'`\\\])]*[=:]+>?["'`(<\[{\\]*$"""
+SIGN = r"^[=:]+>?$"
+CUE_END = _CUE + r"""[\w.\-]*["'`\\\])]*$"""
+CUE_ONLY = r"""^(?:["'`(]*|--?[\w\-]*)""" + _CUE + r"""["'`)]*$"""
 FEATURES = ["f_length", "f_runs", "f_digits", "f_upper", "f_lower", "f_hex", "f_distinct", "f_vowels", "f_dictionary",
             "f_slashes", "f_dots", "f_url", "f_cue", "f_assigned", "f_quoted", "f_example", "f_number_before"]
 
@@ -50,14 +69,38 @@ def findings(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     w = F.col("_w")
     # A leading blank gives an empty first word; positions count from the first real one.
     lead = F.when(w[0] == "", 1).otherwise(0)
-    at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (F.length(w[i]) >= 16) & w[i].rlike(SHAPE))
-    df = df.withColumn("_at", at)
     low = lambda i: F.greatest(i, F.lit(0))
-    found = F.transform("_at", lambda i: F.struct(
-        (i - lead).alias("word"), F.regexp_extract(w[i], SHAPE, 2).alias("core"),
-        F.lower(F.concat_ws(" ", F.when(i > 2, w[low(i - 3)]), F.when(i > 1, w[low(i - 2)]), F.when(i > 0, w[low(i - 1)]),
-                            F.regexp_extract(w[i], SHAPE, 1))).alias("near"), w[i].alias("raw")))
-    keep = lambda x: x.core.rlike("[0-9]") | x.near.rlike(_any(CUES))
+    before = lambda i, n: F.when(i >= n, w[low(i - n)]).otherwise("")
+
+    def behind(i: Column) -> Column:
+        one = before(i, 1)
+        signed = one.rlike("[=:]") & (one.rlike(NAMED) | one.rlike(SIGN) & before(i, 2).rlike(CUE_END))
+        return signed | one.rlike(CUE_ONLY) & w[i].rlike("[0-9]") & w[i].rlike("[A-Za-z]")
+
+    def cut(word: Column, pattern: str, names: tuple[int, ...], cores: tuple[int, ...]) -> Column:
+        """(name, core) of every match; one group of the names and of the cores has text at most."""
+        def group(numbers: tuple[int, ...]) -> Column:
+            out = F.regexp_extract_all(word, F.lit(pattern), F.lit(numbers[0]))
+            for n in numbers[1:]:
+                out = F.zip_with(out, F.regexp_extract_all(word, F.lit(pattern), F.lit(n)), lambda x, y: F.concat(x, y))
+            return out
+        return F.zip_with(group(names), group(cores), lambda x, y: F.struct(x.alias("name"), y.alias("core")))
+
+    long = lambda x: (F.length(x) >= 16) | x.rlike("[=:]")
+    at = F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.struct(
+        i.alias("i"), ((F.length(w[i]) >= 4) & behind(i)).alias("behind")))
+    df = df.withColumn("_at", F.filter(at, lambda a: a.behind | long(w[a.i]) & w[a.i].rlike(WITHIN)))
+
+    def of_word(a: Column) -> Column:
+        i = a.i
+        cores = F.when(a.behind, cut(w[i], BEHIND, BEHIND_NAMES, BEHIND_CORES)).otherwise(cut(w[i], WITHIN, NAMES, CORES))
+        return F.transform(cores, lambda c: F.struct(
+            (i - lead).alias("word"), c.core.alias("core"),
+            F.lower(F.concat_ws(" ", F.when(i > 2, w[low(i - 3)]), F.when(i > 1, w[low(i - 2)]), F.when(i > 0, w[low(i - 1)]),
+                                c["name"])).alias("near"), w[i].alias("raw")))
+
+    found = F.flatten(F.transform("_at", of_word))
+    keep = lambda x: x.core.rlike("[0-9]") | x.near.rlike(_any(CUES)) | x.near.rlike("://[^ ]*$")
     return df.select("doc_id", F.filter(found, keep).alias("found"))
 
 

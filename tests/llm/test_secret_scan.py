@@ -73,3 +73,42 @@ def test_no_labels_of_both_kinds_and_empty_table(spark, docs):
 def test_no_python_in_the_plan(docs):
     found = S.features(S.findings(docs).selectExpr("doc_id", "explode(found) as c").select("doc_id", "c.*"))
     assert not re.search("Python|Pandas|Arrow", found._jdf.queryExecution().executedPlan().toString())
+
+
+def random_secret(n, symbols=""):
+    return "a1" + "".join(rng.choice("abcdefXYZ0123456789" + symbols) for _ in range(n - 2))
+
+
+def test_every_secret_of_its_purpose_is_a_candidate(spark):
+    """Texts made from secrets, not from the expressions that find them."""
+    long = ['{"token":"%s","x":1}', '{\\"token\\":\\"%s\\"}', "?token=%s&page=2", "token=%s,next", "A=%s;B=%s;", "(see:%s)", "x,%s,y", "%s@host",
+            "curl 'https://h.io/a?k=%s&b=%s'", "/some/long/path/of/words/file.token=%s", "Ü%s!"]
+    cued = ["password=%s", 'password="%s"', "password: %s", "db.password = %s", "DB_PASSWORD=%s;next", '{"pwd":"%s","u":"me"}', "?secret=%s&x=1",
+            "--password %s", "Bearer %s", "dbPassword:%s", '"apiKey" : "%s"', "secret => %s", "a/long/path/to/the/file.token=%s"]
+    url = ["postgres://user:%s@host/db", "x=amqp://me:%s@h:5672,redis://:%s@r"]
+    want, rows = {}, []
+
+    def put(shape, make):
+        given = tuple(make() for _ in range(shape.count("%s")))
+        want[len(rows)] = given
+        rows.append((len(rows), f"the text {shape % given} goes on"))
+
+    for _ in range(5):
+        for shape in long:
+            put(shape, lambda: random_secret(40))
+        for shape in cued:
+            for n in (4, 8, 15, 30):
+                put(shape, lambda n=n: random_secret(n, "!$%^*#@"))
+        for shape in url:
+            for n in (4, 9, 19):
+                put(shape, lambda n=n: random_secret(n, "!$*"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in S.findings(docs).collect():
+        cores = [c.core for c in r.found]
+        assert all(cores.count(x) == 1 for x in want[r.doc_id]), (rows[r.doc_id], cores)
+
+
+def test_plain_text_and_long_runs(spark):
+    texts = ["The monkey ate: nothing at 12:30, see key points (2020).", "a token of thanks", "token " + "key" * 40000 + "=x", "x" * 100000 + "=abc"]
+    got = [[c.core for c in r.found] for r in S.findings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    assert got[0] == [] and got[1] == [] and len(got) == 4
