@@ -157,15 +157,18 @@ def term_counts(collapsed: DataFrame) -> DataFrame:
 def sparse_counts(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
     """(counts, groups): lang, source, term, n, total of the kept terms; and of every (lang, source)
     den (N + 2 V), of its lang lang_den, v and the number of its sources and counts."""
-    summed = materialise(term_counts(collapse(docs)).groupBy("lang", "term", "source")
-                         .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "divergence-sums")
-    listed = summed.where("term is not null")
-    kept = listed.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")) \
-        .where(F.col("docs") >= min_documents).drop("docs")
-    counts = materialise(listed.drop("docs").join(kept, ["lang", "term"]), "divergence-counts")
+    # dealt by term once: the sums by source and the totals of a term need no other exchange
+    summed = term_counts(collapse(docs)).repartition("lang", "term").groupBy("lang", "term", "source") \
+        .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    of_term = Window.partitionBy("lang", "term")
+    whole = summed.withColumns({"total": F.sum("n").over(of_term), "in_docs": F.sum("docs").over(of_term),
+                                "first": F.row_number().over(of_term.orderBy("source")) == 1})
+    kept = materialise(whole.where((F.col("in_docs") >= min_documents) | F.col("term").isNull())
+                       .select("lang", "source", "term", "n", "total", "first"), "divergence-counts")
+    counts = kept.where("term is not null")
     by_group = counts.groupBy("lang", "source").agg(F.sum("n").alias("size"), F.count("*").alias("nonzero"))
-    by_lang = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("lang_size"))
-    every = summed.where("term is null").select("lang", "source")
+    by_lang = counts.groupBy("lang").agg(F.count_if("first").alias("v"), F.sum("n").alias("lang_size"))
+    every = kept.where("term is null").select("lang", "source")
     shape = every.join(by_group, ["lang", "source"], "left").groupBy("lang").agg(
         F.count("*").alias("sources"), F.coalesce(F.sum("nonzero"), F.lit(0)).alias("nonzero"))
     v = F.coalesce("v", F.lit(0))
