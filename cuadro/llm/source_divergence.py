@@ -41,7 +41,7 @@ from cuadro.session import materialise
 SCALE = 1_000_000_000
 MIN_DOCUMENTS = 10
 TOP_TERMS = 10
-TILE, BUCKET = 256, 500_000
+TILE, BUCKET = 256, 32_768
 #: Different texts and counts that a task holds before it sends them on.
 HELD_TEXTS, HELD_COUNTS = 100_000, 300_000
 #: Bytes between the terms become blanks; ASCII capitals are lowered; bytes of other letters stay.
@@ -230,7 +230,9 @@ def pairs(counts: DataFrame, groups_: DataFrame, tile: int = TILE, bucket: int =
     """lang, source, item (another source of the lang), value: f of both summed over all kept terms."""
     many = F.ceil(F.col("sources") / tile).cast("int")
     block = F.pmod(F.xxhash64("source"), many).cast("int").alias("block")
-    buckets = F.greatest(F.lit(1), F.ceil(F.col("nonzero") / bucket)).cast("int")
+    # a bucket never has fewer counts than its tile has pairs, so that what is emitted is bounded by what is read
+    width = F.greatest(F.lit(bucket), F.pow(F.least("sources", F.lit(tile)), F.lit(2)))
+    buckets = F.greatest(F.lit(1), F.ceil(F.col("nonzero") / width)).cast("int")
     known = groups_.select("lang", "source", "v", "den", many.alias("blocks"), block, buckets.alias("buckets"),
                            share(F.lit(0), "den").alias("zero"))
     tiles = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
