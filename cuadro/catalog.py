@@ -26,12 +26,7 @@ Q_LINE = "Muestra la evolución de las ventas por mes"
 Q_SCATTER = "muestra precio vs. cantidad"
 
 
-def rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
-    """Sums are floating point: rounded here, for the comparison only."""
-    return df.withColumns({c: F.round(c, digits) for c in cols})
-
-
-def _chart(question: str, table: str, prep=None, order_by=None, digits: int | None = None) -> Query:
+def _chart(question: str, table: str, prep=None, order_by=None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = read_table(spark, sf_dir, table)
         if prep is not None:
@@ -39,7 +34,7 @@ def _chart(question: str, table: str, prep=None, order_by=None, digits: int | No
         spec, data = answer_chart(df, question, order_by=order_by)
         if spec is None or data is None:
             raise ValueError(f"no chart for {question!r}: {spec}")
-        return data if digits is None else rounded(data, digits, "value")
+        return data
     return run
 
 
@@ -72,14 +67,30 @@ def _fractions(li: DataFrame) -> DataFrame:
     return li.select("l_returnflag", (F.col("l_discount") * F.col("l_tax") / 100000).alias("l_amount"))
 
 
+def _missing(ev: DataFrame) -> DataFrame:
+    """Events without a name for one kind, without any value for another and with some missing elsewhere."""
+    value = F.when((F.col("event_type") == "click") | (F.col("user_id") % 3 == 0), None).otherwise(F.col("value"))
+    return ev.select("event_id", F.expr("nullif(event_type, 'error')").alias("kind"), value.alias("amount"),
+                     F.when(F.col("user_id") % 5 != 0, F.col("user_id")).alias("price"))
+
+
+def q_scatter_missing(spark, sf_dir):
+    """A trend over the rows that have both numbers; the others count for neither."""
+    t = charts.linear_trend(_missing(read_table(spark, sf_dir, "events")), "price", "amount")
+    return t.select(F.round("slope", 8).alias("slope"), F.round("intercept", 6).alias("intercept"), "n")
+
+
 QUERIES: dict[str, Query] = {
-    "bar_sum": _chart(Q_BAR_PRODUCT, "lineitem", digits=2),
-    "bar_sum_fractions": _chart(Q_BAR_PRODUCT, "lineitem", prep=_fractions, digits=6),
+    "bar_missing": _chart("Muestra un gráfico de ventas por kind", "events", prep=_missing),
+    "pie_missing": _chart("gráfico circular de kind", "events", prep=_missing),
+    "scatter_missing": q_scatter_missing,
+    "bar_sum": _chart(Q_BAR_PRODUCT, "lineitem"),
+    "bar_sum_fractions": _chart(Q_BAR_PRODUCT, "lineitem", prep=_fractions),
     "bar_count": _chart(Q_BAR_TYPES, "events"),
     "bar_zero_guard": _chart(Q_BAR_PRODUCT, "lineitem",
-                             prep=lambda d: d.select("l_returnflag", (F.col("l_tax") * 0).alias("l_tax_zero")), digits=2),
+                             prep=lambda d: d.select("l_returnflag", (F.col("l_tax") * 0).alias("l_tax_zero"))),
     "pie_top8": q_pie_top8,
-    "line_series": _chart(Q_LINE, "orders", digits=2),
+    "line_series": _chart(Q_LINE, "orders"),
     "line_by_index": q_line_by_index,
     "scatter_points": _chart(Q_SCATTER, "lineitem"),
     "scatter_trend": q_scatter_trend,
@@ -87,13 +98,30 @@ QUERIES: dict[str, Query] = {
     "histogram": q_histogram,
 }
 
+def _sql_exact(x: str, bits: int = 60) -> str:
+    """The exact sum of DOUBLE values (multiples of 2^-bits), rounded once: added as whole numbers."""
+    whole = f"sum(cast(({x}) * pow(2, {bits}) as hugeint))"
+    return (f"coalesce((cast({whole} // (1::hugeint << 48) as double) * pow(2, 48) + cast({whole} % (1::hugeint << 48) as double))"
+            f" / pow(2, {bits}), 0.0::double)")
+
+
 ORACLE: dict[str, str] = {
-    "bar_sum": """
-select l_returnflag, round(cast(sum(l_quantity) as double), 2) as value from lineitem where l_returnflag is not null
+    "bar_sum": f"""
+select l_returnflag, {_sql_exact('l_quantity')} as value from lineitem where l_returnflag is not null
 group by 1 order by value desc, l_returnflag limit 10""",
-    "bar_sum_fractions": """
-select l_returnflag, round(sum(l_discount * l_tax / 100000), 6) as value from lineitem where l_returnflag is not null
+    "bar_sum_fractions": f"""
+select l_returnflag, {_sql_exact('l_discount * l_tax / 100000', 100)} as value from lineitem where l_returnflag is not null
 group by 1 order by value desc, l_returnflag limit 10""",
+    "bar_missing": f"""
+select nullif(event_type, 'error') as kind, {_sql_exact("case when event_type <> 'click' and user_id % 3 <> 0 then value end")} as value
+from events where event_type <> 'error' group by 1 order by value desc, 1 limit 10""",
+    "pie_missing": """
+with f as (select event_type as k, count(*) as n from events where event_type <> 'error' group by 1)
+select row_number() over (order by n desc, k) as ord, k as label, n, round(cast(100.0 as double) * n / (select sum(n) from f), 1) as pct,
+  false as is_other from f""",
+    "scatter_missing": """
+select round(regr_slope(v, p), 8) as slope, round(regr_intercept(v, p), 6) as intercept, cast(regr_count(v, p) as bigint) as n
+from (select case when event_type <> 'click' and user_id % 3 <> 0 then value end as v, case when user_id % 5 <> 0 then user_id end as p from events)""",
     "bar_count": """
 select event_type, count(*) as value from events where event_type is not null
 group by 1 order by value desc, event_type limit 10""",
@@ -108,8 +136,8 @@ with f as (select p_name k, count(*) n from part where p_name is not null group
                      cast((select sum(n) from f) - (select coalesce(sum(n), 0) from head) as bigint) n, true is_other),
      u as (select * from head union all select * from rest where n > 0)
 select ord, label, n, round(cast(100.0 as double) * n / (select sum(n) from f), 1) pct, is_other from u""",
-    "line_series": """
-select o_orderdate, round(cast(coalesce(sum(o_totalprice), 0) as double), 2) as value
+    "line_series": f"""
+select o_orderdate, {_sql_exact('o_totalprice')} as value
 from orders where o_orderdate is not null group by 1 order by 1""",
     "line_by_index": """
 select cast(row_number() over (order by c_custkey) - 1 as bigint) row_idx, c_acctbal from customer""",
@@ -152,7 +180,7 @@ Q_TOP_N = "Haz un gráfico de barras de los top 5 productos"
 
 
 def q_summary_numeric(spark, sf_dir):
-    return rounded(profile.numeric_summary(read_table(spark, sf_dir, "lineitem")), 2, "total").withColumn("mean", F.round("mean", 6))
+    return profile.numeric_summary(read_table(spark, sf_dir, "lineitem"))
 
 
 def q_summary_period(spark, sf_dir):
@@ -264,36 +292,36 @@ def _li_part(spark, sf_dir):
 
 
 def q_top_products(spark, sf_dir):
-    return rounded(insights.top_products(*_li_part(spark, sf_dir)), 2, "value")
+    return insights.top_products(*_li_part(spark, sf_dir))
 
 
 def q_top_n(spark, sf_dir):
-    return rounded(insights.top_products(*_li_part(spark, sf_dir), n=requested_top_n(Q_TOP_N, 10)), 2, "value")
+    return insights.top_products(*_li_part(spark, sf_dir), n=requested_top_n(Q_TOP_N, 10))
 
 
 def q_best_seller(spark, sf_dir):
-    return rounded(insights.best_seller(*_li_part(spark, sf_dir)), 2, "value")
+    return insights.best_seller(*_li_part(spark, sf_dir))
 
 
 def q_monthly_trend(spark, sf_dir):
-    return rounded(insights.monthly_trend(read_table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice"), 2, "value")
+    return insights.monthly_trend(read_table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice")
 
 
 def q_avg_by_category(spark, sf_dir):
-    return insights.avg_by_category(read_table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", digits=6)
+    return insights.avg_by_category(read_table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity")
 
 
 def q_avg_fractions(spark, sf_dir):
     """Means of values far below a cent."""
-    return insights.avg_by_category(_fractions(read_table(spark, sf_dir, "lineitem")), "l_returnflag", "l_amount", digits=12)
+    return insights.avg_by_category(_fractions(read_table(spark, sf_dir, "lineitem")), "l_returnflag", "l_amount")
 
 
 def q_overall_avg(spark, sf_dir):
-    return insights.overall_avg(read_table(spark, sf_dir, "lineitem"), "l_extendedprice", digits=4)
+    return insights.overall_avg(read_table(spark, sf_dir, "lineitem"), "l_extendedprice")
 
 
 def q_compare_regions(spark, sf_dir):
-    return rounded(insights.compare_regions(*[read_table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region")]), 2, "value")
+    return insights.compare_regions(*[read_table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region")])
 
 
 def q_source_snippet(spark, sf_dir):
@@ -318,7 +346,7 @@ def _questions(spark, sf_dir):
     """Every turn of every conversation asks a template filled with its role and position; every part
     asks one about its name. conv_id -1 marks the parts; every eleventh question is blank."""
     c = read_table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", F.concat_ws(" ", "role", F.substring("text", 1, 12)).alias("word"))
+        "conv_id", "turn", F.concat_ws(" ", "role", "text").alias("word"))
     p = read_table(spark, sf_dir, "part").select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("p_partkey").alias("turn"),
                                                  F.col("p_name").alias("word"))
     rows = c.unionByName(p)
@@ -384,7 +412,7 @@ def _sql_str(s: str) -> str:
 
 def _sql_numeric_summary(table: str, cols: list[str]) -> str:
     parts = [f"""select {_sql_str(c)} as "column", cast(min({c}) as double) as min, cast(max({c}) as double) as max,
-  round(avg({c}), 6) as mean, round(cast(sum({c}) as double), 2) as total from {table}""" for c in cols]
+  {_sql_exact(c)} / count({c}) as mean, {_sql_exact(c)} as total from {table}""" for c in cols]
     return "\nunion all\n".join(parts)
 
 
@@ -462,7 +490,7 @@ _QUESTIONS = """(select conv_id, turn, text, lower(text) q from (
     ['Muestra un gráfico de barras por {}', 'Haz un gráfico circular de {}', '¿Cuál es la tendencia? Muestra {} por mes',
      'Dibuja la relación entre {} y cantidad', 'Quiero un chart de {}', 'top 5 {}', 'ventas de {} por ciudad',
      '¿Cuántos {} hay?', 'Comparar {} por manager', 'gráfico de {} vs. precio'][((conv_id + turn) % 10 + 10) % 10 + 1], '{}', word) end as text
-  from (select conv_id, turn, role || ' ' || substring(text, 1, 12) word from conversations
+  from (select conv_id, turn, role || ' ' || text word from conversations
         union all select cast(-1 as bigint), p_partkey, p_name from part)))"""
 
 ORACLE.update({
@@ -506,20 +534,20 @@ select chunk_id + 1, 'data_chunk', chunk_id, start_row, end_row, num_rows, cast(
     "corpus_counts": "select 'dataset_summary' doc_type, cast(1 as bigint) n_docs union all "
                      "select 'data_chunk', count(distinct floor(i / 50)) from "
                      "(select row_number() over (order by event_id) - 1 i from events)",
-    "top_products": """select p_name, round(cast(coalesce(sum(l_quantity), 0) as double), 2) as value from lineitem join part on l_partkey = p_partkey
+    "top_products": f"""select p_name, {_sql_exact('l_quantity')} as value from lineitem join part on l_partkey = p_partkey
 where p_name is not null group by 1 order by value desc, p_name limit 10""",
-    "top_n": """select p_name, round(cast(coalesce(sum(l_quantity), 0) as double), 2) as value from lineitem join part on l_partkey = p_partkey
+    "top_n": f"""select p_name, {_sql_exact('l_quantity')} as value from lineitem join part on l_partkey = p_partkey
 where p_name is not null group by 1 order by value desc, p_name limit 5""",
-    "best_seller": """select p_name, round(cast(coalesce(sum(l_quantity), 0) as double), 2) as value from lineitem join part on l_partkey = p_partkey
+    "best_seller": f"""select p_name, {_sql_exact('l_quantity')} as value from lineitem join part on l_partkey = p_partkey
 where p_name is not null group by 1 order by value desc, p_name limit 1""",
-    "monthly_trend": """select cast(date_trunc('month', o_orderdate) as timestamp) month_start, round(cast(coalesce(sum(o_totalprice), 0) as double), 2) as value
+    "monthly_trend": f"""select cast(date_trunc('month', o_orderdate) as timestamp) month_start, {_sql_exact('o_totalprice')} as value
 from orders where o_orderdate is not null group by 1 order by 1""",
-    "avg_by_category": """select l_returnflag, round(avg(l_quantity), 6) avg_value, count(l_quantity) n
+    "avg_by_category": f"""select l_returnflag, {_sql_exact('l_quantity')} / count(l_quantity) avg_value, count(l_quantity) n
 from lineitem where l_returnflag is not null group by 1 order by 1""",
-    "avg_fractions": """select l_returnflag, round(avg(l_discount * l_tax / 100000), 12) avg_value, count(*) n
+    "avg_fractions": f"""select l_returnflag, {_sql_exact('l_discount * l_tax / 100000', 100)} / count(*) avg_value, count(*) n
 from lineitem where l_returnflag is not null group by 1 order by 1""",
-    "overall_avg": "select round(avg(l_extendedprice), 4) avg_value, count(l_extendedprice) n from lineitem",
-    "compare_regions": """select r_name, round(cast(coalesce(sum(o_totalprice), 0) as double), 2) as value from orders
+    "overall_avg": f"select {_sql_exact('l_extendedprice')} / count(l_extendedprice) avg_value, count(l_extendedprice) n from lineitem",
+    "compare_regions": f"""select r_name, {_sql_exact('o_totalprice')} as value from orders
 join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
 group by 1 order by value desc, r_name""",
     "source_snippet": "select doc_id, case when length(text) > 200 then substring(text, 1, 200) || '...' else text end snippet from documents",
@@ -539,6 +567,7 @@ from (select conv_id, turn, text, {_sql_intent('q')} chart_type from {_QUESTIONS
 # ---------------------------------------------------------------------------------------
 from .operators import qa, search  # noqa: E402
 from .plans.ask import ask_batch, search_similar  # noqa: E402
+from .plans.chart_batch import chart_batch  # noqa: E402
 from .session import scratch_path  # noqa: E402
 from .sources import store as store_mod  # noqa: E402
 
@@ -603,7 +632,7 @@ def q_store_read(spark, sf_dir):
     base = scratch_path(spark, "store")
     store_mod.write_store(_doc_corpus(spark, sf_dir), base)
     one = store_mod.load_store(spark, base, "src0")
-    return one.select("store_name", "doc_id", F.md5("page_content").alias("content_md5"), F.col("metadata")["lang"].alias("lang"))
+    return one.select("store_name", "doc_id", F.md5("page_content").alias("content_md5"), F.variant_get("metadata", "$.lang", "string").alias("lang"))
 
 
 def q_store_list(spark, sf_dir):
@@ -613,12 +642,12 @@ def q_store_list(spark, sf_dir):
 
 
 def _vector_questions(spark, sf_dir):
-    """Every stored vector asks a question (a template filled from its document) to its own store;
+    """Every stored vector asks a question (a template filled with its document) to its own store;
     some questions are blank, some name a store that does not exist."""
     d = read_table(spark, sf_dir, "documents")
     e = read_table(spark, sf_dir, "embeddings")
     text = F.element_at(F.array(*[F.lit(t) for t in QUESTION_TEMPLATES]), (F.pmod("vec_id", F.lit(10)) + 1).cast("int"))
-    question = F.replace(text, F.lit("{}"), F.substring("text", 1, 20))
+    question = F.replace(text, F.lit("{}"), F.col("text"))
     return e.join(d, e["vec_id"] == d["doc_id"]).select(
         F.col("vec_id").alias("question_id"),
         F.when(F.pmod("vec_id", F.lit(11)) == 0, F.lit(" \t")).otherwise(question).alias("question"),
@@ -627,14 +656,17 @@ def _vector_questions(spark, sf_dir):
 
 
 def q_ask_batch(spark, sf_dir):
-    res = ask_batch(_vector_questions(spark, sf_dir), _doc_corpus(spark, sf_dir))
+    questions = _vector_questions(spark, sf_dir)
+    res = ask_batch(questions, _doc_corpus(spark, sf_dir), charts=chart_batch(questions, read_table(spark, sf_dir, "lineitem")))
     return res.select(
         "question_id", "store_name", F.col("n_sources").cast("bigint").alias("n_sources"),
         F.md5("context").alias("context_md5"), F.md5("prompt").alias("prompt_md5"),
         F.md5(F.array_join(F.transform("sources", lambda s: s["content"]), "\u0001")).alias("sources_md5"),
         F.md5(F.array_join(F.transform("sources", lambda s: F.concat_ws("/", s["metadata"]["lang"], s["metadata"]["source"])), ","))
         .alias("metadata_md5"),
-        "answer", "chart_type", "chart_filename", "chart_generated", "error")
+        "answer", "chart_type", "chart_filename", "chart_generated", "error", "chart_key", F.col("chart")["title"].alias("chart_title"),
+        F.array_join(F.transform(F.col("chart")["bars"], lambda b: b["label"]), "|").alias("chart_labels"),
+        F.aggregate(F.col("chart")["bars"], F.lit(0.0), lambda a, b: a + b["value"]).alias("chart_total"), "chart_note")
 
 
 def q_embed_text(spark, sf_dir):
@@ -665,7 +697,7 @@ def q_search_text(spark, sf_dir):
     items = read_table(spark, sf_dir, "benchmark")
     text = items.orderBy(F.length("text").desc(), "item_id").first()["text"]
     found = search_similar(spark, base, "documents", text, model).unionByName(search_similar(spark, base, "no_store", text, model))
-    return found.select("rank", "doc_id", F.md5("content").alias("content_md5"), F.col("metadata")["lang"].alias("lang"),
+    return found.select("rank", "doc_id", F.md5("content").alias("content_md5"), F.variant_get("metadata", "$.lang", "string").alias("lang"),
                         F.round("dist", 3).alias("dist"))
 
 
@@ -751,6 +783,10 @@ from documents left join (select id, count(*) n, string_agg(cast(j as varchar),
   on id = doc_id"""
 
 
+_FLAGS = f"""select x, label, count(*) n, {_sql_exact('v')} as value from (
+  select 'l_returnflag' x, l_returnflag label, l_quantity v from lineitem union all select 'l_linestatus', l_linestatus, l_quantity from lineitem)
+  where label is not null group by x, label"""
+
 ORACLE.update({
     "search_text": f"""with {_DOC_VECTORS},
   one as (select 0 item, text from benchmark order by length(text) desc, item_id limit 1),
@@ -790,7 +826,7 @@ with corpus as (select d.doc_id, d.text page_content, d.source store_name, d.lan
               ['Muestra un gráfico de barras por {{}}', 'Haz un gráfico circular de {{}}', '¿Cuál es la tendencia? Muestra {{}} por mes',
                'Dibuja la relación entre {{}} y cantidad', 'Quiero un chart de {{}}', 'top 5 {{}}', 'ventas de {{}} por ciudad',
                '¿Cuántos {{}} hay?', 'Comparar {{}} por manager', 'gráfico de {{}} vs. precio'][e.vec_id % 10 + 1],
-              '{{}}', substring(d.text, 1, 20)) end question,
+              '{{}}', d.text) end question,
               case when e.vec_id % 7 = 3 then 'old_' || d.source else d.source end store_name, e.embedding
            from embeddings e join documents d on d.doc_id = e.vec_id),
      q as (select * from q0 where length(regexp_replace(question, '^\\s+|\\s+$', '', 'g')) > 0),
@@ -802,16 +838,30 @@ with corpus as (select d.doc_id, d.text page_content, d.source store_name, d.lan
                     md5(string_agg({_sql_snippet('page_content')}, chr(1) order by rk)) sources_md5,
                     md5(string_agg(meta, ',' order by rk)) metadata_md5
              from r where rk <= 3 group by 1),
+     flags as ({_FLAGS}),
      k as (select *, {_sql_intent('lower(question)')} chart_type, question_id % 7 = 3 lost from q)
 select k.question_id, k.store_name, cast(coalesce(agg.n_sources, 0) as bigint) n_sources, md5(agg.context) context_md5,
        md5({_sql_prompt('agg.context', 'k.question')}) prompt_md5, coalesce(agg.sources_md5, md5('')) sources_md5,
        coalesce(agg.metadata_md5, md5('')) metadata_md5,
        case when lost then 'Error: No se pudo cargar el dataset especificado.' end answer, chart_type,
-       case chart_type when 'bar' then 'bar_chart' when 'line' then 'line_chart' when 'pie' then 'pie_chart'
+       chart_filename, not lost and chart_type is not null chart_generated,
+       case when lost then 'Vector store ' || chr(39) || store_name || chr(39) || ' no encontrado' end error,
+       case when not lost then c.chart_key end chart_key, case when not lost then c.title end chart_title,
+       case when not lost and chart_type is not null then coalesce(array_to_string(c.labels, '|'), '') end chart_labels,
+       case when not lost and chart_type is not null then coalesce(c.total, 0.0::double) end chart_total,
+       case when not lost then chr(10) || chr(10) || '📊 Gráfico generado: ' || chart_filename end chart_note
+from (select *, case chart_type when 'bar' then 'bar_chart' when 'line' then 'line_chart' when 'pie' then 'pie_chart'
          when 'scatter' then 'scatter_plot' end || '_' || substring(md5(question), 1, 12) || '.png' chart_filename,
-       not lost and chart_type is not null chart_generated,
-       case when lost then 'Vector store ' || chr(39) || store_name || chr(39) || ' no encontrado' end error
-from k left join agg on k.question_id = agg.question_id""",
+        case when chart_type in ('bar', 'pie') then case when contains(lower(question), 'l_returnflag') then 'l_returnflag'
+          when contains(lower(question), 'l_linestatus') then 'l_linestatus' else 'l_returnflag' end end x from k) k
+left join agg on k.question_id = agg.question_id
+left join (
+  select 'bar' kind, x, 'bar/sum/' || x || '/l_quantity' chart_key, 'Distribución por ' || x title, list(label order by value desc, label) labels, sum(value) total
+  from flags group by x
+  union all select 'pie', x, 'pie/shares/' || x, 'Distribución por ' || x, list(label order by n desc, label), cast(sum(n) as double) from flags group by x
+  union all select 'line', null, 'line/series/l_shipdate/l_extendedprice', 'Evolución de l_extendedprice en el Tiempo', [], 0
+  union all select 'scatter', null, 'scatter/points/l_extendedprice/l_quantity', 'Relación entre l_extendedprice y l_quantity', [], 0) c
+  on c.kind = chart_type and c.x is not distinct from k.x""",
 })
 
 
@@ -860,6 +910,19 @@ def q_scan_csv_typed(spark, sf_dir):
     return with_row_index(table, csv_src.ORDER_KEY).drop(*csv_src.ORDER_KEY)
 
 
+def q_scan_csv_line_breaks(spark, sf_dir):
+    """Texts with line breaks and quotes, under names with dots, in files some of which have none."""
+    c = read_table(spark, sf_dir, "conversations")
+    path = scratch_path(spark, "csv")
+    texts = c.select(F.col("conv_id").alias("conv.id"), F.col("turn").alias("turn no."), "role",
+                     F.concat(F.lit('"'), F.element_at(F.split("role", ""), 1), F.lit('", said:\n'), "text", F.lit('\n"')).alias("a.text"))
+    flat = texts.withColumn("a.text", F.translate("`a.text`", '\n"', "  "))
+    for name, rows in (("broken", texts.where("`turn no.` % 2 = 0")), ("flat", flat.where("`turn no.` % 2 = 1"))):
+        rows.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(f"{path}/{name}")
+    loaded = csv_src.load_csv(spark, [f"{path}/broken", f"{path}/flat"], with_order=False)
+    return loaded.toDF("conv_id", "turn", "role", "text")
+
+
 def _store_csv(spark, sf_dir, table: DataFrame) -> str:
     """A raw folder that holds ``table`` as the file of the store ``sales_data``."""
     raw = scratch_path(spark, "raw")
@@ -871,7 +934,7 @@ def q_resolve_source(spark, sf_dir):
     """A question on a store without a table: its CSV file is found, loaded and drawn."""
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     spec, data = answer_chart(None, "Haz un gráfico de ventas", store_name="sales_data", raw_dir=_store_csv(spark, sf_dir, o), spark=spark)
-    return rounded(data, 2, "value").withColumn("label", F.lit(spec.label()))
+    return data.withColumn("label", F.lit(spec.label()))
 
 
 def q_line_by_file_order(spark, sf_dir):
@@ -895,10 +958,12 @@ def q_ingest_job(spark, sf_dir):
     ev.orderBy("event_id").write.option("header", True).option("escape", '"').csv(path)
     stored = ingest_csv(spark, path, "events_data", base=scratch_path(spark, "stores"),
                         fields=EVENT_FIELDS, date_col="ts", stat_columns=["value"])
-    meta = F.col("metadata")
-    return stored.select("doc_id", meta["type"].alias("doc_type"), F.md5("page_content").alias("content_md5"),
-                         *[meta[k].cast("bigint").alias(k) for k in ("chunk_id", "start_row", "end_row", "num_rows", "total_rows")],
-                         meta["columns"].alias("columns"), F.size("embedding").cast("bigint").alias("n_dims"))
+    held = {k: F.variant_get("metadata", f"$.{k}", t) for k, t in (
+        ("type", "string"), ("chunk_id", "bigint"), ("start_row", "bigint"), ("end_row", "bigint"), ("num_rows", "bigint"), ("total_rows", "bigint"),
+        ("columns", "array<string>"))}
+    return stored.select("doc_id", held.pop("type").alias("doc_type"), F.md5("page_content").alias("content_md5"),
+                         *[c.alias(k) for k, c in held.items() if k != "columns"], F.array_join(held["columns"], ", ").alias("columns"), F.schema_of_variant("metadata").alias("meta_schema"),
+                         F.size("embedding").cast("bigint").alias("n_dims"))
 
 
 def q_chart_dispatch(spark, sf_dir):
@@ -909,6 +974,7 @@ QUERIES.update({
     "scan_csv": q_scan_csv,
     "scan_csv_dates": q_scan_csv_dates,
     "scan_csv_typed": q_scan_csv_typed,
+    "scan_csv_line_breaks": q_scan_csv_line_breaks,
     "resolve_source": q_resolve_source,
     "line_by_file_order": q_line_by_file_order,
     "column_roles": q_column_roles,
@@ -924,8 +990,11 @@ ORACLE.update({
 select o_orderkey, o_orderkey % 2 = 0 even, cast(date_trunc('day', o_orderdate) as timestamp) us_date, cast(date_trunc('day', o_orderdate) as timestamp) short_date,
   cast(date_trunc('day', o_orderdate) as timestamp) long_date,
   row_number() over (order by o_totalprice desc, o_orderkey) - 1 row_idx from orders""",
-    "resolve_source": """
-select o_orderstatus, round(cast(sum(o_totalprice) as double), 2) as value, 'Total o_totalprice' label
+    "scan_csv_line_breaks": """
+select conv_id, turn, role, regexp_replace(case when turn % 2 = 1 then translate(t, chr(10) || '"', '  ') else t end, '^\\s+|\\s+$', '', 'g') as text
+from (select *, '"' || substring(role, 1, 1) || '", said:' || chr(10) || text || chr(10) || '"' as t from conversations)""",
+    "resolve_source": f"""
+select o_orderstatus, {_sql_exact('o_totalprice')} as value, 'Total o_totalprice' label
 from orders where o_orderstatus is not null group by 1 order by value desc, 1 limit 10""",
     "line_by_file_order": "select row_number() over (order by c_acctbal desc, c_custkey) - 1 row_idx, c_custkey from customer",
     "column_roles": f"""
@@ -981,9 +1050,10 @@ with su as ({_CSV_SUMMARY}),
            || string_agg(line, chr(10) order by i) t from l group by 1)
 select cast(0 as bigint) doc_id, 'dataset_summary' doc_type, md5(summary) content_md5, cast(null as bigint) chunk_id, cast(null as bigint) start_row,
   cast(null as bigint) end_row, cast(null as bigint) num_rows, (select count(*) from events) total_rows, {_sql_str(', '.join(EVENTS_COLUMNS))} as columns,
-  cast(512 as bigint) n_dims from su
+  'OBJECT<columns: ARRAY<STRING>, total_rows: BIGINT, type: STRING>' as meta_schema, cast(512 as bigint) n_dims from su
 union all
-select c + 1, 'data_chunk', md5(t), c, a, b, n, null, null, 512 from ch"""
+select c + 1, 'data_chunk', md5(t), c, a, b, n, null, null,
+  'OBJECT<chunk_id: BIGINT, end_row: BIGINT, num_rows: BIGINT, start_row: BIGINT, type: STRING>', 512 from ch"""
 
 ORACLE["ask_text_batch"] = f"""with {_DOC_VECTORS},
   turns as (select conv_id * 4294967296 + turn qid, text from conversations where length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 0),
@@ -997,3 +1067,83 @@ select qid question_id, 'documents' store_name, n n_sources, md5(context) contex
        md5({_sql_prompt('context', 'turns.text')}) prompt_md5, sources_md5,
        {_sql_intent('lower(turns.text)')} chart_type, cast(null as varchar) error
 from turns join agg using (qid)"""
+
+
+# ---------------------------------------------------------------------------------------
+# The charts of a batch of questions, drawn from one scan
+# ---------------------------------------------------------------------------------------
+
+def _column_questions(spark, sf_dir, columns: list[str]):
+    """Every turn fills a template with its role, a column's name and its text."""
+    c = read_table(spark, sf_dir, "conversations")
+    pick = lambda words, at: F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(at, F.lit(len(words))) + 1).cast("int"))
+    word = F.concat_ws(" ", "role", pick(columns, F.col("conv_id")), "text")
+    return c.select("conv_id", "turn", F.replace(pick(QUESTION_TEMPLATES, F.col("conv_id") + F.col("turn")), F.lit("{}"), word).alias("question"))
+
+
+def q_ask_charts(spark, sf_dir):
+    """Each question with the bars or slices, labels and trend of its chart of ``part``."""
+    questions = _column_questions(spark, sf_dir, ["p_type", "p_brand", "p_name", "ventas"])
+    answers = chart_batch(questions, read_table(spark, sf_dir, "part")).answers(questions)
+    chart = F.col("chart")
+    return answers.select("conv_id", "turn", "chart_type", "chart_key", *[chart[c].alias(c) for c in ("title", "xlabel", "ylabel", "pairs")],
+                          F.round(chart["slope"], 8).alias("slope"), F.round(chart["intercept"], 6).alias("intercept"), "chart_error",
+                          F.explode_outer(chart["bars"]).alias("bar")).select("*", "bar.*").drop("bar")
+
+
+def q_chart_marks(spark, sf_dir):
+    """All bars, slices and time points that a batch of questions asks of ``lineitem``."""
+    questions = _column_questions(spark, sf_dir, ["l_linestatus", "l_returnflag"])
+    return chart_batch(questions, read_table(spark, sf_dir, "lineitem")).marks
+
+
+QUERIES.update({"ask_charts": q_ask_charts, "chart_marks": q_chart_marks})
+
+
+def _sql_column_questions(columns: list[str]) -> str:
+    return f"""(select conv_id, turn, text, lower(text) q from (select conv_id, turn, replace(
+  ['Muestra un gráfico de barras por {{}}', 'Haz un gráfico circular de {{}}', '¿Cuál es la tendencia? Muestra {{}} por mes',
+   'Dibuja la relación entre {{}} y cantidad', 'Quiero un chart de {{}}', 'top 5 {{}}', 'ventas de {{}} por ciudad',
+   '¿Cuántos {{}} hay?', 'Comparar {{}} por manager', 'gráfico de {{}} vs. precio'][((conv_id + turn) % 10 + 10) % 10 + 1], '{{}}',
+  role || ' ' || {columns}[(conv_id % {len(columns)} + {len(columns)}) % {len(columns)} + 1] || ' ' || text) as text from conversations))"""
+
+
+ORACLE["ask_charts"] = f"""
+with k as (select conv_id, turn, q, {_sql_intent('q')} as chart_type from {_sql_column_questions(['p_type', 'p_brand', 'p_name', 'ventas'])}),
+kx as (select *, case chart_type
+    when 'bar' then case when contains(q, 'p_name') then 'p_name' when contains(q, 'p_brand') then 'p_brand' when contains(q, 'p_type') then 'p_type' else 'p_name' end
+    when 'pie' then case when contains(q, 'p_name') then 'p_name' when contains(q, 'p_brand') then 'p_brand' else 'p_type' end
+    when 'line' then 'row_idx' when 'scatter' then 'p_retailprice' end as x from k),
+long as (select 'p_name' as x, p_name as label, p_partkey as v from part union all select 'p_brand', p_brand, p_partkey from part
+         union all select 'p_type', p_type, null from part),
+g as (select x, label, count(*) as n, case when x = 'p_type' then cast(count(*) as double) else cast(coalesce(sum(v), 0) as double) end as value
+      from long where label is not null group by x, label),
+r as (select *, row_number() over (partition by x order by value desc, label) as bar, row_number() over (partition by x order by n desc, label) as slice,
+      sum(n) over (partition by x) as rows from g),
+marks as (select 'bar' as kind, x, bar as ord, label, value, null::double as pct, false as is_other from r where bar <= 10
+          union all select 'pie', x, slice, label, cast(n as double), round(100.0::double * n / rows, 1), false from r where slice <= 8
+          union all select 'pie', x, 9, 'Otros', cast(sum(n) as double), round(100.0::double * sum(n) / any_value(rows), 1), true from r where slice > 8 group by x),
+fit as (select round(regr_slope(p_size, p_retailprice), 8) as slope, round(regr_intercept(p_size, p_retailprice), 6) as intercept,
+        cast(regr_count(p_size, p_retailprice) as bigint) as pairs from part)
+select conv_id, turn, chart_type,
+  case chart_type when 'bar' then case when kx.x = 'p_type' then 'bar/count/p_type' else 'bar/sum/' || kx.x || '/p_partkey' end when 'pie' then 'pie/shares/' || kx.x
+    when 'line' then 'line/index/row_idx/p_partkey' when 'scatter' then 'scatter/points/p_retailprice/p_size' end as chart_key,
+  case when chart_type in ('bar', 'pie') then 'Distribución por ' || kx.x when chart_type = 'line' then 'Evolución de p_partkey'
+    when chart_type = 'scatter' then 'Relación entre p_retailprice y p_size' end as title,
+  case chart_type when 'bar' then kx.x when 'line' then 'Índice' when 'scatter' then 'p_retailprice' end as xlabel,
+  case chart_type when 'bar' then case when kx.x = 'p_type' then 'Cantidad' else 'Total p_partkey' end when 'line' then 'p_partkey' when 'scatter' then 'p_size' end as ylabel,
+  pairs, slope, intercept, null::varchar as chart_error, cast(ord as bigint) as ord, label, value, pct, is_other
+from kx left join marks m on m.kind = chart_type and m.x = kx.x left join fit on chart_type = 'scatter'"""
+
+ORACLE["chart_marks"] = f"""
+with kinds as (select distinct {_sql_intent('q')} as kind, case when contains(q, 'l_returnflag') then 'l_returnflag' else 'l_linestatus' end as x
+               from {_sql_column_questions(['l_linestatus', 'l_returnflag'])}),
+flags as ({_FLAGS}),
+r as (select *, row_number() over (partition by x order by value desc, label) as bar, row_number() over (partition by x order by n desc, label) as slice,
+      sum(n) over (partition by x) as rows from flags)
+select 'bar/sum/' || x || '/l_quantity' as chart_key, bar as ord, label, null::timestamp as at, value, null::double as pct, false as is_other
+from r semi join (select x from kinds where kind = 'bar') using (x) where bar <= 10
+union all select 'pie/shares/' || x, slice, label, null, cast(n as double), round(100.0::double * n / rows, 1), false
+from r semi join (select x from kinds where kind = 'pie') using (x) where slice <= 8
+union all select 'line/series/l_shipdate/l_extendedprice', null, null, l_shipdate, {_sql_exact('l_extendedprice')}, null, false
+from lineitem where l_shipdate is not null and exists (select 1 from kinds where kind = 'line') group by l_shipdate"""

@@ -115,7 +115,7 @@ def line_date_candidates(schema: T.StructType) -> list[str]:
     """Columns whose name hints a date and whose type can hold one (temporal or text).
 
     Numeric columns are never date candidates (a number named ``update_count`` is not a
-    date); text candidates still have to parse, see ``operators.clean.parseable_dates``.
+    date); text candidates still have to parse, see ``operators.clean.column_date_formats``.
     """
     out = []
     for f in schema.fields:

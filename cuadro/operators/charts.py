@@ -6,16 +6,17 @@ groups plus k rows. Grand totals that steer a result (zero guard, shares) are sc
 subqueries over the same grouped aggregate, so the table is scanned once and its exchange is
 reused; nothing is collected by this code.
 
-Sums add the values as they are: whole numbers and DECIMAL exactly, DOUBLE in floating point
-(so the last bits depend on the order of addition). NaN is missing, infinities stay.
+Sums add the unrounded values by ``operators.exact``: the same bits for any order and partitioning.
+NaN is missing, infinities stay.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions.names import named, quoted
+from .exact import grouped_sums
 from .rowindex import with_row_index
 
 # ---------------------------------------------------------------------------------------
@@ -29,36 +30,23 @@ HISTOGRAM_BINS = 10
 
 def no_nan(c: Column | str) -> Column:
     """NaN → NULL (missing), as the reference's statistics skip NaN; other values unchanged."""
-    col = F.col(c) if isinstance(c, str) else c
+    col = named(c) if isinstance(c, str) else c
     return F.when(F.isnan(col), F.lit(None)).otherwise(col)
 
 
-def summable(df: DataFrame, c: str) -> Column:
-    """The column as it is summed: NaN missing, whole numbers wide enough not to overflow."""
-    col = no_nan(c)
-    return col.cast("decimal(20,0)") if isinstance(df.schema[c].dataType, T.IntegralType) else col
-
-
-def total(df: DataFrame, c: str) -> Column:
-    """SUM of the unrounded values; an empty or all-missing group sums to 0, not NULL."""
-    return F.coalesce(F.sum(summable(df, c)), F.lit(0))
-
-
-def mean(df: DataFrame, c: str) -> Column:
-    """Mean of the values that are present, as DOUBLE; NULL when there are none."""
-    x = summable(df, c)
-    return F.try_divide(F.sum(x).cast("double"), F.count(x))
+def present(df: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not missing: NULL groups are dropped."""
+    return df.where(named(key).isNotNull())
 
 
 def _ranked(df: DataFrame, key: str, value: str, n: int | None) -> DataFrame:
-    out = df.orderBy(F.col(value).desc(), F.col(key).asc())
+    out = df.orderBy(F.col(value).desc(), named(key).asc())
     return out.limit(n) if n else out
 
 
 def bar_counts(df: DataFrame, key: str, n: int | None = BAR_LIMIT) -> DataFrame:
     """Frequency of each non-NULL key, most frequent first (ties: key ascending)."""
-    g = (df.where(F.col(key).isNotNull())
-         .groupBy(key).agg(F.count(F.lit(1)).alias("value")))
+    g = present(df, key).groupBy(named(key)).agg(F.count(F.lit(1)).alias("value"))
     return _ranked(g, key, "value", n)
 
 
@@ -66,7 +54,7 @@ def bar_sums(df: DataFrame, key: str, value: str, n: int | None = BAR_LIMIT,
              zero_guard: bool = True) -> DataFrame:
     """Group sums, largest first: (key, value). With ``zero_guard`` the counts are used instead
     whenever the grand total of the group sums (over all groups, before the limit) is not > 0."""
-    return bar_sums_labelled(df, key, value, n, zero_guard).select(key, "value")
+    return bar_sums_labelled(df, key, value, n, zero_guard).select(quoted(key), "value")
 
 
 def bar_sums_labelled(df: DataFrame, key: str, value: str, n: int | None = BAR_LIMIT,
@@ -76,14 +64,14 @@ def bar_sums_labelled(df: DataFrame, key: str, value: str, n: int | None = BAR_L
     The grand total is a subquery over the grouped aggregate itself (same columns, so Spark
     reuses its exchange); the table is read once.
     """
-    g = df.where(F.col(key).isNotNull()).groupBy(key).agg(
-        total(df, value).cast("double").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    g = grouped_sums(present(df, key), [key], {"_sum": value}, rows="_n").select(
+        named(key), F.coalesce(F.col("_sum").cast("double"), F.lit(0.0)).alias("_s"), "_n")
     counted = F.lit(False)
     if zero_guard:
-        grand = g.agg(F.struct(F.sum("_s").alias("s"), F.sum("_n").alias("n"))).scalar()
+        # both columns, as below: Spark reuses an exchange only if both plans read them alike
+        grand = grouped_sums(g, [], {"s": "_s", "n": "_n"}).select(F.struct("s", "n")).scalar()
         counted = ~F.coalesce(grand.getField("s") > 0, F.lit(False))
-    # the sum before the count, as in the subquery: Spark reuses an exchange only if both list them alike
-    out = g.select(key, F.when(~counted, F.col("_s")).otherwise(F.col("_n").cast("double")).alias("value"),
+    out = g.select(named(key), F.when(~counted, F.col("_s")).otherwise(F.col("_n").cast("double")).alias("value"),
                    counted.alias("counted"))
     return _ranked(out, key, "value", n)
 
@@ -100,11 +88,11 @@ def pie_shares(df: DataFrame, key: str, n: int = PIE_SLICES,
     subquery over the same aggregate (its exchange is reused), so the table is read once and
     a key with millions of distinct values never meets an unpartitioned window.
     """
-    freq = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    freq = present(df, key).groupBy(named(key)).agg(F.count(F.lit(1)).alias("n"))
     total = freq.select(F.sum("n")).scalar()
-    top = freq.orderBy(F.col("n").desc(), F.col(key).asc()).limit(n)
+    top = freq.orderBy(F.col("n").desc(), named(key).asc()).limit(n)
     one = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("neg"),
-                                                        F.col(key).alias("k")))).alias("items"),
+                                                        named(key).alias("k")))).alias("items"),
                   F.coalesce(F.sum("n"), F.lit(0)).alias("top_n"))
     slices = F.transform("items", lambda x, i: F.struct(
         (i + 1).cast("bigint").alias("ord"), x["k"].cast("string").alias("label"),
@@ -124,19 +112,18 @@ def slices_type() -> str:
 
 def time_series(df: DataFrame, date_col: str, value_col: str) -> DataFrame:
     """Sum of the value per exact timestamp, ascending (no calendar bucketing)."""
-    return (df.where(F.col(date_col).isNotNull())
-            .groupBy(date_col).agg(total(df, value_col).cast("double").alias("value"))
-            .orderBy(date_col))
+    return grouped_sums(present(df, date_col), [date_col], {"value": value_col}).select(
+        named(date_col), F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value")).orderBy(named(date_col))
 
 
 def series_by_index(df: DataFrame, value_col: str, order_by: list[str]) -> DataFrame:
     """(row_idx, value) when a table has no usable date column."""
-    return with_row_index(df.select(*dict.fromkeys(order_by + [value_col])), order_by) \
-        .select("row_idx", value_col)
+    return with_row_index(df.select(*map(quoted, dict.fromkeys(order_by + [value_col]))), order_by) \
+        .select("row_idx", quoted(value_col))
 
 
 def scatter_points(df: DataFrame, x: str, y: str) -> DataFrame:
-    return df.select(x, y) if x != y else df.select(x)
+    return df.select(*map(quoted, dict.fromkeys([x, y])))
 
 
 def linear_trend(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -144,31 +131,30 @@ def linear_trend(df: DataFrame, x: str, y: str) -> DataFrame:
 
     NULL when fewer than two such rows exist or x is constant.
     """
-    return df.agg(F.regr_slope(F.col(y), F.col(x)).alias("slope"),
-                  F.regr_intercept(F.col(y), F.col(x)).alias("intercept"),
-                  F.regr_count(F.col(y), F.col(x)).cast("bigint").alias("n"))
+    return df.agg(F.regr_slope(named(y), named(x)).alias("slope"),
+                  F.regr_intercept(named(y), named(x)).alias("intercept"),
+                  F.regr_count(named(y), named(x)).cast("bigint").alias("n"))
 
 
 def trend_values(df: DataFrame, x: str, y: str, keep: list[str],
                  digits: int | None = None) -> DataFrame:
     """The fitted line evaluated at each row's x (fit inlined as a scalar subquery)."""
     fit = linear_trend(df, x, y).select(F.struct("slope", "intercept").alias("f")).scalar()
-    fitted = fit.getField("slope") * F.col(x) + fit.getField("intercept")
+    fitted = fit.getField("slope") * named(x) + fit.getField("intercept")
     if digits is not None:
         fitted = F.round(fitted, digits)
-    return df.select(*keep, fitted.alias("y_fit"))
+    return df.select(*map(quoted, keep), fitted.alias("y_fit"))
 
 
 def histogram(df: DataFrame, c: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Equal-width histogram over [min, max]; the maximum falls into the last bin."""
-    v = no_nan(F.col(c).cast("double"))
+    v = no_nan(named(c).cast("double"))
     rng = df.select(F.struct(F.min(v).alias("mn"), F.max(v).alias("mx")).alias("r")).scalar()
     mn, mx = rng.getField("mn"), rng.getField("mx")
     width = (mx - mn) / F.lit(float(bins))
     raw = F.when(width > 0, F.floor((v - mn) / width)).otherwise(F.lit(0))
     b = F.least(raw, F.lit(bins - 1)).cast("int")
-    counts = (df.where(v.isNotNull())
-              .groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n")))
+    counts = df.where(v.isNotNull()).select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     return counts.select(
         "bin",
         (mn + F.col("bin") * width).alias("bin_start"),

@@ -1,7 +1,7 @@
 """Cleaning and typing of a table read as text.
 
-``clean_table`` runs one profile action (a single aggregate with a few counters per column)
-and then applies one projection:
+``clean_table`` runs one profile action (a single aggregate with a few counters per column), a
+second one over the columns that may hold dates, and then applies one projection:
 
 1. strip outer white space of every text column (inner runs are kept);
 2. optionally label missing text (``null_label='nan'`` reproduces a pandas ``astype(str)``);
@@ -11,8 +11,12 @@ and then applies one projection:
 5. text columns where at least one value is a plain number become numeric (BIGINT when all
    values are integers, else DOUBLE); values that do not parse become NULL.
 
-Cost: one extra scan for the profile; pass ``schema`` to ``scan_csv`` and skip this step when
-the types are known.
+Dates are typed by shape: the profile also groups by the layout of each date column's texts (every
+digit as 9, every letter as a). Layouts that no format reads count as one, so there are few. Only
+formats that fit every layout found are tried, on the values, in the second action.
+
+Cost: one extra scan for the profile, and one of the date columns if they hold texts that look like
+dates; pass ``schema`` to ``scan_csv`` and skip this step when the types are known.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import named
 from ..functions.text import guarded_double, guarded_long, strip_outer
 
 # ---------------------------------------------------------------------------------------
@@ -36,6 +41,7 @@ DAYFIRST_FORMATS = [
     "yyyy-M-d", "yyyy/M/d", "yyyy-M-d H:m:s[.SSSSSS]", "yyyy-M-d'T'H:m:s[.SSSSSS]",
     "d-M-yy", "d/M/yy", "d.M.yy", "d MMM yyyy", "d-MMM-yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy",
     "d/M/yyyy h:m:s a", "d/M/yyyy h:m a", "d-M-yyyy h:m:s a", "d-M-yyyy h:m a",
+    "yyyy-M-d'T'H:m:s[.SSSSSS]XXX", "yyyy-M-d H:m:s[.SSSSSS]XXX", "yyyy-M-d'T'H:m:s[.SSSSSS]XX", "yyyy-M-d H:m:s[.SSSSSS]XX",
 ]
 # Month first, tried for a column only after no day-first format fits all of it.
 MONTHFIRST_FORMATS = ["M-d-yyyy", "M/d/yyyy", "M/d/yyyy H:m:s", "M/d/yyyy H:m", "M-d-yy", "M/d/yy",
@@ -48,34 +54,82 @@ INFERRED_FORMATS = ["yyyy-M-d", "yyyy-M-d H:m:s[.SSSSSS]", "yyyy-M-d'T'H:m:s[.SS
 # ---------------------------------------------------------------------------------------
 
 
-_SHAPES = [("yyyy", r"\d{4}"), ("yy", r"\d{2}"), ("MMMM", r"[A-Za-z]{3,9}"), ("MMM", r"[A-Za-z]{3}"),
-           ("[.SSSSSS]", r"(\.\d{1,6})?"), ("a", "([AaPp][Mm])"), *((x, r"\d{1,2}") for x in "dMHhms")]
-
+# What a part of a datetime pattern accepts: as text, and as the text's layout.
+_PARTS = [("yyyy", r"\d{4}", "9{4}"), ("yy", r"\d{2}", "9{2}"), ("MMMM", "[A-Za-z]{3,9}", "a{3,9}"), ("MMM", "[A-Za-z]{3}", "a{3}"),
+          ("[.SSSSSS]", r"(\.\d{1,6})?", r"(\.9{1,6})?"), ("XXX", r"(Z|[+-]\d\d:\d\d)", "(a|[+-]99:99)"),
+          ("XX", r"(Z|[+-]\d{4})", "(a|[+-]9{4})"), ("a", "([AaPp][Mm])", "a{2}"), *((x, r"\d{1,2}", "9{1,2}") for x in "dMHhms")]
+_DIGITS, _LETTERS = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+#: No format reads a longer text.
+LONGEST_DATE = 40
 
-def format_shape(fmt: str) -> str:
-    """Anchored regex of the text layout a datetime pattern accepts.
 
-    Parsing is only attempted on text of the right shape: a failed parse costs as much as a
-    successful one, and most values fail most formats.
-    """
+def _format_pattern(fmt: str, layout: bool) -> str:
     out, i = [], 0
     while i < len(fmt):
         if fmt[i] == "'":
             j = fmt.index("'", i + 1)
-            out.append(re.escape(fmt[i + 1:j]))
+            text = fmt[i + 1:j]
+            out.append("a" * len(text) if layout else re.escape(text))
             i = j + 1
             continue
-        piece, shape = next(((p, x) for p, x in _SHAPES if fmt.startswith(p, i)), (fmt[i], re.escape(fmt[i])))
-        out.append(shape)
-        i += len(piece)
-    return "^" + "".join(out) + "$"
+        part = next((p for p in _PARTS if fmt.startswith(p[0], i)), None)
+        out.append(re.escape(fmt[i]) if part is None else part[2 if layout else 1])
+        i += 1 if part is None else len(part[0])
+    return "".join(out)
+
+
+def format_shape(fmt: str) -> str:
+    """Anchored regex of the texts a datetime pattern accepts.
+
+    Parsing is only attempted on text of the right shape: a failed parse costs as much as a
+    successful one.
+    """
+    return "^" + _format_pattern(fmt, False) + "$"
+
+
+def date_layout(c: Column, formats: list[str]) -> Column:
+    """The layout of a text that some format may read, '' for all other texts, NULL for NULL."""
+    layout = F.when(F.length(c) <= LONGEST_DATE, F.translate(c, _DIGITS + _LETTERS, "9" * 10 + "a" * 52))
+    known = "^(" + "|".join(dict.fromkeys(_format_pattern(f, True) for f in formats)) + ")$"
+    return F.when(c.isNull(), None).when(layout.rlike(known), layout).otherwise("")
+
+
+def formats_that_fit(formats: list[str], layouts: set[str]) -> list[str]:
+    """Formats that may read every layout, in their order."""
+    return [f for f in formats if layouts and all(re.fullmatch(_format_pattern(f, True), x) for x in layouts)]
+
+
+def formats_that_occur(formats: list[str], layouts: set[str]) -> list[str]:
+    """Formats that may read some layout, in their order."""
+    return [f for f in formats if any(re.fullmatch(_format_pattern(f, True), x) for x in layouts)]
+
+
+def found_layouts(df: DataFrame, texts: dict[str, Column], formats: list[str]) -> dict[str, set[str]]:
+    """The layouts in each text column, by name: one aggregate."""
+    if not texts:
+        return {}
+    row = df.agg(*[F.collect_set(date_layout(c, formats)).alias(f"s{i}") for i, c in enumerate(texts.values())]).first()
+    return {name: set(row[f"s{i}"]) for i, name in enumerate(texts)}
+
+
+def whole_formats(df: DataFrame, texts: dict[str, Column], tried: dict[str, list[str]]) -> dict[str, str]:
+    """The first of the tried formats that reads every value of a column, by column: one aggregate over
+    the columns that have any to try."""
+    tried = {c: fmts for c, fmts in tried.items() if fmts}
+    if not tried:
+        return {}
+    aggs = [F.count(texts[c]).alias(f"n{i}") for i, c in enumerate(tried)]
+    aggs += [F.count(parse_timestamp(texts[c], f)).alias(f"t{i}_{j}") for i, c in enumerate(tried) for j, f in enumerate(tried[c])]
+    row = df.agg(*aggs).first()
+    fits = {c: [f for j, f in enumerate(fmts) if row[f"t{i}_{j}"] == row[f"n{i}"] > 0] for i, (c, fmts) in enumerate(tried.items())}
+    return {c: f[0] for c, f in fits.items() if f}
 
 
 def parse_timestamp(c: Column, fmt: str) -> Column:
     """Text → TIMESTAMP_NTZ with one format; NULL when it does not parse.
 
     Names of months and of halves of the day are read in any case. Two-digit years from 69 on
-    belong to the last century.
+    belong to the last century. A text with an offset becomes its time in UTC.
     """
     text = c
     if "MMM" in fmt:
@@ -112,29 +166,25 @@ TRUE_TEXT, FALSE_TEXT = ["True", "TRUE", "true"], ["False", "FALSE", "false"]
 
 def profile_table(df: DataFrame, date_formats: list[str] = DAYFIRST_FORMATS + MONTHFIRST_FORMATS,
                   min_ratio: float | None = None, strip: bool = True) -> Profile:
-    """One aggregate over the table: the counters that drive ``clean_table``."""
+    """The counters that drive ``clean_table``: one aggregate over the table, and one over its date columns."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    exprs = [F.count(F.lit(1)).alias("__rows")]
+    aggs = [F.count(F.lit(1)).alias("__rows")]
+    dated = {}
     for i, c in enumerate(texts):
-        raw = F.col(c)
-        s = strip_outer(raw) if strip else raw
-        exprs.append(F.count(raw).alias(f"n{i}"))                 # stripping never makes NULL
-        exprs.append(F.count(guarded_double(raw)).alias(f"d{i}"))  # the guards strip themselves
-        exprs.append(F.count(guarded_long(raw)).alias(f"l{i}"))
-        exprs.append(F.count(F.when(raw.isin(TRUE_TEXT + FALSE_TEXT), 1)).alias(f"b{i}"))
-        if is_date_name(c):
-            for j, fmt in enumerate(date_formats):
-                exprs.append(F.count(parse_timestamp(s, fmt)).alias(f"t{i}_{j}"))
-    row = df.agg(*exprs).first()
-    prof = Profile(rows=row["__rows"])
+        raw = named(c)
+        aggs.append(F.count(raw).alias(f"n{i}"))                  # stripping never makes NULL
+        aggs.append(F.count(guarded_double(raw)).alias(f"d{i}"))  # the guards strip themselves
+        aggs.append(F.count(guarded_long(raw)).alias(f"l{i}"))
+        aggs.append(F.count(F.when(raw.isin(TRUE_TEXT + FALSE_TEXT), 1)).alias(f"b{i}"))
+        if is_date_name(c) and date_formats:
+            dated[c] = strip_outer(raw) if strip else raw
+            aggs.append(F.collect_set(date_layout(dated[c], date_formats)).alias(f"s{i}"))
+    row = df.agg(*aggs).first()
+    tried = {c: formats_that_fit(date_formats, set(row[f"s{i}"])) for i, c in enumerate(texts) if c in dated}
+    prof = Profile(rows=row["__rows"], date_format=whole_formats(df, dated, tried))
     for i, c in enumerate(texts):
         n = row[f"n{i}"]
         prof.nonnull[c] = n
-        if is_date_name(c) and n > 0:
-            for j, fmt in enumerate(date_formats):
-                if row[f"t{i}_{j}"] == n:
-                    prof.date_format[c] = fmt
-                    break
         if c in prof.date_format:
             continue
         if n > 0 and row[f"b{i}"] == prof.rows:
@@ -153,9 +203,9 @@ def clean_table(df: DataFrame, null_label: str | None = None, min_ratio: float |
     prof = profile or profile_table(df, min_ratio=min_ratio, strip=strip)
     out = []
     for f in df.schema.fields:
-        c = F.col(f.name)
+        c = named(f.name)
         if not isinstance(f.dataType, T.StringType):
-            out.append(c)
+            out.append(c.alias(f.name))
             continue
         s = strip_outer(c) if strip else c
         if f.name in prof.date_format:
@@ -175,40 +225,36 @@ def clean_table(df: DataFrame, null_label: str | None = None, min_ratio: float |
 def cascade_dates(df: DataFrame, column: str = "Date") -> DataFrame:
     """Date typing of the plotting loader: whole-column formats in order, then per-row mix.
 
-    No stripping and no numeric coercion. One profile action when ``column`` is text. A value
-    that no format reads raises, naming one such value.
+    No stripping and no numeric coercion. Two profile actions when ``column`` is text: its layouts,
+    then the formats that fit them. A value that no format reads raises, naming one such value.
     """
     if column not in df.columns or not isinstance(df.schema[column].dataType, T.StringType):
         return df
-    c = F.col(column)
+    c = named(column)
     rest = [f for f in INFERRED_FORMATS + DAYFIRST_FORMATS + MONTHFIRST_FORMATS if f not in CASCADE_FORMATS]
     whole = CASCADE_FORMATS + list(dict.fromkeys(rest))
-    mixed = parse_timestamp_any(c, DAYFIRST_FORMATS + MONTHFIRST_FORMATS)
-    row = df.agg(F.count(c).alias("n"), F.min(F.when(mixed.isNull(), c)).alias("bad"),
-                 *[F.count(parse_timestamp(c, f)).alias(f"f{i}") for i, f in enumerate(whole)]).first()
-    for i, fmt in enumerate(whole):
-        if row[f"f{i}"] == row["n"]:
-            return df.withColumn(column, parse_timestamp(c, fmt))
-    if row["bad"] is not None:
-        raise ValueError(f"column {column}: {row['bad']!r} is not a date in any known format")
+    layouts = found_layouts(df, {column: c}, whole)[column]
+    if not layouts:
+        return df.withColumn(column, F.lit(None).cast("timestamp_ntz"))
+    fits = whole_formats(df, {column: c}, {column: formats_that_fit(whole, layouts)})
+    if fits:
+        return df.withColumn(column, parse_timestamp(c, fits[column]))
+    occurring = formats_that_occur(DAYFIRST_FORMATS + MONTHFIRST_FORMATS, layouts)
+    mixed = parse_timestamp_any(c, occurring) if occurring else F.lit(None).cast("timestamp_ntz")
+    bad = df.agg(F.min(F.when(mixed.isNull(), c)).alias("bad")).first()["bad"]
+    if bad is not None:
+        raise ValueError(f"column {column}: {bad!r} is not a date in any known format")
     return df.withColumn(column, mixed)
 
 
 def column_date_formats(df: DataFrame, candidates: list[str]) -> dict[str, str | None]:
     """Which candidates hold dates, in their order: temporal columns (format None), and text
-    columns that one format reads in full (one aggregate for all text candidates)."""
+    columns that one format reads in full (two aggregates for all text candidates)."""
     temporal = (T.TimestampType, T.TimestampNTZType, T.DateType)
-    texts = [c for c in candidates if isinstance(df.schema[c].dataType, T.StringType)]
+    texts = {c: strip_outer(named(c)) for c in candidates if isinstance(df.schema[c].dataType, T.StringType)}
     fmts = list(dict.fromkeys(DAYFIRST_FORMATS + MONTHFIRST_FORMATS + INFERRED_FORMATS))
-    found: dict[str, str | None] = {}
-    if texts:
-        row = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(texts)],
-                     *[F.count(parse_timestamp(strip_outer(F.col(c)), f)).alias(f"p{i}_{j}")
-                       for i, c in enumerate(texts) for j, f in enumerate(fmts)]).first()
-        for i, c in enumerate(texts):
-            fits = [f for j, f in enumerate(fmts) if row[f"n{i}"] > 0 and row[f"p{i}_{j}"] == row[f"n{i}"]]
-            if fits:
-                found[c] = fits[0]
+    layouts = found_layouts(df, texts, fmts)
+    found = whole_formats(df, texts, {c: formats_that_fit(fmts, layouts[c]) for c in texts})
     return {c: found.get(c) for c in candidates if c in found or isinstance(df.schema[c].dataType, temporal)}
 
 
@@ -219,7 +265,7 @@ def parse_dates_like(df: DataFrame, column: str, fmt: str | None = None) -> Data
     fmt = fmt or column_date_formats(df, [column]).get(column)
     if fmt is None:
         raise ValueError(f"column {column} has no single date format")
-    return df.withColumn(column, parse_timestamp(strip_outer(F.col(column)), fmt))
+    return df.withColumn(column, parse_timestamp(strip_outer(named(column)), fmt))
 
 
 def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -230,7 +276,7 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
     texts = columns or [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     aggs = []
     for i, c in enumerate(texts):
-        aggs += [F.count(F.col(c)).alias(f"n{i}"), F.count(guarded_double(F.col(c))).alias(f"d{i}")]
+        aggs += [F.count(named(c)).alias(f"n{i}"), F.count(guarded_double(named(c))).alias(f"d{i}")]
     wide = df.agg(*aggs)
     rows = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n_values"), F.col(f"d{i}").alias("n_numeric"))
             for i, c in enumerate(texts)]
@@ -242,4 +288,4 @@ def row_total(df: DataFrame, price: str = "Price", quantity: str = "Quantity",
     """price × quantity as DOUBLE, rounded to the cent after the product; NULL if either is missing."""
     if price not in df.columns or quantity not in df.columns:
         return df
-    return df.withColumn(name, F.round(F.col(price).cast("double") * F.col(quantity).cast("double"), 2))
+    return df.withColumn(name, F.round(named(price).cast("double") * named(quantity).cast("double"), 2))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import named, quoted
 from ..functions.text import fill, money_text, number_text, rstrip_chars
 from .profile import TIMESTAMP_TEXT, dataset_summary
 from .rowindex import with_row_index
@@ -66,8 +67,8 @@ class RowFields:
 def _value_text(df: DataFrame, c: str) -> Column:
     dt = df.schema[c].dataType
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.date_format(F.col(c), TIMESTAMP_TEXT)
-    return F.col(c).cast("string")
+        return F.date_format(named(c), TIMESTAMP_TEXT)
+    return named(c).cast("string")
 
 
 def _part(label: str, value: Column, prefix: str = "") -> Column:
@@ -78,7 +79,7 @@ def _part(label: str, value: Column, prefix: str = "") -> Column:
 def row_sentence(df: DataFrame, fields: RowFields, row_idx_col: str = "row_idx") -> Column:
     """'Orden <id>: Fecha: …, Producto: …, Precio: $…, Cantidad: …, Total: $…, Tipo: …, …'."""
     f = fields.present(df)
-    ident = F.col(f.id).cast("string") if f.id else None
+    ident = named(f.id).cast("string") if f.id else None
     if row_idx_col in df.columns:
         ident = F.coalesce(ident, F.col(row_idx_col).cast("string")) if ident is not None \
             else F.col(row_idx_col).cast("string")
@@ -88,13 +89,13 @@ def row_sentence(df: DataFrame, fields: RowFields, row_idx_col: str = "row_idx")
     if f.product:
         parts.append(_part(ROW_LABELS["product"], _value_text(df, f.product)))
     if f.price and f.quantity:
-        p, q = F.col(f.price), F.col(f.quantity)
+        p, q = named(f.price), named(f.quantity)
         total = money_text(p.cast("double") * q.cast("double"))
         parts.append(F.concat(F.lit(f"{ROW_LABELS['price']}: $"), number_text(p, df.schema[f.price].dataType),
                               F.lit(f", {ROW_LABELS['quantity']}: "), number_text(q, df.schema[f.quantity].dataType),
                               F.lit(f", {ROW_LABELS['total']}: $"), total, F.lit(", ")))
     elif f.total:
-        parts.append(_part(ROW_LABELS["total"], money_text(F.col(f.total)), "$"))
+        parts.append(_part(ROW_LABELS["total"], money_text(named(f.total)), "$"))
     for key in ("purchase_type", "payment", "manager", "city"):
         c = getattr(f, key)
         if c:
@@ -107,7 +108,7 @@ def render_rows(df: DataFrame, fields: RowFields, row_idx_col: str = "row_idx",
     cols = list(keep or [])
     if row_idx_col in df.columns and row_idx_col not in cols:
         cols.append(row_idx_col)
-    return df.select(*cols, row_sentence(df, fields, row_idx_col).alias("line"))
+    return df.select(*map(quoted, cols), row_sentence(df, fields, row_idx_col).alias("line"))
 
 
 def chunk_lines(lines: DataFrame, n: int = CHUNK_ROWS, row_idx_col: str = "row_idx",

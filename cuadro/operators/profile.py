@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from ..functions.roles import numeric_columns, string_columns
 from ..functions.text import fill, money_text
-from .charts import mean, no_nan, total
+from ..functions.names import named, quoted
+from .exact import grouped_sums
 
 # ---------------------------------------------------------------------------------------
 # Summary text lines, statistics columns and sizes of the reference.
@@ -52,26 +53,30 @@ def dataset_info(df: DataFrame) -> DataFrame:
 
 def preview(df: DataFrame, order_by: list[str], n: int = PREVIEW_ROWS) -> DataFrame:
     """First n rows in the declared order (TakeOrderedAndProject, no full sort)."""
-    return df.orderBy(*order_by).limit(n)
+    return df.orderBy(*map(quoted, order_by)).limit(n)
 
 
 def period(df: DataFrame, date_col: str) -> DataFrame:
-    return df.agg(F.min(date_col).alias("period_start"), F.max(date_col).alias("period_end"))
+    return df.agg(F.min(named(date_col)).alias("period_start"), F.max(named(date_col)).alias("period_end"))
 
 
-def _numeric_aggs(df: DataFrame, columns: list[str]) -> list[Column]:
-    aggs = []
-    for i, c in enumerate(columns):
-        x = no_nan(F.col(c))          # NaN is missing, as in the reference's statistics
-        aggs += [F.min(x).cast("double").alias(f"mn{i}"), F.max(x).cast("double").alias(f"mx{i}"),
-                 total(df, c).cast("double").alias(f"s{i}"), mean(df, c).alias(f"m{i}")]
-    return aggs
+def _statistics(df: DataFrame, columns: list[str], rows: str | None = None, period_col: str | None = None) -> DataFrame:
+    """One wide row: mn, mx, s (total), m (mean) of every column by its number; NaN is missing. With
+    ``period_col`` its least and largest value, __p0 and __p1."""
+    at = {i: c for i, c in enumerate(columns)}
+    lows = {f"mn{i}": c for i, c in at.items()} | ({"__p0": period_col} if period_col else {})
+    highs = {f"mx{i}": c for i, c in at.items()} | ({"__p1": period_col} if period_col else {})
+    wide = grouped_sums(df, [], {f"s{i}": c for i, c in at.items()}, rows, lows, highs, counts=True)
+    double = {n: F.col(n).cast("double") for i in at for n in (f"mn{i}", f"mx{i}")}
+    means = {f"m{i}": F.try_divide(F.col(f"s{i}").cast("double"), F.col(f"s{i}_n")) for i in at}
+    totals = {f"s{i}": F.coalesce(F.col(f"s{i}").cast("double"), F.lit(0.0)) for i in at}
+    return wide.withColumns(double | means).withColumns(totals) if at else wide
 
 
 def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per numeric column: min, max, mean and total of the unrounded values."""
     cols = columns or numeric_columns(df.schema)
-    wide = df.agg(*_numeric_aggs(df, cols))
+    wide = _statistics(df, cols)
     rows = [F.struct(F.lit(c).alias("column"), F.col(f"mn{i}").alias("min"), F.col(f"mx{i}").alias("max"),
                      F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("total"))
             for i, c in enumerate(cols)]
@@ -86,8 +91,8 @@ def top_values(df: DataFrame, columns: list[str] | None = None, n: int = TOP_VAL
     aggregate sends each different value once per task.
     """
     cols = columns or string_columns(df.schema)
-    longf = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
-        ids=[], values=cols, variableColumnName="column", valueColumnName="value")
+    longf = df.select(*[named(c).cast("string").alias(c) for c in cols]).unpivot(
+        ids=[], values=[named(c) for c in cols], variableColumnName="column", valueColumnName="value")
     freq = (longf.where(F.col("value").isNotNull())
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
     w = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value").asc())
@@ -112,11 +117,9 @@ def dataset_summary(df: DataFrame, date_col: str | None = DEFAULT_DATE_COLUMN,
              if c in nums]
     has_date = date_col is not None and date_col in df.columns
 
-    aggs = [F.count(F.lit(1)).alias("__rows")] + _numeric_aggs(df, stats)
+    wide = _statistics(df, stats, "__rows", date_col if has_date else None)
     if has_date:
-        dt = schema[date_col].dataType
-        aggs += [_text(F.min(date_col), dt).alias("__p0"), _text(F.max(date_col), dt).alias("__p1")]
-    wide = df.agg(*aggs)
+        wide = wide.withColumns({p: _text(F.col(p), schema[date_col].dataType) for p in ("__p0", "__p1")})
 
     lines: list[Column] = [F.lit(SUMMARY_TITLE), fill(SUMMARY_TOTAL, n=F.col("__rows"))]
     if has_date:

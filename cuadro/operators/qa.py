@@ -13,7 +13,8 @@ from ..functions.text import snippet
 
 # ---------------------------------------------------------------------------------------
 # The answer prompt (context and question are filled in), the separator
-# between stuffed documents, retrieval sizes and the error texts of an unknown store.
+# between stuffed documents, retrieval sizes, the error texts of an unknown store, and the line that
+# names a question's chart after the answer.
 PROMPT_TEMPLATE = """Eres un analista de datos experto que ayuda a responder preguntas sobre datasets tabulares.
 
 CONTEXTO DE DATOS:
@@ -35,6 +36,7 @@ ASK_K = 3
 SEARCH_K = 5
 ERROR_ANSWER = "Error: No se pudo cargar el dataset especificado."
 ERROR_STORE = "Vector store '{store}' no encontrado"
+CHART_NOTE = "\n\n📊 Gráfico generado: "
 # ---------------------------------------------------------------------------------------
 
 

@@ -22,6 +22,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import named
 from ..session import materialise
 
 ROWS_PER_BUCKET = 2_000_000
@@ -42,7 +43,7 @@ def number_within(df: DataFrame, bucket: list[str], order_by: list[str], name: s
     offsets = counts.select(*[F.col(c).alias(f"__o{i}") for i, c in enumerate(bucket)],
                             F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(_OFFSET))
     same = [df[c].eqNullSafe(offsets[f"__o{i}"]) for i, c in enumerate(bucket)]
-    inside = Window.partitionBy(*bucket).orderBy(*[F.col(c).asc_nulls_first() for c in order_by])
+    inside = Window.partitionBy(*bucket).orderBy(*[named(c).asc_nulls_first() for c in order_by])
     joined = df.join(offsets, same).drop(*[f"__o{i}" for i in range(len(bucket))])
     return joined.withColumn(name, (F.col(_OFFSET) + F.row_number().over(inside) - 1).cast("bigint")).drop(_OFFSET)
 
@@ -59,6 +60,6 @@ def with_row_index(df: DataFrame, order_by: list[str], name: str = "row_idx",
     n = df.count()
     slots = df.sparkSession.sparkContext.defaultParallelism
     buckets = max(math.ceil(n / rows_per_bucket), slots)
-    order = [F.col(c).asc_nulls_first() for c in order_by]
+    order = [named(c).asc_nulls_first() for c in order_by]
     spread = df.repartitionByRange(buckets, *order).withColumn(_BUCKET, F.spark_partition_id())
     return number_within(materialise(spread, "row-index"), [_BUCKET], order_by, name).drop(_BUCKET)

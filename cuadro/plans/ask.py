@@ -19,8 +19,9 @@ from pyspark.sql import types as T
 from ..functions.intent import chart_intent
 from ..functions.text import fill, strip_outer
 from .chart import chart_file_name, role_errors
+from .chart_batch import ChartBatch
 from ..session import checkpoint_dir
-from ..operators.qa import ASK_K, CONTEXT_SEPARATOR, ERROR_ANSWER, ERROR_STORE, SEARCH_K, build_prompt, sources_column
+from ..operators.qa import ASK_K, CHART_NOTE, CONTEXT_SEPARATOR, ERROR_ANSWER, ERROR_STORE, SEARCH_K, build_prompt, sources_column
 from ..operators.search import BROADCAST_BYTES, embed_text, knn
 from ..sources.store import StoreNotFound, available_stores, load_store
 
@@ -35,7 +36,7 @@ def search_similar(spark: SparkSession, base: str, store: str, text: str, model,
     try:
         docs = load_store(spark, base, store)
     except StoreNotFound:
-        return spark.createDataFrame([], "rank long, doc_id long, content string, metadata map<string,string>, dist double")
+        return spark.createDataFrame([], "rank long, doc_id long, content string, metadata variant, dist double")
     question = embed_text(model, spark.createDataFrame([(0, text)], "query_id long, text string"), "text")
     hits = knn(docs, question, k)
     found = docs.select("doc_id", F.col("page_content").alias("content"), "metadata")
@@ -48,15 +49,18 @@ def ask_batch(questions: DataFrame, corpus: DataFrame, k: int = ASK_K,
               store_col: str = "store_name", vec_col: str = "embedding",
               metadata: Column | None = None, model_name: str | None = None,
               broadcast_bytes: int | None = None, stores: DataFrame | None = None,
-              schema: T.StructType | None = None) -> DataFrame:
+              schema: T.StructType | None = None, charts: ChartBatch | None = None) -> DataFrame:
     """Answer records for every non-blank question.
 
     ``questions``: question_id, question, store_name, embedding (the question vector).
     ``corpus``: doc_id, page_content, store_name, embedding (+ columns used by ``metadata``).
     ``stores``: the complete stores (``list_stores``); without it they are counted from the corpus.
     ``schema``: of the table the charts would be drawn from; it decides ``chart_generated``.
-    Output: question_id, question, store_name, answer, context, prompt, sources, n_sources,
-    chart_type, chart_filename, chart_generated, error, model_used, timestamp (ISO text).
+    ``charts``: the charts of these questions (``chart_batch``). Output: question_id, question,
+    store_name, answer, context, prompt, sources, n_sources, chart_type, chart_filename,
+    chart_generated, error, model_used, timestamp (ISO text); with ``charts`` also chart_key, chart (its
+    columns, labels, bars or slices, trend), chart_error, and chart_note, the line that is added to the
+    model's answer.
     """
     checkpoint_dir(questions.sparkSession)      # make sure one is set (tests: a local folder)
     qs = questions.where(F.length(strip_outer(F.col(question))) > 0)
@@ -100,7 +104,14 @@ def ask_batch(questions: DataFrame, corpus: DataFrame, k: int = ASK_K,
     is_known = F.col("_known").isNotNull()
     kind = chart_intent(F.col(question))
     drawable = is_known & kind.isNotNull()
-    if schema is not None:
+    drawn = []
+    if charts is not None:
+        out = charts.answers(out, question)
+        drawable = is_known & F.col("chart").isNotNull()
+        note = F.concat(F.lit(CHART_NOTE), chart_file_name(F.col(question)))
+        drawn = [F.when(is_known, F.col("chart_key")).alias("chart_key"), F.when(is_known, F.col("chart")).alias("chart"),
+                 F.when(is_known, F.col("chart_error")).alias("chart_error"), F.when(drawable, note).alias("chart_note")]
+    elif schema is not None:
         drawable = drawable & ~F.coalesce(kind.isin(list(role_errors(schema))), F.lit(False))
     return out.select(
         F.col(question_id), F.col(question), F.col(store_col).alias("store_name"),
@@ -114,4 +125,4 @@ def ask_batch(questions: DataFrame, corpus: DataFrame, k: int = ASK_K,
         drawable.alias("chart_generated"),
         F.when(~is_known, fill(ERROR_STORE, store=F.col(store_col))).alias("error"),
         F.lit(model_name).cast("string").alias("model_used"),
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"))
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), *drawn)

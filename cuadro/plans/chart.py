@@ -273,30 +273,3 @@ def chart_specs(questions: DataFrame, df: DataFrame, question_col: str = "questi
         "y": pick(F.when(bar_mode == "sum", lit(bar_value)), lit(line_y), null, lit(sc_y)),
         "mode": pick(bar_mode, lit(line_mode), F.lit("shares"), F.lit("points")),
     })
-
-
-def answer_chart_batch(df: DataFrame, questions: DataFrame, question_col: str = "question",
-                       order_by: list[str] | None = None) -> dict[tuple, DataFrame]:
-    """One chart plan per distinct (chart_type, x, y, mode) among the questions.
-
-    Only the distinct specs reach the driver; their number is bounded by the schema
-    (chart types × column pairs), not by the number of questions.
-    """
-    specs = (chart_specs(questions, df, question_col).where(F.col("chart_type").isNotNull())
-             .select("chart_type", "x", "y", "mode").distinct().collect())
-    out = {}
-    for s in specs:
-        kind, x, y, mode = s["chart_type"], s["x"], s["y"], s["mode"]
-        if x is None:
-            continue
-        if kind == "bar":
-            out[tuple(s)] = charts.bar_counts(df, x) if mode == "count" else charts.bar_sums(df, x, y)
-        elif kind == "pie":
-            out[tuple(s)] = charts.pie_shares(df, x)
-        elif kind == "line" and mode == "series":
-            out[tuple(s)] = charts.time_series(parse_dates_like(df, x), x, y)
-        elif kind == "line":
-            out[tuple(s)] = line_plan(df, s["chart_type"], order_by)[1]
-        elif kind == "scatter":
-            out[tuple(s)] = charts.scatter_points(df, x, y)
-    return out

@@ -10,13 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.corpus import CHUNK_ROWS, RowFields, corpus_docs
+from ..operators.corpus import CHUNK_ROWS, DOC_TYPE_SUMMARY, RowFields, corpus_docs
 from ..operators.search import embed_text, fit_and_embed
 from ..sources.csv import ORDER_KEY, load_csv
 from ..session import scratch_path
 from ..sources.store import default_store_base, read_store, write_store
 
-META_KEYS = ["type", "chunk_id", "start_row", "end_row", "num_rows", "total_rows", "columns"]
+# What a document's metadata hold besides its type.
+SUMMARY_META = ["total_rows", "columns"]
+CHUNK_META = ["chunk_id", "start_row", "end_row", "num_rows"]
 
 
 def index_table(df: DataFrame, store_name: str, order_by: list[str], fields: RowFields | None = None,
@@ -30,12 +32,9 @@ def index_table(df: DataFrame, store_name: str, order_by: list[str], fields: Row
     """
     docs = corpus_docs(df, order_by, fields, n, date_col=date_col, stat_columns=stat_columns,
                        hidden=hidden)
-    # the metadata struct as text values, the store's map<string,string> column
-    as_text = F.map_from_arrays(
-        F.array(*[F.lit(k) for k in META_KEYS]),
-        F.array(F.col("doc_type"), *[F.col(c).cast("string") for c in META_KEYS[1:-1]],
-                F.array_join(F.col("columns"), ", ")))
-    prepared = docs.select("doc_id", "page_content", as_text.alias("metadata"),
+    metadata = F.when(F.col("doc_type") == DOC_TYPE_SUMMARY, F.to_variant_object(F.struct(F.col("doc_type").alias("type"), *SUMMARY_META))) \
+        .otherwise(F.to_variant_object(F.struct(F.col("doc_type").alias("type"), *CHUNK_META)))
+    prepared = docs.select("doc_id", "page_content", metadata.alias("metadata"),
                            F.lit(store_name).alias("store_name"))
     if embedder is not None:
         return embed_text(embedder, prepared, "page_content"), embedder, (lambda: None)

@@ -3,6 +3,7 @@
 import datetime as dt
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from cuadro.operators import clean
@@ -171,3 +172,47 @@ def test_awkward_column_names(spark):
     assert [tuple(r) for r in clean.numeric_profile(df).collect()] == [("it's a col", 2, 1)]
     r = profile.numeric_summary(df).first()
     assert (r["column"], r["min"], r["max"], r["mean"], r["total"]) == ("price ($)", 2.0, 3.0, 2.5, 5.0)
+
+
+def test_formats_are_chosen_by_layout(spark):
+    import datetime as dt
+    import re
+    formats = list(dict.fromkeys(clean.DAYFIRST_FORMATS + clean.MONTHFIRST_FORMATS + clean.INFERRED_FORMATS))
+    times = [dt.datetime(2024, 3, 7, 4, 5, 6), dt.datetime(1999, 11, 28, 23, 59, 58, 120000)]
+    df = spark.createDataFrame([(t,) for t in times], "t timestamp")
+    for fmt in formats:
+        written = fmt.replace("[.SSSSSS]", ".SSSSSS")
+        texts = df.select(F.date_format("t", written).alias("s"))
+        layouts = clean.found_layouts(texts, {"s": F.col("s")}, formats)["s"]
+        assert "" not in layouts and fmt in clean.formats_that_fit(formats, layouts), fmt
+        assert all(re.search(clean.format_shape(fmt), r["s"]) for r in texts.collect()), fmt
+        assert set(clean.formats_that_fit(formats, layouts)) <= set(clean.formats_that_occur(formats, layouts))
+
+
+def test_only_formats_of_the_layout_are_parsed(spark, monkeypatch):
+    tried = []
+    parse = clean.parse_timestamp
+    monkeypatch.setattr(clean, "parse_timestamp", lambda c, fmt: tried.append(fmt) or parse(c, fmt))
+    df = spark.createDataFrame([("2024-03-07",), ("2024-12-31",)], "o_date string")
+    assert clean.profile_table(df).date_format == {"o_date": "yyyy-M-d"} and tried == ["yyyy-M-d"]
+    tried.clear()
+    free = spark.createDataFrame([("a long note about nothing",), ("2024-12-31",)], "update_note string")
+    assert clean.profile_table(free).date_format == {} and tried == []
+
+
+def test_offsets_become_utc(spark):
+    import datetime as dt
+    df = spark.createDataFrame([("2022-11-07T10:00:00+02:00", "2022-11-07 10:00:00-0530"), ("2022-01-01T00:30:00.250Z", "2022-01-01 00:30:00Z")],
+                               "a_date string, b_date string")
+    rows = clean.clean_table(df).collect()
+    assert [r["a_date"] for r in rows] == [dt.datetime(2022, 11, 7, 8), dt.datetime(2022, 1, 1, 0, 30, 0, 250000)]
+    assert [r["b_date"] for r in rows] == [dt.datetime(2022, 11, 7, 15, 30), dt.datetime(2022, 1, 1, 0, 30)]
+    assert dict(clean.clean_table(df).dtypes)["a_date"] == "timestamp_ntz"
+
+
+def test_cascade_over_layouts(spark):
+    mixed = spark.createDataFrame([("07-03-2024",), ("2024/03/08",), (None,)], "Date string")
+    assert [str(r[0]) for r in clean.cascade_dates(mixed).collect()] == ["2024-03-07 00:00:00", "2024-03-08 00:00:00", "None"]
+    with pytest.raises(ValueError, match="soon"):
+        clean.cascade_dates(spark.createDataFrame([("07-03-2024",), ("soon",)], "Date string"))
+    assert clean.cascade_dates(spark.createDataFrame([(None,)], "Date string")).dtypes == [("Date", "timestamp_ntz")]

@@ -52,3 +52,15 @@ def test_scratch_goes_with_the_session_and_workers_get_the_package(tmp_path):
             break
         time.sleep(0.2)
     assert not left
+
+
+def test_release_of_the_newest_scratch(spark, tmp_dir):
+    from cuadro import session
+    first = session.materialise(spark.range(3), "kept")
+    before = session.scratch_count()
+    session.materialise(spark.range(4), "passing")
+    last = session.materialise(spark.range(5), "last")
+    session.release_scratch(before, keep_last=True)
+    assert session.scratch_count() == before + 1 and first.count() == 3 and last.count() == 5
+    session.release_scratch(before)
+    assert session.scratch_count() == before and first.count() == 3
