@@ -92,15 +92,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def release_scratch() -> None:
-    """Delete the scratch folders of this driver. Frames that read them cannot be used afterwards."""
+def scratch_count() -> int:
+    """How many scratch folders this driver holds; see ``release_scratch``."""
+    return len(_SCRATCH)
+
+
+def release_scratch(since: int = 0, keep_last: bool = False) -> None:
+    """Delete the scratch folders of this driver (those after the first ``since``, but with ``keep_last`` not
+    the newest). Frames that read them cannot be used afterwards."""
     context, jvm = SparkContext._active_spark_context, SparkContext._jvm
     if jvm is None:
         return
     conf = context._jsc.hadoopConfiguration() if context else jvm.org.apache.hadoop.conf.Configuration()
-    while _SCRATCH:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        path.getFileSystem(conf).delete(path, True)
+    kept = _SCRATCH[-1:] if keep_last and len(_SCRATCH) > since else []
+    while len(_SCRATCH) > since:
+        name = _SCRATCH.pop()
+        if name not in kept:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+    _SCRATCH.extend(kept)
 
 
 def _at_exit() -> None:
