@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from cuadro.llm import bpe, decontam, language_id, pii, simhash
 from cuadro.llm.common import documents
 from cuadro.llm.queries import BPE_RANKS
-from cuadro.session import configure, materialise, read_table
+from cuadro.session import configure, materialise, read_table, release_scratch, scratch_count
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -67,6 +67,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     docs = documents(spark, sf_dir)
+    held = scratch_count()
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release_scratch(held, keep_last=True)               # what the stage wrote in passing, and its input
     return docs
