@@ -1,10 +1,9 @@
 """Data profile: counts, period, numeric statistics, top values, summary text, preview.
 
 Each statistic family is one aggregate over the table (all columns at once) followed by an
-``unpivot``/``stack`` of a single wide row, never a loop of per-column jobs. Top values use a
-window partitioned by column name with a ``row_number() <= n`` filter, which Spark plans as
-a partial WindowGroupLimit before the shuffle, so a high-cardinality column sends at most n
-rows per task to the final window.
+``unpivot``/``stack`` of a single wide row, never a loop of per-column jobs. Top values are counted by
+hash; the ranks that can still win are kept by a partial WindowGroupLimit before the shuffle, so a
+high-cardinality column sends a few rows per task to the window, and only winners' texts are fetched.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions.roles import numeric_columns, string_columns
 from ..functions.text import fill, money_text
 from ..functions.names import named, quoted
+from ..session import materialise
 from .exact import grouped_sums
 
 # ---------------------------------------------------------------------------------------
@@ -35,6 +35,9 @@ PREVIEW_ROWS = 10
 TIMESTAMP_TEXT = "yyyy-MM-dd HH:mm:ss"
 # ---------------------------------------------------------------------------------------
 
+#: Bytes of a text that travel with its count; a text within them need not be fetched.
+HEAD_BYTES = 32
+
 
 def _text(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
@@ -84,20 +87,45 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFram
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def _hashed(df: DataFrame, cols: list[str]) -> DataFrame:
+    """column, value and the value's two 64-bit hashes, for every non-NULL text."""
+    longf = df.select(*[named(c).cast("string").alias(c) for c in cols]).unpivot(
+        ids=[], values=[named(c) for c in cols], variableColumnName="column", valueColumnName="value")
+    return longf.where(F.col("value").isNotNull()).select("column", "value", F.xxhash64("value").alias("h1"),
+                                                          F.xxhash64(F.lit(1), "value").alias("h2"))
+
+
+def top_candidates(df: DataFrame, columns: list[str], n: int = TOP_VALUES) -> DataFrame:
+    """column, h1, h2, head, whole, n: the values that can be among the n most frequent.
+
+    Texts are counted under 128 bits of hashes and the first ``HEAD_BYTES`` bytes, so what is shuffled does
+    not grow with the length of texts. Rank by count and head, ties included, is decided by a partial
+    group limit in every task.
+    """
+    heads = _hashed(df, columns).select("column", "h1", "h2", F.substring(F.col("value").cast("binary"), 1, HEAD_BYTES).alias("head"),
+                                        (F.octet_length("value") <= HEAD_BYTES).alias("whole"))
+    freq = heads.groupBy("column", "h1", "h2", "head", "whole").agg(F.count(F.lit(1)).alias("n"))
+    near = Window.partitionBy("column").orderBy(F.desc("n"), "head")
+    return freq.withColumn("_r", F.rank().over(near)).where(F.col("_r") <= n).drop("_r")
+
+
 def top_values(df: DataFrame, columns: list[str] | None = None, n: int = TOP_VALUES) -> DataFrame:
-    """The n most frequent non-NULL values of every text column: (column, value, n, rank).
+    """The n most frequent non-NULL values of every text column: (column, value, n, rank). Ties rank
+    by the value itself.
 
-    Ties rank by the value itself, so the text has to travel with its count; the partial
-    aggregate sends each different value once per task.
+    The candidates are found first, without their texts, and written. Values that fit into a head are
+    complete then; only if there are longer ones, their texts are fetched by a second scan, joined to the
+    few candidates by hash and reduced to one text a candidate in every task.
     """
     cols = columns or string_columns(df.schema)
-    longf = df.select(*[named(c).cast("string").alias(c) for c in cols]).unpivot(
-        ids=[], values=[named(c) for c in cols], variableColumnName="column", valueColumnName="value")
-    freq = (longf.where(F.col("value").isNotNull())
-            .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+    found = materialise(top_candidates(df, cols, n), "top-values")
+    values = found.where("whole").select("column", F.col("head").cast("string").alias("value"), "n")
+    cut = found.where("not whole").select("column", "h1", "h2", "n")
+    if not cut.isEmpty():
+        texts = _hashed(df, cols).join(cut, ["column", "h1", "h2"]).groupBy("column", "h1", "h2", "n").agg(F.min("value").alias("value"))
+        values = values.unionByName(texts.select("column", "value", "n"))
     w = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value").asc())
-    return (freq.withColumn("rank", F.row_number().over(w).cast("bigint"))
-            .where(F.col("rank") <= n))
+    return values.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= n)
 
 
 def dataset_summary(df: DataFrame, date_col: str | None = DEFAULT_DATE_COLUMN,

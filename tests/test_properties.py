@@ -64,3 +64,37 @@ def test_intent_forms_agree(spark, questions):
     got = {r["i"]: r["t"] for r in df.select("i", chart_intent("q").alias("t")).collect()}
     for i, q in enumerate(questions):
         assert got[i] == detect_chart_intent(q), q
+
+
+def test_top_values_shuffle_no_long_texts(spark):
+    import re
+    from cuadro.operators import profile
+    long = "y" * 5000
+    rows = [(f"{long}{i % 4}", "short" if i % 3 else None, f"{long[:i % 60]}z") for i in range(300)]
+    df = spark.createDataFrame(rows, "a string, b string, c string").repartition(5)
+    got = {(r["column"], r["rank"]): (r["value"], r["n"]) for r in profile.top_values(df, n=3).collect()}
+    for j, c in enumerate("abc"):
+        counts = {}
+        for r in rows:
+            if r[j] is not None:
+                counts[r[j]] = counts.get(r[j], 0) + 1
+        want = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:3]
+        assert [got[c, i + 1] for i in range(len(want))] == want
+
+    def shuffled(text_length):
+        wide = spark.range(2000).select(F.concat(F.repeat(F.lit("q"), text_length), F.col("id").cast("string")).alias("t")).repartition(4)
+        plan = profile.top_candidates(wide, ["t"])
+        plan.collect()
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        return [re.sub(r"#\d+", "", m) for m in re.findall(r"Exchange hashpartitioning\(([^)]*)", text)]
+    keys = shuffled(40)
+    assert keys == shuffled(4000) and any("h1" in k and "head" in k for k in keys) and not any("value" in k for k in keys)
+
+
+def test_top_values_ties_behind_a_common_head(spark):
+    from cuadro.operators import profile
+    head = "https://example.org/a/very/long/common/path/"
+    df = spark.createDataFrame([(f"{head}{i:03}",) for i in range(100)] + [("zz",), ("zz",)], "u string").repartition(4)
+    assert [(r["value"], r["n"]) for r in profile.top_values(df, n=4).orderBy("rank").collect()] == \
+        [("zz", 2)] + [(f"{head}{i:03}", 1) for i in range(3)]
+    assert profile.top_values(spark.createDataFrame([], "u string")).count() == 0

@@ -34,14 +34,16 @@ def test_string_key(spark):
     _check(with_row_index(c, ["c_name"], rows_per_bucket=20), ["c_name"], expected)
 
 
-def test_the_unpartitioned_window_sees_counts_only(spark):
+def test_the_unpartitioned_window_sees_counts_only(spark, monkeypatch):
+    from cuadro.operators import rowindex
+    plans, write = [], rowindex.materialise
+    monkeypatch.setattr(rowindex, "materialise", lambda d, n: plans.append(d._jdf.queryExecution().sparkPlan().toString()) or write(d, n))
     o = read_table(spark, SF_SMALL, "orders").select("o_orderkey")
-    df = with_row_index(o, ["o_orderkey"], rows_per_bucket=100)
-    plan = df._jdf.queryExecution().sparkPlan().toString()
-    single = [ln for ln in plan.splitlines() if "Window [" in ln and "row_number" not in ln]
-    assert len(single) == 1 and "sum(__n" in single[0]             # the running offset over bucket counts
-    ranked = [ln for ln in plan.splitlines() if "row_number()" in ln and "Window" in ln]
-    assert all("[__bucket" in ln for ln in ranked)                 # rows are ranked inside buckets
+    with_row_index(o, ["o_orderkey"], rows_per_bucket=100)
+    windows = [ln for plan in plans for ln in plan.splitlines() if "Window [" in ln]
+    counts = [ln for ln in windows if "sum(__n" in ln]             # the running offset over bucket counts
+    assert len(counts) == 1 and len(windows) >= 3
+    assert all("[__bucket" in ln for ln in windows if ln not in counts)      # keys are ranked inside buckets
 
 
 def test_nan_and_infinite_keys(spark):
@@ -71,3 +73,26 @@ def test_composite_key_with_a_hot_leading_value(spark):
     assert got == sorted(rows)
     spread = out.groupBy().agg(F.max("row_idx")).first()[0]
     assert spread == len(rows) - 1
+
+
+def test_only_keys_are_written(spark, monkeypatch):
+    from cuadro.operators import rowindex
+    written = []
+    write = rowindex.materialise
+    monkeypatch.setattr(rowindex, "materialise", lambda d, n: written.append(d.columns) or write(d, n))
+    wide = spark.range(500).select((F.col("id") * 7919 % 500).alias("k.key"), F.repeat(F.lit("x"), 1000).alias("text"), "id")
+    out = rowindex.with_row_index(wide, ["k.key"], rows_per_bucket=100)
+    assert all("text" not in c and "id" not in c for c in written) and len(written) == 2
+    assert [r[0] for r in out.orderBy("row_idx").select("`k.key`").collect()] == list(range(500))
+    assert out.columns == ["k.key", "text", "id", "row_idx"] and out.agg(F.sum(F.length("text"))).first()[0] == 500_000
+
+
+def test_repeated_and_missing_keys(spark):
+    from cuadro.operators.rowindex import with_row_index
+    rows = [(None, "a", 1.0), (None, "b", 2.0), (1.5, "c", 3.0), (1.5, "c", 4.0), (float("nan"), "d", 5.0), (float("-inf"), "e", 6.0)]
+    df = spark.createDataFrame(rows, "k double, t string, v double").repartition(3)
+    repeated = with_row_index(df, ["k", "t"]).orderBy("row_idx").collect()
+    assert [r["row_idx"] for r in repeated] == list(range(6)) and sorted(r["v"] for r in repeated) == [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]
+    assert [r["t"] for r in repeated] == ["a", "b", "e", "c", "c", "d"]
+    single = with_row_index(df.where("v <> 4"), ["k", "t"]).orderBy("row_idx").collect()
+    assert [(r["row_idx"], r["t"]) for r in single] == [(0, "a"), (1, "b"), (2, "e"), (3, "c"), (4, "d")]
