@@ -274,10 +274,28 @@ class TextEmbedder:
     def _terms(self, df: DataFrame, text_col: str) -> DataFrame:
         from pyspark.ml.feature import CountVectorizerModel
         words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), TOKEN_PATTERN), lambda w: w != "")
-        place = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 25, 8), 16, 10).cast("long"),
-                                                    F.lit(self.features)).cast("string"))
-        counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(self.features)], "_place", "_tf", minTF=1.0)
-        return counter.transform(spread_for_cpu(df).withColumn("_place", place)).drop("_place")
+        hashes, place = F.transform(words, lambda w: F.md5(w)), self._place()
+        counter = CountVectorizerModel.from_vocabulary(self._names(), "_place", "_tf", minTF=1.0)
+        return counter.transform(spread_for_cpu(df).withColumn("_place", F.transform(hashes, place))).drop("_place")
+
+    def _digits(self) -> tuple[int, int] | None:
+        """(hex digits of a place, values of the first) if the number of places is a power of two."""
+        bits = self.features.bit_length() - 1
+        return (-(-bits // 4), 1 << (bits - 1) % 4 + 1) if self.features == 1 << bits > 1 else None
+
+    def _names(self) -> list[str]:
+        """What a place is called in the arrays of places."""
+        digits = self._digits()
+        return [f"{i:0{digits[0]}x}" if digits else str(i) for i in range(self.features)]
+
+    def _place(self):
+        """md5 text → the name of its place. Of a power of two the remainder is read off the last digits."""
+        digits = self._digits()
+        if digits is None:
+            return lambda h: F.pmod(F.conv(F.substring(h, 25, 8), 16, 10).cast("long"), F.lit(self.features)).cast("string")
+        n, first = digits
+        lowered = "".join(f"{i % first:x}" for i in range(16))
+        return lambda h: F.concat(F.translate(F.substring(h, 33 - n, 1), "0123456789abcdef", lowered), F.substring(h, 34 - n, n - 1))
 
     def fit(self, corpus: DataFrame, text_col: str) -> "TextEmbedder":
         """One distributed pass for the document frequencies."""

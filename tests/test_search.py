@@ -92,3 +92,17 @@ def test_equal_vectors_stay_within_bounded_memory():
     tracemalloc.stop()
     assert peak < 200 << 20
     assert all(list(g.sort_values(["dist", "doc_id"]).doc_id) == [0, 1, 2, 3, 4] for _, g in t.rows().groupby("query_id"))
+
+
+def test_places_are_the_remainder_of_the_hash(spark):
+    import hashlib
+    words = ["venta", "ciudad", "Ñandú", "x9", "precio"]
+    df = spark.createDataFrame([(" ".join(words),)], "t string")
+    for features in (2, 8, 16, 32, 100, 512, 4096):
+        model = search.TextEmbedder(features)
+        counts = model._terms(df, "t").first()["_tf"]
+        want = {}
+        for w in words:
+            at = int(hashlib.md5(w.lower().encode()).hexdigest()[-8:], 16) % features
+            want[at] = want.get(at, 0) + 1
+        assert dict(zip(counts.indices.tolist(), counts.values.tolist())) == want
