@@ -23,6 +23,7 @@ table gives an empty result; other columns of the input are not read by ``find``
 from __future__ import annotations
 
 import hashlib
+import re
 from functools import lru_cache
 
 import ahocorasick
@@ -44,6 +45,7 @@ LOCAL = ALNUM | frozenset("._%+-")
 LABEL = ALNUM | frozenset("-")
 PHONE = DIGITS | frozenset(" ().-")
 URL = ALNUM | frozenset("-._~:/?#[]@!$&'()*+,;=%")
+PATH = re.compile("[/?#]")
 
 # Schemes and cue words looked for, in lower case; capitalised and upper-case forms are added.
 SCHEMES = ("http://", "https://", "ftp://", "sftp://")
@@ -147,12 +149,20 @@ def phone_at(text: str, plus: int) -> tuple[tuple[int, int] | None, int]:
     return ((plus, end) if 8 <= n <= 15 else None), end
 
 
-def url_at(text: str, start: int, after_scheme: int) -> tuple[int, int] | None:
-    end = _run(text, after_scheme, URL)
-    while end > after_scheme and text[end - 1] in ".,;:!?'()[]":
+def url_end(text: str, at: int) -> tuple[int, int]:
+    """(end of the URL characters from ``at``, that end without closing punctuation)."""
+    run = end = _run(text, at, URL)
+    while end > at and text[end - 1] in ".,;:!?'()[]":
         end -= 1
-    host_end = min([p for p in (text.find(c, after_scheme, end) for c in "/?#") if p >= 0], default=end)
-    host = text[after_scheme:host_end].rpartition("@")[2].partition(":")[0]
+    return run, end
+
+
+def url_at(text: str, start: int, after_scheme: int, end: int) -> tuple[int, int] | None:
+    """The URL whose scheme ends at ``after_scheme`` and whose last character is before ``end``."""
+    if end <= after_scheme:
+        return None
+    path = PATH.search(text, after_scheme, end)
+    host = text[after_scheme:path.start() if path else end].rpartition("@")[2].partition(":")[0]
     labels = host.split(".")
     if len(labels) < 2 and host != "localhost" or not all(labels):
         return None
@@ -206,7 +216,7 @@ def spans_of(text: str | None) -> list[Span]:
     if not text:
         return []
     found: list[Span] = []
-    email_floor = chain_end = card_end = phone_end = 0
+    email_floor = chain_end = card_end = phone_end = url_run = url_stop = 0
     for last, (kind, size) in automaton().iter(text):
         at = last - size + 1
         if kind == "digit":
@@ -233,9 +243,12 @@ def spans_of(text: str | None) -> list[Span]:
                 if span:
                     found.append(("phone", *span))
         elif kind == "scheme":
-            span = url_at(text, at, last + 1)
-            if span and not (at and text[at - 1] in ALNUM):
-                found.append(("url", *span))
+            if last + 1 >= url_run:                                 # a scheme inside a run shares its end
+                url_run, url_stop = url_end(text, last + 1)
+            if not (at and text[at - 1] in ALNUM):
+                span = url_at(text, at, last + 1, url_stop)
+                if span:
+                    found.append(("url", *span))
         elif not (at and text[at - 1] in ALNUM):
             span = account_after(text, last + 1)
             if span:

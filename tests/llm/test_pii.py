@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 from cuadro.llm import pii
 
@@ -76,3 +77,32 @@ def test_mask_keeps_the_other_columns(spark):
     assert rows[1].text == "mail <EMAIL> now" and rows[1].spans == "x"
     assert rows[2].text is None and rows[3].text == "<CARD>"
     assert not [k for k, *_ in pii.spans_of(rows[1].text) if k in pii.BASE]
+
+
+def test_urls_equal_a_scan_of_every_scheme():
+    def urls(text):
+        out = []
+        for m in re.finditer("https?://", text):
+            end = m.end()
+            while end < len(text) and text[end] in pii.URL:
+                end += 1
+            while end > m.end() and text[end - 1] in ".,;:!?'()[]":
+                end -= 1
+            host = re.split("[/?#]", text[m.end():end])[0].rpartition("@")[2].partition(":")[0]
+            labels = host.split(".")
+            if (len(labels) > 1 or host == "localhost") and all(labels) and not (m.start() and text[m.start() - 1] in pii.ALNUM):
+                out.append(("url", m.start(), end))
+        return out
+    rng = random.Random(9)
+    pieces = ["http://", "https://", "a.b", "x", ".", "/", "?", "#", " ", "@", ":8", "é", ")", "=", "localhost", ",", "\n"]
+    for _ in range(3000):
+        text = "".join(rng.choices(pieces, k=rng.randrange(1, 14)))
+        assert [s for s in pii.spans_of(text) if s[0] == "url"] == urls(text), text
+
+
+def test_long_runs_of_anchors_take_linear_time():
+    for unit in ("http://", "http://a.b/", "http://.", "https://x@", "www.", "@", "+1", "1.1.", "a@b."):
+        text = unit * (1_000_000 // len(unit))
+        began = time.process_time()
+        pii.spans_of(text)
+        assert time.process_time() - began < 20, unit
