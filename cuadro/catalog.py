@@ -365,7 +365,7 @@ def q_chart_intent(spark, sf_dir):
 def q_chart_record(spark, sf_dir):
     """Drawn from ``region``, which has one number: scatter charts fail."""
     region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    return chart_records(_questions(spark, sf_dir), schema=region.schema).drop("question", "timestamp")
+    return chart_records(_questions(spark, sf_dir), path_prefix="out/charts", schema=region.schema).drop("question", "timestamp")
 
 
 QUERIES.update({
@@ -556,7 +556,7 @@ group by 1 order by value desc, r_name""",
     "chart_record": f"""select conv_id, turn, chart_type, chart_type is not null and chart_type <> 'scatter' chart_generated,
   substring(md5(text), 1, 12) chart_id,
   case when chart_type <> 'scatter' then (case chart_type when 'bar' then 'bar_chart' when 'line' then 'line_chart'
-    else 'pie_chart' end) || '_' || substring(md5(text), 1, 12) || '.png' end chart_filename,
+    else 'pie_chart' end) || '_' || substring(md5(text), 1, 12) || '.png' end chart_filename, 'out/charts/' || chart_filename chart_path,
   case when chart_type = 'scatter' then 'a scatter plot needs two numeric columns; numeric: [''r_regionkey'']' end error
 from (select conv_id, turn, text, {_sql_intent('q')} chart_type from {_QUESTIONS})""",
 })

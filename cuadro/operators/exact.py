@@ -35,10 +35,18 @@ def is_floating(dtype: T.DataType) -> bool:
 def _limbs(x: Column) -> tuple[Column, list[Column], Column]:
     """(bucket, limbs from the lowest, x if it is infinite) of a DOUBLE column; no bucket for zero and missing."""
     size = F.abs(x)
-    b = F.when((size > 0) & (size < float("inf")), F.floor(F.log2(size) / SPREAD)).cast("int")
+    # the usual magnitudes by comparison; logarithms and powers only for the others
+    b, scale = None, None
+    for near in (0, 1, -1, 2, -2):
+        inside = (size >= 2.0 ** (SPREAD * near)) & (size < 2.0 ** (SPREAD * (near + 1)))
+        b = F.when(inside, F.lit(near)) if b is None else b.when(inside, F.lit(near))
+        unit = F.lit(2.0 ** (POINT - SPREAD * near))
+        scale = F.when(inside, unit) if scale is None else scale.when(inside, unit)
+    usual = scale.isNotNull()
+    b = b.when((size > 0) & (size < float("inf")), F.floor(F.log2(size) / SPREAD)).cast("int")
     power = F.lit(POINT) - b * SPREAD
     first = F.floor(power / 2)
-    whole = size * F.pow(F.lit(2.0), first) * F.pow(F.lit(2.0), power - first)
+    whole = F.when(usual, size * scale).otherwise(size * F.pow(F.lit(2.0), first) * F.pow(F.lit(2.0), power - first))
     high = F.floor(whole / 2.0 ** (2 * WIDTH))
     low = (whole - high.cast("double") * 2.0 ** (2 * WIDTH)).cast("bigint")
     sign = F.when(x < 0, F.lit(-1)).otherwise(F.lit(1)).cast("bigint")

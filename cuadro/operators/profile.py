@@ -16,7 +16,8 @@ from ..functions.roles import numeric_columns, string_columns
 from ..functions.text import fill, money_text
 from ..functions.names import named, quoted
 from ..session import materialise
-from .exact import grouped_sums
+from .charts import no_nan
+from .exact import grouped_sums, is_floating
 
 # ---------------------------------------------------------------------------------------
 # Summary text lines, statistics columns and sizes of the reference.
@@ -63,28 +64,36 @@ def period(df: DataFrame, date_col: str) -> DataFrame:
     return df.agg(F.min(named(date_col)).alias("period_start"), F.max(named(date_col)).alias("period_end"))
 
 
-def _statistics(df: DataFrame, columns: list[str], rows: str | None = None, period_col: str | None = None) -> DataFrame:
-    """One wide row: mn, mx, s (total), m (mean) of every column by its number; NaN is missing. With
-    ``period_col`` its least and largest value, __p0 and __p1."""
-    at = {i: c for i, c in enumerate(columns)}
-    lows = {f"mn{i}": c for i, c in at.items()} | ({"__p0": period_col} if period_col else {})
-    highs = {f"mx{i}": c for i, c in at.items()} | ({"__p1": period_col} if period_col else {})
-    wide = grouped_sums(df, [], {f"s{i}": c for i, c in at.items()}, rows, lows, highs, counts=True)
-    double = {n: F.col(n).cast("double") for i in at for n in (f"mn{i}", f"mx{i}")}
-    means = {f"m{i}": F.try_divide(F.col(f"s{i}").cast("double"), F.col(f"s{i}_n")) for i in at}
-    totals = {f"s{i}": F.coalesce(F.col(f"s{i}").cast("double"), F.lit(0.0)) for i in at}
-    return wide.withColumns(double | means).withColumns(totals) if at else wide
+def column_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, min, max, mean, total of numeric columns, a row each: one scan, one aggregate by column. NaN is missing.
+
+    Whole numbers and DECIMAL are summed as decimals, DOUBLE order-free (``operators.exact``).
+    """
+    scale = max((df.schema[c].dataType.scale for c in columns if isinstance(df.schema[c].dataType, T.DecimalType)), default=0)
+    wide = f"decimal({20 + scale},{scale})" if scale <= 8 else f"decimal(38,{scale})"
+    entries = []
+    for c in columns:
+        real = is_floating(df.schema[c].dataType)
+        value = no_nan(c)
+        entries.append(F.struct(F.lit(c).alias("column"), value.cast("double").alias("low"),
+                                (value.cast("double") if real else F.lit(None).cast("double")).alias("real"),
+                                (F.lit(None).cast(wide) if real else value.cast(wide)).alias("whole")))
+    rows = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    sums = grouped_sums(rows, ["column"], {"r": "real", "w": "whole"}, None, {"min": "low"}, {"max": "low"}, counts=True)
+    n = F.col("r_n") + F.col("w_n")
+    total = F.coalesce(F.col("r"), F.col("w").cast("double"))
+    return sums.select("column", "min", "max", F.try_divide(total, n).alias("mean"), F.coalesce(total, F.lit(0.0)).alias("total"))
 
 
 def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per numeric column: min, max, mean and total of the unrounded values."""
     cols = columns or numeric_columns(df.schema)
-    wide = _statistics(df, cols)
-    rows = [F.struct(F.lit(c).alias("column"), F.col(f"mn{i}").alias("min"), F.col(f"mx{i}").alias("max"),
-                     F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("total"))
-            for i, c in enumerate(cols)]
-    # one wide row → one row per column (names stay data, never SQL text)
-    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, min double, max double, mean double, total double")
+    # a table without rows has a row a column too
+    every = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in cols])).alias("column"))
+    found = every.join(F.broadcast(column_statistics(df, cols)), "column", "left")
+    return found.select("column", "min", "max", "mean", F.coalesce("total", F.lit(0.0)).alias("total"))
 
 
 def _hashed(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -145,9 +154,11 @@ def dataset_summary(df: DataFrame, date_col: str | None = DEFAULT_DATE_COLUMN,
              if c in nums]
     has_date = date_col is not None and date_col in df.columns
 
-    wide = _statistics(df, stats, "__rows", date_col if has_date else None)
+    aggs = [F.count(F.lit(1)).alias("__rows")]
     if has_date:
-        wide = wide.withColumns({p: _text(F.col(p), schema[date_col].dataType) for p in ("__p0", "__p1")})
+        dt = schema[date_col].dataType
+        aggs += [_text(F.min(named(date_col)), dt).alias("__p0"), _text(F.max(named(date_col)), dt).alias("__p1")]
+    wide = df.agg(*aggs)
 
     lines: list[Column] = [F.lit(SUMMARY_TITLE), fill(SUMMARY_TOTAL, n=F.col("__rows"))]
     if has_date:
@@ -155,9 +166,14 @@ def dataset_summary(df: DataFrame, date_col: str | None = DEFAULT_DATE_COLUMN,
     lines.append(F.lit(SUMMARY_COLUMNS.format(cols=", ".join(df.columns))))
     if nums:
         lines.append(F.lit(SUMMARY_NUMERIC_HEADER))
-        for i, c in enumerate(stats):
-            lines.append(fill(SUMMARY_NUMERIC_LINE, col=F.lit(c), min=money_text(f"mn{i}"), max=money_text(f"mx{i}"),
-                              mean=money_text(f"m{i}"), total=money_text(f"s{i}")))
+        if stats:
+            # one small map (a row a column), inlined as a scalar subquery
+            rows = numeric_summary(df, stats)
+            known = rows.select(F.map_from_entries(F.collect_list(F.struct("column", F.struct("min", "max", "mean", "total"))))).scalar()
+            for c in stats:
+                of = F.element_at(known, F.lit(c))
+                texts_of = {k: money_text(of.getField(k)) for k in ("min", "max", "mean", "total")}
+                lines.append(fill(SUMMARY_NUMERIC_LINE, col=F.lit(c), **texts_of))
     if texts:
         lines.append(F.lit(SUMMARY_CATEGORY_HEADER))
         tv = top_values(df, texts, n_top)

@@ -13,7 +13,7 @@ from ..functions.text import snippet
 
 # ---------------------------------------------------------------------------------------
 # The answer prompt (context and question are filled in), the separator
-# between stuffed documents, retrieval sizes, the error texts of an unknown store, and the line that
+# between stuffed documents, retrieval sizes, the error texts of an unknown store and of a failed question, and the line that
 # names a question's chart after the answer.
 PROMPT_TEMPLATE = """Eres un analista de datos experto que ayuda a responder preguntas sobre datasets tabulares.
 
@@ -35,6 +35,8 @@ CONTEXT_SEPARATOR = "\n\n"
 ASK_K = 3
 SEARCH_K = 5
 ERROR_ANSWER = "Error: No se pudo cargar el dataset especificado."
+ERROR_QUESTION = ("Lo siento, ocurrió un error al procesar tu pregunta. Por favor, verifica que el dataset esté disponible "
+                  "e intenta nuevamente.")
 ERROR_STORE = "Vector store '{store}' no encontrado"
 CHART_NOTE = "\n\n📊 Gráfico generado: "
 # ---------------------------------------------------------------------------------------

@@ -1,7 +1,7 @@
 """Batch question answering up to the filled prompt.
 
-For a table of questions: blank questions are dropped, questions on an unknown store get an
-error record, the rest retrieve their k nearest documents of their own store, and each gets
+For a table of questions: blank questions are dropped, questions on an unknown store, and those
+whose vector does not fit the documents', get an error record, the rest retrieve their k nearest documents of their own store, and each gets
 the stuffed context, the filled prompt, the source snippets and the chart intent. The
 answer itself comes from a language model outside this engine, so ``answer`` stays NULL
 except for the fixed error answer.
@@ -21,7 +21,7 @@ from ..functions.text import fill, strip_outer
 from .chart import chart_file_name, role_errors
 from .chart_batch import ChartBatch
 from ..session import checkpoint_dir
-from ..operators.qa import ASK_K, CHART_NOTE, CONTEXT_SEPARATOR, ERROR_ANSWER, ERROR_STORE, SEARCH_K, build_prompt, sources_column
+from ..operators.qa import ASK_K, CHART_NOTE, CONTEXT_SEPARATOR, ERROR_ANSWER, ERROR_QUESTION, ERROR_STORE, SEARCH_K, build_prompt, sources_column
 from ..operators.search import BROADCAST_BYTES, embed_text, knn
 from ..sources.store import StoreNotFound, available_stores, load_store
 
@@ -71,7 +71,10 @@ def ask_batch(questions: DataFrame, corpus: DataFrame, k: int = ASK_K,
     # join): write it once to the shared checkpoint folder instead of recomputing the store
     # check over the corpus each time; this also cuts its lineage
     flagged = qs.join(known_stores, qs[store_col] == known_stores["_known"], "left").checkpoint(eager=True)
-    known = flagged.where(F.col("_known").isNotNull())
+    # a question whose vector does not fit the documents' fails alone
+    first = corpus.where(F.col(vec_col).isNotNull()).select(F.size(vec_col).alias("d")).first()
+    fits = F.lit(True) if first is None else F.col(vec_col).isNotNull() & (F.size(vec_col) == first["d"])
+    known = flagged.where(F.col("_known").isNotNull() & fits)
     stats = known.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
     asked = [r[0] for r in known.select("_known").distinct().limit(PRUNED_STORES + 1).collect()]
     if len(asked) <= PRUNED_STORES:
@@ -101,7 +104,8 @@ def ask_batch(questions: DataFrame, corpus: DataFrame, k: int = ASK_K,
         sources_column("rank", "page_content", F.col("_meta")).alias("sources"),
         F.count(F.lit(1)).alias("n_sources"))
     out = flagged.join(per_q, flagged[question_id] == per_q["query_id"], "left")
-    is_known = F.col("_known").isNotNull()
+    is_known = F.col("_known").isNotNull() & fits
+    lost = F.col("_known").isNull()
     kind = chart_intent(F.col(question))
     drawable = is_known & kind.isNotNull()
     drawn = []
@@ -115,7 +119,7 @@ def ask_batch(questions: DataFrame, corpus: DataFrame, k: int = ASK_K,
         drawable = drawable & ~F.coalesce(kind.isin(list(role_errors(schema))), F.lit(False))
     return out.select(
         F.col(question_id), F.col(question), F.col(store_col).alias("store_name"),
-        F.when(~is_known, F.lit(ERROR_ANSWER)).alias("answer"),
+        F.when(lost, F.lit(ERROR_ANSWER)).when(~is_known, F.lit(ERROR_QUESTION)).alias("answer"),
         F.col("context"),
         F.when(is_known, build_prompt(F.col("context"), F.col(question))).alias("prompt"),
         F.coalesce(F.col("sources"), F.array().cast(per_q.schema["sources"].dataType)).alias("sources"),
@@ -123,6 +127,8 @@ def ask_batch(questions: DataFrame, corpus: DataFrame, k: int = ASK_K,
         chart_intent(F.col(question)).alias("chart_type"),
         chart_file_name(F.col(question)).alias("chart_filename"),
         drawable.alias("chart_generated"),
-        F.when(~is_known, fill(ERROR_STORE, store=F.col(store_col))).alias("error"),
+        F.when(lost, fill(ERROR_STORE, store=F.col(store_col)))
+        .when(~is_known, F.concat(F.lit("the question's vector does not fit the documents': "), F.coalesce(F.size(vec_col).cast("string"), F.lit("none"))))
+        .alias("error"),
         F.lit(model_name).cast("string").alias("model_used"),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), *drawn)

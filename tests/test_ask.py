@@ -48,3 +48,17 @@ def test_sources_carry_stored_metadata_and_chart_file(spark):
     r = ask_batch(qs, docs).first()
     assert r["sources"][0]["metadata"]["chunk_id"] == "0"
     assert r["chart_filename"].startswith("bar_chart_") and r["chart_filename"].endswith(".png")
+
+
+def test_a_vector_that_does_not_fit_fails_alone(spark):
+    from cuadro.operators.qa import ERROR_QUESTION
+    corpus = spark.createDataFrame([(i, f"doc {i}", "docs", [float(i), 1.0]) for i in range(4)],
+                                   "doc_id long, page_content string, store_name string, embedding array<float>")
+    qs = spark.createDataFrame([(1, "hola", "docs", [1.0, 1.0]), (2, "hola", "docs", [1.0, 1.0, 1.0]), (3, "hola", "docs", None), (4, "hola", "x", [1.0])],
+                               "question_id long, question string, store_name string, embedding array<float>")
+    rows = {r["question_id"]: r for r in ask_batch(qs, corpus).collect()}
+    assert rows[1]["n_sources"] == 3 and rows[1]["error"] is None and rows[1]["answer"] is None
+    for bad, what in ((2, "3"), (3, "none")):
+        assert rows[bad]["answer"] == ERROR_QUESTION and rows[bad]["error"].endswith(what)
+        assert rows[bad]["n_sources"] == 0 and rows[bad]["prompt"] is None and not rows[bad]["chart_generated"]
+    assert "no encontrado" in rows[4]["error"]
