@@ -63,7 +63,7 @@ def ask_batch(questions: DataFrame, corpus: DataFrame, k: int = ASK_K,
     model's answer.
     """
     checkpoint_dir(questions.sparkSession)      # make sure one is set (tests: a local folder)
-    qs = questions.where(F.length(strip_outer(F.col(question))) > 0)
+    qs = questions.where(F.length(strip_outer(F.col(question))) > 0).withColumn("_kind", chart_intent(F.col(question)))
     # one row per store: small, and AQE broadcasts it once its size is measured
     complete = available_stores(corpus) if stores is None else stores
     known_stores = complete.select(F.col("store_name").alias("_known"))
@@ -106,13 +106,13 @@ def ask_batch(questions: DataFrame, corpus: DataFrame, k: int = ASK_K,
     out = flagged.join(per_q, flagged[question_id] == per_q["query_id"], "left")
     is_known = F.col("_known").isNotNull() & fits
     lost = F.col("_known").isNull()
-    kind = chart_intent(F.col(question))
+    kind = F.col("_kind")
     drawable = is_known & kind.isNotNull()
     drawn = []
     if charts is not None:
-        out = charts.answers(out, question)
+        out = charts.answers(out, question, kind)
         drawable = is_known & F.col("chart").isNotNull()
-        note = F.concat(F.lit(CHART_NOTE), chart_file_name(F.col(question)))
+        note = F.concat(F.lit(CHART_NOTE), chart_file_name(F.col(question), kind))
         drawn = [F.when(is_known, F.col("chart_key")).alias("chart_key"), F.when(is_known, F.col("chart")).alias("chart"),
                  F.when(is_known, F.col("chart_error")).alias("chart_error"), F.when(drawable, note).alias("chart_note")]
     elif schema is not None:
@@ -124,8 +124,8 @@ def ask_batch(questions: DataFrame, corpus: DataFrame, k: int = ASK_K,
         F.when(is_known, build_prompt(F.col("context"), F.col(question))).alias("prompt"),
         F.coalesce(F.col("sources"), F.array().cast(per_q.schema["sources"].dataType)).alias("sources"),
         F.coalesce(F.col("n_sources"), F.lit(0)).alias("n_sources"),
-        chart_intent(F.col(question)).alias("chart_type"),
-        chart_file_name(F.col(question)).alias("chart_filename"),
+        kind.alias("chart_type"),
+        chart_file_name(F.col(question), kind).alias("chart_filename"),
         drawable.alias("chart_generated"),
         F.when(lost, fill(ERROR_STORE, store=F.col(store_col)))
         .when(~is_known, F.concat(F.lit("the question's vector does not fit the documents': "), F.coalesce(F.size(vec_col).cast("string"), F.lit("none"))))

@@ -163,9 +163,10 @@ def chart_trend(df: DataFrame, spec: ChartSpec) -> DataFrame | None:
     return charts.linear_trend(df, spec.columns["x"], spec.columns["y"])
 
 
-def chart_file_name(question: Column) -> Column:
-    """``<stem>_<md5(question)[:12]>.png`` when the question asks for a chart, else NULL."""
-    kind = chart_intent(question)
+def chart_file_name(question: Column, kind: Column | None = None) -> Column:
+    """``<stem>_<md5(question)[:12]>.png`` when the question asks for a chart (of ``kind``, if that is known),
+    else NULL."""
+    kind = chart_intent(question) if kind is None else kind
     stem = F.create_map(*[x for k, v in FILE_STEMS.items() for x in (F.lit(k), F.lit(v))])
     return F.when(kind.isNotNull(), F.concat(F.element_at(stem, kind), F.lit("_"),
                                              F.substring(F.md5(question), 1, 12), F.lit(".png")))
@@ -193,16 +194,15 @@ def chart_records(questions: DataFrame, question_col: str = "question",
     chart that it cannot give is a failure: not generated, no file, and ``error`` says why. The id is ``md5(question)`` instead of a clock reading, so two
     questions asked within a second no longer overwrite each other's file.
     """
-    q = F.col(question_col)
-    kind = chart_intent(q)
+    q, kind = F.col(question_col), F.col("chart_type")
+    asked = questions.withColumn("chart_type", chart_intent(q))           # classified once a row
     error = F.lit(None).cast("string")
     for k, why in (role_errors(schema) if schema is not None else {}).items():
         error = F.when(kind == k, F.lit(why)).otherwise(error)
-    out = questions.withColumns({
-        "chart_type": kind,
+    out = asked.withColumns({
         "chart_generated": kind.isNotNull() & error.isNull(),
         "chart_id": F.substring(F.md5(q), 1, 12),
-        "chart_filename": F.when(error.isNull(), chart_file_name(q)),
+        "chart_filename": F.when(error.isNull(), chart_file_name(q, kind)),
         "error": error,
         "timestamp": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
     })
@@ -225,18 +225,19 @@ def _first_named_or_hinted(q: Column, columns: list[str], hints: list[str]) -> C
     return expr.otherwise(F.lit(columns[0])) if expr is not None else None
 
 
-def chart_specs(questions: DataFrame, df: DataFrame, question_col: str = "question") -> DataFrame:
+def chart_specs(questions: DataFrame, df: DataFrame, question_col: str = "question", kind: Column | None = None) -> DataFrame:
     """Chart type and resolved columns of every question, as one projection.
 
-    Adds chart_type, x, y, mode. Roles depend only on the schema (and, for text date columns,
+    Adds chart_type, x, y, mode; ``kind`` is the chart type where the caller knows it. Roles depend only on the schema (and, for text date columns,
     one parse check), so they are CASE expressions over the question text.
     """
     from ..functions.roles import (BAR_COUNT_MODE_HINTS, BAR_TARGET_HINTS, PIE_TARGET_HINTS,
                                    numeric_columns, string_columns)
     df = visible(df)
     schema = df.schema
-    q = F.lower(F.col(question_col))
-    kind = chart_intent(F.col(question_col))
+    asked = questions.withColumns({"chart_type": chart_intent(F.col(question_col)) if kind is None else kind,
+                                   "_lower": F.lower(F.col(question_col))})          # once a row
+    q, kind = F.col("_lower"), F.col("chart_type")
     cats, nums = string_columns(schema), numeric_columns(schema)
     null = F.lit(None).cast("string")
     bar_x = _first_named_or_hinted(q, cats, BAR_TARGET_HINTS) if cats else null
@@ -267,9 +268,8 @@ def chart_specs(questions: DataFrame, df: DataFrame, question_col: str = "questi
         return (F.when(kind == "bar", bar).when(kind == "line", line_)
                 .when(kind == "pie", pie).when(kind == "scatter", scatter))
 
-    return questions.withColumns({
-        "chart_type": kind,
+    return asked.withColumns({
         "x": pick(bar_x, lit(line_x), pie_x, lit(sc_x)),
         "y": pick(F.when(bar_mode == "sum", lit(bar_value)), lit(line_y), null, lit(sc_y)),
         "mode": pick(bar_mode, lit(line_mode), F.lit("shares"), F.lit("points")),
-    })
+    }).drop("_lower")

@@ -38,10 +38,10 @@ class ChartBatch:
     charts: DataFrame
     marks: DataFrame
 
-    def answers(self, questions: DataFrame, question_col: str = "question") -> DataFrame:
+    def answers(self, questions: DataFrame, question_col: str = "question", kind: Column | None = None) -> DataFrame:
         """``questions`` with chart_type, chart_key, chart (the row of ``charts``) and chart_error; a
-        question that asks for none has nulls."""
-        asked = with_keys(questions, self.table, question_col)
+        question that asks for none has nulls. ``kind``: the chart type where it is known."""
+        asked = with_keys(questions, self.table, question_col, kind)
         error = F.lit(None).cast("string")
         for kind, why in role_errors(visible(self.table).schema).items():
             error = F.when(F.col("chart_type") == kind, F.lit(why)).otherwise(error)
@@ -52,9 +52,9 @@ class ChartBatch:
             .drop("_key", "x", "y", "mode").withColumn("chart_error", error)
 
 
-def with_keys(questions: DataFrame, df: DataFrame, question_col: str = "question") -> DataFrame:
+def with_keys(questions: DataFrame, df: DataFrame, question_col: str = "question", kind: Column | None = None) -> DataFrame:
     """``chart_specs`` of the questions and ``chart_key``, null where no chart is drawn."""
-    specs = chart_specs(questions, df, question_col)
+    specs = chart_specs(questions, df, question_col, kind)
     key = F.concat_ws("/", "chart_type", "mode", "x", "y")
     return specs.withColumn("chart_key", F.when(F.col("x").isNotNull(), key))
 
