@@ -84,8 +84,10 @@ SPELLINGS = [
     ("licence", "license"), ("licenced", "licensed"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"),
     ("https://", "http://"), ("organisation", "organization"), ("acknowledgement", "acknowledgment"),
     ("merchantibility", "merchantability"), ("per cent", "percent"), ("copyright owner", "copyright holder"),
-    ("&", " and "), ("ver.", "version"),
+    ("&", " and "),
 ]
+#: Words that count as the same, in a form that holds words and single blanks only.
+WORDS = [("ver", "version")]
 _YEAR = r"\b(?:19|20)\d\d\b"
 _BODY = (r"(?i:licen[sc]es?|laws?|acts?|notices?|holders?|owners?|statements?|rights?|and|or|in|is|of|on|to|the|protections?|"
          r"treat(?:y|ies)|interests?|infringements?|disclaimers?|permissions?|status)\b")
@@ -105,7 +107,10 @@ def _line(text: Column) -> Column:
     t = F.lower(text)
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(a), F.lit(b))
-    return F.when(text.rlike(COPYRIGHT), F.lit("")).otherwise(F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " ")))
+    form = F.concat(F.lit(" "), F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    for a, b in WORDS * 2:                        # neighbours share a blank: twice reaches both
+        form = F.replace(form, F.lit(f" {a} "), F.lit(f" {b} "))
+    return F.when(text.rlike(COPYRIGHT), F.lit("")).otherwise(F.trim(form))
 
 
 def _joined(lines: Column) -> Column:

@@ -129,13 +129,14 @@ with known(license, body) as (values
   ('LicenseRef-all-rights-reserved', 'all rights reserved')),
 d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
 l as (select rid, unnest(range(len(ls))) as n, unnest(ls) as raw from (select rid, string_split(t, chr(10)) as ls from d)),
-spelt as (select rid, n, raw, lower(raw) as low, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(lower(raw),
+spelt as (select rid, n, raw, lower(raw) as low, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(lower(raw),
   'licence', 'license'), 'licenced', 'licensed'), 'sub-license', 'sublicense'), 'non-commercial', 'noncommercial'),
   'https://', 'http://'), 'organisation', 'organization'), 'acknowledgement', 'acknowledgment'),
   'merchantibility', 'merchantability'), 'per cent', 'percent'), 'copyright owner', 'copyright holder'),
-  '&', ' and '), 'ver.', 'version') as b from l),
+  '&', ' and ') as b from l),
 line as (select rid, n, sum(case when regexp_full_match(raw, '[ \t\r]*') then 1 else 0 end) over (partition by rid order by n) as block,
-         case when regexp_matches(low, '^[^\p{L}\p{N}]*(copyright|\(c\)|©)') then '' else trim(regexp_replace(b, '[^\p{L}\p{N}]+', ' ', 'g')) end as f from spelt),
+         case when regexp_matches(low, '^[^\p{L}\p{N}]*(copyright|\(c\)|©)') then ''
+         else trim(replace(replace(' ' || regexp_replace(b, '[^\p{L}\p{N}]+', ' ', 'g') || ' ', ' ver ', ' version '), ' ver ', ' version ')) end as f from spelt),
 words as (select rid, n, block, f from line where f <> ''),
 blocks as (select rid, block, string_agg(f, ' ' order by n) as f, count(*) over (partition by rid) as many from words group by rid, block),
 form as (select rid, 'document' as kind, 0 as n, string_agg(f, ' ' order by n) as f from words group by rid

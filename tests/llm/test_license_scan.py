@@ -17,7 +17,7 @@ def canon(t):
             continue
         for a, b in L.SPELLINGS:
             low = low.replace(a, b)
-        out.append(re.sub(r"[\W_]+", " ", low).strip())
+        out.append(" ".join("version" if w == "ver" else w for w in re.sub(r"[\W_]+", " ", low).split()))
     return " ".join(x for x in out if x)
 
 
@@ -125,3 +125,12 @@ def test_only_statements_of_copyright_are_dropped(spark):
     form = {r.i: r.f for r in spark.createDataFrame(rows, "i int, text string").select("i", L.canonical(F.col("text")).alias("f")).collect()}
     for i, t in rows:
         assert (form[i] == "") == (t in drop), t
+
+
+def test_punctuation_never_changes_a_word(spark):
+    known = L.known_licenses(spark, [("X", "Free for any purpose whatsoever."), ("Y", "However, the server never fails ver. 2 ver. ver. ver. 3")])
+    texts = ["Free for any purpose whatsoever", "free for any purpose, whatsoever!", "FREE for any purpose whatsoever...",
+             "however the server. never. fails version 2, VER version; ver 3", "However the serversion never fails ver 2 ver ver ver 3"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.whole_license for r in L.per_document(docs, known).collect()}
+    assert found == {0: "X", 1: "X", 2: "X", 3: "Y", 4: None}
