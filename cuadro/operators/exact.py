@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.names import named
+from ..functions.names import named, quoted
 
 SPREAD = 16                      # powers of two in a bucket
 WIDTH, LIMBS = 18, 4             # bits of a limb, limbs of a value
@@ -32,27 +32,25 @@ def is_floating(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.DoubleType, T.FloatType))
 
 
-def _limbs(x: Column) -> tuple[Column, list[Column], Column]:
-    """(bucket, limbs from the lowest, x if it is infinite) of a DOUBLE column; no bucket for zero and missing."""
-    size = F.abs(x)
+def _limbs(c: str, i: int) -> list[str]:
+    """SQL for the parts of a DOUBLE column, each using those before it: _b (bucket; none for zero, missing and
+    infinite), _l (limbs from the lowest), _x (the value if it is infinite), _v (the value, NaN missing)."""
     # the usual magnitudes by comparison; logarithms and powers only for the others
-    b, scale = None, None
-    for near in (0, 1, -1, 2, -2):
-        inside = (size >= 2.0 ** (SPREAD * near)) & (size < 2.0 ** (SPREAD * (near + 1)))
-        b = F.when(inside, F.lit(near)) if b is None else b.when(inside, F.lit(near))
-        unit = F.lit(2.0 ** (POINT - SPREAD * near))
-        scale = F.when(inside, unit) if scale is None else scale.when(inside, unit)
-    usual = scale.isNotNull()
-    b = b.when((size > 0) & (size < float("inf")), F.floor(F.log2(size) / SPREAD)).cast("int")
-    power = F.lit(POINT) - b * SPREAD
-    first = F.floor(power / 2)
-    whole = F.when(usual, size * scale).otherwise(size * F.pow(F.lit(2.0), first) * F.pow(F.lit(2.0), power - first))
-    high = F.floor(whole / 2.0 ** (2 * WIDTH))
-    low = (whole - high.cast("double") * 2.0 ** (2 * WIDTH)).cast("bigint")
-    sign = F.when(x < 0, F.lit(-1)).otherwise(F.lit(1)).cast("bigint")
-    mask = (1 << WIDTH) - 1
-    limbs = [part * sign for half in (low, high) for part in (half.bitwiseAND(F.lit(mask)), F.shiftright(half, WIDTH))]
-    return b, limbs, F.when(size == float("inf"), x)
+    usual = (0, 1, -1, 2, -2)
+    near = " ".join(f"when _s{i} >= {2.0 ** (SPREAD * n)!r}D and _s{i} < {2.0 ** (SPREAD * (n + 1))!r}D then {n}" for n in usual)
+    unit = " ".join(f"when {n} then {2.0 ** (POINT - SPREAD * n)!r}D" for n in usual)
+    power, cut, mask = f"({POINT} - _b{i} * {SPREAD})", f"{2.0 ** (2 * WIDTH)!r}D", (1 << WIDTH) - 1
+    pieces = [piece for half in (f"_o{i}", f"_h{i}") for piece in (f"({half} & {mask})", f"shiftright({half}, {WIDTH})")]
+    return [
+        f"if(isnan({quoted(c)}), null, cast({quoted(c)} as double)) as _v{i}",
+        f"abs(_v{i}) as _s{i}",
+        f"case {near} when _s{i} > 0 and _s{i} < cast('Infinity' as double) then cast(floor(log2(_s{i}) / {SPREAD}) as int) end as _b{i}",
+        f"case _b{i} {unit} end as _m{i}",
+        f"if(_m{i} is not null, _s{i} * _m{i}, _s{i} * pow(2D, floor({power} / 2)) * pow(2D, {power} - floor({power} / 2))) as _w{i}",
+        f"floor(_w{i} / {cut}) as _h{i}",
+        f"cast(_w{i} - cast(_h{i} as double) * {cut} as bigint) as _o{i}",
+        *[f"if(_v{i} < 0, -{piece}, {piece}) as _l{i}_{j}" for j, piece in enumerate(pieces)],
+        f"if(_s{i} = cast('Infinity' as double), _v{i}, null) as _x{i}"]
 
 
 def partial_sums(df: DataFrame, keys: list[str], sums: dict[str, str], rows: str | None = None,
@@ -63,50 +61,39 @@ def partial_sums(df: DataFrame, keys: list[str], sums: dict[str, str], rows: str
     ``sums``, ``lows`` (minimum), ``highs`` (maximum): result name → numeric column; ``rows``: name of the row count;
     ``others``: aggregates of groups that have no value to sum, and so no bucket.
     """
-    aggs: list[Column] = []
-    data, buckets = df, []
+    aggs: list[str] = []
+    parts, buckets = [], []
     for i, c in enumerate(sums.values()):
-        col = named(c)
         if is_floating(df.schema[c].dataType):
-            x = F.when(~F.isnan(col), col.cast("double"))
-            b, limbs, infinite = _limbs(x)
-            data = data.withColumns({f"_b{i}": b, **{f"_l{i}_{j}": limb for j, limb in enumerate(limbs)}, f"_x{i}": infinite,
-                                     f"_v{i}": x.isNotNull()})
+            parts += _limbs(c, i)
             buckets.append(f"_b{i}")
-            aggs += [F.sum(f"_l{i}_{j}").alias(f"_l{i}_{j}") for j in range(LIMBS)]
-            aggs += [F.sum(f"_x{i}").alias(f"_x{i}"), F.count_if(f"_v{i}").alias(f"_n{i}")]
+            aggs += [f"sum(_l{i}_{j}) as _l{i}_{j}" for j in range(LIMBS)]
+            aggs += [f"sum(_x{i}) as _x{i}", f"count(_v{i}) as _n{i}"]
         else:
-            wide = col.cast("decimal(20,0)") if isinstance(df.schema[c].dataType, T.IntegralType) else col
-            aggs += [F.sum(wide).alias(f"_d{i}"), F.count(col).alias(f"_n{i}")]
-    for fn, wanted in ((F.min, lows or {}), (F.max, highs or {})):
+            wide = f"cast({quoted(c)} as decimal(20,0))" if isinstance(df.schema[c].dataType, T.IntegralType) else quoted(c)
+            aggs += [f"sum({wide}) as _d{i}", f"count({quoted(c)}) as _n{i}"]
+    for fn, wanted in (("min", lows or {}), ("max", highs or {})):
         for name, c in wanted.items():
-            col = named(c)
-            aggs.append(fn(F.when(~F.isnan(col), col) if is_floating(df.schema[c].dataType) else col).alias(name))
-    aggs += [a.alias(name) for name, a in (others or {}).items()]
+            value = f"if(isnan({quoted(c)}), null, {quoted(c)})" if is_floating(df.schema[c].dataType) else quoted(c)
+            aggs.append(f"{fn}({value}) as {quoted(name)}")
     if rows:
-        aggs.append(F.count(F.lit(1)).alias(rows))
-    return data.groupBy(*[named(k) for k in keys], *buckets).agg(*aggs)
+        aggs.append(f"count(1) as {quoted(rows)}")
+    data = df.selectExpr("*", *parts) if parts else df
+    return data.groupBy(*[named(k) for k in keys], *buckets).agg(
+        *[F.expr(a) for a in aggs], *[a.alias(name) for name, a in (others or {}).items()])
 
 
-def _added(i: int) -> Column:
-    """The collected parts ``_p{i}`` of a group as one DOUBLE."""
-    def terms(p):
-        out = []
-        for j in reversed(range(LIMBS)):
-            unit = p["b"] * SPREAD + (j * WIDTH - POINT)
-            size, sign = F.abs(p[f"l{j}"]), F.signum(p[f"l{j}"])
-            scaled = lambda v, e: sign * v.cast("double") * F.pow(F.lit(2.0), F.floor(e / 2)) * F.pow(F.lit(2.0), e - F.floor(e / 2))  # noqa: E731,B023
-            out += [scaled(F.shiftright(size, HALF), unit + HALF), scaled(size.bitwiseAND(F.lit((1 << HALF) - 1)), unit)]
-        return F.array(*out)
-
-    def add(acc, t):
-        s = acc["s"] + t
-        back = s - acc["s"]
-        return F.struct(s.alias("s"), (acc["e"] + ((acc["s"] - (s - back)) + (t - back))).alias("e"))
-
-    every = F.flatten(F.transform(F.sort_array(F.col(f"_p{i}"), asc=False), terms))
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("e"))
-    return F.aggregate(every, zero, add, lambda acc: F.when(F.isnan(acc["e"]), acc["s"]).otherwise(acc["s"] + acc["e"]))
+def _added(i: int) -> str:
+    """SQL that adds the collected parts ``_p{i}`` of a group: one DOUBLE."""
+    terms = []
+    for j in reversed(range(LIMBS)):
+        for piece, shift in ((f"shiftright(abs(p.l{j}), {HALF})", HALF), (f"(abs(p.l{j}) & {(1 << HALF) - 1}L)", 0)):
+            power = f"(p.b * {SPREAD} + {j * WIDTH - POINT + shift})"
+            terms.append(f"signum(p.l{j}) * cast({piece} as double) * pow(2D, floor({power} / 2)) * pow(2D, {power} - floor({power} / 2))")
+    every = f"flatten(transform(sort_array(_p{i}, false), p -> array({', '.join(terms)})))"
+    s, back = "(a.s + t)", "((a.s + t) - a.s)"
+    step = f"named_struct('s', {s}, 'e', a.e + ((a.s - ({s} - {back})) + (t - {back})))"
+    return f"aggregate({every}, named_struct('s', 0D, 'e', 0D), (a, t) -> {step}, a -> if(isnan(a.e), a.s, a.s + a.e))"
 
 
 def whole_sums(parts: DataFrame, keys: list[str], sums: dict[str, str], rows: str | None = None,
@@ -118,28 +105,28 @@ def whole_sums(parts: DataFrame, keys: list[str], sums: dict[str, str], rows: st
     ``counts`` the number of values of each sum comes along as ``<name>_n``.
     """
     floating = [i for i in range(len(sums)) if f"_b{i}" in parts.columns]
-    aggs: list[Column] = []
+    aggs: list[str] = []
     for i in range(len(sums)):
-        aggs.append(F.sum(f"_n{i}").alias(f"_n{i}"))
+        aggs.append(f"sum(_n{i}) as _n{i}")
         if i in floating:
-            part = F.struct(F.col(f"_b{i}").alias("b"), *[F.col(f"_l{i}_{j}").alias(f"l{j}") for j in reversed(range(LIMBS))])
-            aggs += [F.collect_list(F.when(F.col(f"_b{i}").isNotNull(), part)).alias(f"_p{i}"), F.sum(f"_x{i}").alias(f"_x{i}")]
+            part = ", ".join(["'b'", f"_b{i}", *(x for j in reversed(range(LIMBS)) for x in (f"'l{j}'", f"_l{i}_{j}"))])
+            aggs += [f"collect_list(if(_b{i} is not null, named_struct({part}), null)) as _p{i}", f"sum(_x{i}) as _x{i}"]
         else:
-            aggs.append(F.sum(f"_d{i}").alias(f"_d{i}"))
-    aggs += [F.min(n).alias(n) for n in lows or {}] + [F.max(n).alias(n) for n in (*(highs or {}), *(others or {}))]
+            aggs.append(f"sum(_d{i}) as _d{i}")
+    aggs += [f"min({quoted(n)}) as {quoted(n)}" for n in lows or {}]
+    aggs += [f"max({quoted(n)}) as {quoted(n)}" for n in (*(highs or {}), *(others or {}))]
     if rows:
-        aggs.append(F.sum(rows).alias(rows))
-    grouped = parts.groupBy(*[named(k) for k in keys]).agg(*aggs)
-    out = [named(k) for k in keys]
+        aggs.append(f"sum({quoted(rows)}) as {quoted(rows)}")
+    out = [quoted(k) for k in keys]
     for i, name in enumerate(sums):
-        value = F.coalesce(F.col(f"_x{i}"), _added(i)) if i in floating else F.col(f"_d{i}")
-        out.append(F.when(F.col(f"_n{i}") > 0, value).alias(name))
+        value = f"coalesce(_x{i}, {_added(i)})" if i in floating else f"_d{i}"
+        out.append(f"if(_n{i} > 0, {value}, null) as {quoted(name)}")
         if counts:
-            out.append(F.coalesce(F.col(f"_n{i}"), F.lit(0)).alias(f"{name}_n"))
-    out += [F.col(n) for n in (*(lows or {}), *(highs or {}), *(others or {}))]
+            out.append(f"coalesce(_n{i}, 0) as {quoted(name + '_n')}")
+    out += [quoted(n) for n in (*(lows or {}), *(highs or {}), *(others or {}))]
     if rows:
-        out.append(F.coalesce(F.col(rows), F.lit(0)).alias(rows))
-    return grouped.select(*out)
+        out.append(f"coalesce({quoted(rows)}, 0) as {quoted(rows)}")
+    return parts.groupBy(*[named(k) for k in keys]).agg(*[F.expr(a) for a in aggs]).selectExpr(*out)
 
 
 def regrouped(parts: DataFrame, keys: list[str], sums: dict[str, str]) -> DataFrame:

@@ -63,7 +63,9 @@ def ask_batch(questions: DataFrame, corpus: DataFrame, k: int = ASK_K,
     model's answer.
     """
     checkpoint_dir(questions.sparkSession)      # make sure one is set (tests: a local folder)
-    qs = questions.where(F.length(strip_outer(F.col(question))) > 0).withColumn("_kind", chart_intent(F.col(question)))
+    # classifying a long question takes a task far longer than reading it: spread over the slots
+    spread = questions.repartition(questions.sparkSession.sparkContext.defaultParallelism)
+    qs = spread.where(F.length(strip_outer(F.col(question))) > 0).withColumn("_kind", chart_intent(F.col(question)))
     # one row per store: small, and AQE broadcasts it once its size is measured
     complete = available_stores(corpus) if stores is None else stores
     known_stores = complete.select(F.col("store_name").alias("_known"))

@@ -81,7 +81,9 @@ def chart_batch(questions: DataFrame, df: DataFrame, question_col: str = "questi
     """All charts that ``questions`` ask of ``df``. Only their specs reach the driver, at most two for
     each text column and two more."""
     data = visible(df)
-    asked = with_keys(questions, df, question_col).where(F.col("chart_key").isNotNull()) \
+    # classifying a long question takes a task far longer than reading it: spread over the slots
+    texts = questions.select(question_col).repartition(questions.sparkSession.sparkContext.defaultParallelism)
+    asked = with_keys(texts, df, question_col).where(F.col("chart_key").isNotNull()) \
         .select("chart_key", "chart_type", "x", "y", "mode").distinct()
     specs = sorted(asked.collect(), key=lambda s: s["chart_key"])
     for x in {s["x"] for s in specs if s["mode"] == "series"}:
