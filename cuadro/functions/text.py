@@ -1,8 +1,9 @@
-"""Scalar text helpers, all built-in expressions (no Python UDF)."""
+"""Scalar text helpers: built-in expressions, but for packing texts that travel."""
 
 from __future__ import annotations
 
 import re
+import zlib
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -105,3 +106,17 @@ def rstrip_chars(c: Column | str, chars: str = ", ") -> Column:
     """Remove any trailing run of the given characters (like ``str.rstrip(chars)``)."""
     cls = "".join("\\" + ch if ch in "]\\^-" else ch for ch in chars)
     return F.regexp_replace(_c(c), f"[{cls}]+$", "")
+
+
+def pack_text(c: Column | str) -> Column:
+    """The bytes of a text, compressed: for texts that are sent to many rows (Spark's shuffle hardly shrinks prose)."""
+    # plain UDFs: they hold a hundred rows at a time, whatever the texts grow to
+    packed = F.udf(lambda b: None if b is None else zlib.compress(bytes(b)), "binary", useArrow=False)
+    return packed(_c(c).cast("binary"))
+
+
+def unpack_texts(c: Column | str, sep: str) -> Column:
+    """An array of packed texts, joined by ``sep``; missing texts are skipped."""
+    between = sep.encode()
+    joined = F.udf(lambda a: None if a is None else between.join(zlib.decompress(bytes(b)) for b in a if b is not None), "binary", useArrow=False)
+    return joined(_c(c)).cast("string")

@@ -12,8 +12,12 @@ Two plans:
 
 * the question matrix is small enough (checked: rows × dims × 8 bytes ≤ ``broadcast_bytes``):
   it is broadcast once and the corpus is scanned in place, no corpus shuffle;
-* otherwise questions and documents are hashed into blocks and every (question block,
-  document block) pair meets in one cogroup task, each holding a bounded slice of both.
+* otherwise questions and documents are packed into blocks by the tasks that read them and
+  written to the shared folder; every block of questions meets every block of documents
+  (``cartesian``, which reads the files again and shuffles nothing), two blocks in memory at a time.
+
+In both, the corpus is cut into no more parts than there are task slots, so that the candidates
+(k per question and part) grow with the questions, not with questions × documents.
 
 Exactness: candidates are picked with the fast ``|c|² + |q|² − 2c·q`` form and then
 re-scored with the exact ``Σ(c−q)²``; a query whose candidate margin is within the
@@ -24,7 +28,7 @@ floating-point error bound of the fast form is re-scored exactly over the whole
 
 from __future__ import annotations
 
-import math
+import pickle
 
 import numpy as np
 import pandas as pd
@@ -32,10 +36,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import spread_for_cpu
+from ..session import BROADCAST_BYTES, scratch_path, spread_for_cpu
 
-BROADCAST_BYTES = 64 << 20        # question matrix size that is broadcast
-CORPUS_BLOCK_BYTES = 64 << 20      # vectors (as float64) per document block in the blocked plan
+BLOCK_BYTES = 16 << 20             # vectors (as float64) per block in the blocked plan
 TILE_BYTES = 16 << 20              # temporaries of one scoring step
 _CAND_EXTRA = 8                    # extra candidates kept beyond k before exact re-scoring
 _U = np.finfo(np.float64).eps / 2  # unit roundoff
@@ -161,7 +164,7 @@ def broadcastable(n_rows: int, dim: int, broadcast_bytes: int = BROADCAST_BYTES)
 def knn(corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str = "doc_id",
         corpus_vec: str = "embedding", query_id: str = "query_id", query_vec: str = "embedding",
         group_col: str | None = None, broadcast_bytes: int = BROADCAST_BYTES,
-        corpus_block_bytes: int = CORPUS_BLOCK_BYTES,
+        corpus_block_bytes: int = BLOCK_BYTES,
         query_stats: tuple[int, int] | None = None) -> DataFrame:
     """k nearest corpus rows for every query row: (query_id, rank, doc_id, dist[, group]).
 
@@ -180,18 +183,16 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str = "doc_id"
     n_q, dim = query_stats
     if n_q == 0:
         return _finish(corpus.sparkSession.createDataFrame([], _OUT), k, group_col)
-    q_bytes = n_q * max(dim, 1) * 8
     if broadcastable(n_q, dim, broadcast_bytes):
         return _finish(_broadcast_plan(cdf, qdf, k), k, group_col)
-    n_c = cdf.count()
-    qb = math.ceil(q_bytes / broadcast_bytes)
-    cb = max(1, math.ceil(n_c * max(dim, 1) * 8 / corpus_block_bytes))
-    return _finish(_blocked_plan(cdf, qdf, k, qb, cb), k, group_col)
+    rows = lambda size: max(1, size // (8 * max(dim, 1)))
+    return _finish(_blocked_plan(cdf, qdf, k, rows(min(broadcast_bytes, BLOCK_BYTES)), rows(corpus_block_bytes)), k, group_col)
 
 
 def _broadcast_plan(cdf: DataFrame, qdf: DataFrame, k: int) -> DataFrame:
     spark = cdf.sparkSession
-    cdf = spread_for_cpu(cdf)
+    # each task gives k rows per question: no more tasks than run at a time
+    cdf = spread_for_cpu(cdf).coalesce(spark.sparkContext.defaultParallelism)
     pq = qdf.toPandas()          # bounded: size checked by the caller
     groups = {}
     for g, sub in pq.groupby("_g"):
@@ -214,29 +215,52 @@ def _broadcast_plan(cdf: DataFrame, qdf: DataFrame, k: int) -> DataFrame:
     return cdf.mapInPandas(score, _OUT)
 
 
-def _blocked_plan(cdf: DataFrame, qdf: DataFrame, k: int, qb: int, cb: int) -> DataFrame:
-    """Questions replicated over document blocks, documents over question blocks."""
-    q_rep = (qdf.withColumn("_qb", F.pmod(F.xxhash64("qid"), F.lit(qb)))
-             .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))))
-    c_rep = (cdf.withColumn("_cb", F.pmod(F.xxhash64("cid"), F.lit(cb)))
-             .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
-
-    def score(cpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for g, qs in qpdf.groupby("_g"):
-            cs = cpdf[cpdf["_g"] == g]
-            if len(cs) == 0:
-                continue
-            t = TopK(qs["qid"].to_numpy(np.int64), _matrix(qs["qv"]), k)
-            t.add(cs["cid"].to_numpy(np.int64), _matrix(cs["cv"]))
-            out.append(t.rows(g))
-        if not out:
-            return pd.DataFrame({"query_id": np.empty(0, np.int64), "doc_id": np.empty(0, np.int64),
-                                 "dist": np.empty(0, np.float64), "_g": np.empty(0, dtype=object)})
-        return pd.concat(out, ignore_index=True)
-
-    keys = ["_g", "_qb", "_cb"]
-    return c_rep.groupBy(*keys).cogroup(q_rep.groupBy(*keys)).applyInPandas(score, _OUT)
+#: A row of the file is one block: its size is looked at after every row, and a row group holds few of them.
+_BLOCK_FILE = {"parquet.block.size": BLOCK_BYTES, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false", "compression": "zstd"}
+
+
+def _blocks(df: DataFrame, rows: int, name: str) -> DataFrame:
+    """(id, vector, group) rows packed into blocks of at most so many rows, written to the shared folder:
+    (key, block), a block being the pickled list of (group, ids, matrix)."""
+    def pack(batches):
+        from pyspark import TaskContext
+        part, n = TaskContext.get().partitionId(), 0
+        for pdf in batches:
+            pdf = pdf.sort_values("_g", kind="stable")
+            for s in range(0, len(pdf), rows):
+                held = [(g, sub.iloc[:, 0].to_numpy(np.int64), np.stack(sub.iloc[:, 1].to_numpy()))
+                        for g, sub in pdf.iloc[s:s + rows].groupby("_g")]
+                yield pd.DataFrame({"key": [f"{part}-{n}"], "block": [pickle.dumps(held, protocol=5)]})
+                n += 1
+
+    path = scratch_path(df.sparkSession, name)
+    spread_for_cpu(df).mapInPandas(pack, "key string, block binary").write.options(**_BLOCK_FILE).parquet(path)
+    return df.sparkSession.read.schema("key string, block binary").parquet(path)
+
+
+def _blocked_plan(cdf: DataFrame, qdf: DataFrame, k: int, q_rows: int, c_rows: int) -> DataFrame:
+    """Every block of questions against every block of documents."""
+    spark = cdf.sparkSession
+    questions = _blocks(qdf, q_rows, "knn-questions").rdd
+    documents = _blocks(cdf, c_rows, "knn-documents").coalesce(spark.sparkContext.defaultParallelism).rdd
+
+    def score(pairs):
+        key, best = None, {}
+        for q, c in pairs:
+            if q["key"] != key:                  # the documents of the part come once for each block of questions
+                yield from found(best)
+                key, best = q["key"], {g: TopK(ids, Q.astype(np.float64), k) for g, ids, Q in pickle.loads(q["block"])}
+            for g, ids, C in pickle.loads(c["block"]):
+                if g in best:
+                    best[g].add(ids, C.astype(np.float64))
+        yield from found(best)
+
+    def found(best):
+        for g, t in best.items():
+            rows = t.rows(g)
+            yield from zip(*(rows[c].tolist() for c in _OUT.names))
+
+    return spark.createDataFrame(questions.cartesian(documents).mapPartitions(score), _OUT, verifySchema=False)
 
 
 def centroid(df: DataFrame, vec_col: str = "embedding", out: str = "embedding") -> DataFrame:

@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.intent import chart_intent
-from ..functions.text import fill, strip_outer
+from ..functions.text import fill, pack_text, snippet, strip_outer, unpack_texts
 from .chart import chart_file_name, role_errors
 from .chart_batch import ChartBatch
-from ..session import checkpoint_dir
+from ..session import BROADCAST_BYTES, checkpoint_dir, materialise, small
 from ..operators.qa import ASK_K, CHART_NOTE, CONTEXT_SEPARATOR, ERROR_ANSWER, ERROR_QUESTION, ERROR_STORE, SEARCH_K, build_prompt, sources_column
-from ..operators.search import BROADCAST_BYTES, embed_text, knn
+from ..operators.search import embed_text, knn
 from ..sources.store import StoreNotFound, available_stores, load_store
 
 PRUNED_STORES = 1000      # up to so many asked stores are named in the scan's partition filter
@@ -65,17 +65,18 @@ def ask_batch(questions: DataFrame, corpus: DataFrame, k: int = ASK_K,
     checkpoint_dir(questions.sparkSession)      # make sure one is set (tests: a local folder)
     # classifying a long question takes a task far longer than reading it: spread over the slots
     spread = questions.repartition(questions.sparkSession.sparkContext.defaultParallelism)
-    qs = spread.where(F.length(strip_outer(F.col(question))) > 0).withColumn("_kind", chart_intent(F.col(question)))
-    # one row per store: small, and AQE broadcasts it once its size is measured
+    qs = spread.where(F.length(strip_outer(F.col(question))) > 0).withColumn("_kind", chart_intent(F.col(question))) \
+        .withColumn("_dim", F.size(vec_col))
+    # one row per store: small; broadcast, since questions of one store would meet in one task
     complete = available_stores(corpus) if stores is None else stores
     known_stores = complete.select(F.col("store_name").alias("_known"))
     # the flagged batch is read by several actions (size check, question matrix, final
     # join): write it once to the shared checkpoint folder instead of recomputing the store
     # check over the corpus each time; this also cuts its lineage
-    flagged = qs.join(known_stores, qs[store_col] == known_stores["_known"], "left").checkpoint(eager=True)
+    flagged = qs.join(F.broadcast(known_stores), qs[store_col] == known_stores["_known"], "left").checkpoint(eager=True)
     # a question whose vector does not fit the documents' fails alone
     first = corpus.where(F.col(vec_col).isNotNull()).select(F.size(vec_col).alias("d")).first()
-    fits = F.lit(True) if first is None else F.col(vec_col).isNotNull() & (F.size(vec_col) == first["d"])
+    fits = F.lit(True) if first is None else F.coalesce(F.col("_dim") == first["d"], F.lit(False))
     known = flagged.where(F.col("_known").isNotNull() & fits)
     stats = known.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
     asked = [r[0] for r in known.select("_known").distinct().limit(PRUNED_STORES + 1).collect()]
@@ -85,10 +86,12 @@ def ask_batch(questions: DataFrame, corpus: DataFrame, k: int = ASK_K,
     kw = {} if broadcast_bytes is None else {"broadcast_bytes": broadcast_bytes}
     hits = knn(docs, known, k, corpus_id="doc_id", corpus_vec=vec_col, query_id=question_id,
                query_vec=vec_col, group_col=store_col, query_stats=(stats["n"], stats["d"] or 0), **kw)
-    # the hits are k rows per question; when the questions were small enough to broadcast,
-    # so are their hits, and the corpus is probed in place instead of being shuffled
+    # read twice below: written once. They are k rows per question; when the questions were small
+    # enough to broadcast, so are their hits, and the corpus is probed in place instead of being shuffled
+    hits = materialise(hits, "hits")
     if stats["n"] * k * 64 <= (broadcast_bytes or BROADCAST_BYTES):
         hits = F.broadcast(hits)
+    hit_ids = hits.select(F.col("doc_id").alias("_hit"), F.col("group").alias("_of")).distinct()
     if metadata is not None:
         meta = metadata
     elif "metadata" in corpus.columns:
@@ -96,16 +99,21 @@ def ask_batch(questions: DataFrame, corpus: DataFrame, k: int = ASK_K,
     else:
         meta = F.struct(F.col("doc_id"), F.col("store_name"))
     # texts are fetched from the corpus without its vector column, so the vectors are not
-    # read (or recomputed) a second time; only documents with a vector can be hits anyway
-    hit_docs = corpus.select("doc_id", F.col("store_name").cast("string").alias("group"), "page_content",
-                             meta.alias("_meta")).join(hits, ["doc_id", "group"])
-    # context, sources and their count in a single aggregate over <= k rows per question
+    # read (or recomputed) a second time; only documents with a vector can be hits anyway. Other
+    # documents are left out before anything is shuffled (where the ids of the hits can be broadcast; if
+    # not, that filter would be a shuffle of its own), and texts travel compressed, each to many questions
+    texts = corpus.select("doc_id", F.col("store_name").cast("string").alias("group"), "page_content", meta.alias("_meta"))
+    if small(hit_ids, limit=broadcast_bytes or BROADCAST_BYTES):
+        texts = texts.join(F.broadcast(hit_ids), (F.col("doc_id") == F.col("_hit")) & (F.col("group") == F.col("_of")), "left_semi")
+    packed = texts.select("doc_id", "group", pack_text("page_content").alias("_packed"), snippet("page_content").alias("_short"), "_meta")
+    hit_docs = packed.join(hits, ["doc_id", "group"])
+    # texts, sources and their count in a single aggregate over <= k rows per question
     per_q = hit_docs.groupBy("query_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "page_content"))),
-                                 lambda x: x["page_content"]), CONTEXT_SEPARATOR).alias("context"),
-        sources_column("rank", "page_content", F.col("_meta")).alias("sources"),
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "_packed"))), lambda x: x["_packed"]).alias("_texts"),
+        sources_column("rank", "_short", F.col("_meta")).alias("sources"),
         F.count(F.lit(1)).alias("n_sources"))
-    out = flagged.join(per_q, flagged[question_id] == per_q["query_id"], "left")
+    out = flagged.drop(vec_col).join(per_q, flagged[question_id] == per_q["query_id"], "left") \
+        .withColumn("context", unpack_texts("_texts", CONTEXT_SEPARATOR))
     is_known = F.col("_known").isNotNull() & fits
     lost = F.col("_known").isNull()
     kind = F.col("_kind")
@@ -130,7 +138,7 @@ def ask_batch(questions: DataFrame, corpus: DataFrame, k: int = ASK_K,
         chart_file_name(F.col(question), kind).alias("chart_filename"),
         drawable.alias("chart_generated"),
         F.when(lost, fill(ERROR_STORE, store=F.col(store_col)))
-        .when(~is_known, F.concat(F.lit("the question's vector does not fit the documents': "), F.coalesce(F.size(vec_col).cast("string"), F.lit("none"))))
+        .when(~is_known, F.concat(F.lit("the question's vector does not fit the documents': "), F.coalesce(F.col("_dim").cast("string"), F.lit("none"))))
         .alias("error"),
         F.lit(model_name).cast("string").alias("model_used"),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), *drawn)

@@ -106,3 +106,31 @@ def test_places_are_the_remainder_of_the_hash(spark):
             at = int(hashlib.md5(w.lower().encode()).hexdigest()[-8:], 16) % features
             want[at] = want.get(at, 0) + 1
         assert dict(zip(counts.indices.tolist(), counts.values.tolist())) == want
+
+
+def test_blocked_plan_finds_every_pair_and_shuffles_candidates_only(spark):
+    """Blocks once met by keys of two types, so that pairs were lost as soon as there were several shuffle partitions."""
+    rng = np.random.default_rng(7)
+    docs = [(i, rng.normal(size=4).tolist(), f"s{i % 2}") for i in range(200)]
+    asked = [(1000 + i, rng.normal(size=4).tolist(), f"s{i % 2}") for i in range(60)]
+    c = spark.createDataFrame(docs, "doc_id long, embedding array<float>, store string").repartition(9)
+    q = spark.createDataFrame(asked, "query_id long, embedding array<float>, store string").repartition(3)
+    expected = _brute({r["doc_id"]: r["embedding"] for r in c.collect()}, {r["query_id"]: r["embedding"] for r in q.collect()}, 3,
+                      {d: s for d, _, s in docs}, {i: s for i, _, s in asked})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        grouped = search.knn(c, q, 3, group_col="store", broadcast_bytes=320, corpus_block_bytes=640)
+        assert _got(grouped) == expected
+        alone = search.knn(c, q, 3, broadcast_bytes=320, corpus_block_bytes=640)
+        assert _got(alone) == _got(search.knn(c, q, 3))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert grouped._jdf.queryExecution().logical().toString().count("CoGroup") == 0
+    assert grouped._jdf.queryExecution().sparkPlan().toString().count("Window ") == 1
+
+
+def test_candidates_grow_with_the_questions_only(spark):
+    c = spark.range(4000).selectExpr("id as doc_id", "array(cast(id as float)) as embedding").repartition(200)
+    q = spark.createDataFrame([(i, [float(i)]) for i in range(20)], "query_id long, embedding array<float>")
+    found = search._broadcast_plan(c.selectExpr("doc_id as cid", "embedding as cv", "'' as _g"), q.selectExpr("query_id as qid", "embedding as qv", "'' as _g"), 3)
+    assert found.count() <= 20 * 3 * spark.sparkContext.defaultParallelism
