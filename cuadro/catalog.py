@@ -568,7 +568,7 @@ from (select conv_id, turn, text, {_sql_intent('q')} chart_type from {_QUESTIONS
 from .operators import qa, search  # noqa: E402
 from .plans.ask import ask_batch, search_similar  # noqa: E402
 from .plans.chart_batch import chart_batch  # noqa: E402
-from .session import scratch_path  # noqa: E402
+from .session import materialise, scratch_path, small  # noqa: E402
 from .sources import store as store_mod  # noqa: E402
 
 
@@ -606,13 +606,16 @@ def q_build_prompt(spark, sf_dir):
     return c.select("conv_id", "turn", F.md5(qa.build_prompt(F.col("text"), F.col("role"))).alias("prompt_md5"))
 
 
-def _doc_corpus(spark, sf_dir):
+def _doc_corpus(spark, sf_dir, counted=False):
+    """``counted``: only whether there is a text, for counts of stores (a join would send whole texts)."""
     d = read_table(spark, sf_dir, "documents")
+    if counted:
+        d = d.withColumn("text", F.when(F.col("text").isNotNull(), F.lit("")))
     e = read_table(spark, sf_dir, "embeddings")
-    return d.join(e, d["doc_id"] == e["vec_id"], "left").select(
-        d["doc_id"], F.col("text").alias("page_content"), F.col("source").alias("store_name"),
-        F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source")).alias("metadata"),
-        "embedding")
+    # the map is made before the join: Spark moves no filter on documents through a map
+    d = d.select("doc_id", F.col("text").alias("page_content"), F.col("source").alias("store_name"),
+                 F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source")).alias("metadata"))
+    return d.join(e, d["doc_id"] == e["vec_id"], "left").select("doc_id", "page_content", "store_name", "metadata", "embedding")
 
 
 def q_stores_available(spark, sf_dir):
@@ -648,6 +651,9 @@ def _vector_questions(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings")
     text = F.element_at(F.array(*[F.lit(t) for t in QUESTION_TEMPLATES]), (F.pmod("vec_id", F.lit(10)) + 1).cast("int"))
     question = F.replace(text, F.lit("{}"), F.col("text"))
+    ids = e.select(F.col("vec_id").alias("_vec")).distinct()
+    if small(ids):      # texts of documents without a vector are left out before the join
+        d = d.join(F.broadcast(ids), F.col("doc_id") == F.col("_vec"), "left_semi")
     return e.join(d, e["vec_id"] == d["doc_id"]).select(
         F.col("vec_id").alias("question_id"),
         F.when(F.pmod("vec_id", F.lit(11)) == 0, F.lit(" \t")).otherwise(question).alias("question"),
@@ -656,8 +662,9 @@ def _vector_questions(spark, sf_dir):
 
 
 def q_ask_batch(spark, sf_dir):
-    questions = _vector_questions(spark, sf_dir)
-    res = ask_batch(questions, _doc_corpus(spark, sf_dir), charts=chart_batch(questions, read_table(spark, sf_dir, "lineitem")))
+    questions = materialise(_vector_questions(spark, sf_dir), "questions")     # read by the charts and the answers
+    res = ask_batch(questions, _doc_corpus(spark, sf_dir), stores=store_mod.available_stores(_doc_corpus(spark, sf_dir, counted=True)),
+                    charts=chart_batch(questions, read_table(spark, sf_dir, "lineitem")))
     return res.select(
         "question_id", "store_name", F.col("n_sources").cast("bigint").alias("n_sources"),
         F.md5("context").alias("context_md5"), F.md5("prompt").alias("prompt_md5"),

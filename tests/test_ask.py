@@ -62,3 +62,31 @@ def test_a_vector_that_does_not_fit_fails_alone(spark):
         assert rows[bad]["answer"] == ERROR_QUESTION and rows[bad]["error"].endswith(what)
         assert rows[bad]["n_sources"] == 0 and rows[bad]["prompt"] is None and not rows[bad]["chart_generated"]
     assert "no encontrado" in rows[4]["error"]
+
+
+def test_packed_texts_come_back_as_they_were(spark):
+    from cuadro.functions.text import pack_text, unpack_texts
+    texts = ["añ 🙂\n\n", "", None, "x" * 5000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    packed = df.withColumn("p", pack_text("t")).agg(F.sort_array(F.collect_list(F.struct("i", "p")))["p"].alias("ps"))
+    assert packed.select(unpack_texts("ps", "\n\n")).first()[0] == "\n\n".join(t for t in texts if t is not None)
+    assert spark.sql("select cast(null as array<binary>) ps").select(unpack_texts("ps", "-")).first()[0] is None
+
+
+def test_only_texts_of_hits_are_joined(spark, tmp_dir):
+    """The filter by hits stands below the join of documents and vectors, which sent every text before."""
+    from cuadro import catalog
+    spark.createDataFrame([(i, f"text {i}", "es", "s1", 6) for i in range(50)], "doc_id long, text string, lang string, source string, n_chars long") \
+        .write.parquet(f"{tmp_dir}/documents.parquet")
+    spark.createDataFrame([(i, [float(i), 1.0], 0) for i in range(20)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_dir}/embeddings.parquet")
+    qs = spark.createDataFrame([(1, "hola", "s1", [0.1, 1.0])], "question_id long, question string, store_name string, embedding array<float>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        res = ask_batch(qs, catalog._doc_corpus(spark, tmp_dir))
+        plan = res._jdf.queryExecution().optimizedPlan().toString()
+        assert res.first()["context"] == "text 0\n\ntext 1\n\ntext 2"
+        asked = catalog._vector_questions(spark, tmp_dir)
+        assert asked.count() == 20 and "LeftSemi" in asked._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 < plan.index("Join LeftOuter, (doc_id") < plan.index("Join LeftSemi")
