@@ -28,6 +28,7 @@ floating-point error bound of the fast form is re-scored exactly over the whole
 
 from __future__ import annotations
 
+import math
 import pickle
 
 import numpy as np
@@ -242,7 +243,9 @@ def _blocked_plan(cdf: DataFrame, qdf: DataFrame, k: int, q_rows: int, c_rows: i
     """Every block of questions against every block of documents."""
     spark = cdf.sparkSession
     questions = _blocks(qdf, q_rows, "knn-questions").rdd
-    documents = _blocks(cdf, c_rows, "knn-documents").coalesce(spark.sparkContext.defaultParallelism).rdd
+    # a part of the questions meets a part of the documents in a task, which gives k rows per question
+    parts = 2 * math.ceil(math.sqrt(spark.sparkContext.defaultParallelism))
+    documents = _blocks(cdf, c_rows, "knn-documents").coalesce(parts).rdd
 
     def score(pairs):
         key, best = None, {}

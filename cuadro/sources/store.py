@@ -113,7 +113,8 @@ def write_store(docs: DataFrame, base: str) -> None:
         elif not isinstance(docs.schema[f.name].dataType, T.VariantType):
             c = F.to_variant_object(c)
         cols.append(c.alias(f.name))
-    docs.select(*cols).hint("rebalance", "store_name").write.partitionBy("store_name").parquet(f"{base}/data/version={version}")
+    docs.select(*cols).hint("rebalance", "store_name").write.partitionBy("store_name") \
+        .parquet(f"{base}/data/version={version}", compression="zstd")
     _commit(spark, base, _read_version(spark, base, version).groupBy("store_name", "version").agg(
         F.count("page_content").alias("n_docs"), F.count("embedding").alias("n_vecs")))
 
