@@ -11,8 +11,8 @@ anchors: 50 bytes to the right and 26 to the left hold every window around an an
 1. Documents are packed into runs of about ``RUN_BYTES`` (a longer document is a run alone),
    written once as one compressed row a run. Of documents with the same text only those with the
    smallest doc_id go on: all windows of the others start in a smaller doc_id.
-2. Each run sends its distinct anchor hashes as sorted, delta-coded blocks by hash range. A range
-   answers with one bit a hash: does another run have it?
+2. Each run sends its distinct anchor hashes, mixed again so that ranges of them are even, as sorted,
+   delta-coded blocks by hash range. A range answers with one bit a hash: does another run have it?
 3. Each run sorts the suffixes of its shared anchors by range (key: bytes to the right, bytes to
    the left), keeps each different key once with its smallest doc_id, and sends the sorted run,
    front-coded: the length of the prefix shared with the key before, and the rest.
@@ -162,7 +162,11 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 def anchors(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Anchor positions in the concatenated texts and their hashes; ``ends``: where each text ends."""
+    """Anchor positions in the concatenated texts and their hashes; ``ends``: where each text ends.
+
+    The hashes returned are mixed again, one to one: those chosen are least ones, so they crowd at the low end,
+    where the first ranges would hold most of them.
+    """
     at, found = [np.array([], np.int64)], [np.array([], np.uint64)]
     begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
     for first in range(0, len(buf) - WINDOW + 1, SCAN):
@@ -175,7 +179,8 @@ def anchors(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         edge = np.zeros(SPAN - 1, np.uint64)
         chosen = np.flatnonzero((_sliding(np.concatenate([edge, least, edge]), SPAN, np.maximum) == h) & (h > 0))
         at.append(chosen + first)
-        found.append(h[chosen])
+        mixed = h[chosen] * np.uint64(0xA24BAED4963EE407)
+        found.append((mixed ^ mixed >> np.uint64(32)) * np.uint64(0x9FB21C651E98DF25))
     at, index = np.unique(np.concatenate(at), return_index=True)
     return at, np.concatenate(found)[index]
 

@@ -108,3 +108,10 @@ def test_merge_gives_order_and_common_prefixes():
             out.append(run.key)
             before = run.key
         assert out == sorted(x for part in lists for x in part)
+
+
+def test_hash_ranges_are_even():
+    buf = np.frombuffer(prose(200_000).encode(), np.uint8)
+    h = np.unique(S.anchors(buf, np.array([len(buf)]))[1])
+    counts = np.bincount(S._range_of(h, 100), minlength=100)
+    assert counts.max() < 1.5 * counts.mean()
