@@ -19,9 +19,9 @@ Two plans:
 In both, the corpus is cut into no more parts than there are task slots, so that the candidates
 (k per question and part) grow with the questions, not with questions × documents.
 
-Exactness: candidates are picked with the fast ``|c|² + |q|² − 2c·q`` form and then
-re-scored with the exact ``Σ(c−q)²``; a query whose candidate margin is within the
-floating-point error bound of the fast form is re-scored exactly over the whole block.
+Exactness: documents are picked by scores from one single-precision matrix product. Those that its
+rounding leaves in doubt, by a rigorous bound, are measured as ``Σ(c−q)²`` in double precision, and only
+these distances decide.
 
 ``group_col`` restricts matches to equal groups (a question only searches its own store).
 """
@@ -41,110 +41,154 @@ from ..session import BROADCAST_BYTES, scratch_path, spread_for_cpu
 
 BLOCK_BYTES = 16 << 20             # vectors (as float64) per block in the blocked plan
 TILE_BYTES = 16 << 20              # temporaries of one scoring step
-_CAND_EXTRA = 8                    # extra candidates kept beyond k before exact re-scoring
+TILE_ROWS = 1024                   # questions and documents of one scoring step: its scores stay in the cache
 _U = np.finfo(np.float64).eps / 2  # unit roundoff
 
 _OUT = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("doc_id", T.LongType()),
                      T.StructField("dist", T.DoubleType()), T.StructField("_g", T.StringType())])
 
 
-def _exact(C: np.ndarray, Q: np.ndarray) -> np.ndarray:
-    """Σ(c−q)² for every (c, q): shape (len(C), len(Q)); temporaries stay within TILE_BYTES."""
-    out = np.empty((C.shape[0], Q.shape[0]))
-    step = max(1, TILE_BYTES // (8 * max(1, Q.shape[0] * Q.shape[1])))
-    for s in range(0, C.shape[0], step):
-        d = C[s:s + step, None, :] - Q[None, :, :]
-        out[s:s + step] = np.einsum("mqd,mqd->mq", d, d)
-    return out
-
-
-def _merge(best_d, best_i, d, i, k):
-    """Keep the k smallest (dist, id) per row of (q, ·) arrays."""
-    D = np.concatenate([best_d, d], axis=1)
-    I = np.concatenate([best_i, i], axis=1)
-    if D.shape[1] > k:
-        order = np.lexsort((I, D), axis=1)[:, :k]
-        D = np.take_along_axis(D, order, 1)
-        I = np.take_along_axis(I, order, 1)
-    return D, I
-
-
 def _few_copies(ids: np.ndarray, C: np.ndarray, k: int) -> np.ndarray:
     """Rows that can matter: of equal vectors only the k smallest ids (ties go to the smaller id)."""
-    if len(ids) <= k:
+    if len(ids) <= k or C.shape[1] == 0:
         return np.arange(len(ids))
-    raw = np.ascontiguousarray(C + 0.0).view(np.dtype((np.void, C.shape[1] * 8))).ravel()
+    raw = np.ascontiguousarray(C + C.dtype.type(0)).view(np.dtype((np.void, C.shape[1] * C.itemsize))).ravel()
     group = np.unique(raw, return_inverse=True)[1]
     order = np.lexsort((ids, group))
     first = np.searchsorted(group[order], group[order])
     return order[np.arange(len(order)) - first < k]
 
 
+def _halved(C: np.ndarray, kind: type) -> tuple[np.ndarray, float]:
+    """(rows (c, −|c|²/2) in the given precision, the largest |c|)."""
+    c2 = np.einsum("nd,nd->n", C, C, dtype=np.float64, casting="safe")
+    rows = np.empty((len(C), C.shape[1] + 1), kind)
+    rows[:, :-1] = C
+    rows[:, -1] = c2 * -0.5
+    return rows, math.sqrt(c2.max())
+
+
 class TopK:
     """Running exact top-k per question over corpus blocks.
 
+    A document at distance δ has score ``c·q − |c|²/2 = (|q|² − δ)/2``. All scores come from one matrix
+    product, in single precision where the values allow it; only documents whose score is not lower, by more
+    than its rounding can explain, than that of the question's k-th best so far are measured exactly. A tile's
+    first questions have no k-th best yet: theirs is the k-th largest of the best scores of groups of documents.
+
     Documents and questions are cut into tiles, so that no temporary exceeds ``TILE_BYTES``
     whatever the number of questions, the width, or the number of equal vectors.
     """
 
     def __init__(self, q_ids: np.ndarray, Q: np.ndarray, k: int):
-        self.q_ids, self.Q, self.k = q_ids, Q, k
-        self.q2 = (Q * Q).sum(1)
+        Q = _floats(Q)
+        self.q_ids, self.k = q_ids, k
+        self.live = np.isfinite(Q).all(1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.q2 = np.einsum("nd,nd->n", Q, Q, dtype=np.float64, casting="safe")
+            self.A = np.concatenate([Q, np.ones((len(Q), 1), Q.dtype)], axis=1).astype(np.float32, copy=False)
+        self.Q = self.A[:, :-1] if Q.dtype == np.float32 else Q
+        self.most = float(np.abs(Q[self.live]).max(initial=0.0))
         self.D = np.full((len(q_ids), k), np.inf)
         self.I = np.full((len(q_ids), k), np.iinfo(np.int64).max)
+        self.space: dict[np.dtype, np.ndarray] = {}
 
     def add(self, c_ids: np.ndarray, C: np.ndarray) -> None:
         if len(self.q_ids) == 0 or len(c_ids) == 0:
             return
-        d = max(1, C.shape[1])
-        kk = self.k + _CAND_EXTRA
-        q_step = max(1, TILE_BYTES // (8 * kk * d))
-        c_step = max(kk + 1, TILE_BYTES // (8 * max(d, min(q_step, len(self.q_ids)))))
+        C = _floats(C)
+        d = C.shape[1]
+        if d != self.Q.shape[1]:
+            raise ValueError(f"documents of {d} dimensions, questions of {self.Q.shape[1]}")
+        live = np.isfinite(C).all(1)
+        if not live.all():
+            c_ids, C = c_ids[live], C[live]
+        rows = max(1, TILE_BYTES // (8 * (d + 1)))
+        q_step = min(len(self.q_ids), TILE_ROWS, rows)
+        c_step = min(max(TILE_ROWS, TILE_ROWS * TILE_ROWS // q_step), rows)
         for s in range(0, len(c_ids), c_step):
             ids, Cc = c_ids[s:s + c_step], C[s:s + c_step]
             keep = _few_copies(ids, Cc, self.k)
             ids, Cc = ids[keep], Cc[keep]
+            most = max(self.most, float(np.abs(Cc).max(initial=0.0)))
+            kind = np.float32 if most <= 1e15 and d < 500_000 else np.float64 if most <= 1e150 else None
+            scored = _halved(Cc, kind) if kind else None
             for t in range(0, len(self.q_ids), q_step):
-                self._add_tile(ids, Cc, slice(t, t + q_step))
-
-    def _add_tile(self, ids: np.ndarray, Cc: np.ndarray, part: slice) -> None:
-        k, Q, q2 = self.k, self.Q[part], self.q2[part]
-        kk = min(len(ids), k + _CAND_EXTRA)
-        if kk == len(ids):
-            ex = _exact(Cc, Q).T                                         # (q, m)
-            self.D[part], self.I[part] = _merge(self.D[part], self.I[part], ex, np.broadcast_to(ids, ex.shape), k)
+                self._add_tile(ids, Cc, scored, slice(t, min(t + q_step, len(self.q_ids))))
+
+    def _add_tile(self, ids: np.ndarray, Cc: np.ndarray, scored: tuple[np.ndarray, float] | None, part: slice) -> None:
+        if scored is None:                                               # squares would overflow: everything is measured
+            q = np.flatnonzero(self.live[part])
+            at = np.repeat(q, len(ids)) * len(ids) + np.tile(np.arange(len(ids)), len(q))
+        else:
+            B, c_most = scored
+            A = self.A[part] if B.dtype == np.float32 else np.concatenate([self.Q[part], np.ones((part.stop - part.start, 1))], axis=1)
+            S = np.matmul(A, B.T, out=self._room(B.dtype, len(A), len(B)))             # (q, m)
+            at = np.flatnonzero(np.greater_equal(S, self._least(S, c_most, part)[:, None], out=self._room(np.dtype(bool), *S.shape)))
+        step = max(1, TILE_BYTES // (32 * max(1, Cc.shape[1])))
+        for s in range(0, len(at), step):
+            q, c = np.divmod(at[s:s + step], len(ids))
+            self._measure(q + part.start, ids[c], Cc[c])
+
+    def _room(self, kind: np.dtype, rows: int, columns: int) -> np.ndarray:
+        """Space for a tile's scores, taken once: new pages would cost as much as the comparisons."""
+        if kind not in self.space or self.space[kind].size < rows * columns:
+            self.space[kind] = np.empty(rows * columns, kind)
+        return self.space[kind][:rows * columns].reshape(rows, columns)
+
+    def _least(self, S: np.ndarray, c_most: float, part: slice) -> np.ndarray:
+        """The score under which a document of the tile cannot be among a question's k nearest."""
+        k, kind, n = self.k, S.dtype.type, self.A.shape[1]
+        q2, kth = self.q2[part], self.D[part, k - 1]
+        with np.errstate(over="ignore", invalid="ignore"):
+            # rounding of n products summed in any order, and of the factors: γ_n ≤ 1.1·n·u as n·u < 0.05
+            eps = 1.1 * (n + 8) * float(np.finfo(kind).eps) / 2 * (c_most * np.sqrt(q2) + c_most ** 2 / 2) + 4 * n * float(np.finfo(kind).tiny)
+            exact = 8 * (n + 8) * _U                                     # of the double forms, relative
+            least = (q2 - kth) / 2 - eps - exact * (q2 + kth)
+            groups = min(S.shape[1], 16 * k)
+            if groups >= k and np.isinf(kth[self.live[part]]).any():
+                best = S[:, :S.shape[1] // groups * groups].reshape(len(S), groups, -1).max(axis=2)
+                seed = np.partition(best, groups - k, axis=1)[:, groups - k].astype(np.float64)
+                least = np.maximum(least, seed - 2 * eps - exact * (q2 + c_most ** 2))
+            least = np.nextafter(least.astype(kind), kind(-np.inf))
+        return np.where(self.live[part], least, kind(np.inf))
+
+    def _measure(self, q: np.ndarray, ids: np.ndarray, C: np.ndarray) -> None:
+        """Σ(c−q)² of pairs, sorted by question, and the k smallest (dist, id) of each question kept."""
+        diff = C.astype(np.float64)
+        diff -= self.Q[q]
+        with np.errstate(over="ignore"):
+            dist = np.einsum("nd,nd->n", diff, diff)
+        near = dist <= np.minimum(self.D[q, self.k - 1], np.finfo(np.float64).max)
+        q, ids, dist = q[near], ids[near], dist[near]
+        if len(q) == 0:
             return
-        c2 = (Cc * Cc).sum(1)
-        approx = c2[:, None] + q2[None, :] - 2.0 * (Cc @ Q.T)            # (m, q)
-        order = np.argpartition(approx, kk, axis=0)
-        cand = order[:kk]                                                # (kk, q)
-        nxt = np.take_along_axis(approx, order[kk:kk + 1], 0)[0]         # best approx left out
-        diff = Cc[cand] - Q[None, :, :]
-        ex = np.einsum("kqd,kqd->kq", diff, diff)                        # (kk, q)
-        kth = np.sort(ex, axis=0)[k - 1]
-        # rigorous float64 error bound of |c|²+|q|²−2c·q against Σ(c−q)² (both computed):
-        # (d+4)·u·(|c|+|q|)², doubled for the rounding of the exact form itself
-        eps = 2.0 * (Cc.shape[1] + 4) * _U * (np.sqrt(c2.max()) + np.sqrt(q2)) ** 2 + 1e-300
-        D, I = _merge(self.D[part], self.I[part], ex.T, ids[cand].T, k)
-        # near-ties at the candidate border: re-score exactly every document inside the ambiguous band
-        for u in np.flatnonzero(nxt - eps <= kth).tolist():
-            rows = np.flatnonzero(approx[:, u] <= kth[u] + eps[u])
-            exact = _exact(Cc[rows], Q[u:u + 1]).T
-            D[u:u + 1], I[u:u + 1] = _merge(self.D[part][u:u + 1], self.I[part][u:u + 1], exact, ids[rows][None, :], k)
-        self.D[part], self.I[part] = D, I
+        asked, number = np.unique(q, return_inverse=True)
+        number = np.concatenate([np.repeat(np.arange(len(asked)), self.k), number])
+        D, I = np.concatenate([self.D[asked].ravel(), dist]), np.concatenate([self.I[asked].ravel(), ids])
+        order = np.lexsort((I, D, number))
+        number = number[order]
+        kept = order[np.arange(len(order)) - np.searchsorted(number, np.arange(len(asked)))[number] < self.k]
+        self.D[asked], self.I[asked] = D[kept].reshape(-1, self.k), I[kept].reshape(-1, self.k)
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(question ids, document ids, distances)."""
+        found = np.isfinite(self.D).ravel()
+        return (np.repeat(self.q_ids, self.k)[found].astype(np.int64), self.I.ravel()[found].astype(np.int64), self.D.ravel()[found])
 
     def rows(self, group: str = "") -> pd.DataFrame:
-        found = np.isfinite(self.D).ravel()
-        q = np.repeat(self.q_ids, self.D.shape[1])[found]
-        return pd.DataFrame({"query_id": q.astype(np.int64), "doc_id": self.I.ravel()[found].astype(np.int64),
-                             "dist": self.D.ravel()[found].astype(np.float64),
-                             "_g": np.full(len(q), str(group), dtype=object)})
+        q, c, dist = self.found()
+        return pd.DataFrame({"query_id": q, "doc_id": c, "dist": dist, "_g": np.full(len(q), str(group), dtype=object)})
+
+
+def _floats(M: np.ndarray) -> np.ndarray:
+    return M if M.dtype == np.float32 else M.astype(np.float64, copy=False)
 
 
 def _matrix(series: pd.Series) -> np.ndarray:
     if len(series) == 0:
         return np.zeros((0, 0))
-    return np.stack(series.to_numpy()).astype(np.float64, copy=False)
+    return _floats(np.stack(series.to_numpy()))
 
 
 def _finish(cands: DataFrame, k: int, group_col: str | None) -> DataFrame:

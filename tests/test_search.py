@@ -134,3 +134,36 @@ def test_candidates_grow_with_the_questions_only(spark):
     q = spark.createDataFrame([(i, [float(i)]) for i in range(20)], "query_id long, embedding array<float>")
     found = search._broadcast_plan(c.selectExpr("doc_id as cid", "embedding as cv", "'' as _g"), q.selectExpr("query_id as qid", "embedding as qv", "'' as _g"), 3)
     assert found.count() <= 20 * 3 * spark.sparkContext.defaultParallelism
+
+
+def test_few_documents_are_measured(monkeypatch):
+    """Each question once kept 8 candidates more than k of every tile, picked by a partition of all its scores."""
+    rng = np.random.default_rng(11)
+    C, Q = rng.normal(size=(20_000, 16)).astype(np.float32), rng.normal(size=(50, 16)).astype(np.float32)
+    measured, measure = [], search.TopK._measure
+    monkeypatch.setattr(search.TopK, "_measure", lambda self, q, ids, c: (measured.append(len(q)), measure(self, q, ids, c)))
+    t = search.TopK(np.arange(50), Q, 3)
+    for s in range(0, len(C), 1500):
+        t.add(np.arange(s, min(s + 1500, len(C))), C[s:s + 1500])
+    assert sum(measured) < 0.01 * 50 * len(C)
+    D = ((C.astype(float)[None] - Q.astype(float)[:, None]) ** 2).sum(2)
+    assert t.I.tolist() == [np.lexsort((np.arange(len(C)), row))[:3].tolist() for row in D]
+
+
+def test_rounding_of_the_scores_never_decides():
+    rng = np.random.default_rng(12)
+    near = 1000 + rng.normal(size=(3000, 8)) * 1e-5            # closer to each other than single precision can tell
+    for C in (near, near * 1e160, near * 1e-30, np.vstack([near, [[np.nan] * 8, [np.inf] * 8]])):
+        Q = np.vstack([C[:40] * (1 + 1e-9), [[np.nan] * 8]])
+        t = search.TopK(np.arange(41), Q, 4)
+        for s in range(0, len(C), 700):
+            t.add(np.arange(s, min(s + 700, len(C))), C[s:s + 700])
+        with np.errstate(all="ignore"):
+            D = ((C[None] - Q[:40, None]) ** 2).sum(2)
+        D[~np.isfinite(D)] = np.inf
+        want = np.array([np.lexsort((np.arange(len(C)), row))[:4] for row in D])
+        got = np.take_along_axis(D, np.where(t.I[:40] < len(C), t.I[:40], 0), 1)
+        best = np.take_along_axis(D, want, 1)
+        ok = np.isfinite(best)
+        assert np.allclose(got[ok], best[ok], rtol=1e-12, atol=0) and not np.isfinite(t.D[:40][~ok]).any()
+        assert not np.isfinite(t.D[40]).any()
