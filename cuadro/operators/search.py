@@ -14,7 +14,8 @@ Two plans:
   it is broadcast once and the corpus is scanned in place, no corpus shuffle;
 * otherwise questions and documents are packed into blocks by the tasks that read them and
   written to the shared folder; every block of questions meets every block of documents
-  (``cartesian``, which reads the files again and shuffles nothing), two blocks in memory at a time.
+  (``cartesian``, which reads the files again and shuffles nothing), two blocks in memory at a time;
+  of vectors that are mostly 0, only the other values and their places travel.
 
 In both, the corpus is cut into no more parts than there are task slots, so that the candidates
 (k per question and part) grow with the questions, not with questions × documents.
@@ -28,18 +29,24 @@ these distances decide.
 
 from __future__ import annotations
 
+import itertools
 import math
 import pickle
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import BROADCAST_BYTES, scratch_path, spread_for_cpu
 
-BLOCK_BYTES = 16 << 20             # vectors (as float64) per block in the blocked plan
+if TYPE_CHECKING:                  # loaded where they are used: the scoring tasks need neither
+    import pandas as pd
+    import pyarrow as pa
+
+BLOCK_BYTES = 16 << 20             # vectors (as float64) per block of documents in the blocked plan
+QUESTION_BYTES = 32 << 20          # the same of questions: documents are read once for each block of questions
 TILE_BYTES = 16 << 20              # temporaries of one scoring step
 TILE_ROWS = 1024                   # questions and documents of one scoring step: its scores stay in the cache
 _U = np.finfo(np.float64).eps / 2  # unit roundoff
@@ -177,6 +184,7 @@ class TopK:
         return (np.repeat(self.q_ids, self.k)[found].astype(np.int64), self.I.ravel()[found].astype(np.int64), self.D.ravel()[found])
 
     def rows(self, group: str = "") -> pd.DataFrame:
+        import pandas as pd
         q, c, dist = self.found()
         return pd.DataFrame({"query_id": q, "doc_id": c, "dist": dist, "_g": np.full(len(q), str(group), dtype=object)})
 
@@ -231,7 +239,7 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str = "doc_id"
     if broadcastable(n_q, dim, broadcast_bytes):
         return _finish(_broadcast_plan(cdf, qdf, k), k, group_col)
     rows = lambda size: max(1, size // (8 * max(dim, 1)))
-    return _finish(_blocked_plan(cdf, qdf, k, rows(min(broadcast_bytes, BLOCK_BYTES)), rows(corpus_block_bytes)), k, group_col)
+    return _finish(_blocked_plan(cdf, qdf, k, rows(min(broadcast_bytes, QUESTION_BYTES)), rows(corpus_block_bytes)), k, group_col)
 
 
 def _broadcast_plan(cdf: DataFrame, qdf: DataFrame, k: int) -> DataFrame:
@@ -260,26 +268,70 @@ def _broadcast_plan(cdf: DataFrame, qdf: DataFrame, k: int) -> DataFrame:
     return cdf.mapInPandas(score, _OUT)
 
 
-#: A row of the file is one block: its size is looked at after every row, and a row group holds few of them.
-_BLOCK_FILE = {"parquet.block.size": BLOCK_BYTES, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false", "compression": "zstd"}
+#: A row of the file is one block and a row group: files are split between any two blocks.
+_BLOCK_FILE = {"parquet.block.size": 1 << 20, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false", "compression": "zstd"}
+
+
+def _thin(M: np.ndarray) -> tuple:
+    """A matrix as it travels: its values that are not 0 with their places, if that is shorter."""
+    at = np.flatnonzero(M)
+    if len(at) * (4 + M.itemsize) >= M.nbytes or M.size >= 1 << 32:
+        return M.shape, None, M
+    return M.shape, at.astype(np.uint32), M.ravel()[at]
+
+
+def _full(shape: tuple, at: np.ndarray | None, values: np.ndarray) -> np.ndarray:
+    if at is None:
+        return values
+    M = np.zeros(shape, values.dtype)
+    M.ravel()[at] = values
+    return M
+
+
+def _by_group(batch: pa.RecordBatch) -> list[tuple[str, np.ndarray, tuple]]:
+    """(group, ids, matrix as it travels) of an Arrow batch (id, vector, group)."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    out = []
+    for g in pc.unique(batch.column(2)).drop_null().to_pylist():
+        part = batch.filter(pc.equal(batch.column(2), g))
+        ids, vectors = pc.fill_null(part.column(0), np.iinfo(np.int64).min).to_numpy(), part.column(1)
+        sizes = pc.unique(pc.list_value_length(vectors)).to_pylist()
+        if len(sizes) != 1:
+            raise ValueError(f"all vectors of a group need the same size, not {sorted(sizes)}")
+        values = vectors.flatten()
+        if not pa.types.is_floating(values.type):
+            values = values.cast(pa.float64())
+        out.append((g, ids, _thin(_floats(values.to_numpy(zero_copy_only=False)).reshape(len(ids), sizes[0]))))
+    return out
 
 
 def _blocks(df: DataFrame, rows: int, name: str) -> DataFrame:
     """(id, vector, group) rows packed into blocks of at most so many rows, written to the shared folder:
-    (key, block), a block being the pickled list of (group, ids, matrix)."""
+    (key, block), a block being the pickled list of pieces (group, ids, matrix) of at most ``TILE_ROWS`` rows."""
     def pack(batches):
+        import pyarrow as pa
         from pyspark import TaskContext
-        part, n = TaskContext.get().partitionId(), 0
-        for pdf in batches:
-            pdf = pdf.sort_values("_g", kind="stable")
-            for s in range(0, len(pdf), rows):
-                held = [(g, sub.iloc[:, 0].to_numpy(np.int64), np.stack(sub.iloc[:, 1].to_numpy()))
-                        for g, sub in pdf.iloc[s:s + rows].groupby("_g")]
-                yield pd.DataFrame({"key": [f"{part}-{n}"], "block": [pickle.dumps(held, protocol=5)]})
-                n += 1
+        part, n, size, held = TaskContext.get().partitionId(), 0, 0, []
+
+        def block():
+            return pa.RecordBatch.from_arrays([pa.array([f"{part}-{n}"]), pa.array([pickle.dumps(held, protocol=5)], pa.binary())], ["key", "block"])
+
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                piece = batch.slice(at, min(rows - size, TILE_ROWS))
+                at, size = at + piece.num_rows, size + piece.num_rows
+                held += _by_group(piece)
+                if size == rows:
+                    yield block()
+                    n, size, held = n + 1, 0, []
+        if size:
+            yield block()
+        pa.default_memory_pool().release_unused()          # the worker stays for later tasks
 
     path = scratch_path(df.sparkSession, name)
-    spread_for_cpu(df).mapInPandas(pack, "key string, block binary").write.options(**_BLOCK_FILE).parquet(path)
+    spread_for_cpu(df).mapInArrow(pack, "key string, block binary").write.options(**_BLOCK_FILE).parquet(path)
     return df.sparkSession.read.schema("key string, block binary").parquet(path)
 
 
@@ -291,21 +343,26 @@ def _blocked_plan(cdf: DataFrame, qdf: DataFrame, k: int, q_rows: int, c_rows: i
     parts = 2 * math.ceil(math.sqrt(spark.sparkContext.defaultParallelism))
     documents = _blocks(cdf, c_rows, "knn-documents").coalesce(parts).rdd
 
+    def asked(block):
+        pieces = {}
+        for g, ids, M in pickle.loads(block):
+            pieces.setdefault(g, []).append((ids, _full(*M)))
+        return {g: TopK(np.concatenate([ids for ids, _ in own]), np.concatenate([Q for _, Q in own]), k) for g, own in pieces.items()}
+
     def score(pairs):
         key, best = None, {}
         for q, c in pairs:
             if q["key"] != key:                  # the documents of the part come once for each block of questions
                 yield from found(best)
-                key, best = q["key"], {g: TopK(ids, Q.astype(np.float64), k) for g, ids, Q in pickle.loads(q["block"])}
-            for g, ids, C in pickle.loads(c["block"]):
+                key, best = q["key"], asked(q["block"])
+            for g, ids, M in pickle.loads(c["block"]):
                 if g in best:
-                    best[g].add(ids, C.astype(np.float64))
+                    best[g].add(ids, _full(*M))
         yield from found(best)
 
     def found(best):
         for g, t in best.items():
-            rows = t.rows(g)
-            yield from zip(*(rows[c].tolist() for c in _OUT.names))
+            yield from zip(*(x.tolist() for x in t.found()), itertools.repeat(str(g)))
 
     return spark.createDataFrame(questions.cartesian(documents).mapPartitions(score), _OUT, verifySchema=False)
 

@@ -167,3 +167,19 @@ def test_rounding_of_the_scores_never_decides():
         ok = np.isfinite(best)
         assert np.allclose(got[ok], best[ok], rtol=1e-12, atol=0) and not np.isfinite(t.D[:40][~ok]).any()
         assert not np.isfinite(t.D[40]).any()
+
+
+def test_blocks_carry_what_is_not_zero(spark):
+    """A block once held every 0 of its vectors, and no more rows than one batch."""
+    import pickle
+    rows = [(i, [float(j == i % 64) * (i + 1) for j in range(64)], "a" if i % 3 else "b") for i in range(300)]
+    df = spark.createDataFrame([*rows, (900, [1.0, 2.0], "short"), (901, [1.0], None)], "id long, v array<float>, g string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        blocks = [pickle.loads(r["block"]) for r in search._blocks(df.repartition(4, "id").coalesce(4), 1000, "knn-test").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(blocks) <= 4
+    assert sum(len(pickle.dumps(b)) for b in blocks) < 300 * 64 * 4 / 2
+    back = {(int(i), g): v.tolist() for b in blocks for g, ids, M in b for i, v in zip(ids, search._full(*M))}
+    assert back == {(i, g): v for i, v, g in [*rows, (900, [1.0, 2.0], "short")]}
